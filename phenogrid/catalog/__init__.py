@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("counts",)
+MODULES = ("scans", "filters", "gridding", "counts", "joins", "published")
 
 
 def load():

@@ -142,3 +142,11 @@ def name_list(names: Column) -> Column:
 
 def month_short(index: Column) -> Column:
     return F.get(F.array(*[F.lit(m) for m in MONTH_SHORT]), F.pmod(index, F.lit(MONTHS)).cast("int"))
+
+
+def citation(product: str, what: Column, source: Column, years: Column, generated: str, accessed: str) -> Column:
+    """Suggested citation of what a reader looks at; the dates are ISO days."""
+    return F.concat(
+        F.lit(f"{product} ({accessed[:4]}). "), what, F.lit(". Built from "), source, F.lit(", "), years,
+        F.lit(f"; data generated {generated} (accessed {accessed})."),
+    )

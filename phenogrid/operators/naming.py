@@ -90,14 +90,14 @@ def still_to_do(planned: DataFrame, have: DataFrame, *keys: str) -> DataFrame:
     return planned.join(have.select(*keys), list(keys), "left_anti")
 
 
-def name_records(raw: DataFrame) -> DataFrame:
+def name_records(raw: DataFrame, *keep: str) -> DataFrame:
     """Name record from the fields a checklist entry may carry, first non-empty wins."""
 
     def first(*fields: str):
         return F.coalesce(*[F.nullif(F.col(f).cast("string"), F.lit("")) for f in fields], F.lit(""))
 
     return raw.select(
-        first("acceptedKey", "speciesKey", "key", "usageKey").alias("key"),
+        *keep, first("acceptedKey", "speciesKey", "key", "usageKey").alias("key"),
         first("canonicalName", "scientificName").alias("sci"),
         first("common", "english", "vernacularName").alias("common"),
         first("family").alias("family"),

@@ -27,7 +27,7 @@ FACET_SCHEMA = "cell string, count bigint, species map<string, bigint>"
 
 def facet_files(spark: SparkSession, path: str) -> DataFrame:
     """Cached facet bodies per cell and month; the month comes from the ``mMM`` part of the path."""
-    month = F.regexp_extract("_metadata.file_path", r"/m(\d+)[^/]*(?:/[^/]*)?$", 1).cast("int")
+    month = F.regexp_extract("_metadata.file_path", r"[/=]m(\d{1,2})(?:\.json|/[^/]*)$", 1).cast("int")
     return spark.read.schema(FACET_SCHEMA).json(path, recursiveFileLookup=True).select("cell", month.alias("month"), "count", "species")
 
 
