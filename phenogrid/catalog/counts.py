@@ -75,12 +75,14 @@ def a07(spark, sf):
     return counting.species_list(b.masked_counts(spark, sf).where(F.col("sci").isNotNull()))
 
 
-@query("a19_effort_for_cells", ref.occ(f"""
+@query("a19_effort_for_cells", ref.by_sci(f"""
 SELECT cell, {ref.pivot('n', 't')} FROM masked
-WHERE cell IN (SELECT cell FROM masked WHERE sci = 'Species 2') GROUP BY cell"""))
+WHERE cell IN (SELECT cell FROM sp WHERE p = 'uncertain' OR p = 'resident') GROUP BY cell"""))
 def a19(spark, sf):
+    """Effort of the cells where some species is resident or uncertain."""
     masked = b.masked_counts(spark, sf)
-    cells = counting.with_cell(masked).where(F.col("sci") == "Species 2")
+    pairs, effort = b.pairs_and_effort(spark, sf)
+    cells = presence.label_presence(pairs, effort).where(F.col("p").isin("uncertain", "resident"))
     return counting.effort_for_cells(masked, cells).select("cell", *months.wide("t", "t"))
 
 

@@ -73,17 +73,17 @@ def u04(spark, sf):
 
 
 def _detail_and_ranges(spark, sf):
-    """Detail: cells of the northern half. Ranges: three species everywhere, with doubled effort."""
+    """Detail: cells of the northern half. Ranges: whatever moves, everywhere, with doubled effort."""
     labelled, effort = b.labelled(spark, sf)
     north = labelled.where(F.split("cell", "_")[0].cast("int") >= 0)
     doubled = effort.select("cell", months.vector([months.at("t", i) * 2 for i in range(12)]).alias("t"))
-    wide = labelled.where(F.col("key").isin("1001", "1002", "1004")).select("key", "cell", "c")
+    wide = labelled.where(F.col("p").isin("seasonal", "passage")).select("key", "cell", "c")
     return north, presence.label_presence(wide, doubled)
 
 
 @query("j06_ranges_override_detail", ref.by_key("""
-SELECT key, cell, round(max(r) FILTER (WHERE month = 2) / 2, 4) AS feb, 'range' AS origin FROM kl WHERE key IN ('1001', '1002', '1004') GROUP BY key, cell
-UNION ALL SELECT key, cell, round(max(r) FILTER (WHERE month = 2), 4), 'detail' FROM kl WHERE lat0 >= 0 AND key NOT IN ('1001', '1002', '1004') GROUP BY key, cell"""))
+SELECT key, cell, round(max(r) FILTER (WHERE month = 2) / 2, 4) AS feb, 'range' AS origin FROM kl WHERE p IN ('seasonal', 'passage') GROUP BY key, cell
+UNION ALL SELECT key, cell, round(max(r) FILTER (WHERE month = 2), 4), 'detail' FROM kl WHERE lat0 >= 0 AND p NOT IN ('seasonal', 'passage') GROUP BY key, cell"""))
 def j06(spark, sf):
     detail, ranges = _detail_and_ranges(spark, sf)
     columns = ["key", "cell", F.round(months.at("r", 1), 4).alias("feb")]
@@ -120,9 +120,9 @@ FEATURED = "('Species 1'), ('Species 2'), ('Species 5'), ('Species 41'), ('Speci
 
 
 @query("u02_add_featured", ref.occ(f"""
-SELECT DISTINCT sci FROM masked WHERE sci IS NOT NULL AND sci <> 'Species 2' UNION SELECT v.sci FROM (VALUES {FEATURED}) v(sci)"""))
+SELECT DISTINCT sci FROM masked WHERE sci IS NOT NULL UNION SELECT v.sci FROM (VALUES {FEATURED}) v(sci)"""))
 def u02(spark, sf):
-    listed = b.masked_counts(spark, sf).where(F.col("sci").isNotNull() & (F.col("sci") != "Species 2")).select("sci").distinct()
+    listed = b.masked_counts(spark, sf).where(F.col("sci").isNotNull()).select("sci").distinct()
     featured = spark.createDataFrame([(s,) for s in b.FEATURED], "sci string")
     return naming.add_missing(listed, featured)
 

@@ -36,7 +36,7 @@ def quantile_picks(weights: DataFrame, count: int, side: int = HILBERT_SIDE) ->
     owned = cumulated.withColumn("_hi", _floor_div(2 * count * F.col("cum") - F.col("total"), 2 * F.col("total")))
     owned = owned.withColumn("_lo", _floor_div(2 * count * (F.col("cum") - F.col("w")) - F.col("total"), 2 * F.col("total")) + 1)
     return owned.where(F.col("_lo") <= F.col("_hi")).select(
-        "key", "month", "cell", "place", F.explode(F.sequence("_lo", "_hi")).cast("int").alias("pick")
+        "key", "month", "cell", "place", F.explode(F.sequence(F.col("_lo").cast("int"), F.col("_hi").cast("int"))).alias("pick")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from phenogrid.functions import months
 from phenogrid.operators.presence import beside_cells
-from phenogrid.rules import DOING_ORDER, DOING_WORDS, MONTHS, MOVING, PRESENCE_ORDER, TierRules
+from phenogrid.rules import COVERAGE_WORDS, DOING_ORDER, DOING_WORDS, MONTHS, MOVING, PRESENCE_ORDER, TierRules
 
 
 def listed(i: int) -> Column:
@@ -95,6 +95,13 @@ def doing_words(d: Column) -> Column:
     return chain
 
 
+def coverage_words(level: Column) -> Column:
+    chain = F.lit(None).cast("string")
+    for word, shown in COVERAGE_WORDS.items():
+        chain = F.when(level == word, F.lit(shown)).otherwise(chain)
+    return chain
+
+
 def matches_filter(name: str) -> Column:
     """Row test of a filter chip: moving, one of the doings, or all."""
     if name == "all":
@@ -112,15 +119,20 @@ def chip_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cell", "month").agg(*[F.count_if(matches_filter(f)).alias(f"n_{f}") for f in FILTERS])
 
 
-def ordered_page(rows: DataFrame, chip: str, size: int) -> DataFrame:
-    """First page of a chip's list per cell and month, with how many more there are."""
+def ordered_rows(rows: DataFrame, chip: str) -> DataFrame:
+    """A chip's list per cell and month with the position of each species: by what they are doing
+    for the mixed lists, then by records."""
     order = [F.col("count").desc(), F.col("key")]
     if chip in ("all", "moving"):
         order.insert(0, doing_order(F.col("doing")))
-    kept = rows.where(matches_filter(chip))
-    total = kept.groupBy("cell", "month").agg(F.count("*").alias("total"))
     w = Window.partitionBy("cell", "month").orderBy(*order)
-    page = kept.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= size)
+    return rows.where(matches_filter(chip)).withColumn("pos", F.row_number().over(w))
+
+
+def ordered_page(rows: DataFrame, chip: str, size: int) -> DataFrame:
+    """First page of a chip's list per cell and month, with how many more there are."""
+    total = rows.where(matches_filter(chip)).groupBy("cell", "month").agg(F.count("*").alias("total"))
+    page = ordered_rows(rows, chip).where(F.col("pos") <= size)
     return page.join(total, ["cell", "month"]).withColumn("more", F.greatest(F.col("total") - size, F.lit(0)))
 
 

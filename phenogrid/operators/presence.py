@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import grid, months
@@ -25,10 +25,23 @@ def label_presence(pairs: DataFrame, effort: DataFrame, rules: PresenceRules = P
     surveyed = effort.withColumn("surveyed", months.surveyed_set("t", rules))
     joined = beside_cells(pairs, surveyed, cell_size=cell_size)
     rated = joined.withColumn("r", months.rates("c", "t")).withColumn("peak", F.array_max("r"))
-    marked = rated.withColumn("m", months.present_set("c", "r", F.col("peak"), rules))
+    marked = settled(rated, m=months.present_set("c", "r", F.col("peak"), rules))
     return marked.withColumn("p", months.label("c", F.col("m"), F.col("surveyed"), rules)).drop("peak", "surveyed")
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later filters refer to by value.
+
+    Spark pushes a filter through a projection by copying the projected expressions into it, which
+    for twelve-month expressions built on each other grows beyond what can be compiled. A generator
+    of one row stops that, while filters on the other columns still pass through it.
+    """
+    held = [f"_{name}" for name in columns]
+    ready = rows.withColumns(dict(zip(held, columns.values(), strict=True)))
+    one = F.array(F.struct(*[F.col(h).alias(name) for h, name in zip(held, columns, strict=True)]))
+    return ready.select(*rows.columns, F.inline(one))
+
+
 def presence_rows(labelled: DataFrame) -> DataFrame:
     """One row per species-cell: label, records and number of present months."""
     return labelled.select(

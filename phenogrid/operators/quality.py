@@ -25,10 +25,12 @@ def incomplete_cells(facets: DataFrame) -> DataFrame:
     return facets.groupBy("cell").agg(F.count_distinct("month").alias("months")).where(F.col("months") < MONTHS)
 
 
-def cover_report(hits: DataFrame, pixels: int) -> DataFrame:
-    """Pixels covered never and more than once, of a raster of ``pixels`` pixels."""
+def cover_report(hits: DataFrame, pixels: int | Column) -> DataFrame:
+    """Pixels covered never and more than once, of a raster of ``pixels`` pixels (a number or an
+    aggregate over the hits)."""
+    size = F.lit(pixels) if isinstance(pixels, int) else pixels
     return hits.agg(
-        (F.lit(pixels) - F.count("*")).alias("gaps"), F.count_if(F.col("hits") > 1).alias("overlaps"), F.count("*").alias("covered")
+        (size - F.count("*")).alias("gaps"), F.count_if(F.col("hits") > 1).alias("overlaps"), F.count("*").alias("covered")
     )
 
 

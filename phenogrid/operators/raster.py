@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from phenogrid.functions import layers, tiles
+from phenogrid.functions import geo, layers, tiles
 from phenogrid.functions.months import month_anchor
 from phenogrid.rules import CLEAR_SCENES, CLOUD_LIMIT, KM_PER_DEG, LAND_CLASSES, SUN_ALTITUDE, SUN_AZIMUTH, WATER_CLASS
 from phenogrid.session import cut_lineage
@@ -233,13 +233,15 @@ def covered_share(pixels: DataFrame, factor: int, flag: Column) -> DataFrame:
 # ---- resampling --------------------------------------------------------------------------------
 
 def ceil_div(a: Column, b: int) -> Column:
-    return -F.floor(-a / F.lit(float(b)))
+    """Whole-number division rounding up, for a positive divisor."""
+    return F.call_function("div", a + F.pmod(-a, F.lit(b).cast("long")), F.lit(b).cast("long"))
 
 
 def nearest_targets(index: Column, size: int, out: int) -> tuple[Column, Column]:
     """First and last target index that read source ``index`` when ``size`` pixels become ``out``."""
-    low = ceil_div(index * (2 * out) - size, 2 * size)
-    high = ceil_div((index + 1) * (2 * out) - size, 2 * size) - 1
+    wide = index.cast("long") * (2 * out)
+    low = ceil_div(wide - size, 2 * size)
+    high = ceil_div(wide + 2 * out - size, 2 * size) - 1
     return F.greatest(low, F.lit(0)).cast("int"), high.cast("int")
 
 
@@ -265,22 +267,25 @@ def _axis_weights(rows: DataFrame, axis: str, size: int, out: int) -> DataFrame:
     return spread.withColumn(f"_w_{axis}", weight).where(F.col(f"_w_{axis}") > 0).withColumn(axis, F.col("_t")).drop("_t")
 
 
-def resample_bilinear(pixels: DataFrame, height: int, width: int, out_h: int, out_w: int, column: str) -> DataFrame:
+def resample_bilinear(pixels: DataFrame, height: int, width: int, out_h: int, out_w: int, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Bilinear resize: source pixels emit their weighted share to the targets they touch, then one
-    aggregate per target. A target that touches missing data is missing."""
-    spread = _axis_weights(_axis_weights(pixels.select("gx", "gy", column), "gy", height, out_h), "gx", width, out_w)
+    aggregate per target. A target that touches missing data is missing. ``keys`` tell several
+    images apart."""
+    spread = _axis_weights(_axis_weights(pixels.select(*keys, "gx", "gy", column), "gy", height, out_h), "gx", width, out_w)
     weight = F.col("_w_gx") * F.col("_w_gy")
-    blended = spread.groupBy("gx", "gy").agg(F.sum(F.col(column) * weight).alias("_v"), F.sum(F.when(F.col(column).isNotNull(), weight)).alias("_w"))
-    return blended.select("gx", "gy", F.when(F.col("_w") > 1 - 1e-9, F.col("_v")).alias(column))
+    blended = spread.groupBy(*keys, "gx", "gy").agg(F.sum(F.col(column) * weight).alias("_v"), F.sum(F.when(F.col(column).isNotNull(), weight)).alias("_w"))
+    return blended.select(*keys, "gx", "gy", F.when(F.col("_w") > 1 - 1e-9, F.col("_v")).alias(column))
 
 
-def quarter_upsample(pixels: DataFrame, tile_px: int, quarter: int, column: str) -> DataFrame:
-    """One quarter of a parent tile (row-major 0..3) at twice the size."""
-    qy, qx = divmod(quarter, 2)
+def quarter_upsample(pixels: DataFrame, tile_px: int, column: str) -> DataFrame:
+    """Child tiles from the quarters of their parents at twice the size, for every tile at once.
+
+    A child (x, y) reads its own quarter only, so the edges of a quarter clamp.
+    """
     half = tile_px // 2
-    x, y = F.col("gx") - qx * half, F.col("gy") - qy * half
-    cut = pixels.where((x >= 0) & (x < half) & (y >= 0) & (y < half)).select(x.cast("int").alias("gx"), y.cast("int").alias("gy"), column)
-    return resample_bilinear(cut, half, half, tile_px, tile_px, column)
+    x, y = F.floor(F.col("gx") / half).cast("int"), F.floor(F.col("gy") / half).cast("int")
+    cut = pixels.select(x.alias("x"), y.alias("y"), (F.col("gx") % half).alias("gx"), (F.col("gy") % half).alias("gy"), column)
+    return resample_bilinear(cut, half, half, tile_px, tile_px, column, ("x", "y"))
 
 
 def cut_level(base: DataFrame, height: int, width: int, out_h: int, out_w: int) -> DataFrame:
@@ -339,6 +344,18 @@ def nearest_pixel(points: DataFrame, layer: DataFrame, width: int, height: int)
     return points.withColumns({"gx": x, "gy": y}).join(layer, ["gx", "gy"], "left")
 
 
+def environment_lines(places: DataFrame, on_land: Column, ground: Column, tree: Column, elevation: Column, wind: tuple[Column, Column]) -> DataFrame:
+    """What the layers under a place say: ground and height on land, depth at sea, and the wind."""
+    u, v = wind
+    speed = F.hypot(u, v)
+    cover = F.when(tree >= 5, F.concat(ground, F.lit(" · "), layers.whole(tree).cast("int").cast("string"), F.lit(" % tree cover"))).otherwise(ground)
+    return places.withColumns({
+        "ground": F.when(on_land, cover), "height_m": F.when(on_land, layers.whole(elevation)),
+        "depth_m": F.when(~on_land & (elevation < 0), layers.whole(-elevation)),
+        "wind": F.when(speed < 0.5, F.lit("calm")).otherwise(F.concat(F.lit("wind from the "), geo.blows_from(u, v))),
+    })
+
+
 # ---- neighbourhood operators -------------------------------------------------------------------
 
 def halo_blocks(pixels: DataFrame, block: int, radius: int = 1) -> DataFrame:
