@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from phenogrid.functions import tiles
 from phenogrid.rules import CAPITAL_SCALE, LABEL_FLOORS, MAJOR_POPULATION, PLACE_CHUNK_LEVEL, PLACE_KINDS, SEAT_SCALE
@@ -66,6 +67,24 @@ def with_chunk(places: DataFrame, level: int = PLACE_CHUNK_LEVEL) -> DataFrame:
     return places.withColumn("chunk", chunk)
 
 
+def ranked_by_population(chunked: DataFrame) -> DataFrame:
+    """Position of each place in its list, by population and name.
+
+    The major list may hold most of the places, so positions are not numbered in one task per list:
+    places are numbered inside bands of equal magnitude of the population, and the bands, a few
+    hundred per list, get running offsets.
+    """
+    band = F.floor(F.log2(F.greatest(F.col("population"), F.lit(1)) + 1.0) * 16).cast("int")
+    banded = chunked.withColumn("_band", band)
+    sizes = banded.groupBy("chunk", "_band").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy("chunk").orderBy(F.col("_band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("chunk", "_band", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("chunk", "_band").orderBy(F.col("population").desc(), "name"))
+    return banded.withColumn("_i", inside).join(offsets, ["chunk", "_band"]).withColumn(
+        "pos", (F.col("_o") + F.col("_i")).cast("int")
+    ).drop("_band", "_i", "_o")
+
+
 def place_manifest(chunked: DataFrame) -> DataFrame:
     return chunked.agg(
         F.count_if("major").alias("major"), F.count_if(~F.col("major")).alias("chunked"),
