@@ -34,4 +34,4 @@ def st01(spark, sf):
     shard_drops.write_drop(shard_drops.with_shard(later).where(F.col("shard").isin("europe", "americas")).drop("shard"), drops, 2)
     shard_drops.ingest(spark, drops, tables, new_path(spark, "stream"), b.SENSITIVE)
     pairs = files.shard_table(spark, f"{tables}/pairs")
-    return pairs.select("shard", "sci", "cell", months.total(months.from_wide("c")).alias("records"))
+    return pairs.select("shard", "sci", "cell", months.wide_total("c").alias("records"))

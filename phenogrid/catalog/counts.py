@@ -50,7 +50,7 @@ def a04(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long") % 15
     facets = events.groupBy((F.col("user_id") % 50).alias("user_id"), "event_type", k.alias("m")).agg(F.count("*").alias("n"))
     entries = facets.groupBy("user_id", "event_type").agg(F.collect_list(F.struct("m", "n")).alias("e"))
-    dense = entries.select("user_id", "event_type", months.dense_from_entries(F.col("e")).alias("c"))
+    dense = entries.select("user_id", "event_type", months.dense_from_entries("e").alias("c"))
     return dense.select("user_id", "event_type", *months.wide("c", "c"))
 
 
@@ -94,12 +94,11 @@ GROUP BY f.sci, f.lat0, f.lng0""", """
 named AS (SELECT *, floor((lat0 + 90) / 20) AS l20, floor((lng0 + 180) / 20) AS g20, floor((lat0 + 90) / 5) AS l5, floor((lng0 + 180) / 5) AS g5
   FROM masked WHERE sci IS NOT NULL),
 b20 AS (SELECT sci, l20, g20, sum(n) AS n FROM named GROUP BY ALL),
-k20 AS (SELECT b.* FROM b20 b JOIN (SELECT sci, sum(n) AS tot FROM b20 GROUP BY sci) t ON t.sci = b.sci WHERE b.n >= greatest(8, 0.05 * t.tot)),
+k20 AS (SELECT b.* FROM b20 b JOIN (SELECT sci, sum(n) AS tot FROM b20 GROUP BY sci) t ON t.sci = b.sci WHERE b.n >= greatest(10, 0.0005 * t.tot)),
 b5 AS (SELECT n.sci, n.l5, n.g5, sum(n.n) AS n FROM named n JOIN k20 k ON k.sci = n.sci AND k.l20 = n.l20 AND k.g20 = n.g20 GROUP BY ALL),
-k5 AS (SELECT b.* FROM b5 b JOIN (SELECT sci, sum(n) AS tot FROM b5 GROUP BY sci) t ON t.sci = b.sci WHERE b.n >= greatest(8, 0.05 * t.tot))"""))
+k5 AS (SELECT b.* FROM b5 b JOIN (SELECT sci, sum(n) AS tot FROM b5 GROUP BY sci) t ON t.sci = b.sci WHERE b.n >= greatest(10, 0.0005 * t.tot))"""))
 def a31(spark, sf):
-    rules = DrillRules(box_records=8, box_share=0.05)
-    cells = drill.drill_down(b.masked_counts(spark, sf), rules)
+    cells = drill.drill_down(b.masked_counts(spark, sf), DrillRules())
     return cells.select("sci", "cell", *months.wide("c", "c"), "records")
 
 
@@ -107,8 +106,7 @@ def a31(spark, sf):
 def j01(spark, sf):
     pairs, effort = b.pairs_and_effort(spark, sf)
     joined = presence.beside_cells(pairs, effort)
-    entries = F.array(*[F.struct(F.lit(i + 1).alias("month"), months.at("c", i).alias("n"), months.at("t", i).alias("effort")) for i in range(12)])
-    return joined.select("sci", "cell", F.inline(entries))
+    return joined.select("sci", "cell", months.month_rows(month="i + 1", n="c[i]", effort="t[i]"))
 
 
 @query("e01_monthly_rates", ref.by_sci("SELECT sci, cell, month, r AS rate FROM sl"))
@@ -133,15 +131,14 @@ def e04(spark, sf):
 @query("w03_longest_run", ref.by_sci("SELECT g.sci, g.cell, coalesce(n.run, 0) AS run FROM sg g LEFT JOIN sn n ON n.sci = g.sci AND n.cell = g.cell"))
 def w03(spark, sf):
     pairs, effort = b.pairs_and_effort(spark, sf)
-    return presence.label_presence(pairs, effort).select("sci", "cell", months.longest_run(F.col("m")).alias("run"))
+    return presence.label_presence(pairs, effort).select("sci", "cell", months.longest_run("m").alias("run"))
 
 
 @query("a08_richness", ref.by_key("SELECT cell, month, count(*) FILTER (WHERE c > 0) AS richness FROM kl GROUP BY cell, month"))
 def a08(spark, sf):
     labelled, _ = b.labelled(spark, sf)
     rich = documents.richness(labelled)
-    entries = F.array(*[F.struct(F.lit(i + 1).alias("month"), months.at("richness", i).alias("richness")) for i in range(12)])
-    return rich.select("cell", F.inline(entries))
+    return rich.select("cell", months.month_rows(month="i + 1", richness="richness[i]"))
 
 
 @query("a09_coverage", ref.occ("""
@@ -149,8 +146,7 @@ SELECT cell, month, CASE WHEN t >= 60 THEN 'well' WHEN t >= 35 THEN 'some' ELSE
 def a09(spark, sf):
     _, effort = b.pairs_and_effort(spark, sf)
     levels = effort.select("cell", months.coverage_vector("t", CoverageRules(well=60, some=35)).alias("v"))
-    entries = F.array(*[F.struct(F.lit(i + 1).alias("month"), months.at("v", i).alias("coverage")) for i in range(12)])
-    return levels.select("cell", F.inline(entries))
+    return levels.select("cell", months.month_rows(month="i + 1", coverage="v[i]"))
 
 
 @query("e19_facet_bodies", """

@@ -76,7 +76,7 @@ def _detail_and_ranges(spark, sf):
     """Detail: cells of the northern half. Ranges: whatever moves, everywhere, with doubled effort."""
     labelled, effort = b.labelled(spark, sf)
     north = labelled.where(F.split("cell", "_")[0].cast("int") >= 0)
-    doubled = effort.select("cell", months.vector([months.at("t", i) * 2 for i in range(12)]).alias("t"))
+    doubled = effort.select("cell", months.each_month("t[i] * 2").alias("t"))
     wide = labelled.where(F.col("p").isin("seasonal", "passage")).select("key", "cell", "c")
     return north, presence.label_presence(wide, doubled)
 

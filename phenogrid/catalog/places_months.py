@@ -27,8 +27,7 @@ def w04(spark, sf):
 @query("w05_reported_tier", ref.by_key("SELECT key, cell, month, c AS count, top, reported FROM ti", LISTED, TIERED))
 def w05(spark, sf):
     labelled, _ = b.labelled(spark, sf)
-    rows = place_view.with_tier(place_view.listed_rows(labelled))
-    return rows.select("key", "cell", "month", "count", "top", "reported")
+    return place_view.tiered_rows(labelled).select("key", "cell", "month", "count", "top", "reported")
 
 
 @query("w06_rank_in_label", ref.by_key("""
@@ -83,7 +82,7 @@ def e22(spark, sf):
     """Words of the labels; the greenness scale is read off the share of records."""
     labelled, effort = b.labelled(spark, sf)
     rows = presence.beside_cells(place_view.listed_rows(labelled), effort)
-    level = months.coverage_level(months.at_index("t", F.col("month") - 1))
+    level = F.expr(months.coverage_sql("t[month - 1]"))
     return rows.select(
         "key", "cell", "month", place_view.doing_words(F.col("doing")).alias("words"), layers.greenness(F.col("share")).alias("greenness"),
         place_view.coverage_words(level).alias("coverage"),
@@ -96,5 +95,4 @@ SELECT key, cell, CASE WHEN count(*) FILTER (WHERE c > 0) = 12 THEN 'Recorded in
 FROM kl GROUP BY key, cell"""))
 def e23(spark, sf):
     labelled, _ = b.labelled(spark, sf)
-    recorded = months.month_set([months.at("c", i) > 0 for i in range(12)])
-    return labelled.withColumn("s", recorded).select("key", "cell", months.months_in_words(F.col("s")).alias("words"))
+    return labelled.withColumn("s", months.months_where("c[i] > 0")).select("key", "cell", months.months_in_words("s").alias("words"))

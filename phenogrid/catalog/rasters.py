@@ -299,11 +299,11 @@ nb AS (SELECT name, (CAST(floor(fx) AS INTEGER) + dx + {W}) % {W} AS gx, least({
   FROM pt, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy), (VALUES (8, CAST(0.84375 AS DOUBLE)), (9, CAST(0.15625 AS DOUBLE))) m(month, share))"""
 
 
-@query("j16_sample_layer", ref.sql("SELECT n.name AS id, round(sum(coalesce(l.v, 0) * n.w), 7) AS value FROM nb n LEFT JOIN ml l ON l.gx = n.gx AND l.gy = n.gy AND l.month = n.month GROUP BY n.name", ref.RECORDS, ref.PLACES, LAYER))
+@query("j16_sample_layer", ref.sql("SELECT n.name AS id, round(sum(coalesce(l.v, 0) * n.w), 11) AS value FROM nb n LEFT JOIN ml l ON l.gx = n.gx AND l.gy = n.gy AND l.month = n.month GROUP BY n.name", ref.RECORDS, ref.PLACES, LAYER))
 def j16(spark, sf):
     """At t = 8.75 the months 8 and 9 blend with the smoothstep of a quarter."""
     points = b.places(spark, sf).select(F.col("name").alias("id"), "lng", "lat")
-    return raster.sample_layer(points, _monthly_layer(spark, sf), W, H, 8.75).select("id", F.round("value", 7).alias("value"))
+    return raster.sample_layer(points, _monthly_layer(spark, sf), W, H, 8.75).select("id", F.round("value", 11).alias("value"))
 
 
 def _static_layer(spark, sf):

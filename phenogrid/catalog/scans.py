@@ -57,7 +57,7 @@ GROUP BY cell, specieskey""", FACETS))
 def sc02(spark, sf):
     facets = files.facet_files(spark, _facets(spark, sf))
     _, species, _ = files.cell_summaries(facets)
-    dense = counting.dense_months(species, ["cell", "key"], F.col("month"), F.col("n"))
+    dense = counting.dense_months(species, ["cell", "key"])
     return dense.select("cell", "key", *months.wide("c", "c"))
 
 
@@ -98,7 +98,7 @@ def _shards(spark, sf):
     path = new_path(spark, "pairs")
     counts = b.masked_counts(spark, sf)
     sharded = counts.withColumn("shard", grid.shard_of(F.col("lat0"), F.col("lng0")))
-    pairs = counting.with_cell(sharded).where(F.col("sci").isNotNull()).groupBy("shard", "sci", "cell").agg(months.sum_by_month(F.col("n"), F.col("month")).alias("c"))
+    pairs = counting.with_cell(sharded).where(F.col("sci").isNotNull()).groupBy("shard", "sci", "cell").agg(months.sum_by_month("n").alias("c"))
     sinks.write_shards(sinks.pairs_for_sink(pairs), path, ["sci", "cell"])
     return path
 
@@ -114,7 +114,7 @@ SELECT sci, cell, CAST(sum(n) AS BIGINT) AS records FROM (SELECT *, {ref.SHARD_C
 WHERE shard IN ('africa', 'americas') GROUP BY sci, cell"""))
 def u01(spark, sf):
     table = files.shard_table(spark, _shards(spark, sf), ["africa", "americas"])
-    return table.select("sci", "cell", months.total(months.from_wide("c")).alias("records"))
+    return table.select("sci", "cell", months.wide_total("c").alias("records"))
 
 
 @query("sk01_replace_shard", ref.occ(f"""
@@ -130,11 +130,11 @@ def sk01(spark, sf):
     second = b.records(spark, sf).where(F.col("l_orderkey") % 2 == 0).withColumn("sci", F.when(~hidden, F.col("sci")))
     counts = counting.count_records(second).withColumn("shard", grid.shard_of(F.col("lat0"), F.col("lng0")))
     pairs = counting.with_cell(counts).where(F.col("sci").isNotNull() & (F.col("shard") == "americas")).groupBy("shard", "sci", "cell").agg(
-        months.sum_by_month(F.col("n"), F.col("month")).alias("c")
+        months.sum_by_month("n").alias("c")
     )
     sinks.write_shards(sinks.pairs_for_sink(pairs), path, ["sci", "cell"])
     table = files.shard_table(spark, path)
-    return table.groupBy("shard").agg(F.count("*").alias("pairs"), F.sum(months.total(months.from_wide("c"))).alias("records"))
+    return table.groupBy("shard").agg(F.count("*").alias("pairs"), F.sum(months.wide_total("c")).alias("records"))
 
 
 @query("sk02_cell_documents", ref.by_key("""
@@ -326,9 +326,9 @@ def sk06(spark, sf):
 
 @query("sk07_species_csv", ref.ranged("""
 SELECT l.key AS taxon_key, l.cell AS cell_id, CAST(l.lat0 AS DOUBLE) AS lat_min, CAST(l.lng0 AS DOUBLE) AS lng_min, l.p AS presence,
-  max(l.r) FILTER (WHERE l.month = 1) AS rate_jan, round(max(l.r) FILTER (WHERE l.month = 1) / CASE WHEN max(k.peak) > 0 THEN max(k.peak) ELSE 1 END, 4) AS of_peak_jan,
-  round(max(l.r) FILTER (WHERE l.month = 9) / CASE WHEN max(k.peak) > 0 THEN max(k.peak) ELSE 1 END, 4) AS of_peak_sep
-FROM rl l JOIN (SELECT key, max(r) AS peak FROM rl GROUP BY key) k ON k.key = l.key GROUP BY l.key, l.cell, l.lat0, l.lng0, l.p"""))
+  max(l.r) FILTER (WHERE l.month = 1) AS rate_jan, CAST((max(l.u) FILTER (WHERE l.month = 1) * 20000 + max(k.peak)) // (2 * max(k.peak)) AS DOUBLE) / 10000 AS of_peak_jan,
+  CAST((max(l.u) FILTER (WHERE l.month = 9) * 20000 + max(k.peak)) // (2 * max(k.peak)) AS DOUBLE) / 10000 AS of_peak_sep
+FROM rl l JOIN (SELECT key, max(u) AS peak FROM rl GROUP BY key) k ON k.key = l.key GROUP BY l.key, l.cell, l.lat0, l.lng0, l.p"""))
 def sk07(spark, sf):
     path = new_path(spark, "species_csv")
     labelled, _ = b.labelled(spark, sf)
@@ -347,7 +347,7 @@ def sk05(spark, sf):
     labelled, effort = b.labelled(spark, sf)
     lat, lng = F.split("cell", "_")[0].cast("int"), F.split("cell", "_")[1].cast("int")
     old = documents.cell_documents(labelled.where(lat < 40), effort.where(lat < 40)).where(F.size("species") > 0)
-    bumped = labelled.where(lat >= -40).withColumn("c", F.when(lng > 100, months.vector([months.at("c", i) + (1 if i == 5 else 0) for i in range(12)])).otherwise(F.col("c")))
+    bumped = labelled.where(lat >= -40).withColumn("c", F.when(lng > 100, months.each_month("c[i] + if(i = 5, 1, 0)")).otherwise(F.col("c")))
     new = documents.cell_documents(bumped, effort.where(lat >= -40)).where(F.size("species") > 0)
     return documents.document_diff(old, new, ["id", "part"]).select("id", "state")
 

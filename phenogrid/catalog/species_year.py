@@ -25,8 +25,7 @@ def a13(spark, sf):
 @query("a14_cells_per_month", ref.ranged("SELECT key, month, count(*) FILTER (WHERE r > 0) AS cells FROM rl GROUP BY key, month"))
 def a14(spark, sf):
     rows = species_view.cells_per_month(_ranged(spark, sf))
-    entries = F.array(*[F.struct(F.lit(i + 1).alias("month"), months.at("cells", i).alias("cells")) for i in range(12)])
-    return rows.select("key", F.inline(entries))
+    return rows.select("key", months.month_rows(month="i + 1", cells="cells[i]"))
 
 
 @query("a15_year_curve", ref.ranged("""
@@ -36,10 +35,7 @@ JOIN (SELECT key, max(u) AS top, CAST(min(month) FILTER (WHERE u = mx) - 1 AS IN
   FROM (SELECT key, month, u, max(u) OVER (PARTITION BY key) AS mx, min(u) OVER (PARTITION BY key) AS mn FROM (SELECT key, month, sum(u) AS u FROM rl GROUP BY key, month)) GROUP BY key) t ON t.key = s.key"""))
 def a15(spark, sf):
     rows = species_view.year_curve(_ranged(spark, sf))
-    entries = F.array(*[
-        F.struct(F.lit(i + 1).alias("month"), months.at("s", i).alias("units"), F.round(months.at("presence", i), 8).alias("presence")) for i in range(12)
-    ])
-    return rows.select("key", "peak_month", "low_month", F.inline(entries))
+    return rows.select("key", "peak_month", "low_month", months.month_rows(month="i + 1", units="s[i]", presence="round(presence[i], 8)"))
 
 
 CENTRES = """
@@ -122,25 +118,25 @@ def x03_species(spark, sf):
 
 # t = 3.75: between mid-month anchors 3 and 4, a quarter of the way; cubic ease 4 u^3.
 @query("e05_cell_intensity", ref.ranged("""
-SELECT l.key, l.cell, round((max(r) FILTER (WHERE month = 4) * (1 - 4 * 0.25 ** 3) + max(r) FILTER (WHERE month = 5) * (4 * 0.25 ** 3)) / CASE WHEN max(k.peak) > 0 THEN max(k.peak) ELSE 1 END, 8) AS intensity
+SELECT l.key, l.cell, round((max(r) FILTER (WHERE month = 4) * (1 - 4 * 0.25 ** 3) + max(r) FILTER (WHERE month = 5) * (4 * 0.25 ** 3)) / CASE WHEN max(k.peak) > 0 THEN max(k.peak) ELSE 1 END, 12) AS intensity
 FROM rl l JOIN (SELECT key, max(r) AS peak FROM rl GROUP BY key) k ON k.key = l.key GROUP BY l.key, l.cell"""))
 def e05(spark, sf):
     rows = species_view.cell_intensity(_ranged(spark, sf), 3.75)
-    return rows.select("key", "cell", F.round("intensity", 8).alias("intensity"))
+    return rows.select("key", "cell", F.round("intensity", 12).alias("intensity"))
 
 
 @query("e05_mass_at", ref.ranged("""
-SELECT key, round((max(u) FILTER (WHERE month = 12) * (1 - 4 * 0.25 ** 3) + max(u) FILTER (WHERE month = 1) * (4 * 0.25 ** 3)) / CAST(max(u) AS DOUBLE), 8) AS mass
+SELECT key, round((max(u) FILTER (WHERE month = 12) * (1 - 4 * 0.25 ** 3) + max(u) FILTER (WHERE month = 1) * (4 * 0.25 ** 3)) / CAST(max(u) AS DOUBLE), 12) AS mass
 FROM (SELECT key, month, CAST(sum(u) AS DOUBLE) AS u FROM rl GROUP BY key, month) GROUP BY key"""))
 def e05_mass(spark, sf):
     """At t = 11.75: from December into January."""
-    return species_view.mass_at(_ranged(spark, sf), 11.75).select("key", F.round("mass", 8).alias("mass"))
+    return species_view.mass_at(_ranged(spark, sf), 11.75).select("key", F.round("mass", 12).alias("mass"))
 
 
 @query("e06_wash_values", ref.ranged("""
-SELECT l.key, l.cell, round(0.2 + 0.8 * (l.r / k.peak), 8) AS value FROM rl l JOIN (SELECT key, max(r) AS peak FROM rl GROUP BY key) k ON k.key = l.key WHERE l.month = 5 AND l.u > 0"""))
+SELECT l.key, l.cell, round(0.2 + 0.8 * (l.r / k.peak), 12) AS value FROM rl l JOIN (SELECT key, max(r) AS peak FROM rl GROUP BY key) k ON k.key = l.key WHERE l.month = 5 AND l.u > 0"""))
 def e06(spark, sf):
-    return species_view.wash_values(_ranged(spark, sf), 4).select("key", "cell", F.round("value", 8).alias("value"))
+    return species_view.wash_values(_ranged(spark, sf), 4).select("key", "cell", F.round("value", 12).alias("value"))
 
 
 # t = 0.25: three quarters of the way from mid December to mid January; smoothstep of 0.75.
@@ -176,9 +172,8 @@ def t02(spark, sf):
 def _weights(spark, sf):
     """Records per species, month and cell as whole weights."""
     labelled, _ = b.labelled(spark, sf)
-    entries = F.array(*[F.struct(F.lit(i).alias("month"), months.at("c", i).alias("w")) for i in range(12)])
     lat, lng = F.split("cell", "_")[0].cast("int"), F.split("cell", "_")[1].cast("int")
-    return labelled.select("key", "cell", lat.alias("lat0"), lng.alias("lng0"), F.inline(entries)).where("w > 0")
+    return labelled.select("key", "cell", lat.alias("lat0"), lng.alias("lng0"), months.month_rows("c[i] > 0", month="i", w="c[i]"))
 
 
 @query("w09_quantile_picks", ref.by_key("""

@@ -1,15 +1,16 @@
 """Twelve-month vectors as column expressions.
 
-Vectors are ``ARRAY`` columns of length 12. Everything is unrolled into plain element access and
-integer arithmetic, so it stays inside whole-stage code generation (the higher-order functions
-would fall back to interpreted evaluation). Sets of months are 12-bit integers: bit ``i`` is month
-``i + 1``, and the circular year is a rotation of the bits.
+Vectors are ``ARRAY`` columns of length 12, named by their column. Sets of months are 12-bit
+integers: bit ``i`` is month ``i + 1``, and the circular year is a rotation of the bits.
+
+Counting over raw records is unrolled into twelve plain sums, which compile into the scan's stage.
+Everything after it runs on one row per species and cell and is written with the array functions:
+unrolled, those expressions would grow into methods the JVM does not compile.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,145 +18,147 @@ from pyspark.sql import functions as F
 from phenogrid.rules import MONTH_SHORT, MONTHS, CoverageRules, PresenceRules
 
 FULL_YEAR = (1 << MONTHS) - 1
+YEAR = f"sequence(0, {MONTHS - 1})"
+
+
+def at(vector: str, i: int) -> Column:
+    """Element ``i`` (0-based)."""
+    return F.expr(f"{vector}[{i}]")
 
 
-def at(vector: Column | str, i: int) -> Column:
-    """Element ``i`` (0-based); NULL outside the array."""
-    return F.get(vector, F.lit(i))
+def each_month(sql: str) -> Column:
+    """A vector from an expression of the 0-based month ``i``."""
+    return F.expr(f"transform({YEAR}, i -> {sql})")
 
 
-def at_index(vector: Column | str, index: Column) -> Column:
-    return F.get(vector, index)
+def month_rows(where: str | None = None, **fields: str) -> Column:
+    """Generator of one row per month ``i`` (that meets a condition) with the given fields."""
+    listed = YEAR if where is None else f"filter({YEAR}, i -> {where})"
+    struct = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
+    return F.expr(f"inline(transform({listed}, i -> named_struct({struct})))")
 
 
-def vector(items: list[Column]) -> Column:
-    return F.array(*items)
+def months_where(condition: str) -> Column:
+    """Bit set of the months ``i`` that meet a condition."""
+    return F.expr(f"aggregate({YEAR}, 0, (bits, i) -> bits + if({condition}, shiftleft(1, i), 0))")
 
 
-def sum_by_month(value: Column, month: Column) -> Column:
+def unrolled(sql: str) -> Column:
+    """Twelve aggregates put into one vector; ``{i}`` and ``{m}`` are the 0- and 1-based month."""
+    return F.expr("array(" + ", ".join(sql.format(i=i, m=i + 1) for i in range(MONTHS)) + ")")
+
+
+def sum_by_month(value: str, month: str = "month") -> Column:
     """Aggregate long rows (month, value) into a dense vector, zero where a month has no rows."""
-    return vector([
-        F.coalesce(F.sum(F.when(month == m, value)), F.lit(0)).cast("long") for m in range(1, MONTHS + 1)
-    ])
+    return unrolled(f"cast(coalesce(sum(CASE WHEN {month} = {{m}} THEN {value} END), 0) AS bigint)")
 
 
-def sum_vectors(column: Column | str) -> Column:
+def sum_vectors(vector: str) -> Column:
     """Aggregate: element-wise sum of vectors."""
-    return vector([F.sum(at(column, i)).cast("long") for i in range(MONTHS)])
+    return unrolled(f"cast(sum({vector}[{{i}}]) AS bigint)")
+
 
+def count_positive(vector: str) -> Column:
+    """Aggregate: rows with a positive element, per month."""
+    return unrolled(f"count_if({vector}[{{i}}] > 0)")
 
-def total(column: Column | str) -> Column:
-    return reduce(add, [at(column, i) for i in range(MONTHS)])
 
+def total(vector: str) -> Column:
+    return F.expr(f"aggregate({vector}, 0L, (a, x) -> a + x)")
 
-def dense_from_entries(entries: Column) -> Column:
+
+def dense_from_entries(entries: str) -> Column:
     """A vector from ``ARRAY<STRUCT<month, n>>``; months outside 1..12 are ignored."""
-    by_month = F.map_from_entries(entries)
-    return vector([F.coalesce(F.try_element_at(by_month, F.lit(m)), F.lit(0)).cast("long") for m in range(1, MONTHS + 1)])
+    return each_month(f"coalesce(try_element_at(map_from_entries({entries}), cast(i + 1 AS bigint)), 0L)")
 
 
-def rates(counts: Column | str, effort: Column | str) -> Column:
+def rates(counts: str, effort: str) -> Column:
     """Share of effort per month, 0 where there is no effort."""
-    return vector([
-        F.when(at(effort, i) > 0, at(counts, i) / at(effort, i)).otherwise(F.lit(0.0)) for i in range(MONTHS)
-    ])
+    return F.expr(f"zip_with({counts}, {effort}, (c, t) -> if(t > 0, c / t, 0D))")
 
 
-def rounded(column: Column | str, digits: int = 4) -> Column:
-    return vector([F.round(at(column, i), digits) for i in range(MONTHS)])
+def rounded(vector: str, digits: int = 4) -> Column:
+    return F.expr(f"transform({vector}, x -> round(x, {digits}))")
 
 
-def in_units(column: Column | str, digits: int = 4) -> Column:
+def in_units(vector: str, digits: int = 4) -> Column:
     """Rates as whole units of 10^-digits: sums of these do not depend on row order."""
-    return vector([F.round(at(column, i) * 10**digits).cast("long") for i in range(MONTHS)])
-
-
-def month_set(flags: list[Column]) -> Column:
-    """Bit set of the months whose flag is true."""
-    return reduce(add, [F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(flags)])
+    return F.expr(f"transform({vector}, x -> cast(round(x * {10**digits}) AS bigint))")
 
 
-def present_set(counts: Column | str, rate: Column | str, peak: Column, rules: PresenceRules) -> Column:
+def present_set(counts: str, rate: str, peak: str, rules: PresenceRules) -> Column:
     """Months with records whose rate reaches the given share of the peak."""
-    return month_set([
-        (at(counts, i) > 0) & (peak > 0) & (at(rate, i) >= F.lit(rules.peak_share) * peak) for i in range(MONTHS)
-    ])
+    return months_where(f"{counts}[i] > 0 AND {peak} > 0 AND {rate}[i] >= {rules.peak_share!r}D * {peak}")
 
 
-def surveyed_set(effort: Column | str, rules: PresenceRules) -> Column:
-    return month_set([at(effort, i) >= rules.effort_floor for i in range(MONTHS)])
+def surveyed_set(effort: str, rules: PresenceRules) -> Column:
+    return months_where(f"{effort}[i] >= {rules.effort_floor}")
 
 
-def has_month(bits: Column, i: int) -> Column:
-    return F.shiftright(bits, i % MONTHS).bitwiseAND(F.lit(1)) == 1
+def in_set(bits: str, month: str) -> str:
+    """SQL test: is the 0-based month (an expression, not negative) in the set, round the year."""
+    return f"(shiftright({bits}, ({month}) % {MONTHS}) & 1) = 1"
 
 
-def has_month_at(bits: Column, index: Column) -> Column:
-    """Is the (0-based, possibly negative) month index in the set; the year is a circle."""
-    shift = F.pmod(index, F.lit(MONTHS)).cast("int")
-    return F.call_function("shiftright", bits, shift).bitwiseAND(F.lit(1)) == 1
+def has_month(bits: str, i: int) -> Column:
+    return F.expr(in_set(bits, str(i)))
 
 
-def flags_vector(bits: Column) -> Column:
+def flags_vector(bits: str) -> Column:
     """The set as 0/1 flags."""
-    return vector([F.shiftright(bits, i).bitwiseAND(F.lit(1)) for i in range(MONTHS)])
+    return each_month(f"shiftright({bits}, i) & 1")
 
 
-def rotated(bits: Column, by: int) -> Column:
-    """Every month moved ``by`` months later, December into January."""
-    if by % MONTHS == 0:
-        return bits
+def rotated(bits: str, by: int) -> str:
+    """SQL of the set with every month moved ``by`` months later, December into January."""
     k = by % MONTHS
-    return F.shiftleft(bits, k).bitwiseOR(F.shiftright(bits, MONTHS - k)).bitwiseAND(F.lit(FULL_YEAR))
+    return bits if k == 0 else f"((shiftleft({bits}, {k}) | shiftright({bits}, {MONTHS - k})) & {FULL_YEAR})"
 
 
-def run_ends(bits: Column, length: int) -> Column:
-    """Months that end a circular run of at least ``length`` months."""
-    return reduce(lambda a, b: a.bitwiseAND(b), [rotated(bits, k) for k in range(length)])
+def run_ends(bits: str, length: int) -> str:
+    """SQL of the months that end a circular run of at least ``length`` months."""
+    return "(" + " & ".join(rotated(bits, k) for k in range(length)) + ")"
 
 
-def longest_run(bits: Column) -> Column:
+def longest_run(bits: str) -> Column:
     """Longest circular run of the set, at most 12."""
-    return reduce(add, [(run_ends(bits, k) != 0).cast("int") for k in range(1, MONTHS + 1)])
+    return F.expr(" + ".join(f"if({run_ends(bits, k)} <> 0, 1, 0)" for k in range(1, MONTHS + 1)))
 
 
-def latest_month(bits: Column, i: int) -> Column:
-    """The set's month (0-based) at or before month ``i``, going back round the year; NULL if empty."""
-    chain = F.lit(None).cast("int")
-    for back in reversed(range(MONTHS)):
-        m = (i - back) % MONTHS
-        chain = F.when(has_month(bits, m), F.lit(m)).otherwise(chain)
-    return chain
+def latest_month(bits: str) -> str:
+    """SQL of the set's 0-based month at or before month ``i``, going back round the year.
 
+    Rotated so that month ``i`` is the highest bit, the highest set bit is the answer; NULL if the
+    set is empty.
+    """
+    turned = f"((shiftleft({bits}, {MONTHS - 1} - i) | shiftright({bits}, i + 1)) & {FULL_YEAR})"
+    return f"if({bits} = 0, null, pmod(length(bin({turned})) - 1 - ({MONTHS - 1} - i), {MONTHS}))"
 
-def label(counts: Column | str, present: Column, surveyed: Column, rules: PresenceRules) -> Column:
+
+def label(counts: str, present: str, surveyed: str, rules: PresenceRules) -> Column:
     """Resident, seasonal, passage or uncertain, from the month sets."""
-    months = F.bit_count(present)
-    gaps = F.bit_count(surveyed.bitwiseAND(F.bitwise_not(present)))
-    return (
-        F.when((F.bit_count(surveyed) < rules.surveyed_months) | (total(counts) < rules.species_records), "uncertain")
-        .when(gaps <= rules.resident_gaps, "resident")
-        .when(
-            (months >= 1) & (months <= rules.passage_months) & (run_ends(present, rules.passage_run + 1) == 0),
-            "passage",
-        )
-        .otherwise("seasonal")
-    )
+    return F.expr(f"""
+        CASE WHEN bit_count({surveyed}) < {rules.surveyed_months}
+               OR aggregate({counts}, 0L, (a, x) -> a + x) < {rules.species_records} THEN 'uncertain'
+             WHEN bit_count({surveyed} & ~{present}) <= {rules.resident_gaps} THEN 'resident'
+             WHEN bit_count({present}) BETWEEN 1 AND {rules.passage_months}
+               AND {run_ends(present, rules.passage_run + 1)} = 0 THEN 'passage'
+             ELSE 'seasonal' END""")
 
 
-def coverage_level(effort: Column, rules: CoverageRules = CoverageRules()) -> Column:
-    return F.when(effort >= rules.well, "well").when(effort >= rules.some, "some").otherwise("limited")
+def coverage_sql(effort: str, rules: CoverageRules = CoverageRules()) -> str:
+    return f"CASE WHEN {effort} >= {rules.well} THEN 'well' WHEN {effort} >= {rules.some} THEN 'some' ELSE 'limited' END"
 
 
-def coverage_vector(effort: Column | str, rules: CoverageRules = CoverageRules()) -> Column:
-    return vector([coverage_level(at(effort, i), rules) for i in range(MONTHS)])
+def coverage_vector(effort: str, rules: CoverageRules = CoverageRules()) -> Column:
+    return F.expr(f"transform({effort}, t -> {coverage_sql('t', rules)})")
 
 
-def ease_cubic(u: Column) -> Column:
-    return F.when(u < 0.5, 4 * u * u * u).otherwise(1 - F.pow(-2 * u + 2, 3) / 2)
+def ease_cubic(u: float) -> float:
+    return 4 * u**3 if u < 0.5 else 1 - (2 - 2 * u) ** 3 / 2
 
 
-def ease_smooth(u: Column) -> Column:
+def ease_smooth(u: float) -> float:
     return u * u * (3 - 2 * u)
 
 
@@ -166,11 +169,11 @@ def month_anchor(t: float) -> tuple[int, int, float]:
     return first, (first + 1) % MONTHS, shifted - first
 
 
-def blend_months(values: Column | str, t: float, ease=ease_cubic) -> Column:
+def blend_months(vector: str, t: float, ease: Callable[[float], float] = ease_cubic) -> Column:
     """Value at fractional month ``t`` (0 = start of January), eased between mid-month anchors."""
     first, second, part = month_anchor(t)
-    s = ease(F.lit(part))
-    return at(values, first) * (1 - s) + at(values, second) * s
+    s = ease(part)
+    return F.expr(f"{vector}[{first}] * {1 - s!r}D + {vector}[{second}] * {s!r}D")
 
 
 def between_months(a: Column, b: Column, part: Column | float) -> Column:
@@ -180,22 +183,22 @@ def between_months(a: Column, b: Column, part: Column | float) -> Column:
     return F.pmod(F.pmod(a, F.lit(12.0)) + short * part, F.lit(12.0))
 
 
-def months_in_words(bits: Column) -> Column:
-    names = F.filter(
-        vector([F.when(has_month(bits, i), F.lit(MONTH_SHORT[i])) for i in range(MONTHS)]),
-        lambda x: x.isNotNull(),
-    )
-    return (
-        F.when(bits == FULL_YEAR, "Recorded in every month")
-        .when(bits == 0, "No records in any month")
-        .otherwise(F.concat(F.lit("Recorded in "), F.array_join(names, ", ")))
-    )
+def months_in_words(bits: str) -> Column:
+    names = "array(" + ", ".join(f"'{m}'" for m in MONTH_SHORT) + ")"
+    listed = f"array_join(transform(filter({YEAR}, i -> {in_set(bits, 'i')}), i -> {names}[i]), ', ')"
+    return F.expr(f"""
+        CASE WHEN {bits} = {FULL_YEAR} THEN 'Recorded in every month' WHEN {bits} = 0 THEN 'No records in any month'
+             ELSE concat('Recorded in ', {listed}) END""")
 
 
-def wide(column: Column | str, prefix: str) -> list[Column]:
+def wide(vector: str, prefix: str) -> list[Column]:
     """The vector as twelve scalar columns ``<prefix>01`` .. ``<prefix>12`` for table sinks."""
-    return [at(column, i).alias(f"{prefix}{i + 1:02d}") for i in range(MONTHS)]
+    return [at(vector, i).alias(f"{prefix}{i + 1:02d}") for i in range(MONTHS)]
 
 
 def from_wide(prefix: str) -> Column:
-    return vector([F.col(f"{prefix}{m:02d}") for m in range(1, MONTHS + 1)])
+    return F.expr("array(" + ", ".join(f"{prefix}{m:02d}" for m in range(1, MONTHS + 1)) + ")")
+
+
+def wide_total(prefix: str) -> Column:
+    return F.expr(" + ".join(f"{prefix}{m:02d}" for m in range(1, MONTHS + 1)))

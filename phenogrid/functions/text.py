@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from phenogrid.rules import MONTH_SHORT, MONTHS, WEIGHTS
 
@@ -30,7 +31,7 @@ def photo_caption(filename: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(values: pd.Series) -> pd.Series:
     """Every named and numeric entity; the JVM has no function for it."""
     return values.map(html.unescape, na_action="ignore")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import grid, months
@@ -107,14 +107,14 @@ def species_months(counts: DataFrame) -> DataFrame:
         .groupBy("sci", "cell")
         .agg(
             F.min("specieskey").alias("specieskey"), F.min("family").alias("family"),
-            months.sum_by_month(F.col("n"), F.col("month")).alias("c"),
+            months.sum_by_month("n").alias("c"),
         )
     )
 
 
 def effort_months(counts: DataFrame) -> DataFrame:
     """Month pivot per cell over all rows: the effort."""
-    return with_cell(counts).groupBy("cell").agg(months.sum_by_month(F.col("n"), F.col("month")).alias("t"))
+    return with_cell(counts).groupBy("cell").agg(months.sum_by_month("n").alias("t"))
 
 
 def month_grid(records: DataFrame) -> DataFrame:
@@ -125,17 +125,18 @@ def month_grid(records: DataFrame) -> DataFrame:
     """
     south, west = grid.snap_lat(F.col("lat")), grid.snap_lng(F.col("lng"))
     return records.groupBy("sci", south.alias("lat0"), west.alias("lng0")).agg(
-        months.sum_by_month(F.lit(1), F.col("month")).alias("c")
+        months.sum_by_month("1").alias("c")
     ).select("sci", grid.cell_id(F.col("lat0"), F.col("lng0")).alias("cell"), "c")
 
 
 def split_grid(gridded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, effort) of a month grid.
 
-    The species test also names the vector. A test of the species alone would be pushed into the
-    scan of one branch, and the two branches could no longer share the scan and its shuffle.
+    The species test also names the vector (a count is never negative). A test of the species alone
+    would be pushed into the scan of one branch, and the two branches could no longer share the scan
+    and its shuffle.
     """
-    pairs = gridded.where(F.when(months.total("c") > 0, F.col("sci").isNotNull()))
+    pairs = gridded.where(F.expr("CASE WHEN c[0] >= 0 THEN sci IS NOT NULL ELSE false END"))
     effort = gridded.groupBy("cell").agg(months.sum_vectors("c").alias("t"))
     return pairs, effort
 
@@ -152,7 +153,7 @@ def merge_effort(effort: DataFrame) -> DataFrame:
     )
 
 
-def dense_months(facets: DataFrame, keys: Sequence[str], month: Column, n: Column) -> DataFrame:
+def dense_months(facets: DataFrame, keys: Sequence[str], month: str = "month", n: str = "n") -> DataFrame:
     """Sparse month facets to dense vectors; months outside 1..12 are ignored."""
     return facets.groupBy(*keys).agg(months.sum_by_month(n, month).alias("c"))
 

@@ -32,7 +32,7 @@ def cell_documents(labelled: DataFrame, effort: DataFrame, limit: int = DOCUMENT
     Cells with effort but no named species come out with an empty list.
     """
     entry = F.struct(
-        F.col("key").alias("k"), F.col("c"), F.col("p"), months.flags_vector(F.col("m")).alias("m")
+        F.col("key").alias("k"), F.col("c"), F.col("p"), months.flags_vector("m").alias("m")
     )
     parts = (
         numbered_parts(labelled, "cell", "key", limit)
@@ -62,8 +62,7 @@ def species_documents(labelled: DataFrame, limit: int = DOCUMENT_ENTRIES) -> Dat
 
 def richness(labelled: DataFrame) -> DataFrame:
     """Species with records per cell and month."""
-    counts = months.vector([F.count_if(months.at("c", i) > 0) for i in range(12)])
-    return labelled.groupBy("cell").agg(counts.alias("richness"))
+    return labelled.groupBy("cell").agg(months.count_positive("c").alias("richness"))
 
 
 def cell_index(labelled: DataFrame, effort: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFrame:
@@ -164,7 +163,7 @@ def place_csv_rows(labelled: DataFrame, effort: DataFrame, species: DataFrame) -
         text.formula_safe(F.coalesce("sci", blank)).alias("scientific_name"),
         text.formula_safe(F.coalesce("name", blank)).alias("common_name"), F.col("p").alias("presence"),
         *[months.at("c", i).alias(f"records_{m}") for i, m in enumerate(MONTH_FIELDS)],
-        *[months.has_month(F.col("m"), i).cast("int").alias(f"present_{m}") for i, m in enumerate(MONTH_FIELDS)],
+        *[months.has_month("m", i).cast("int").alias(f"present_{m}") for i, m in enumerate(MONTH_FIELDS)],
     )
     return first.unionByName(rest)
 
@@ -175,19 +174,20 @@ MONTH_FIELDS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "
 def species_csv_rows(labelled: DataFrame, species: DataFrame, cell_size: float = 1.0) -> DataFrame:
     """Rows of the species export: rates and share of the species' peak rate per cell.
 
-    The peak per species is a partial aggregate joined back, not a window over the species.
+    The peak per species is a partial aggregate joined back, not a window over the species. Shares
+    are rounded half up in whole units of 1e-4, which leaves no tie to the floating point.
     """
-    rounded = labelled.withColumn("r", months.rounded("r"))
-    peak = rounded.groupBy("key").agg(F.max(F.array_max("r")).alias("_peak"))
+    rounded = labelled.withColumn("r", months.rounded("r")).withColumn("u", months.in_units("r"))
+    peak = rounded.groupBy("key").agg(F.max(F.array_max("u")).alias("_peak"))
     joined = rounded.join(peak, "key").join(species.select(F.col("k").alias("key"), F.col("sci").alias("_sci")), "key", "left")
-    top = F.when(F.col("_peak") > 0, F.col("_peak")).otherwise(F.lit(1.0))
+    top = F.when(F.col("_peak") > 0, F.col("_peak")).otherwise(F.lit(10_000).cast("long"))
     parts = F.split("cell", "_")
     return joined.select(
         F.col("key").alias("taxon_key"), F.coalesce("_sci", F.lit("")).alias("scientific_name"), F.col("cell").alias("cell_id"),
         F.get(parts, F.lit(0)).cast("double").alias("lat_min"), F.get(parts, F.lit(1)).cast("double").alias("lng_min"),
         F.lit(cell_size).alias("cell_size_deg"), F.col("p").alias("presence"),
         *[months.at("r", i).alias(f"rate_{m}") for i, m in enumerate(MONTH_FIELDS)],
-        *[F.round(months.at("r", i) / top, 4).alias(f"of_peak_{m}") for i, m in enumerate(MONTH_FIELDS)],
+        *[(F.call_function("div", months.at("u", i) * 20_000 + top, top * 2) / 10_000).alias(f"of_peak_{m}") for i, m in enumerate(MONTH_FIELDS)],
     )
 
 

@@ -38,7 +38,7 @@ def drill_down(counts: DataFrame, rules: DrillRules = DrillRules()) -> DataFrame
     for size in rules.sizes:
         named = with_boxes(named, size)
     cells = named.groupBy("sci", *[f"{a}_{s}" for s in rules.sizes for a in ("lat", "lng")]).agg(
-        months.sum_by_month(F.col("n"), F.col("month")).alias("c"), F.sum("n").alias("n")
+        months.sum_by_month("n").alias("c"), F.sum("n").alias("n")
     )
     for size in rules.sizes[:-1]:
         keys = [f"lat_{size}", f"lng_{size}"]

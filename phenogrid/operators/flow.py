@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phenogrid.functions import grid, months
-from phenogrid.rules import MONTHS
 
 HILBERT_SIDE = 256
 
@@ -52,7 +51,4 @@ def filled_months(weights: DataFrame) -> DataFrame:
     sets = weights.where(F.col("w") > 0).groupBy("key").agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("month"))).alias("_set")
     )
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("month"), months.latest_month(F.col("_set"), i).alias("shown")) for i in range(MONTHS)
-    ])
-    return sets.select("key", F.inline(entries))
+    return sets.select("key", months.month_rows(month="i", shown=months.latest_month("_set")))

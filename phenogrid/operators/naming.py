@@ -107,4 +107,4 @@ def name_records(raw: DataFrame, *keep: str) -> DataFrame:
 
 def range_rates(ranges: DataFrame) -> DataFrame:
     """Rates of a worldwide range from its own counts and effort."""
-    return ranges.withColumn("r", months.rounded(months.rates("c", "t")))
+    return ranges.withColumn("r", months.rates("c", "t")).withColumn("r", months.rounded("r"))

@@ -15,54 +15,38 @@ from phenogrid.operators.presence import beside_cells
 from phenogrid.rules import COVERAGE_WORDS, DOING_ORDER, DOING_WORDS, MONTHS, MOVING, PRESENCE_ORDER, TierRules
 
 
-def listed(i: int) -> Column:
-    """Is the species listed in month ``i`` (0-based): records, and a label or month that counts."""
-    return (months.at("c", i) > 0) & (F.col("p").isin("resident", "uncertain") | months.has_month(F.col("m"), i))
-
-
-def doing(i: int) -> Column:
-    """What the species is doing in month ``i``; the months before and after are circular."""
-    return (
-        F.when(F.col("p") == "resident", "resident")
-        .when(F.col("p") == "passage", "passing")
-        .when(F.col("p") == "uncertain", "recorded")
-        .when(~months.has_month(F.col("m"), i - 1 + MONTHS), "arriving")
-        .when(~months.has_month(F.col("m"), i + 1), "leaving")
-        .otherwise("staying")
-    )
+# SQL tests of the 0-based month ``i``: records, and a label or month that counts; what the species
+# is doing, with the months before and after on the circle of the year.
+LISTED = f"c[i] > 0 AND (p IN ('resident', 'uncertain') OR {months.in_set('m', 'i')})"
+DOING = f"""CASE WHEN p = 'resident' THEN 'resident' WHEN p = 'passage' THEN 'passing' WHEN p = 'uncertain' THEN 'recorded'
+    WHEN NOT ({months.in_set('m', f'i + {MONTHS - 1}')}) THEN 'arriving' WHEN NOT ({months.in_set('m', 'i + 1')}) THEN 'leaving' ELSE 'staying' END"""
 
 
 def listed_rows(labelled: DataFrame) -> DataFrame:
     """One row per listed species, cell and month: records, share of the effort and what it is doing."""
-    per_month = F.array(*[
-        F.when(listed(i), F.struct(
-            F.lit(i + 1).alias("month"), months.at("c", i).alias("count"),
-            F.when(months.at("t", i) > 0, months.at("c", i) / months.at("t", i)).otherwise(0.0).alias("share"),
-            doing(i).alias("doing"),
-        ))
-        for i in range(MONTHS)
-    ])
-    return (
-        labelled.select("key", "cell", "p", F.explode(per_month).alias("_e"))
-        .where(F.col("_e").isNotNull()).select("key", "cell", "p", "_e.*")
-    )
+    rows = months.month_rows(LISTED, month="i + 1", count="c[i]", share="if(t[i] > 0, c[i] / t[i], 0D)", doing=DOING)
+    return labelled.select("key", "cell", "p", rows)
+
 
+def monthly_tops(labelled: DataFrame) -> DataFrame:
+    """Records of the most reported listed species per cell and month, as a vector per cell."""
+    listed = LISTED.replace("[i]", "[{i}]").replace("(i)", "({i})")
+    return labelled.groupBy("cell").agg(months.unrolled(f"coalesce(max(CASE WHEN {listed} THEN c[{{i}}] END), 0)").alias("tops"))
 
-def with_tier(rows: DataFrame, rules: TierRules = TierRules()) -> DataFrame:
-    """How often each species is reported next to the top species of its cell and month.
 
-    The tops are a partial aggregate with one row per cell and month, joined back: no window over
-    the species of a cell.
+def tiered_rows(labelled: DataFrame, rules: TierRules = TierRules()) -> DataFrame:
+    """Listed rows with how often each species is reported next to the top species of its cell and
+    month.
+
+    The tops are a partial aggregate with one row per cell, joined back before the months are
+    spread: no window over the species of a cell.
     """
-    tops = rows.groupBy("cell", "month").agg(F.max("count").alias("top"))
-    packed = tops.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("month", "top"))).alias("_tops"))
-    joined = beside_cells(rows, packed).withColumn("top", F.try_element_at("_tops", F.col("month"))).drop("_tops")
-    ratio = F.col("count") / F.col("top")
-    tier = (
-        F.when((F.col("count") < rules.few_records) | (F.col("top") <= 0), "rarely")
-        .when(ratio >= rules.often, "often").when(ratio >= rules.sometimes, "sometimes").otherwise("rarely")
+    tier = f"""CASE WHEN c[i] < {rules.few_records} OR tops[i] <= 0 THEN 'rarely' WHEN c[i] / tops[i] >= {rules.often!r}D THEN 'often'
+        WHEN c[i] / tops[i] >= {rules.sometimes!r}D THEN 'sometimes' ELSE 'rarely' END"""
+    rows = months.month_rows(
+        LISTED, month="i + 1", count="c[i]", share="if(t[i] > 0, c[i] / t[i], 0D)", doing=DOING, top="tops[i]", reported=tier
     )
-    return joined.withColumn("reported", tier)
+    return beside_cells(labelled, monthly_tops(labelled)).select("key", "cell", "p", rows)
 
 
 def ranked_in_group(rows: DataFrame) -> DataFrame:
@@ -138,19 +122,13 @@ def ordered_page(rows: DataFrame, chip: str, size: int) -> DataFrame:
 
 def place_summary(labelled: DataFrame, effort: DataFrame, rules: TierRules = TierRules()) -> DataFrame:
     """Per cell and month: listed species, how many move, records, and whether the evidence is thin."""
-    agg = labelled.groupBy("cell").agg(
-        months.vector([F.count_if(listed(i)) for i in range(MONTHS)]).alias("_total"),
-        months.vector([F.count_if(listed(i) & doing(i).isin(*MOVING)) for i in range(MONTHS)]).alias("_moving"),
+    per_month = listed_rows(labelled).groupBy("cell", "month").agg(
+        F.count("*").alias("total"), F.count_if(F.col("doing").isin(*MOVING)).alias("moving")
+    )
+    every = effort.select("cell", months.month_rows(month="i + 1", records="t[i]", thin=f"t[i] < {rules.thin_records}"))
+    return every.join(per_month, ["cell", "month"], "left").select(
+        "cell", "month", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("moving", F.lit(0)).alias("moving"), "records", "thin"
     )
-    entries = F.array(*[
-        F.struct(
-            F.lit(i + 1).alias("month"), F.coalesce(months.at("_total", i), F.lit(0)).alias("total"),
-            F.coalesce(months.at("_moving", i), F.lit(0)).alias("moving"), months.at("t", i).alias("records"),
-            (months.at("t", i) < rules.thin_records).alias("thin"),
-        )
-        for i in range(MONTHS)
-    ])
-    return beside_cells(effort, agg, "left").select("cell", F.inline(entries))
 
 
 def wildlife_here(labelled: DataFrame, cell: str | None = None, month: int | None = None) -> DataFrame:

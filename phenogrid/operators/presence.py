@@ -25,8 +25,8 @@ def label_presence(pairs: DataFrame, effort: DataFrame, rules: PresenceRules = P
     surveyed = effort.withColumn("surveyed", months.surveyed_set("t", rules))
     joined = beside_cells(pairs, surveyed, cell_size=cell_size)
     rated = joined.withColumn("r", months.rates("c", "t")).withColumn("peak", F.array_max("r"))
-    marked = settled(rated, m=months.present_set("c", "r", F.col("peak"), rules))
-    return marked.withColumn("p", months.label("c", F.col("m"), F.col("surveyed"), rules)).drop("peak", "surveyed")
+    marked = settled(rated, m=months.present_set("c", "r", "peak", rules))
+    return marked.withColumn("p", months.label("c", "m", "surveyed", rules)).drop("peak", "surveyed")
 
 
 def settled(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -51,11 +51,5 @@ def presence_rows(labelled: DataFrame) -> DataFrame:
 
 def by_month(labelled: DataFrame, *keep: str) -> DataFrame:
     """Long form: one row per species-cell and month (1..12)."""
-    entries = F.array(*[
-        F.struct(
-            F.lit(i + 1).alias("month"), months.at("c", i).alias("n"), months.at("t", i).alias("effort"),
-            months.at("r", i).alias("rate"), months.has_month(F.col("m"), i).alias("present"),
-        )
-        for i in range(12)
-    ])
-    return labelled.select(*keep, F.inline(entries))
+    rows = months.month_rows(month="i + 1", n="c[i]", effort="t[i]", rate="r[i]", present=months.in_set("m", "i"))
+    return labelled.select(*keep, rows)

@@ -30,9 +30,7 @@ def peak_rates(ranged: DataFrame) -> DataFrame:
 
 
 def cells_per_month(ranged: DataFrame) -> DataFrame:
-    return ranged.groupBy("key").agg(
-        months.vector([F.count_if(months.at("u", i) > 0) for i in range(MONTHS)]).alias("cells")
-    )
+    return ranged.groupBy("key").agg(months.count_positive("u").alias("cells"))
 
 
 def first_index(values: Column, wanted: Column) -> Column:
@@ -42,11 +40,9 @@ def first_index(values: Column, wanted: Column) -> Column:
 def year_curve(ranged: DataFrame) -> DataFrame:
     """Presence per month against the peak month, and the first peak and low month (0-based)."""
     sums = ranged.groupBy("key").agg(months.sum_vectors("u").alias("s"))
-    top = F.greatest(F.array_max("s"), F.lit(0))
-    scale = F.when(top > 0, top / UNIT).otherwise(1.0)
+    scale = f"if(array_max(s) > 0, array_max(s) / {UNIT}, 1D)"
     return sums.select(
-        "key", "s",
-        months.vector([months.at("s", i) / UNIT / scale for i in range(MONTHS)]).alias("presence"),
+        "key", "s", F.expr(f"transform(s, x -> x / {UNIT} / {scale})").alias("presence"),
         first_index(F.col("s"), F.array_max("s")).alias("peak_month"),
         first_index(F.col("s"), F.array_min("s")).alias("low_month"),
     )
@@ -63,19 +59,12 @@ def monthly_centres(ranged: DataFrame, cell_size: float = 1.0) -> DataFrame:
     """Presence-weighted centre on the sphere per species and month with presence."""
     lat, lng = F.col("lat0") + cell_size / 2, F.col("lng0") + cell_size / 2
     x, y, z = geo.unit_vector(lng, lat)
-    placed = ranged.select("key", "u", x.alias("x"), y.alias("y"), z.alias("z"))
-    sums = placed.groupBy("key").agg(*[
-        F.sum(F.col(axis) * months.at("u", i)).alias(f"{axis}{i}") for axis in "xyz" for i in range(MONTHS)
-    ], *[F.sum(months.at("u", i)).alias(f"w{i}") for i in range(MONTHS)])
-    entries = F.array(*[
-        F.struct(
-            F.lit(i).alias("month"), F.col(f"w{i}").alias("w"),
-            geo.lng_of(F.col(f"x{i}"), F.col(f"y{i}")).alias("lng"),
-            geo.lat_of(F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"z{i}")).alias("lat"),
-        )
-        for i in range(MONTHS)
-    ])
-    return sums.select("key", F.inline(entries)).where(F.col("w") > 0)
+    placed = ranged.select("key", x.alias("x"), y.alias("y"), z.alias("z"), months.month_rows("u[i] > 0", month="i", w="u[i]"))
+    sums = placed.groupBy("key", "month").agg(F.sum("w").alias("w"), *[F.sum(F.col(a) * F.col("w")).alias(a) for a in "xyz"])
+    centre = {a: F.col(a) for a in "xyz"}
+    return sums.select(
+        "key", "month", "w", geo.lng_of(centre["x"], centre["y"]).alias("lng"), geo.lat_of(centre["x"], centre["y"], centre["z"]).alias("lat")
+    )
 
 
 def latitude_shift(centres: DataFrame) -> DataFrame:
@@ -94,22 +83,17 @@ def region_months(ranged: DataFrame, home_cells: Column, cell_size: float = 1.0)
     """Weight and plain weighted centre per species, month and region.
 
     ``home_cells`` says whether a cell belongs to the home region. The region is a literal CASE
-    chain on the cell centre; the month is unpivoted after the cells have been added up.
+    chain on the cell centre, so no box is joined.
     """
     lat, lng = F.col("lat0") + cell_size / 2, F.col("lng0") + cell_size / 2
-    located = ranged.withColumn("region", grid.region_of(lng, lat, home_cells))
-    sums = located.groupBy("key", "region").agg(
-        months.sum_vectors("u").alias("w"),
-        months.vector([F.sum(lng * months.at("u", i)) for i in range(MONTHS)]).alias("x"),
-        months.vector([F.sum(lat * months.at("u", i)) for i in range(MONTHS)]).alias("y"),
+    located = ranged.select(
+        "key", lat.alias("lat"), lng.alias("lng"), grid.region_of(lng, lat, home_cells).alias("region"),
+        months.month_rows("u[i] > 0", month="i", w="u[i]"),
     )
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("month"), months.at("w", i).alias("w"), months.at("x", i).alias("x"), months.at("y", i).alias("y"))
-        for i in range(MONTHS)
-    ])
-    return sums.select("key", "region", F.inline(entries)).where(F.col("w") > 0).select(
-        "key", "region", "month", "w", (F.col("x") / F.col("w")).alias("lng"), (F.col("y") / F.col("w")).alias("lat"),
+    sums = located.groupBy("key", "region", "month").agg(
+        F.sum("w").alias("w"), F.sum(F.col("lng") * F.col("w")).alias("x"), F.sum(F.col("lat") * F.col("w")).alias("y")
     )
+    return sums.select("key", "region", "month", "w", (F.col("x") / F.col("w")).alias("lng"), (F.col("y") / F.col("w")).alias("lat"))
 
 
 def region_shares(by_region: DataFrame) -> DataFrame:
@@ -134,25 +118,16 @@ def journey_legs(dominant: DataFrame) -> DataFrame:
     A species has at most twelve rows here, gathered into one row per species; the legs follow
     from the set of months in which the region changes.
     """
-    slot = F.struct("region", "share", "lng", "lat")
-    year = dominant.groupBy("key").agg(*[F.max(F.when(F.col("month") == i, slot)).alias(f"m{i}") for i in range(MONTHS)])
-
-    def region(i: int) -> Column:
-        return F.col(f"m{i % MONTHS}")["region"]
-
-    starts = months.month_set([
-        region(i).isNotNull() & ~region(i).eqNullSafe(region(i - 1 + MONTHS)) for i in range(MONTHS)
-    ])
-    marked = year.withColumn("_starts", starts)
-    entries = F.array(*[
-        F.struct(
-            F.coalesce(months.latest_month(F.col("_starts"), i), F.lit(0)).alias("first"), F.lit(i).alias("month"),
-            F.col(f"m{i}")["region"].alias("region"), F.col(f"m{i}")["share"].alias("share"),
-            F.col(f"m{i}")["lng"].alias("lng"), F.col(f"m{i}")["lat"].alias("lat"),
-        )
-        for i in range(MONTHS)
-    ])
-    rows = marked.select("key", F.inline(entries)).where(F.col("region").isNotNull())
+    slots = dominant.groupBy("key").agg(
+        F.map_from_entries(F.collect_list(F.struct("month", F.struct("region", "share", "lng", "lat")))).alias("_slots")
+    )
+    year = slots.select("key", months.each_month("try_element_at(_slots, i)").alias("_y"))
+    change = f"_y[i] IS NOT NULL AND NOT (_y[i].region <=> _y[(i + {MONTHS - 1}) % {MONTHS}].region)"
+    marked = year.withColumn("_starts", months.months_where(change))
+    first = f"coalesce({months.latest_month('_starts')}, 0)"
+    rows = marked.select("key", months.month_rows(
+        "_y[i] IS NOT NULL", first=first, month="i", region="_y[i].region", share="_y[i].share", lng="_y[i].lng", lat="_y[i].lat"
+    ))
     step = F.pmod(F.col("month") - F.col("first"), F.lit(MONTHS))
     legs = rows.groupBy("key", "first").agg(
         F.min_by("region", step).alias("region"), F.max(step).alias("_len"), F.max("share").alias("share"),

@@ -36,27 +36,26 @@ def spread_lng(key: Column) -> Column:
     return ((key * 104729) % 36000).cast("double") / 100.0 - 180
 
 
+LAT = "cast(({key} * 7919) % 18000 AS double) / 100D - 90"
+LNG = "cast(({key} * 104729) % 36000 AS double) / 100D - 180"
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One occurrence record per line item, with the fields the quality filter reads."""
-    sp = (F.col("l_partkey") % 40).cast("int")
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount", "l_tax",
-        sp.alias("sp"), F.month("l_shipdate").alias("month"), F.year("l_shipdate").alias("year"),
+    line = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_discount", "l_tax",
+        "cast(l_partkey % 40 AS int) AS sp", "month(l_shipdate) AS month", "year(l_shipdate) AS year",
     )
-    season = F.when(F.col("sp") % 4 == 1, 6).when(F.col("sp") % 4 == 2, 2).otherwise(12)
-    kept = line.where((F.col("month") + F.col("sp") * 5) % 12 < season)
-    named = F.col("sp") % 10 != 9
-    label = F.col("sp").cast("string")
-    return kept.select(
+    kept = line.where("(month + sp * 5) % 12 < CASE sp % 4 WHEN 1 THEN 6 WHEN 2 THEN 2 ELSE 12 END")
+    return kept.selectExpr(
         "l_orderkey", "l_linenumber", "sp", "month", "year",
-        spread_lat(F.col("l_suppkey")).alias("lat"), spread_lng(F.col("l_suppkey")).alias("lng"),
-        F.when(named, F.concat(F.lit("Species "), label)).alias("sci"),
-        F.when(named, F.concat(F.lit("Q"), label)).alias("specieskey"),
-        F.when(named, F.concat(F.lit("Family "), (F.col("sp") % 6).cast("string"))).alias("family"),
-        F.when(F.col("l_linenumber") == 7, "Mammalia").otherwise("Aves").alias("class"),
-        F.when(F.col("l_returnflag") == "R", "ABSENT").otherwise("PRESENT").alias("status"),
-        (F.col("l_discount") < 0.1).alias("has_coordinate"), (F.col("l_tax") > 0.07).alias("has_issue"),
-        (F.col("l_suppkey") % 25).cast("int").alias("nation"),
+        LAT.format(key="l_suppkey") + " AS lat", LNG.format(key="l_suppkey") + " AS lng",
+        "CASE WHEN sp % 10 <> 9 THEN concat('Species ', sp) END AS sci",
+        "CASE WHEN sp % 10 <> 9 THEN concat('Q', sp) END AS specieskey",
+        "CASE WHEN sp % 10 <> 9 THEN concat('Family ', sp % 6) END AS family",
+        "CASE WHEN l_linenumber = 7 THEN 'Mammalia' ELSE 'Aves' END AS class",
+        "CASE WHEN l_returnflag = 'R' THEN 'ABSENT' ELSE 'PRESENT' END AS status",
+        "l_discount < 0.1D AS has_coordinate", "l_tax > 0.07D AS has_issue", "cast(l_suppkey % 25 AS int) AS nation",
     )
 
 
@@ -85,14 +84,10 @@ def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names dimension from the parts: some species missing, two sharing a key."""
-    sp = (F.col("p_partkey") % 40).cast("int").alias("sp")
-    species = table(spark, sf_dir, "part").select(sp).distinct().where((F.col("sp") % 7 != 0) & (F.col("sp") % 10 != 9))
-    label = F.col("sp").cast("string")
-    return species.select(
-        F.concat(F.lit("Species "), label).alias("sci"),
-        F.when(F.col("sp") == 8, F.lit(1004)).otherwise(F.col("sp") + 1000).cast("string").alias("key"),
-        F.when(F.col("sp") % 5 != 0, F.concat(F.lit("Bird "), label)).otherwise("").alias("common"),
-        F.when(F.col("sp") % 3 != 0, F.concat(F.lit("Family "), (F.col("sp") % 6).cast("string"))).otherwise("").alias("family"),
+    species = table(spark, sf_dir, "part").selectExpr("cast(p_partkey % 40 AS int) AS sp").distinct()
+    return species.where("sp % 7 <> 0 AND sp % 10 <> 9").selectExpr(
+        "concat('Species ', sp) AS sci", "cast(if(sp = 8, 1004, sp + 1000) AS string) AS key",
+        "if(sp % 5 <> 0, concat('Bird ', sp), '') AS common", "if(sp % 3 <> 0, concat('Family ', sp % 6), '') AS family",
     )
 
 
@@ -102,19 +97,17 @@ def sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(sp).where(F.col("sci").isin(*SENSITIVE)).distinct()
 
 
-def morton(key: Column, offset: int) -> Column:
+def morton(key: str, offset: int) -> Column:
     """Every second bit of the key from ``offset`` on, packed together."""
-    out = F.lit(0)
-    for i in range(MORTON_BITS):
-        out = out + F.shiftleft(F.shiftright(key, 2 * i + offset).bitwiseAND(F.lit(1).cast("long")).cast("int"), i)
-    return out
+    bits = (f"shiftleft(cast(shiftright({key}, {2 * i + offset}) & 1L AS int), {i})" for i in range(MORTON_BITS))
+    return F.expr(" + ".join(bits))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel table from the parts: class, tree cover (NULL where missing) and elevation."""
     p = table(spark, sf_dir, "part")
     return p.select(
-        "p_partkey", (morton(F.col("p_partkey"), 0) + GX0).alias("gx"), (morton(F.col("p_partkey"), 1) + GY0).alias("gy"),
+        "p_partkey", (morton("p_partkey", 0) + GX0).alias("gx"), (morton("p_partkey", 1) + GY0).alias("gy"),
         (F.col("p_size") % 12).alias("cls"),
         F.when(F.col("p_size") % 10 != 0, F.col("p_retailprice") % 100).alias("tree"), F.col("p_retailprice").alias("elev"),
     )

@@ -53,7 +53,7 @@ def replace_shards(batch: DataFrame, tables: str, sensitive: Sequence[str]) -> N
     fresh = current_counts(newest(batch), f"{tables}/versions")
     masked = counting.mask_sensitive(fresh, sensitive)
     cells = counting.with_cell(masked)
-    by_month = months.sum_by_month(F.col("n"), F.col("month"))
+    by_month = months.sum_by_month("n")
     effort = cells.groupBy("shard", "cell").agg(by_month.alias("t"))
     pairs = cells.where(F.col("sci").isNotNull()).groupBy("shard", "sci", "cell").agg(by_month.alias("c"))
     sinks.write_shards(sinks.pairs_for_sink(pairs), f"{tables}/pairs", ["sci", "cell"])
