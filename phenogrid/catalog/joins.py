@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.catalog import reference_sql as ref
 from phenogrid.catalog.registry import query
-from phenogrid.functions import months, text
+from phenogrid.functions import grid, months, text
 from phenogrid.operators import counting, documents, naming, presence, profiles
 from phenogrid.sources import bindings as b
 
@@ -33,7 +33,7 @@ FROM effort e LEFT JOIN (SELECT cell, count(*) AS n FROM kp WHERE lat0 % 2 = 0 G
 def j04(spark, sf):
     """Cells whose species are all unnamed still get a document, with an empty list."""
     labelled, effort = b.labelled(spark, sf)
-    some = labelled.where(F.split("cell", "_")[0].cast("int") % 2 == 0)
+    some = labelled.where(grid.whole_lat() % 2 == 0)
     docs = documents.cell_documents(some, effort)
     return docs.select(F.col("id").alias("cell"), months.total("total").alias("records"), F.size("species").cast("long").alias("species"))
 
@@ -75,7 +75,7 @@ def u04(spark, sf):
 def _detail_and_ranges(spark, sf):
     """Detail: cells of the northern half. Ranges: whatever moves, everywhere, with doubled effort."""
     labelled, effort = b.labelled(spark, sf)
-    north = labelled.where(F.split("cell", "_")[0].cast("int") >= 0)
+    north = labelled.where(grid.whole_lat() >= 0)
     doubled = effort.select("cell", months.each_month("t[i] * 2").alias("t"))
     wide = labelled.where(F.col("p").isin("seasonal", "passage")).select("key", "cell", "c")
     return north, presence.label_presence(wide, doubled)

@@ -144,7 +144,7 @@ def sk02(spark, sf):
     path = new_path(spark, "cells")
     labelled, effort = b.labelled(spark, sf)
     docs = documents.cell_documents(labelled, effort)
-    band = F.floor(F.split("id", "_")[0].cast("int") / 30).cast("int")
+    band = F.floor(grid.whole_lat("id") / 30).cast("int")
     sinks.write_documents(docs.withColumn("band", band), path, "band")
     schema = "id string, part int, total array<bigint>, species array<struct<k:string,c:array<bigint>,p:string,m:array<int>>>, band int"
     return spark.read.schema(schema).json(path).select("id", months.at("total", 5).alias("june"), F.size("species").cast("long").alias("species"))
@@ -345,7 +345,7 @@ FULL OUTER JOIN (SELECT cell, string_agg(key || ':' || (CASE WHEN lng0 > 100 AND
 def sk05(spark, sf):
     """Two builds that differ: cells in the south are new, those in the far north are gone, some changed."""
     labelled, effort = b.labelled(spark, sf)
-    lat, lng = F.split("cell", "_")[0].cast("int"), F.split("cell", "_")[1].cast("int")
+    lat, lng = grid.whole_lat(), grid.whole_lng()
     old = documents.cell_documents(labelled.where(lat < 40), effort.where(lat < 40)).where(F.size("species") > 0)
     bumped = labelled.where(lat >= -40).withColumn("c", F.when(lng > 100, months.each_month("c[i] + if(i = 5, 1, 0)")).otherwise(F.col("c")))
     new = documents.cell_documents(bumped, effort.where(lat >= -40)).where(F.size("species") > 0)

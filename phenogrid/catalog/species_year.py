@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from phenogrid.catalog import reference_sql as ref
 from phenogrid.catalog.gridding import HILBERT
 from phenogrid.catalog.registry import query
-from phenogrid.functions import months
+from phenogrid.functions import grid, months
 from phenogrid.operators import documents, flow, raster, species_view
 from phenogrid.sources import bindings as b
 
@@ -172,8 +172,9 @@ def t02(spark, sf):
 def _weights(spark, sf):
     """Records per species, month and cell as whole weights."""
     labelled, _ = b.labelled(spark, sf)
-    lat, lng = F.split("cell", "_")[0].cast("int"), F.split("cell", "_")[1].cast("int")
-    return labelled.select("key", "cell", lat.alias("lat0"), lng.alias("lng0"), months.month_rows("c[i] > 0", month="i", w="c[i]"))
+    lat, lng = grid.whole_lat(), grid.whole_lng()
+    placed = labelled.select("key", "cell", lat.alias("lat0"), lng.alias("lng0"), "c")
+    return placed.select("key", "cell", "lat0", "lng0", months.month_rows("c[i] > 0", month="i", w="c[i]"))
 
 
 @query("w09_quantile_picks", ref.by_key("""

@@ -52,6 +52,15 @@ def cell_lng(cell: Column) -> Column:
     return F.when(F.size(parts) == 2, F.get(parts, F.lit(1)).try_cast("double"))
 
 
+def whole_lat(cell: str = "cell") -> Column:
+    """South edge of a one-degree cell from its (valid) id."""
+    return F.substring_index(cell, "_", 1).cast("int")
+
+
+def whole_lng(cell: str = "cell") -> Column:
+    return F.substring_index(cell, "_", -1).cast("int")
+
+
 def is_cell_id(cell: Column) -> Column:
     return cell_lat(cell).isNotNull() & cell_lng(cell).isNotNull()
 
@@ -116,24 +125,34 @@ def region_of(lng: Column, lat: Column, home: Column) -> Column:
     return F.when(home, F.lit(HOME_REGION)).otherwise(chain)
 
 
-def hilbert_index(n: int, x: Column, y: Column) -> Column:
-    """Place of (x, y) along the Hilbert curve of an n x n grid, n a power of two."""
-    order = n.bit_length() - 1
+def hilbert_steps() -> list[int]:
+    """Step table of the Hilbert curve: for an orientation and the next bit of x and y, the quadrant
+    entered and the orientation inside it.
 
-    def descend(state: Column, level: Column) -> Column:
-        side = F.call_function("shiftleft", F.lit(1), level)
-        right = F.when(state["x"].bitwiseAND(side) > 0, 1).otherwise(0)
-        upper = F.when(state["y"].bitwiseAND(side) > 0, 1).otherwise(0)
-        quadrant = F.when(right == 1, F.lit(3) - upper).otherwise(upper)
-        mirrored = (upper == 0) & (right == 1)
-        fx = F.when(mirrored, side - 1 - state["x"]).otherwise(state["x"])
-        fy = F.when(mirrored, side - 1 - state["y"]).otherwise(state["y"])
-        return F.struct(
-            (state["d"] + side * side * quadrant).cast("int").alias("d"),
-            F.when(upper == 0, fy).otherwise(state["x"]).cast("int").alias("x"),
-            F.when(upper == 0, fx).otherwise(state["y"]).cast("int").alias("y"),
-        )
-
-    start = F.struct(F.lit(0).alias("d"), x.cast("int").alias("x"), y.cast("int").alias("y"))
-    levels = F.array(*[F.lit(i) for i in reversed(range(order))])
-    return F.aggregate(levels, start, descend)["d"]
+    An orientation is two flags, both axes mirrored and axes swapped. They commute, so following the
+    curve only toggles them: entering either lower quadrant swaps, the lower right one also mirrors.
+    """
+    table = []
+    for state in range(4):
+        mirrored, swapped = state >> 1, state & 1
+        for bits in range(4):
+            x, y = (bits >> 1) ^ mirrored, (bits & 1) ^ mirrored
+            if swapped:
+                x, y = y, x
+            lower = 1 - y
+            table.append(((3 * x) ^ y) << 2 | (state ^ (lower & x) << 1 ^ lower))
+    return table
+
+
+def hilbert_index(n: int, x: str, y: str) -> Column:
+    """Place of (x, y), two SQL columns, along the Hilbert curve of an n x n grid, n a power of two.
+
+    Walks the bits from the top; the running value packs the place so far and the orientation. The
+    point is bound as a lambda variable, so what computes it runs once and not once per bit.
+    """
+    order = n.bit_length() - 1
+    table = "array(" + ", ".join(str(v) for v in hilbert_steps()) + ")"
+    bits = "(((shiftright(p.x, k) & 1) * 2) + (shiftright(p.y, k) & 1))"
+    walk = f"""aggregate(sequence({order - 1}, 0, -1), 0,
+        (walk, k) -> shiftleft(shiftright(walk, 2), 4) | {table}[(walk & 3) * 4 + {bits}])"""
+    return F.expr(f"transform(array(named_struct('x', {x}, 'y', {y})), p -> shiftright({walk}, 2))[0]")

@@ -81,9 +81,17 @@ def rounded(vector: str, digits: int = 4) -> Column:
     return F.expr(f"transform({vector}, x -> round(x, {digits}))")
 
 
-def in_units(vector: str, digits: int = 4) -> Column:
-    """Rates as whole units of 10^-digits: sums of these do not depend on row order."""
-    return F.expr(f"transform({vector}, x -> cast(round(x * {10**digits}) AS bigint))")
+def units(counts: str, effort: str, digits: int = 4) -> Column:
+    """Rates rounded half up to whole units of 10^-digits, in whole-number arithmetic.
+
+    Sums of these do not depend on row order, and no decimal rounding is done per value.
+    """
+    scale = 2 * 10**digits
+    return F.expr(f"zip_with({counts}, {effort}, (c, t) -> if(t > 0, (c * {scale}L + t) div (2 * t), 0L))")
+
+
+def from_units(units_vector: str, digits: int = 4) -> Column:
+    return F.expr(f"transform({units_vector}, x -> x / {float(10**digits)!r}D)")
 
 
 def present_set(counts: str, rate: str, peak: str, rules: PresenceRules) -> Column:

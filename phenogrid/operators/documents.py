@@ -50,11 +50,12 @@ def species_documents(labelled: DataFrame, limit: int = DOCUMENT_ENTRIES) -> Dat
 
     A species has at most one entry per grid cell, which bounds the document.
     """
+    published = labelled.select("key", "cell", "p", months.units("c", "t").alias("u")).withColumn("r", months.from_units("u"))
     entry = F.struct(
-        F.col("cell"), F.struct(months.rounded("r").alias("r"), F.col("p").alias("p")).alias("v")
+        F.col("cell"), F.struct(F.col("r"), F.col("p")).alias("v")
     )
     return (
-        numbered_parts(labelled, "key", "cell", limit)
+        numbered_parts(published, "key", "cell", limit)
         .groupBy("key", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("cells"))
         .withColumnRenamed("key", "k")
     )
@@ -177,7 +178,7 @@ def species_csv_rows(labelled: DataFrame, species: DataFrame, cell_size: float =
     The peak per species is a partial aggregate joined back, not a window over the species. Shares
     are rounded half up in whole units of 1e-4, which leaves no tie to the floating point.
     """
-    rounded = labelled.withColumn("r", months.rounded("r")).withColumn("u", months.in_units("r"))
+    rounded = labelled.withColumn("u", months.units("c", "t")).withColumn("r", months.from_units("u"))
     peak = rounded.groupBy("key").agg(F.max(F.array_max("u")).alias("_peak"))
     joined = rounded.join(peak, "key").join(species.select(F.col("k").alias("key"), F.col("sci").alias("_sci")), "key", "left")
     top = F.when(F.col("_peak") > 0, F.col("_peak")).otherwise(F.lit(10_000).cast("long"))

@@ -15,7 +15,7 @@ def hilbert_order(cells: DataFrame, side: int = HILBERT_SIDE) -> DataFrame:
     """Adds ``place``: where each cell (lat0, lng0) lies along the curve."""
     x = F.floor((F.col("lng0") + 180) * F.lit(side) / 360).cast("int")
     y = F.floor((F.col("lat0") + 90) * F.lit(side) / 180).cast("int")
-    return cells.withColumn("place", grid.hilbert_index(side, x, y))
+    return cells.withColumns({"_x": x, "_y": y}).withColumn("place", grid.hilbert_index(side, "_x", "_y")).drop("_x", "_y")
 
 
 def quantile_picks(weights: DataFrame, count: int, side: int = HILBERT_SIDE) -> DataFrame:

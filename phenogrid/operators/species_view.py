@@ -18,11 +18,11 @@ UNIT = 10_000
 
 def ranges(labelled: DataFrame) -> DataFrame:
     """(key, cell, lat0, lng0, p, r, u): rounded rates and the same in whole units."""
-    rounded = labelled.withColumn("r", months.rounded("r"))
-    return rounded.select(
-        "key", "cell", F.split("cell", "_")[0].cast("int").alias("lat0"), F.split("cell", "_")[1].cast("int").alias("lng0"),
-        "p", "r", months.in_units("r").alias("u"),
+    counted = labelled.select(
+        "key", "cell", grid.whole_lat().alias("lat0"), grid.whole_lng().alias("lng0"),
+        "p", months.units("c", "t").alias("u"),
     )
+    return counted.withColumn("r", months.from_units("u"))
 
 
 def peak_rates(ranged: DataFrame) -> DataFrame:
@@ -59,8 +59,9 @@ def monthly_centres(ranged: DataFrame, cell_size: float = 1.0) -> DataFrame:
     """Presence-weighted centre on the sphere per species and month with presence."""
     lat, lng = F.col("lat0") + cell_size / 2, F.col("lng0") + cell_size / 2
     x, y, z = geo.unit_vector(lng, lat)
-    placed = ranged.select("key", x.alias("x"), y.alias("y"), z.alias("z"), months.month_rows("u[i] > 0", month="i", w="u[i]"))
-    sums = placed.groupBy("key", "month").agg(F.sum("w").alias("w"), *[F.sum(F.col(a) * F.col("w")).alias(a) for a in "xyz"])
+    placed = ranged.select("key", x.alias("x"), y.alias("y"), z.alias("z"), "u")  # before the months are spread
+    spread = placed.select("key", "x", "y", "z", months.month_rows("u[i] > 0", month="i", w="u[i]"))
+    sums = spread.groupBy("key", "month").agg(F.sum("w").alias("w"), *[F.sum(F.col(a) * F.col("w")).alias(a) for a in "xyz"])
     centre = {a: F.col(a) for a in "xyz"}
     return sums.select(
         "key", "month", "w", geo.lng_of(centre["x"], centre["y"]).alias("lng"), geo.lat_of(centre["x"], centre["y"], centre["z"]).alias("lat")
@@ -86,19 +87,18 @@ def region_months(ranged: DataFrame, home_cells: Column, cell_size: float = 1.0)
     chain on the cell centre, so no box is joined.
     """
     lat, lng = F.col("lat0") + cell_size / 2, F.col("lng0") + cell_size / 2
-    located = ranged.select(
-        "key", lat.alias("lat"), lng.alias("lng"), grid.region_of(lng, lat, home_cells).alias("region"),
-        months.month_rows("u[i] > 0", month="i", w="u[i]"),
-    )
-    sums = located.groupBy("key", "region", "month").agg(
+    located = ranged.select("key", lat.alias("lat"), lng.alias("lng"), grid.region_of(lng, lat, home_cells).alias("region"), "u")
+    spread = located.select("key", "lat", "lng", "region", months.month_rows("u[i] > 0", month="i", w="u[i]"))
+    sums = spread.groupBy("key", "region", "month").agg(
         F.sum("w").alias("w"), F.sum(F.col("lng") * F.col("w")).alias("x"), F.sum(F.col("lat") * F.col("w")).alias("y")
     )
     return sums.select("key", "region", "month", "w", (F.col("x") / F.col("w")).alias("lng"), (F.col("y") / F.col("w")).alias("lat"))
 
 
 def region_shares(by_region: DataFrame) -> DataFrame:
-    totals = by_region.groupBy("key", "month").agg(F.sum("w").alias("total"))
-    return by_region.join(totals, ["key", "month"]).withColumn("share", F.col("w") / F.col("total"))
+    """Share of each region in the month; a month has at most one row per named region."""
+    total = F.sum("w").over(Window.partitionBy("key", "month"))
+    return by_region.withColumn("total", total).withColumn("share", F.col("w") / F.col("total"))
 
 
 def dominant_regions(by_region: DataFrame) -> DataFrame:
