@@ -117,13 +117,13 @@ def g10(spark, sf):
 
 @query("g11_shard_of_cell", ref.occ(f"SELECT cell, {ref.SHARD_CASE} AS shard FROM cells"))
 def g11(spark, sf):
-    return _cells(spark, sf).select("cell", grid.shard_of(F.col("lat0"), F.col("lng0")).alias("shard"))
+    return _cells(spark, sf).select("cell", grid.shard_of().alias("shard"))
 
 
 @query("g12_region_of_cell", ref.occ("SELECT cell, region FROM regioned", ref.REGION_BOXES))
 def g12(spark, sf):
-    region = grid.region_of(F.col("lng0") + 0.5, F.col("lat0") + 0.5, b.home_cell(F.col("lat0"), F.col("lng0")))
-    return _cells(spark, sf).select("cell", region.alias("region"))
+    centred = _cells(spark, sf).selectExpr("cell", "lat0", "lng0", "lat0 + 0.5D AS lat", "lng0 + 0.5D AS lng")
+    return centred.select("cell", grid.region_of("lng", "lat", b.HOME).alias("region"))
 
 
 HILBERT = """
@@ -207,6 +207,6 @@ JOIN (VALUES ('south-asia', 0, 40, 60, 100), ('africa', -90, 38, -30, 60), ('eur
   ON e.lat0 >= s.a AND e.lat0 < s.b AND e.lng0 >= s.c AND e.lng0 < s.d GROUP BY s.shard"""))
 def j09(spark, sf):
     """Effort per shard box set: the box test is a literal CASE, so nothing is joined."""
-    shard = grid.shard_of(F.col("lat0"), F.col("lng0"))
+    shard = grid.shard_of()
     per_cell = counting.with_cell(b.month_counts(spark, sf)).groupBy("cell", "lat0", "lng0").agg(F.sum("n").alias("n"))
     return per_cell.groupBy(shard.alias("shard")).agg(F.count("*").alias("cells"), F.sum("n").alias("records"))

@@ -164,11 +164,13 @@ def e18(spark, sf):
 
 
 @query("e17_english_names", """
-SELECT user_id, coalesce(arg_min(name, event_id) FILTER (WHERE lang IN ('eng', 'en') AND name <> ''), '') AS name
-FROM (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'eng' WHEN 'view' THEN 'fra' WHEN 'error' THEN 'en' ELSE 'deu' END AS lang, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'N' || event_id END AS name FROM events) GROUP BY user_id""")
+SELECT user_id, event_id // 1000 AS batch, coalesce(arg_min(name, event_id) FILTER (WHERE lang IN ('eng', 'en') AND name <> ''), '') AS name
+FROM (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'eng' WHEN 'view' THEN 'fra' WHEN 'error' THEN 'en' ELSE 'deu' END AS lang, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'N' || event_id END AS name FROM events) GROUP BY user_id, event_id // 1000""")
 def e17(spark, sf):
+    """Name lists of a user's events, a thousand events at a time."""
     kind = F.col("event_type")
     language = F.when(kind == "click", "eng").when(kind == "view", "fra").when(kind == "error", "en").otherwise("deu")
     name = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("N"), F.col("event_id").cast("string")))
-    listed = b.table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", name.alias("name"), language.alias("language")))).alias("v"))
-    return listed.select("user_id", text.english_name(F.col("v")).alias("name"))
+    batch = F.floor(F.col("event_id") / 1000).cast("long").alias("batch")
+    listed = b.table(spark, sf, "events").groupBy("user_id", batch).agg(F.array_sort(F.collect_list(F.struct("event_id", name.alias("name"), language.alias("language")))).alias("v"))
+    return listed.select("user_id", "batch", text.english_name(F.col("v")).alias("name"))

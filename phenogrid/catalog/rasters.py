@@ -356,7 +356,7 @@ def q03(spark, sf):
         F.when(F.col("p_size") % 7 == 0, 6).otherwise(5).alias("w"), F.when(F.col("p_size") % 11 == 0, 3).otherwise(4).alias("h"),
     )
     size = part.agg((F.max(F.col("p_partkey") % 20) * 5 + 5).alias("width"), (F.max(row) * 4 + 4).alias("height"))
-    inside = raster.piece_cover(pieces).withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one")
+    inside = raster.piece_cover(pieces).withColumn("_one", F.lit(1)).join(F.broadcast(size.withColumn("_one", F.lit(1))), "_one")  # one row
     hits = inside.where("gx < width and gy < height")
     return quality.cover_report(hits, F.max(F.col("width") * F.col("height")))
 

@@ -97,7 +97,7 @@ def sc04(spark, sf):
 def _shards(spark, sf):
     path = new_path(spark, "pairs")
     counts = b.masked_counts(spark, sf)
-    sharded = counts.withColumn("shard", grid.shard_of(F.col("lat0"), F.col("lng0")))
+    sharded = counts.withColumn("shard", grid.shard_of())
     pairs = counting.with_cell(sharded).where(F.col("sci").isNotNull()).groupBy("shard", "sci", "cell").agg(months.sum_by_month("n").alias("c"))
     sinks.write_shards(sinks.pairs_for_sink(pairs), path, ["sci", "cell"])
     return path
@@ -128,7 +128,7 @@ def sk01(spark, sf):
     path = _shards(spark, sf)
     hidden = F.coalesce(F.col("sci").isin(*b.SENSITIVE), F.lit(False))
     second = b.records(spark, sf).where(F.col("l_orderkey") % 2 == 0).withColumn("sci", F.when(~hidden, F.col("sci")))
-    counts = counting.count_records(second).withColumn("shard", grid.shard_of(F.col("lat0"), F.col("lng0")))
+    counts = counting.count_records(second).withColumn("shard", grid.shard_of())
     pairs = counting.with_cell(counts).where(F.col("sci").isNotNull() & (F.col("shard") == "americas")).groupBy("shard", "sci", "cell").agg(
         months.sum_by_month("n").alias("c")
     )
@@ -233,10 +233,11 @@ FROM lineitem GROUP BY ALL""")
 def sc09(spark, sf):
     """A dump of entities with their claims by property, read back and flattened."""
     path = new_path(spark, "entities")
-    stated = b.claims(spark, sf).groupBy("item", "prop").agg(
+    parts = b.claims(spark, sf).withColumn("part", F.floor(F.col("pos") / 80_000))  # of an item with very many claims
+    stated = parts.groupBy("item", "part", "prop").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank", "value"))), lambda x: F.struct(x["rank"].alias("rank"), x["value"].alias("value"))).alias("c")
     )
-    entities = stated.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("prop", "c"))).alias("claims"))
+    entities = stated.groupBy("item", "part").agg(F.map_from_entries(F.collect_list(F.struct("prop", "c"))).alias("claims"))
     entities.select(F.col("item").alias("id"), "claims").write.json(path)
     flat = files.entity_claims(files.entity_dump(spark, path))
     return flat.groupBy("item", "prop", "rank", "value").agg(F.count("*").alias("n"))

@@ -80,7 +80,7 @@ def a18(spark, sf):
 
 
 def _regions(spark, sf):
-    return species_view.region_months(_ranged(spark, sf), b.home_cell(F.col("lat0"), F.col("lng0")))
+    return species_view.region_months(_ranged(spark, sf), b.HOME)
 
 
 @query("w07_dominant_regions", ref.ranged("""

@@ -109,20 +109,25 @@ def shard_boxes(shard_id: str) -> tuple:
     raise ValueError(f"unknown shard {shard_id!r}")
 
 
-def shard_of(lat0: Column, lng0: Column) -> Column:
-    """Owner shard of a cell: a literal CASE chain, so no join and no broadcast."""
-    chain = F.lit(None).cast("string")
-    for shard, _, boxes in reversed(SHARDS):
-        chain = F.when(any_box(lat0, lng0, boxes), F.lit(shard)).otherwise(chain)
-    return chain
-
-
-def region_of(lng: Column, lat: Column, home: Column) -> Column:
-    """Named region of a point: the home set first, then the first box that holds it."""
-    chain = F.lit(ELSEWHERE)
-    for name, lat0, lat1, lng0, lng1 in reversed(REGIONS):
-        chain = F.when(in_box(lat, lng, (lat0, lat1, lng0, lng1)), F.lit(name)).otherwise(chain)
-    return F.when(home, F.lit(HOME_REGION)).otherwise(chain)
+def first_box(boxes: list[tuple], lng: str, lat: str) -> str:
+    """SQL of the name of the first box (name, lat0, lat1, lng0, lng1) that holds a point, else NULL.
+
+    The boxes are a constant array that is searched per point, so nothing is joined; as a CASE chain
+    they would be a method too long for the JVM to compile.
+    """
+    listed = ", ".join(f"named_struct('name', '{n}', 'a', {a}, 'b', {b}, 'c', {c}, 'd', {d})" for n, a, b, c, d in boxes)
+    inside = f"box -> {lat} >= box.a AND {lat} < box.b AND {lng} >= box.c AND {lng} < box.d"
+    return f"try_element_at(filter(array({listed}), {inside}), 1).name"
+
+
+def shard_of(lat0: str = "lat0", lng0: str = "lng0") -> Column:
+    """Owner shard of a cell."""
+    return F.expr(first_box([(shard, *box) for shard, _, boxes in SHARDS for box in boxes], lng0, lat0))
+
+
+def region_of(lng: str, lat: str, home: str) -> Column:
+    """Named region of a point (two SQL columns): the home set first, then the first box that holds it."""
+    return F.expr(f"CASE WHEN {home} THEN '{HOME_REGION}' ELSE coalesce({first_box(list(REGIONS), lng, lat)}, '{ELSEWHERE}') END")
 
 
 def hilbert_steps() -> list[int]:

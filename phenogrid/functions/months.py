@@ -3,9 +3,9 @@
 Vectors are ``ARRAY`` columns of length 12, named by their column. Sets of months are 12-bit
 integers: bit ``i`` is month ``i + 1``, and the circular year is a rotation of the bits.
 
-Counting over raw records is unrolled into twelve plain sums, which compile into the scan's stage.
-Everything after it runs on one row per species and cell and is written with the array functions:
-unrolled, those expressions would grow into methods the JVM does not compile.
+Sums and rates are unrolled into plain expressions, which compile into their stage. The rest is
+written with the array functions: unrolled as well, a stage would grow beyond the 8000 bytes up to
+which the JVM compiles a method, and run interpreted.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def months_where(condition: str) -> Column:
 
 
 def unrolled(sql: str) -> Column:
-    """Twelve aggregates put into one vector; ``{i}`` and ``{m}`` are the 0- and 1-based month."""
+    """Twelve expressions put into one vector; ``{i}`` and ``{m}`` are the 0- and 1-based month."""
     return F.expr("array(" + ", ".join(sql.format(i=i, m=i + 1) for i in range(MONTHS)) + ")")
 
 
@@ -63,8 +63,12 @@ def count_positive(vector: str) -> Column:
     return unrolled(f"count_if({vector}[{{i}}] > 0)")
 
 
+def total_sql(vector: str) -> str:
+    return "(" + " + ".join(f"{vector}[{i}]" for i in range(MONTHS)) + ")"
+
+
 def total(vector: str) -> Column:
-    return F.expr(f"aggregate({vector}, 0L, (a, x) -> a + x)")
+    return F.expr(total_sql(vector))
 
 
 def dense_from_entries(entries: str) -> Column:
@@ -74,7 +78,7 @@ def dense_from_entries(entries: str) -> Column:
 
 def rates(counts: str, effort: str) -> Column:
     """Share of effort per month, 0 where there is no effort."""
-    return F.expr(f"zip_with({counts}, {effort}, (c, t) -> if(t > 0, c / t, 0D))")
+    return unrolled(f"if({effort}[{{i}}] > 0, {counts}[{{i}}] / {effort}[{{i}}], 0D)")
 
 
 def rounded(vector: str, digits: int = 4) -> Column:
@@ -94,9 +98,15 @@ def from_units(units_vector: str, digits: int = 4) -> Column:
     return F.expr(f"transform({units_vector}, x -> x / {float(10**digits)!r}D)")
 
 
-def present_set(counts: str, rate: str, peak: str, rules: PresenceRules) -> Column:
-    """Months with records whose rate reaches the given share of the peak."""
-    return months_where(f"{counts}[i] > 0 AND {peak} > 0 AND {rate}[i] >= {rules.peak_share!r}D * {peak}")
+def present_floor(peak: str, rules: PresenceRules) -> Column:
+    """Smallest rate of a present month. Above zero, so a month without records never reaches it; a
+    species without any rate gets a floor that no share reaches."""
+    return F.expr(f"if({peak} > 0, {rules.peak_share!r}D * {peak}, 2D)")
+
+
+def present_set(rate: str, floor: str) -> Column:
+    """Months whose rate reaches the floor, the last month shifted in first."""
+    return F.expr(f"aggregate(reverse({rate}), 0, (bits, x) -> bits + bits + if(x >= {floor}, 1, 0))")
 
 
 def surveyed_set(effort: str, rules: PresenceRules) -> Column:
@@ -147,7 +157,7 @@ def label(counts: str, present: str, surveyed: str, rules: PresenceRules) -> Col
     """Resident, seasonal, passage or uncertain, from the month sets."""
     return F.expr(f"""
         CASE WHEN bit_count({surveyed}) < {rules.surveyed_months}
-               OR aggregate({counts}, 0L, (a, x) -> a + x) < {rules.species_records} THEN 'uncertain'
+               OR {total_sql(counts)} < {rules.species_records} THEN 'uncertain'
              WHEN bit_count({surveyed} & ~{present}) <= {rules.resident_gaps} THEN 'resident'
              WHEN bit_count({present}) BETWEEN 1 AND {rules.passage_months}
                AND {run_ends(present, rules.passage_run + 1)} = 0 THEN 'passage'

@@ -163,7 +163,7 @@ def shard_metrics(counts: DataFrame) -> DataFrame:
 
     Distinct counts run on pre-aggregated (shard, cell, sci) rows.
     """
-    shard = grid.shard_of(F.col("lat0"), F.col("lng0"))
+    shard = grid.shard_of()
     pairs = (
         with_cell(counts).withColumn("shard", shard)
         .groupBy("shard", "cell", "sci").agg(F.count("*").alias("rows"), F.sum("n").alias("records"))

@@ -45,18 +45,25 @@ def cell_documents(labelled: DataFrame, effort: DataFrame, limit: int = DOCUMENT
     )
 
 
-def species_documents(labelled: DataFrame, limit: int = DOCUMENT_ENTRIES) -> DataFrame:
+def with_units(labelled: DataFrame) -> DataFrame:
+    """Adds the rates in whole units, unless they are stored with the table."""
+    return labelled if "u" in labelled.columns else labelled.withColumn("u", months.units("c", "t"))
+
+
+def species_documents(labelled: DataFrame, limit: int = DOCUMENT_ENTRIES, cell_size: float = 1.0) -> DataFrame:
     """One document per species: cell -> rates rounded to four digits and label.
 
-    A species has at most one entry per grid cell, which bounds the document.
+    A species has at most one entry per grid cell; where that bound is within the limit, no
+    document can need parts and none is counted.
     """
-    published = labelled.select("key", "cell", "p", months.units("c", "t").alias("u")).withColumn("r", months.from_units("u"))
+    published = with_units(labelled).select("key", "cell", "p", "u").withColumn("r", months.from_units("u"))
+    bounded = (180 / cell_size) * (360 / cell_size) <= limit
+    parted = published.withColumn("part", F.lit(0)) if bounded else numbered_parts(published, "key", "cell", limit)
     entry = F.struct(
         F.col("cell"), F.struct(F.col("r"), F.col("p")).alias("v")
     )
     return (
-        numbered_parts(published, "key", "cell", limit)
-        .groupBy("key", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("cells"))
+        parted.groupBy("key", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("cells"))
         .withColumnRenamed("key", "k")
     )
 
@@ -178,7 +185,7 @@ def species_csv_rows(labelled: DataFrame, species: DataFrame, cell_size: float =
     The peak per species is a partial aggregate joined back, not a window over the species. Shares
     are rounded half up in whole units of 1e-4, which leaves no tie to the floating point.
     """
-    rounded = labelled.withColumn("u", months.units("c", "t")).withColumn("r", months.from_units("u"))
+    rounded = with_units(labelled).withColumn("r", months.from_units("u"))
     peak = rounded.groupBy("key").agg(F.max(F.array_max("u")).alias("_peak"))
     joined = rounded.join(peak, "key").join(species.select(F.col("k").alias("key"), F.col("sci").alias("_sci")), "key", "left")
     top = F.when(F.col("_peak") > 0, F.col("_peak")).otherwise(F.lit(10_000).cast("long"))

@@ -25,8 +25,9 @@ def label_presence(pairs: DataFrame, effort: DataFrame, rules: PresenceRules = P
     surveyed = effort.withColumn("surveyed", months.surveyed_set("t", rules))
     joined = beside_cells(pairs, surveyed, cell_size=cell_size)
     rated = joined.withColumn("r", months.rates("c", "t")).withColumn("peak", F.array_max("r"))
-    marked = settled(rated, m=months.present_set("c", "r", "peak", rules))
-    return marked.withColumn("p", months.label("c", "m", "surveyed", rules)).drop("peak", "surveyed")
+    floored = rated.withColumn("floor", months.present_floor("peak", rules)).drop("peak")
+    marked = settled(floored, m=months.present_set("r", "floor"))
+    return marked.withColumn("p", months.label("c", "m", "surveyed", rules)).drop("floor", "surveyed")
 
 
 def settled(rows: DataFrame, **columns: Column) -> DataFrame:

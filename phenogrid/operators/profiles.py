@@ -22,7 +22,8 @@ def literal_map(column: Column, table: dict, part: int | None = None) -> Column:
 def best_claims(claims: DataFrame, limit: int | None = 1) -> DataFrame:
     """Claims of each (item, prop) without deprecated ones, preferred rank first, else as stated.
 
-    With ``limit=1`` the first one is a ``min_by`` with map-side combining.
+    With ``limit=1`` the first one is a ``min_by`` with map-side combining; a longer list is the
+    claims of one property of one entity document.
     """
     usable = claims.where(F.col("rank") != "deprecated")
     order = F.struct((F.col("rank") != "preferred").alias("later"), F.col("pos"))

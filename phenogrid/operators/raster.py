@@ -213,8 +213,13 @@ def clear_scenes(scenes: DataFrame, first_day: str, end_day: str) -> DataFrame:
 
 
 def median_composite(scenes: DataFrame, *keys: str) -> DataFrame:
-    """Median of the scenes of each pixel. A pixel's scenes are bounded by the revisits of its window."""
-    return scenes.groupBy(*keys).agg(F.median("value").alias("value"), F.count("value").alias("scenes"))
+    """Median of the scenes of each pixel.
+
+    Equal values of a pixel are counted first, so a pixel with very many scenes is spread over its
+    values. What meets in one group are distinct values: sensor values are 16-bit numbers.
+    """
+    counted = scenes.groupBy(*keys, "value").agg(F.count("value").alias("_n")).where(F.col("_n") > 0)
+    return counted.groupBy(*keys).agg(F.percentile("value", F.lit(0.5), F.col("_n")).alias("value"), F.sum("_n").alias("scenes"))
 
 
 def every_nth_day(values: DataFrame, first_day: str, days: int, step: int, *keys: str) -> DataFrame:
@@ -232,23 +237,20 @@ def covered_share(pixels: DataFrame, factor: int, flag: Column) -> DataFrame:
 
 # ---- resampling --------------------------------------------------------------------------------
 
-def ceil_div(a: Column, b: int) -> Column:
-    """Whole-number division rounding up, for a positive divisor."""
-    return F.call_function("div", a + F.pmod(-a, F.lit(b).cast("long")), F.lit(b).cast("long"))
+def nearest_targets(index: str, size: int, out: int) -> tuple[Column, Column]:
+    """First and last target index that read source ``index`` when ``size`` pixels become ``out``.
 
-
-def nearest_targets(index: Column, size: int, out: int) -> tuple[Column, Column]:
-    """First and last target index that read source ``index`` when ``size`` pixels become ``out``."""
-    wide = index.cast("long") * (2 * out)
-    low = ceil_div(wide - size, 2 * size)
-    high = ceil_div(wide + 2 * out - size, 2 * size) - 1
-    return F.greatest(low, F.lit(0)).cast("int"), high.cast("int")
+    Target i reads the source under its centre, so source s is read from ceil((2 s out - size) /
+    (2 size)) on; whole numbers throughout.
+    """
+    first = f"({2 * out}L * ({{s}}) + {size - 1}) div {2 * size}"
+    return F.expr(f"cast({first.format(s=index)} AS int)"), F.expr(f"cast({first.format(s=index + ' + 1')} - 1 AS int)")
 
 
 def resample_nearest(pixels: DataFrame, height: int, width: int, out_h: int, out_w: int, *columns: str) -> DataFrame:
     """Nearest-neighbour resize: every source pixel emits the target pixels that read it, no join."""
-    y0, y1 = nearest_targets(F.col("gy"), height, out_h)
-    x0, x1 = nearest_targets(F.col("gx"), width, out_w)
+    y0, y1 = nearest_targets("gy", height, out_h)
+    x0, x1 = nearest_targets("gx", width, out_w)
     span = pixels.withColumns({"_y0": y0, "_y1": y1, "_x0": x0, "_x1": x1}).where("_y0 <= _y1 and _x0 <= _x1")
     return span.withColumn("_ty", F.explode(F.sequence("_y0", "_y1"))).withColumn("_tx", F.explode(F.sequence("_x0", "_x1"))).select(
         F.col("_tx").alias("gx"), F.col("_ty").alias("gy"), *columns

@@ -80,14 +80,14 @@ def species_summary(ranged: DataFrame, cell_size: float = 1.0) -> DataFrame:
     )
 
 
-def region_months(ranged: DataFrame, home_cells: Column, cell_size: float = 1.0) -> DataFrame:
+def region_months(ranged: DataFrame, home: str, cell_size: float = 1.0) -> DataFrame:
     """Weight and plain weighted centre per species, month and region.
 
-    ``home_cells`` says whether a cell belongs to the home region. The region is a literal CASE
-    chain on the cell centre, so no box is joined.
+    ``home`` is an SQL test of whether a cell (lat0, lng0) belongs to the home region. The boxes are
+    constants, so no box is joined.
     """
-    lat, lng = F.col("lat0") + cell_size / 2, F.col("lng0") + cell_size / 2
-    located = ranged.select("key", lat.alias("lat"), lng.alias("lng"), grid.region_of(lng, lat, home_cells).alias("region"), "u")
+    centred = ranged.select("key", "cell", "lat0", "lng0", (F.col("lat0") + cell_size / 2).alias("lat"), (F.col("lng0") + cell_size / 2).alias("lng"), "u")
+    located = centred.select("key", "lat", "lng", grid.region_of("lng", "lat", home).alias("region"), "u")
     spread = located.select("key", "lat", "lng", "region", months.month_rows("u[i] > 0", month="i", w="u[i]"))
     sums = spread.groupBy("key", "region", "month").agg(
         F.sum("w").alias("w"), F.sum(F.col("lng") * F.col("w")).alias("x"), F.sum(F.col("lat") * F.col("w")).alias("y")

@@ -65,13 +65,22 @@ class Bundle:
 
 def world_build(
     pairs: DataFrame, effort: DataFrame, names: DataFrame, sensitive: DataFrame, rules: PresenceRules = PresenceRules(),
-    coverage: CoverageRules = CoverageRules(),
+    coverage: CoverageRules = CoverageRules(), store: str | None = None,
 ) -> Bundle:
-    """Merge shards, name, label and assemble: two shuffles, by (key, cell) and by cell."""
+    """Merge shards, name, label and assemble: two shuffles, by (key, cell) and by cell.
+
+    With ``store`` given, the labelled species-cells are written there once and every document is
+    assembled from that table; otherwise each document plan labels on its own.
+    """
     safe = naming.drop_sensitive(pairs, sensitive)
     keyed = counting.merge_pairs(naming.with_keys(safe.select("sci", "cell", "c"), names), "key", "cell")
     merged = counting.merge_effort(effort)
     labelled = presence.label_presence(keyed, merged, rules)
+    if store is not None:
+        spark = pairs.sparkSession
+        documents.with_units(labelled).select("key", "cell", "c", "u", "m", "p").write.mode("overwrite").parquet(f"{store}/labelled")
+        merged.write.mode("overwrite").parquet(f"{store}/effort")
+        labelled, merged = spark.read.parquet(f"{store}/labelled"), spark.read.parquet(f"{store}/effort")
     metrics = effort.groupBy("shard").agg(F.sum(months.total("t")).alias("records"), F.count("*").alias("cells")).join(
         pairs.groupBy("shard").agg(F.count_distinct("sci").alias("species")), "shard", "left"
     )

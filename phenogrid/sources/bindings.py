@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.functions import grid
 from phenogrid.operators import counting, naming, presence
 
 # The binding's own sensitive and featured lists.
@@ -98,9 +97,11 @@ def sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def morton(key: str, offset: int) -> Column:
-    """Every second bit of the key from ``offset`` on, packed together."""
-    bits = (f"shiftleft(cast(shiftright({key}, {2 * i + offset}) & 1L AS int), {i})" for i in range(MORTON_BITS))
-    return F.expr(" + ".join(bits))
+    """Every second bit of the key from ``offset`` on, packed together by halving the gaps."""
+    start = f"shiftright({key}, {offset}) & {0x5555555555555555}L"
+    steps = ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, (1 << MORTON_BITS) - 1))
+    listed = ", ".join(f"named_struct('by', {by}, 'keep', {keep}L)" for by, keep in steps)
+    return F.expr(f"cast(aggregate(array({listed}), {start}, (x, s) -> (x | shiftright(x, s.by)) & s.keep) AS int)")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,6 +170,5 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def home_cell(lat0: Column, lng0: Column) -> Column:
-    """Cells of the home region: those of the first shard."""
-    return grid.shard_of(lat0, lng0) == "south-asia"
+# Cells of the home region: those of the first shard.
+HOME = "lat0 >= 0 AND lat0 < 40 AND lng0 >= 60 AND lng0 < 100"

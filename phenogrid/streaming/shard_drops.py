@@ -20,7 +20,7 @@ DROP_SCHEMA = "sci string, specieskey string, family string, month int, lat0 int
 
 
 def with_shard(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("shard", grid.shard_of(F.col("lat0"), F.col("lng0")))
+    return counts.withColumn("shard", grid.shard_of())
 
 
 def write_drop(counts: DataFrame, path: str, version: int) -> None:

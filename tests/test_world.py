@@ -49,7 +49,7 @@ def sensitive(spark):
 
 def bundle(spark, tables):
     pairs, effort = world.shard_tables(spark, tables)
-    return world.world_build(pairs, effort, names(spark), sensitive(spark))
+    return world.world_build(pairs, effort, names(spark), sensitive(spark), store=tempfile.mkdtemp(prefix="store-"))
 
 
 def test_metrics(built):
