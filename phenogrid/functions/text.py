@@ -31,10 +31,19 @@ def photo_caption(filename: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def unescape_html(values: pd.Series) -> pd.Series:
-    """Every named and numeric entity; the JVM has no function for it."""
-    return values.map(html.unescape, na_action="ignore")
+def _html_unescaper():
+    """Resolves every named and numeric entity; the JVM has no function for it.
+
+    Defined locally so that it is shipped by value: workers need not have this package installed.
+    """
+
+    def unescape(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(unescape, StringType())
+
+
+unescape_html = _html_unescaper()
 
 
 def strip_html(value: Column) -> Column:

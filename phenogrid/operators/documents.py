@@ -29,7 +29,8 @@ def numbered_parts(rows: DataFrame, key: str, entry: str, limit: int) -> DataFra
 def cell_documents(labelled: DataFrame, effort: DataFrame, limit: int = DOCUMENT_ENTRIES) -> DataFrame:
     """One document per cell: total[12] and the species with counts, label and month flags.
 
-    Cells with effort but no named species come out with an empty list.
+    Cells with effort but no named species come out with an empty list. The documents stay where
+    they were gathered: effort, bounded by the grid, comes to them, and the empty ones are appended.
     """
     entry = F.struct(
         F.col("key").alias("k"), F.col("c"), F.col("p"), months.flags_vector("m").alias("m")
@@ -39,10 +40,11 @@ def cell_documents(labelled: DataFrame, effort: DataFrame, limit: int = DOCUMENT
         .groupBy("cell", "part").agg(F.sort_array(F.collect_list(entry)).alias("species"))
     )
     empty = F.array().cast("array<struct<k:string,c:array<bigint>,p:string,m:array<int>>>")
-    return effort.join(parts, "cell", "left").select(
-        F.col("cell").alias("id"), F.coalesce("part", F.lit(0)).alias("part"), F.col("t").alias("total"),
-        F.coalesce("species", empty).alias("species"),
+    full = beside_cells(parts, effort).select(F.col("cell").alias("id"), "part", F.col("t").alias("total"), "species")
+    rest = effort.join(labelled.select("cell").distinct(), "cell", "left_anti").select(
+        F.col("cell").alias("id"), F.lit(0).alias("part"), F.col("t").alias("total"), empty.alias("species")
     )
+    return full.unionByName(rest)
 
 
 def with_units(labelled: DataFrame) -> DataFrame:
