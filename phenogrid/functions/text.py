@@ -90,12 +90,18 @@ def csv_field(value: Column) -> Column:
 
 
 def indian_number(value: Column) -> Column:
-    """Whole number with the last three digits grouped, then pairs (12,34,567)."""
-    digits = F.abs(value).cast("long").cast("string")
-    head = F.substring(digits, F.lit(1), F.length(digits) - 3)
-    tail = F.substring(digits, F.length(digits) - 2, F.lit(3))
-    pairs = F.regexp_replace(head, r"(?<=\d)(?=(\d\d)+$)", ",")
-    text = F.when(F.length(digits) <= 3, digits).otherwise(F.concat(pairs, F.lit(","), tail))
+    """Whole number with the last three digits grouped, then pairs (12,34,567).
+
+    The digits are bound as a lambda variable, so they are computed once however often they are used.
+    """
+
+    def grouped(digits: Column) -> Column:
+        head = F.substring(digits, F.lit(1), F.length(digits) - 3)
+        tail = F.substring(digits, F.length(digits) - 2, F.lit(3))
+        pairs = F.regexp_replace(head, r"(?<=\d)(?=(\d\d)+$)", ",")
+        return F.when(F.length(digits) <= 3, digits).otherwise(F.concat(pairs, F.lit(","), tail))
+
+    text = F.get(F.transform(F.array(F.abs(value).cast("long").cast("string")), grouped), F.lit(0))
     return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
