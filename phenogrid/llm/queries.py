@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import exact_dedup
+from phenogrid.llm import exact_dedup, language, secrets
 from phenogrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,28 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
 FROM body
 """
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    model = language.train(docs.where(~out))
+    return language.predicted(docs, model).select("doc_id", out.alias("held_out"), "prediction.*")
+
+
+QUERIES["op5_language_id"] = op5_language_id
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_spans(docs, secrets.thresholds(docs))
+    spans = F.col("__spans")
+    return found.select(
+        "doc_id",
+        *(secrets.count_of(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(secrets.described(spans, base_only=True).cast("binary"), 256).alias("base_sha256"),
+        secrets.described(spans).alias("spans"),
+    )
+
+
+QUERIES["op10_secret_scan"] = op10_secret_scan
