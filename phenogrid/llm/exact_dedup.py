@@ -35,9 +35,9 @@ def collided(docs: DataFrame, groups: DataFrame, digest: Digest = content_hash)
     """Hashes whose group holds different bytes.
 
     Only members of groups reach the comparison: least and greatest text of a group differ if any two do. Both are
-    taken per part of the group first.
+    taken per part of the group first. The list of groups grows with the table, so it is never broadcast.
     """
-    members = _keyed(docs, digest).join(groups.select("hash", "salt"), ["hash", "salt"], "left_semi")
+    members = _keyed(docs, digest).join(groups.select("hash", "salt").hint("merge"), ["hash", "salt"], "left_semi")
     parts = members.groupBy("hash", "salt").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     return parts.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("hash")
 
@@ -52,7 +52,7 @@ def decide(docs: DataFrame, digest: Digest = content_hash) -> DataFrame:
     groups = stored(salted_groups(rows, ["hash"], best), "exact-groups")
     mixed = stored(collided(docs, groups, digest), "exact-mixed")
     if mixed.isEmpty():
-        joined = rows.join(groups, ["hash", "salt"], "left")
+        joined = rows.join(groups.hint("merge"), ["hash", "salt"], "left")
     else:  # the members of such hashes are grouped by their bytes instead
         inside = _keyed(docs, digest).join(mixed, "hash", "left_semi").select(
             "doc_id", "hash", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("sha"), "salt", F.monotonically_increasing_id().alias("row"), F.col("body").alias("variant"),
@@ -73,10 +73,10 @@ def decide(docs: DataFrame, digest: Digest = content_hash) -> DataFrame:
 def exact_dedup(docs: DataFrame, digest: Digest = content_hash) -> DataFrame:
     """The documents that stay, with all their columns: the smallest doc_id of each group of equal texts."""
     rows = decide(docs, digest)
-    counts = stored(rows.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("stay")).where("stay < n"), "exact-gone")
+    gone = stored(rows.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("stay")).where("stay < n"), "exact-gone")
     hashed = docs.withColumn("__hash", digest(normalised(docs["text"])))
-    out = hashed.join(counts, (hashed["__hash"] == counts["hash"]) & hashed["doc_id"].eqNullSafe(counts["doc_id"]), "left_anti")
-    repeated = counts.where("stay > 0")
+    out = hashed.join(gone.hint("merge"), (hashed["__hash"] == gone["hash"]) & hashed["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    repeated = gone.where("stay > 0")
     if not repeated.isEmpty():
         again = hashed.join(repeated, (hashed["__hash"] == repeated["hash"]) & hashed["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
         out = out.unionByName(again.dropDuplicates(["doc_id", "__hash"]))
