@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import exact_dedup, language, secrets
+from phenogrid.llm import exact_dedup, id_files, language, secrets
 from phenogrid.llm.common import table
+from phenogrid.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +51,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_secret_scan"] = op10_secret_scan
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    id_files.write_ids(table(spark, sf_dir, "documents"), path, end_id=0)
+    return id_files.read_index(spark, path)
+
+
+QUERIES["op1_token_ids"] = op1_token_ids
