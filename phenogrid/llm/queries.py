@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import exact_dedup, id_files, language, secrets
+from phenogrid.llm import exact_dedup, id_files, language, packing, secrets
 from phenogrid.llm.common import table
 from phenogrid.session import new_path
 
@@ -60,3 +60,11 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_token_ids"] = op1_token_ids
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), end_id=1)
+    return pieces.drop("ids", "queue")
+
+
+QUERIES["op7_packing"] = op7_packing
