@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import exact_dedup, id_files, language, packing, secrets
+from phenogrid.llm import exact_dedup, id_files, language, neighbours, packing, resharding, secrets
 from phenogrid.llm.common import table
 from phenogrid.session import new_path
 
@@ -68,3 +68,31 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_packing"] = op7_packing
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES["op2_nearest_neighbours"] = op2_nearest_neighbours
+ORACLES["op2_nearest_neighbours"] = """
+WITH v AS (
+  SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+  GROUP BY vec_id),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 20 shards by hash to 24 of equal bytes."""
+    shards = resharding.reshard(table(spark, sf_dir, "documents"), resharding.hash_layout(20), 24, new_path(spark, "shards"))
+    return resharding.listed(shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES["op3_resharding"] = op3_resharding
