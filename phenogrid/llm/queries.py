@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import exact_dedup, id_files, language, neighbours, packing, resharding, secrets
+from phenogrid.llm import exact_dedup, id_files, language, near_dedup, neighbours, packing, resharding, secrets
 from phenogrid.llm.common import table
 from phenogrid.session import new_path
 
@@ -96,3 +96,10 @@ def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_resharding"] = op3_resharding
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+QUERIES["op4_near_dedup"] = op4_near_dedup
