@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import exact_dedup, id_files, language, near_dedup, neighbours, packing, resharding, secrets
+from phenogrid.llm import exact_dedup, id_files, language, near_dedup, neighbours, packing, pieces, resharding, secrets
 from phenogrid.llm.common import table
 from phenogrid.session import new_path
 
@@ -103,3 +103,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_near_dedup"] = op4_near_dedup
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encoded(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_ids", "ids_crc32", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES["op6_sentencepiece"] = op6_sentencepiece
