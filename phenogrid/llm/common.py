@@ -38,3 +38,13 @@ def salted_groups(rows: DataFrame, keys: list[str], best: Column) -> DataFrame:
     whole = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
     return whole.where("n > 1").select(*keys, F.explode("salts").alias("salt"), "n", "first")
 
+
+
+#: Node numbers of rows without doc_id count down from here.
+LAST_NODE = (1 << 63) - 1
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """node (the doc_id, or a number from the far end for a row without one), known (whether it has one), text."""
+    known = F.col("doc_id").isNotNull()
+    return docs.select("doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST_NODE) - F.monotonically_increasing_id()).alias("node"), known.alias("known"), "text")

@@ -25,15 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import salt_of, salted_groups, stored
+from phenogrid.llm.common import LAST_NODE, nodes, salt_of, salted_groups, stored
 from phenogrid.llm.graph import components
 from phenogrid.llm.shingles import mixed, shingle_set
 
 SIGNED = "node long, known boolean, n_shingles long, klass binary, bands array<long>"
 
-#: Node numbers of rows without doc_id count down from here.
-LAST = (1 << 63) - 1
-
 #: Pivots of a bucket in one trial, trials per member, and trials before the members are compared with each other.
 PIVOTS, TRIALS, ROUNDS = 4, 3, 2
 
@@ -83,12 +80,6 @@ def _sign(batches: Iterator[pd.DataFrame], size: int, bands: Bands) -> Iterator[
         yield pd.DataFrame(rows, columns=["node", "known", "n_shingles", "klass", "bands"])
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """node: the doc_id, or a number from the far end for a row without one."""
-    known = F.col("doc_id").isNotNull()
-    return docs.select("doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST) - F.monotonically_increasing_id()).alias("node"), known.alias("known"), "text")
-
-
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough.
 
@@ -96,7 +87,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     copies, one per part of its partners.
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = _nodes(docs).select("node", "text").join(wanted.hint("merge"), "node", "left_semi")
+    texts = nodes(docs).select("node", "text").join(wanted.hint("merge"), "node", "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,7 +124,7 @@ def _trials(entries: DataFrame, turn: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: Bands | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Linked when the sets' similarity is percent or more."""
     bands = bands or Bands()
-    signed = stored(_nodes(docs).mapInPandas(lambda b: _sign(b, size, bands), SIGNED), "signed").withColumn("salt", salt_of("node"))
+    signed = stored(nodes(docs).mapInPandas(lambda b: _sign(b, size, bands), SIGNED), "signed").withColumn("salt", salt_of("node"))
     copies = stored(salted_groups(signed.where("klass IS NOT NULL"), ["klass"], F.col("node")), "copies")
     first = signed.where("klass IS NOT NULL").join(copies.select("klass", "salt", "first").hint("merge"), ["klass", "salt"], "left").where("first IS NULL OR first = node")
     entries = stored(first.select("node", "n_shingles", F.explode("bands").alias("band")), "entries")
@@ -158,7 +149,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: Ba
     grouped = copies.join(labels.withColumnRenamed("node", "first").hint("merge"), "first", "left").select("klass", "salt", F.coalesce("component", "first").alias("of_class"))
     found = signed.join(grouped.hint("merge"), ["klass", "salt"], "left").join(labels.hint("merge"), "node", "left")
     component = F.coalesce("of_class", "component", "node")
-    real = component <= F.lit(LAST) - F.lit(1 << 62)
+    real = component <= F.lit(LAST_NODE) - F.lit(1 << 62)
     return found.select(
         F.when(F.col("known"), F.col("node")).alias("doc_id"), "n_shingles", F.when(real | F.col("known"), component).alias("component_id"), (F.col("node") == component).alias("kept"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import exact_dedup, id_files, language, near_dedup, neighbours, packing, pieces, resharding, secrets
+from phenogrid.llm import exact_dedup, id_files, language, near_dedup, neighbours, packing, passages, pieces, resharding, secrets
 from phenogrid.llm.common import table
 from phenogrid.session import new_path
 
@@ -111,3 +111,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_sentencepiece"] = op6_sentencepiece
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_repeated_passages"] = op8_repeated_passages
