@@ -39,7 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, end_id=1).drop("ids", "queue")
+    return packing.pack(docs, end_id=1, with_ids=False).drop("ids", "queue")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("secret_scan", secret_scan), ("packing", pack)]

@@ -17,6 +17,7 @@ doc_id, text and source are not read; without a source column there is one queue
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.llm.common import stored
-from phenogrid.llm.id_files import crc32_of
 from phenogrid.llm.tokens import default_vocabulary, encoder
 
 #: Tokens of a window, and windows of a partition.
@@ -114,7 +114,7 @@ def _slice(batches: Iterator[pd.DataFrame], plan: Schedule, width: int) -> Itera
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SLICES.split(", ")])
 
 
-def fill(slices: pd.DataFrame, plan: Schedule, partition: int, window: int, dtype: np.dtype, least: int = LEAST_PIECE) -> pd.DataFrame:
+def fill(slices: pd.DataFrame, plan: Schedule, partition: int, window: int, dtype: np.dtype, with_ids: bool = True, least: int = LEAST_PIECE) -> pd.DataFrame:
     """Windows of one partition by deficit round-robin. ``slices`` are its parts of documents, at most a partition's tokens."""
     ends, total = plan.ends(), plan.total
     queues: dict[int, list] = {}
@@ -125,6 +125,7 @@ def fill(slices: pd.DataFrame, plan: Schedule, partition: int, window: int, dtyp
     credit = {q: plan.totals[q] * before / total - plan.taken(q, partition, ends) for q in order}
     left = {q: sum(r.length for r in queues[q]) for q in order}
     cursor = dict.fromkeys(order, (0, 0))  # slice, ids of it that are packed
+    wide: dict[int, memoryview] = {}
     sequence, rows, turn = partition * (plan.span // window), [], 0
     remaining = sum(left.values())
     while remaining:
@@ -139,8 +140,10 @@ def fill(slices: pd.DataFrame, plan: Schedule, partition: int, window: int, dtyp
             while take:
                 r = queues[q][k]
                 n = min(take, r.length - used)
-                ids = np.frombuffer(r.ids, dtype, n, used * dtype.itemsize)
-                rows.append((r.doc_id, r.start + used, n, crc32_of(ids), r.doc_tokens, sequence, offset, q, ids.tobytes()))
+                if not used:  # once for all pieces of the slice
+                    wide[q] = memoryview(np.frombuffer(r.ids, dtype).astype("<u4").tobytes())
+                ids = r.ids[used * dtype.itemsize : (used + n) * dtype.itemsize] if with_ids else None
+                rows.append((r.doc_id, r.start + used, n, zlib.crc32(wide[q][4 * used : 4 * (used + n)]), r.doc_tokens, sequence, offset, q, ids))
                 offset, take, used = offset + n, take - n, used + n
                 if used == r.length:
                     k, used = k + 1, 0
@@ -162,8 +165,8 @@ def fill(slices: pd.DataFrame, plan: Schedule, partition: int, window: int, dtyp
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, windows: int = WINDOWS, source: str | None = "source") -> DataFrame:
-    """One row per piece: which ids of which document stand where in which sequence, and the ids themselves."""
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, windows: int = WINDOWS, source: str | None = "source", with_ids: bool = True) -> DataFrame:
+    """One row per piece: which ids of which document stand where in which sequence, and, if wanted, the ids themselves."""
     vocabulary = vocabulary or default_vocabulary()
     column = source if source in docs.columns else None
     rows, count = _queues(docs, column)
@@ -189,7 +192,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
         here = F.col("queue") == q
         placed = placed.withColumns({"queue": F.when(here, F.lit(big)).otherwise(F.col("queue")), "at": F.when(here, F.col("at") + shift[q]).otherwise(F.col("at"))})
     slices = placed.mapInPandas(lambda b: _slice(b, plan, dtype.itemsize), SLICES)
-    return slices.groupBy("partition").applyInPandas(lambda key, pdf: fill(pdf, plan, int(key[0]), window, dtype), PIECES)
+    return slices.groupBy("partition").applyInPandas(lambda key, pdf: fill(pdf, plan, int(key[0]), window, dtype, with_ids), PIECES)
 
 
 def sequences(pieces: DataFrame, width: int = 2, pad_id: int = 0, window: int = WINDOW) -> DataFrame:

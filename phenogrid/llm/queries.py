@@ -63,7 +63,7 @@ QUERIES["op1_token_ids"] = op1_token_ids
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), end_id=1)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), end_id=1, with_ids=False)
     return pieces.drop("ids", "queue")
 
 

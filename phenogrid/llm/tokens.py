@@ -30,8 +30,8 @@ def default_vocabulary() -> str:
 class _Memory:
     """Ids of pieces in two generations: when the young one is full it becomes the old one, and what is in use comes back."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int):
-        self.learn, self.most = learn, most
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int, marks: dict[str, bytes] | None = None):
+        self.learn, self.most, self.marks = learn, most, marks or {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -39,12 +39,26 @@ class _Memory:
         out = list(map(self.young.get, keys))
         gaps = [i for i, ids in enumerate(out) if ids is None]
         if gaps:
-            fresh = {keys[i]: self.old.get(keys[i]) for i in gaps}
-            unknown = [k for k, ids in fresh.items() if ids is None]
-            if unknown:
-                fresh.update(zip(unknown, self.learn(unknown), strict=True))
+            fresh, marked, unknown = {}, [], set()
             for i in gaps:
-                out[i] = fresh[keys[i]]
+                key = keys[i]
+                known = self.old.get(key)
+                if known is not None:
+                    fresh[key] = known
+                elif key[-1:] in self.marks and key[-2:-1].isalpha():
+                    marked.append(key)  # the mark is a piece of its own: remember the word without it
+                    if (known := self.young.get(key[:-1]) or self.old.get(key[:-1])) is not None:
+                        fresh[key[:-1]] = known
+                    else:
+                        unknown.add(key[:-1])
+                else:
+                    unknown.add(key)
+            missing = [k for k in unknown if k not in fresh]
+            if missing:
+                fresh.update(zip(missing, self.learn(missing), strict=True))
+            found = {k: fresh[k[:-1]] + self.marks[k[-1]] for k in marked} | fresh
+            for i in gaps:
+                out[i] = found[keys[i]]
             if len(self.young) + len(fresh) > self.most:
                 self.old, self.young = self.young, {}
             self.young.update((k, ids) for k, ids in fresh.items() if len(k) <= 64)
@@ -65,7 +79,8 @@ class Encoder:
         for token, id_ in self.tokenizer.get_vocab().items():
             widths[id_] = len(token)  # the vocabulary writes each byte as one character
         self.widths = widths
-        self.words = _Memory(self._words, remember)
+        marks = dict(zip(".,", self._direct([".", ","]), strict=True))
+        self.words = _Memory(self._words, remember, marks)
         self.pieces = _Memory(self._direct, remember // 4)
 
     def _direct(self, pieces: list[str]) -> list[bytes]:
@@ -77,7 +92,7 @@ class Encoder:
         pieces = [k if k[:1] == "\n" else " " + k for k in keys]
         if any(p[-1] in " \n" for p in pieces):
             return self._direct(pieces)
-        ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, self.dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.cumsum([len(p.encode()) for p in pieces])
         cuts = ((np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.dtype.itemsize).tolist()
         raw = ids.tobytes()
