@@ -26,13 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import LAST_NODE, nodes, salt_of, stored
+from phenogrid.llm.common import LAST_NODE, nodes, salt_of, ship, stored
 from phenogrid.llm.shingles import mixed, shingle_sequence, word_hashes
 
 SHINGLE = 5
 
 #: Hash functions, and how many of them must share windows around a place.
-HASHES, ENOUGH = 4, 1
+HASHES, ENOUGH = 5, 2
 
 FOUND = "node long, start long, end long, first_node long, first_start long, first_end long, similarity double"
 
@@ -154,6 +154,7 @@ def _verify(batches: Iterator[pd.DataFrame], least: int, percent: int, enough: i
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """One row per passage of ``words`` words or more that an earlier document (smaller doc_id) also has:
     doc_id, start, end (words, end exclusive), first_id, first_start, first_end, similarity."""
+    ship(docs.sparkSession)
     least = words - SHINGLE + 1
     rows = nodes(docs).select("node", "text")
     windows = stored(rows.mapInPandas(lambda b: _windows(b, least, hashes), "key long, node long, span long"), "windows")
