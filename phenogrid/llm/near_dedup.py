@@ -6,8 +6,9 @@ Bands of ``rows`` values, all minima or all maxima, are bucket keys. With 25 gro
 sets of similarity 0.8 share none with probability (1 - 0.8^5)^50, about 2e-9, and more similar ones far less.
 
 Links are confirmed on full shingle sets. Documents of equal sets are one class, and only classes meet in buckets. A bucket
-never lists its pairs: a few pivots are tried first, confirmed links make components, and only members of a bucket that are
-still in different components are compared with each other. What is left out is connected already.
+never lists its pairs: a few pivots are tried first, confirmed links make components, and only in buckets whose members are
+still in different components all are compared, in tiles that hand on no more links than join components. What is left
+out is connected already.
 
 Edge cases: a text without words, or null, has no shingles and links with nothing, not even another one. Fewer words than
 a shingle make one shingle of all. A null doc_id ranks behind all others and is reported as null. Rows that repeat a
@@ -25,14 +26,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import LAST_NODE, nodes, salt_of, salted_groups, stored
+from phenogrid.llm.common import LAST_NODE, nodes, salt_of, salted_groups, ship, stored
 from phenogrid.llm.graph import components
 from phenogrid.llm.shingles import mixed, shingle_set
 
 SIGNED = "node long, known boolean, n_shingles long, klass binary, bands array<long>"
 
-#: Pivots of a bucket in one trial, trials per member, and trials before the members are compared with each other.
-PIVOTS, TRIALS, ROUNDS = 4, 3, 2
+#: Pivots of a bucket, and how many a member is compared with at first.
+PIVOTS, TRIALS = 4, 3
+
+#: Members up to which a bucket is paired, and members of a lane of a larger one.
+PAIRED, LANE = 16, 256
 
 
 @dataclass(frozen=True)
@@ -80,20 +84,22 @@ def _sign(batches: Iterator[pd.DataFrame], size: int, bands: Bands) -> Iterator[
         yield pd.DataFrame(rows, columns=["node", "known", "n_shingles", "klass", "bands"])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough.
-
-    Only the texts that occur in pairs are cut into shingles again. A node with many partners is handed out in salted
-    copies, one per part of its partners.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Full shingle sets of the wanted nodes (node, shingles), stored. Other texts are not cut again."""
     texts = nodes(docs).select("node", "text").join(wanted.hint("merge"), "node", "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, size).view(np.int64) for t in batch["text"]]})
 
-    sets = stored(texts.mapInPandas(cut, "node long, shingles array<long>"), "sets")
+    return stored(texts.mapInPandas(cut, "node long, shingles array<long>"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are similar enough.
+
+    A node with many partners is handed out in salted copies, one per part of its partners.
+    """
     salted = pairs.withColumn("salt", salt_of("b"))
     left = salted.select("a", "salt").distinct().join(sets.withColumnsRenamed({"node": "a", "shingles": "left"}).hint("merge"), "a")
     right = salted.join(sets.withColumnsRenamed({"node": "b", "shingles": "right"}).hint("merge"), "b")
@@ -102,20 +108,79 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.where(100 * shared >= percent * (F.size("left") + F.size("right") - shared)).select("a", "b").distinct()
 
 
+def tile_links(members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between members of different components in one tile of a bucket, only as many as join components.
+
+    Intersections of all pairs are one matrix product over the shingles that occur twice or more.
+    """
+    links, i, j = [], members["i"].iloc[0], members["j"].iloc[0]
+    members = members.sort_values("node").reset_index(drop=True)
+    sizes = np.array([len(x) for x in members["shingles"]])
+    numbers, counts = np.unique(np.concatenate(members["shingles"].to_list()), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(len(members)), sizes)
+    common = counts[numbers] > 1
+    column = (np.cumsum(counts > 1) - 1)[numbers[common]]
+    owner, width = owner[common], int((counts > 1).sum())
+    left, right = np.flatnonzero(members["lane"] == i), np.flatnonzero(members["lane"] == j)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, width, 4096):
+        here = (column >= start) & (column < start + 4096)
+        block = np.zeros((len(members), min(4096, width - start)), np.float32)
+        block[owner[here], column[here] - start] = 1
+        shared += block[left] @ block[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - shared
+    component, parent = members["component"].to_numpy(), {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    node = members["node"].to_numpy()
+    for x, y in zip(*np.nonzero(100 * shared >= percent * union), strict=True):
+        a, b = root(component[left[x]]), root(component[right[y]])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((min(node[left[x]], node[right[y]]), max(node[left[x]], node[right[y]])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _rest(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside buckets whose members are in different components still.
+
+    Members of a small bucket are paired. A larger one is cut into lanes, and each pair of lanes is a tile with the
+    members' full sets: a task never holds more than two lanes, and hands on only links that join components.
+    """
+    sized = entries.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    split = stored(entries.join(sized.where("low < high").select("band", "members").hint("merge"), "band"), "split")
+    small = split.where(F.col("members") <= PAIRED)
+    other = small.select("band", F.col("node").alias("a"), F.col("n_shingles").alias("size"), F.col("component").alias("other"))
+    apart = (F.col("a") < F.col("node")) & (F.col("component") != F.col("other")) & _similar_size(F.col("size"), F.col("n_shingles"), percent)
+    pairs = small.join(other.hint("merge"), "band").where(apart).select("a", F.col("node").alias("b")).distinct()
+    lanes = F.ceil(F.col("members") / LANE).cast("int")
+    lane = F.pmod(F.xxhash64("node"), lanes).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("lanes") - 1), lambda x: F.struct(F.least(x, F.col("lane")).alias("i"), F.greatest(x, F.col("lane")).alias("j")))
+    large = split.where(F.col("members") > PAIRED).select("band", "node", "component", lanes.alias("lanes"), lane.alias("lane"))
+    placed = large.select("band", "node", "component", "lane", F.explode(tiles).alias("tile")).select("band", "node", "component", "lane", "tile.*")
+    held = placed.join(sets.hint("merge"), "node")
+    tiled = held.groupBy("band", "i", "j").applyInPandas(lambda pdf: tile_links(pdf, percent), "a long, b long")
+    return _confirm(stored(pairs, "pairs"), sets, percent).union(tiled).distinct()
+
+
 def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _trials(entries: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member with the pivots that share most buckets with it, at most ``TRIALS``; a pivot is of another component.
+def _trials(entries: DataFrame, percent: int) -> DataFrame:
+    """Each member with the pivots that share most buckets with it, at most ``TRIALS``.
 
-    A bucket's pivots are the first members of each hash class, in an order that changes with the turn.
+    A bucket's pivots are the smallest members of each hash class.
     """
-    order = F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "n_shingles", "component")
+    order = F.struct("node", "n_shingles")
     lane = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
     pivots = stored(entries.groupBy("band", lane.alias("lane")).agg(F.min(order).alias("p"), F.count("*").alias("n")), "pivots")
-    pivots = pivots.select("band", F.col("p.node").alias("a"), F.col("p.n_shingles").alias("size"), F.col("p.component").alias("other"))
-    met = entries.join(pivots.hint("merge"), "band").where((F.col("component") != F.col("other")) & _similar_size(F.col("size"), F.col("n_shingles"), percent))
+    pivots = pivots.select("band", F.col("p.node").alias("a"), F.col("p.n_shingles").alias("size"))
+    met = entries.join(pivots.hint("merge"), "band").where((F.col("node") > F.col("a")) & _similar_size(F.col("size"), F.col("n_shingles"), percent))
     counts = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
     best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TRIALS).select("a", "b")
@@ -123,6 +188,7 @@ def _trials(entries: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: Bands | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Linked when the sets' similarity is percent or more."""
+    ship(docs.sparkSession)
     bands = bands or Bands()
     signed = stored(nodes(docs).mapInPandas(lambda b: _sign(b, size, bands), SIGNED), "signed").withColumn("salt", salt_of("node"))
     copies = stored(salted_groups(signed.where("klass IS NOT NULL"), ["klass"], F.col("node")), "copies")
@@ -130,22 +196,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: Ba
     entries = stored(first.select("node", "n_shingles", F.explode("bands").alias("band")), "entries")
     crowded = stored(entries.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band"), "crowded")
     entries = stored(entries.join(crowded.hint("merge"), "band", "left_semi").withColumn("component", F.col("node")), "entries")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    labels = None
-    for turn in range(ROUNDS + 1):
-        if turn:
-            named = labels.withColumnRenamed("component", "found")
-            entries = entries.join(named.hint("merge"), "node", "left").withColumn("component", F.coalesce("found", "component")).drop("found")
-            split = entries.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-            entries = stored(entries.join(split.hint("merge"), "band", "left_semi"), "entries")
-        if turn < ROUNDS:
-            pairs = _trials(entries, turn, percent)
-        else:  # members still apart, each pair once
-            other = entries.select("band", F.col("node").alias("a"), F.col("n_shingles").alias("size"), F.col("component").alias("other"))
-            apart = (F.col("a") < F.col("node")) & (F.col("component") != F.col("other")) & _similar_size(F.col("size"), F.col("n_shingles"), percent)
-            pairs = entries.join(other.hint("merge"), "band").where(apart).select("a", F.col("node").alias("b")).distinct()
-        links = stored(links.union(_confirm(stored(pairs, "pairs"), docs, size, percent)), "links")
-        labels = components(links)
+    sets = _shingle_sets(docs, entries.select("node").distinct(), size)
+    links = stored(_confirm(stored(_trials(entries, percent), "pairs"), sets, percent), "links")
+    labels = components(links)
+    named = labels.withColumnRenamed("component", "found")
+    entries = entries.join(named.hint("merge"), "node", "left").withColumn("component", F.coalesce("found", "component")).drop("found")
+    more = stored(_rest(entries, sets, percent), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     grouped = copies.join(labels.withColumnRenamed("node", "first").hint("merge"), "first", "left").select("klass", "salt", F.coalesce("component", "first").alias("of_class"))
     found = signed.join(grouped.hint("merge"), ["klass", "salt"], "left").join(labels.hint("merge"), "node", "left")
     component = F.coalesce("of_class", "component", "node")
