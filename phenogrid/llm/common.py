@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,23 @@ def nodes(docs: DataFrame) -> DataFrame:
     """node (the doc_id, or a number from the far end for a row without one), known (whether it has one), text."""
     known = F.col("doc_id").isNotNull()
     return docs.select("doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST_NODE) - F.monotonically_increasing_id()).alias("node"), known.alias("known"), "text")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to Spark once per application, so that Python workers anywhere can import it.
+
+    Spark serves the archive to the executors itself; nobody else reads the driver's copy.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenogrid.llm import elias_fano
+from phenogrid.llm.common import ship
 from phenogrid.llm.tokens import default_vocabulary, encoder
 
 SEGMENTS = "part int, segment int, part_start long, n_docs int, n_ids long, width int, nulls int, first_id long, doc_ids binary, ends binary, ids binary"
@@ -75,6 +76,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
 
     Texts are dealt out by ranges of doc_id, so that parts follow each other in that order; each is encoded once.
     """
+    ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # As text, a doc_id keeps all its digits where others of its batch are null.
@@ -123,6 +125,7 @@ class Segment:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a file set, with the checksum of its ids as they stand in the file."""
+    ship(spark)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

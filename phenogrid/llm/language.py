@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenogrid.llm.common import ship
+
 UNKNOWN = "und"
 
 PREDICTION = "lang_pred string, score double, margin double, rejected boolean"
@@ -103,6 +105,8 @@ def judge(model: Model, text: str | None) -> tuple[str, float, float, bool]:
 def predicted(docs: DataFrame, model: Model, into: str = "prediction") -> DataFrame:
     """``docs`` with a struct column lang_pred, score, margin, rejected."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf(PREDICTION)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

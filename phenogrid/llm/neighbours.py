@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import stored
+from phenogrid.llm.common import ship, stored
 
 #: Rows of a tile's two sides.
 QUERIES_PER_BLOCK, VECTORS_PER_BLOCK = 1024, 4096
@@ -81,6 +81,7 @@ def tile(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", per_query: int = QUERIES_PER_BLOCK, per_block: int = VECTORS_PER_BLOCK) -> DataFrame:
     """For each row that ``queries`` selects (a condition on ``vec_id``), its k nearest other rows: query_id, rank, vec_id, score."""
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     rows = stored(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")), "vectors")
     counts = rows.agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).first()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import stored
+from phenogrid.llm.common import ship, stored
 from phenogrid.llm.tokens import default_vocabulary, encoder
 
 #: Tokens of a window, and windows of a partition.
@@ -167,6 +167,7 @@ def fill(slices: pd.DataFrame, plan: Schedule, partition: int, window: int, dtyp
 
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, windows: int = WINDOWS, source: str | None = "source", with_ids: bool = True) -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence, and, if wanted, the ids themselves."""
+    ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     column = source if source in docs.columns else None
     rows, count = _queues(docs, column)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phenogrid.llm.common import ship
+
 SPACE = "▁"
 
 ENCODED = "doc_id string, n_ids long, ids binary, ids_crc32 long, decoded string"
@@ -230,6 +232,7 @@ def codec(path: str) -> Codec:
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_ids, ids (little-endian), ids_crc32 (of unsigned 32-bit ids), decoded text."""
+    ship(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
