@@ -26,12 +26,15 @@ SELECT shard, sci, cell, CAST(count(*) AS BIGINT) AS records FROM (
   SELECT {ref.SHARD_CASE} AS shard, CASE WHEN sci IN ('Species 3', 'Species 12') THEN NULL ELSE sci END AS sci, lat0 || '_' || lng0 AS cell, l_orderkey FROM rec)
 WHERE sci IS NOT NULL AND (shard NOT IN ('europe', 'americas') OR l_orderkey % 2 = 0) GROUP BY ALL"""))
 def st01(spark, sf):
-    """A first drop of every shard, then a second of two shards with fewer records, as a stream."""
+    """A first drop that arrives in two runs, then a second version of two shards with fewer records, as a stream."""
     drops, tables = new_path(spark, "drops"), new_path(spark, "current")
     records = b.records(spark, sf)
-    shard_drops.write_drop(counting.count_records(records), drops, 1)
+    state = new_path(spark, "stream")
+    for part in (F.col("l_linenumber") <= 2, F.col("l_linenumber") > 2):
+        shard_drops.write_drop(counting.count_records(records.where(part)), drops, 1)
+        shard_drops.ingest(spark, drops, tables, state, b.SENSITIVE)
     later = counting.count_records(records.where(F.col("l_orderkey") % 2 == 0))
     shard_drops.write_drop(shard_drops.with_shard(later).where(F.col("shard").isin("europe", "americas")).drop("shard"), drops, 2)
-    shard_drops.ingest(spark, drops, tables, new_path(spark, "stream"), b.SENSITIVE)
+    shard_drops.ingest(spark, drops, tables, state, b.SENSITIVE)
     pairs = files.shard_table(spark, f"{tables}/pairs")
     return pairs.select("shard", "sci", "cell", months.wide_total("c").alias("records"))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from phenogrid.catalog import reference_sql as ref
 from phenogrid.catalog.registry import query
-from phenogrid.functions import months
+from phenogrid.functions import grid, months
 from phenogrid.operators import counting, documents, drill, naming, presence, quality
+from phenogrid.plans import detail
 from phenogrid.rules import CoverageRules, DrillRules, QualityWindow
+from phenogrid.session import new_path
 from phenogrid.sources import bindings as b
 from phenogrid.sources import files
 
@@ -86,6 +88,19 @@ def a19(spark, sf):
     return counting.effort_for_cells(masked, cells).select("cell", *months.wide("t", "t"))
 
 
+@query("a19_effort_by_class", ref.occ(f"""
+SELECT class, cell, {ref.pivot('n', 't')} FROM (SELECT class, lat0 || '_' || lng0 AS cell, month, count(*) AS n FROM rec GROUP BY ALL) GROUP BY class, cell"""))
+def a19_class(spark, sf):
+    counted = class_counts(b.records(spark, sf))
+    return counting.effort_by_class(counted, counting.with_cell(counted)).select("class", "cell", *months.wide("t", "t"))
+
+
+def class_counts(records):
+    """Month counts that keep the class of the records."""
+    south, west = grid.snap_lat(F.col("lat")).alias("lat0"), grid.snap_lng(F.col("lng")).alias("lng0")
+    return records.groupBy("sci", "specieskey", "class", "month", south, west).agg(F.count("*").alias("n"))
+
+
 @query("a31_drill_down", ref.occ(f"""
 SELECT f.sci, f.lat0 || '_' || f.lng0 AS cell, {ref.pivot('f.n', 'c', 'f.month')}, CAST(sum(f.n) AS BIGINT) AS records
 FROM (SELECT n.*, l5 AS a5, g5 AS b5 FROM named n) f
@@ -177,3 +192,39 @@ def q05(spark, sf):
 def _with_rows(report, rows):
     one = F.lit(1).alias("_one")
     return report.select("*", one).join(rows.agg(F.count("*").alias("rows")).select("*", one), "_one").drop("_one")
+
+
+DETAIL = f"""
+fx AS (SELECT lat0 || '_' || lng0 AS cell, month, specieskey AS key, sum(n) AS n FROM counts GROUP BY ALL),
+full_cells AS (SELECT cell FROM fx GROUP BY cell HAVING count(DISTINCT month) = 12),
+dsrc AS (SELECT key, cell, month, n FROM fx WHERE key IS NOT NULL AND cell IN (SELECT cell FROM full_cells)),
+{ref.labels("d", "key", "dsrc").strip()},
+cx AS (SELECT *, CASE WHEN sp % 2 = 0 THEN 'Aves' ELSE 'Reptilia' END || '|' || lat0 || '_' || lng0 AS place FROM rec),
+wsrc AS (SELECT specieskey AS key, place AS cell, month, count(*) AS n FROM cx WHERE sci IN ('Species 1', 'Species 2', 'Species 5') GROUP BY ALL),
+weffort AS (SELECT c.cell, c.lat0, c.lng0, m.month, CAST(coalesce(sum(x.n), 0) AS BIGINT) AS t FROM (SELECT DISTINCT place AS cell, lat0, lng0 FROM cx) c CROSS JOIN mon m
+  LEFT JOIN (SELECT place, month, count(*) AS n FROM cx GROUP BY ALL) x ON x.place = c.cell AND x.month = m.month GROUP BY ALL),
+{ref.labels("w", "key", "wsrc").strip().replace("JOIN effort e", "JOIN weffort e")},
+wide AS (SELECT key, split_part(cell, '|', 2) AS cell, month, p, r FROM wl),
+allrows AS (SELECT * FROM wide UNION ALL SELECT key, cell, month, p, r FROM dl WHERE (key, cell) NOT IN (SELECT key, cell FROM wide))"""
+
+
+@query("x02_detail_build", ref.occ("""
+SELECT key AS k, cell, p, string_agg(CAST(round(round(r, 4) * 10000) AS BIGINT), ',' ORDER BY month) AS rates, any_value(n) AS cells
+FROM allrows JOIN (SELECT key, count(DISTINCT cell) AS n FROM allrows GROUP BY key) USING (key) GROUP BY key, cell, p""", DETAIL))
+def x02_detail(spark, sf):
+    """A region with worldwide ranges of species of two classes, which share cells and differ in their effort."""
+    records = b.records(spark, sf).withColumn("class", F.when(F.col("sp") % 2 == 0, "Aves").otherwise("Reptilia"))
+    counted = class_counts(records)
+    path = new_path(spark, "facets")
+    bodies = counting.with_cell(counted).groupBy("cell", "month", "specieskey").agg(F.sum("n").alias("n")).groupBy("cell", "month").agg(
+        F.sum("n").alias("count"), F.map_from_entries(F.collect_list(F.when(F.col("specieskey").isNotNull(), F.struct("specieskey", "n")))).alias("species"),
+    )
+    bodies.select("cell", "count", "species", F.format_string("m%02d", F.col("month")).alias("mm")).write.partitionBy("mm").json(path)
+    featured = counting.with_cell(counted.where(F.col("sci").isin(*b.FEATURED)))
+    cells = featured.groupBy("sci", "cell").agg(months.sum_by_month("n").alias("c"))
+    keys = featured.groupBy("sci").agg(F.min("specieskey").alias("key"))
+    ranges = detail.with_own_effort(cells, counted).join(keys, "sci").withColumns({"common": F.lit(""), "family": F.lit("")})
+    made = detail.build(files.facet_files(spark, path), b.names(spark, sf), ranges)
+    flat = made["species"].select("k", F.explode("cells").alias("cell", "v"))
+    rates = F.array_join(F.transform("v.r", lambda r: F.round(r * 10000).cast("long").cast("string")), ",")
+    return flat.select("k", "cell", "v.p", rates.alias("rates")).join(made["species_index"].select(F.col("key").alias("k"), "cells"), "k")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.catalog import reference_sql as ref
 from phenogrid.catalog.registry import query
-from phenogrid.functions import grid, months, text
+from phenogrid.functions import grid, months
 from phenogrid.operators import counting, documents, naming, presence, profiles
 from phenogrid.sources import bindings as b
 
@@ -29,12 +29,11 @@ def j03(spark, sf):
 
 @query("j04_cells_without_species", ref.by_key("""
 SELECT e.cell, CAST(sum(e.t) AS BIGINT) AS records, coalesce(max(k.n), 0) AS species
-FROM effort e LEFT JOIN (SELECT cell, count(*) AS n FROM kp WHERE lat0 % 2 = 0 GROUP BY cell) k ON k.cell = e.cell GROUP BY e.cell"""))
+FROM effort e LEFT JOIN (SELECT cell, count(*) AS n FROM kp GROUP BY cell) k ON k.cell = e.cell GROUP BY e.cell"""))
 def j04(spark, sf):
     """Cells whose species are all unnamed still get a document, with an empty list."""
     labelled, effort = b.labelled(spark, sf)
-    some = labelled.where(grid.whole_lat() % 2 == 0)
-    docs = documents.cell_documents(some, effort)
+    docs = documents.cell_documents(labelled, effort)
     return docs.select(F.col("id").alias("cell"), months.total("total").alias("records"), F.size("species").cast("long").alias("species"))
 
 
@@ -164,13 +163,12 @@ def e18(spark, sf):
 
 
 @query("e17_english_names", """
-SELECT user_id, event_id // 1000 AS batch, coalesce(arg_min(name, event_id) FILTER (WHERE lang IN ('eng', 'en') AND name <> ''), '') AS name
-FROM (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'eng' WHEN 'view' THEN 'fra' WHEN 'error' THEN 'en' ELSE 'deu' END AS lang, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'N' || event_id END AS name FROM events) GROUP BY user_id, event_id // 1000""")
+SELECT user_id, coalesce(arg_min(name, event_id) FILTER (WHERE lang IN ('eng', 'en') AND name <> ''), '') AS name
+FROM (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'eng' WHEN 'view' THEN 'fra' WHEN 'error' THEN 'en' ELSE 'deu' END AS lang, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'N' || event_id END AS name FROM events) GROUP BY user_id""")
 def e17(spark, sf):
-    """Name lists of a user's events, a thousand events at a time."""
+    """The first English name among a user's events."""
     kind = F.col("event_type")
     language = F.when(kind == "click", "eng").when(kind == "view", "fra").when(kind == "error", "en").otherwise("deu")
     name = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit("N"), F.col("event_id").cast("string")))
-    batch = F.floor(F.col("event_id") / 1000).cast("long").alias("batch")
-    listed = b.table(spark, sf, "events").groupBy("user_id", batch).agg(F.array_sort(F.collect_list(F.struct("event_id", name.alias("name"), language.alias("language")))).alias("v"))
-    return listed.select("user_id", "batch", text.english_name(F.col("v")).alias("name"))
+    named = b.table(spark, sf, "events").select("user_id", "event_id", name.alias("name"), language.alias("language"))
+    return naming.english_names(named, "user_id", "event_id")

@@ -9,10 +9,11 @@ from phenogrid.catalog.registry import query
 from phenogrid.catalog.scans import admin_dump
 from phenogrid.functions import text
 from phenogrid.operators import places, profiles
+from phenogrid.plans import products
 from phenogrid.rules import STATUS, UNITS
 from phenogrid.session import new_path
 from phenogrid.sources import bindings as b
-from phenogrid.sources import files, sinks
+from phenogrid.sources import files
 
 
 def _places(spark, sf):
@@ -206,9 +207,9 @@ def e14(spark, sf):
 
 
 @query("e15_stripped_html", r"""
-SELECT page_id, md5(trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS digest FROM pages""")
+SELECT page_id, md5(concat(ltrim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), ' ééé¬it; &lt; €&zzz; x')) AS digest FROM pages""")
 def e15(spark, sf):
-    return b.table(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("digest"))
+    return b.table(spark, sf, "pages").select("page_id", F.md5(text.strip_html(F.concat("html", F.lit(" &eacute;&#233;&#xE9;&notit; &amp;lt; &#128;&zzz; <i>x</i>&nbsp;")))).alias("digest"))
 
 
 @query("e15_untracked_urls", """
@@ -273,7 +274,7 @@ def _profiles(spark, sf):
     number = F.regexp_extract("item", r"(\d+)", 1).cast("long") - 1
     entity = part.select((F.col("p_partkey")).alias("_n"), F.col("p_name").alias("label"), F.col("p_brand").alias("title"))
     found = profiles.resolve_items(species, stated, articles, "P846", "P225").withColumn("_n", number)
-    items = found.join(entity, "_n").select("sci", "item", "_n", "label", "title", F.lit("").alias("common"), F.lit("Backup").alias("family"))
+    items = found.join(entity, "_n").select("sci", "item", "_n", "label", "title", F.lit("").alias("common"), F.lit("Backup").alias("family"), F.concat(F.lit("about "), "label").alias("description"))
     chain = profiles.taxon_chain(b.taxa(spark, sf)).withColumn("item", F.concat(F.lit("Q"), (F.col("node") + 1).cast("string"))).drop("node")
     docs = b.table(spark, sf, "documents").select(F.col("doc_id").alias("_n"), F.col("text").alias("extract"))
     pages = items.join(docs, "_n").select(
@@ -283,15 +284,17 @@ def _profiles(spark, sf):
         F.concat(F.lit("Q"), (F.col("page_id") % 150 + 1).cast("string")).alias("item"), F.col("page_id").alias("pos"), "url", F.concat("url", F.lit("?t")).alias("thumb"),
         F.when(F.col("page_id") % 4 != 0, "CC BY").otherwise("").alias("license"), F.lit("").alias("caption"),
     )
-    photos = profiles.first_images(profiles.licensed(media))
     measured = part.select(
         F.concat(F.lit("Q"), (F.col("p_partkey") + 1).cast("string")).alias("item"), F.when(F.col("p_size") % 2 == 0, "mass").otherwise("length").alias("prop"),
         F.col("p_partkey").alias("pos"), F.lit("normal").alias("rank"), F.lit("Q41803").alias("unit"), F.col("p_retailprice").alias("amount"),
         F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
     )
     aliases = part.select(F.concat(F.lit("Q"), (F.col("p_partkey") + 1).cast("string")).alias("item"), F.lit(0).alias("pos"), F.col("p_type").alias("alias"))
-    names = profiles.other_names(aliases, items.select("item", F.col("label").alias("name")))
-    return profiles.assemble(items, chain, profiles.intros(pages), photos, profiles.quantity_ranges(measured), names)
+    status = part.select(
+        F.concat(F.lit("Q"), (F.col("p_partkey") + 1).cast("string")).alias("item"), F.lit("P141").alias("prop"), F.lit(0).alias("pos"), F.lit("normal").alias("rank"),
+        F.element_at(F.array(F.lit("Q0"), *[F.lit(s) for s in STATUS]), (F.col("p_size") % 9 + 1).cast("int")).alias("value"),
+    )
+    return products.build_profiles(items, chain, pages, media, measured, status, aliases, "see each image")
 
 
 WHOLE = """
@@ -302,12 +305,15 @@ ph AS (SELECT 'Q' || (page_id % 150 + 1) AS item, url, row_number() OVER (PARTIT
 @query("a37_profiles", ref.sql("""
 SELECT lower(replace(i.sci, ' ', '-')) AS slug, i.sci AS scientific, upper(left(p.p_name, 1)) || substr(p.p_name, 2) AS name, i.item AS qid,
   coalesce(list_filter(list_transform(string_split(d.text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1], '') AS extract,
-  (SELECT count(*) FROM ph WHERE ph.item = i.item AND place <= 3) AS photos, CASE WHEN p.p_size % 2 = 0 THEN round(p.p_retailprice, 1) END AS mass_lo, CASE WHEN p.p_size % 2 = 1 THEN round(p.p_retailprice, 1) END AS length_hi, p.p_type AS other_name
+  (SELECT count(*) FROM ph WHERE ph.item = i.item AND place <= 3) AS photos, CASE WHEN p.p_size % 2 = 0 THEN round(p.p_retailprice, 1) END AS mass_lo, CASE WHEN p.p_size % 2 = 1 THEN round(p.p_retailprice, 1) END AS length_hi, p.p_type AS other_name,
+  'about ' || p.p_name AS description, CASE p.p_size % 9 WHEN 1 THEN 'LC' WHEN 2 THEN 'NT' WHEN 3 THEN 'VU' WHEN 4 THEN 'EN' WHEN 5 THEN 'CR' WHEN 6 THEN 'EW' WHEN 7 THEN 'EX' WHEN 8 THEN 'DD' END AS status,
+  'entity ' || i.item || CASE WHEN d.doc_id IS NOT NULL THEN ',article wiki/' || i.item ELSE '' END AS sources, 'see each image' AS licence_note
 FROM it i JOIN part p ON p.p_partkey = i.num LEFT JOIN documents d ON d.doc_id = i.num""", ENTITIES, WHOLE))
 def a37(spark, sf):
     return _profiles(spark, sf).select(
         "slug", "scientific", "name", "qid", "extract", F.coalesce(F.size("images"), F.lit(0)).cast("long").alias("photos"),
         F.col("facts.mass.lo").alias("mass_lo"), F.col("facts.length.hi").alias("length_hi"), F.get("other_names", F.lit(0)).alias("other_name"),
+        "description", F.col("facts.status.code").alias("status"), F.array_join(F.transform("sources", lambda x: F.concat_ws(" ", x["label"], x["at"])), ",").alias("sources"), "licence_note",
     )
 
 
@@ -322,6 +328,4 @@ def a37_taxonomy(spark, sf):
 SELECT lower(replace(i.sci, ' ', '-')) AS slug, upper(left(p.p_name, 1)) || substr(p.p_name, 2) AS name, i.sci, (SELECT url || '?t' FROM ph WHERE ph.item = i.item AND place = 1) AS thumb
 FROM it i JOIN part p ON p.p_partkey = i.num""", ENTITIES, WHOLE))
 def sk10(spark, sf):
-    path = new_path(spark, "profile_index")
-    sinks.write_small(profiles.profile_index(_profiles(spark, sf)), path)
-    return spark.read.schema("slug string, name string, sci string, thumb string").json(path)
+    return products.profiles(_profiles(spark, sf), new_path(spark, "profiles"))

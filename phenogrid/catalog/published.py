@@ -7,8 +7,11 @@ from pyspark.sql.window import Window
 
 from phenogrid.catalog import reference_sql as ref
 from phenogrid.catalog.registry import query
-from phenogrid.functions import months, text
+from phenogrid.functions import grid, months, text
 from phenogrid.operators import counting, documents
+from phenogrid.plans import world
+from phenogrid.rules import SHARDS
+from phenogrid.session import new_path
 from phenogrid.sources import bindings as b
 
 
@@ -20,36 +23,53 @@ def a10(spark, sf):
     return documents.species_index(labelled, b.names(spark, sf))
 
 
-@query("a11_cell_documents", ref.by_key("""
-SELECT e.cell AS id, CAST(0 AS INTEGER) AS part, array_to_string(list(e.t ORDER BY e.month), ',') AS total, coalesce(max(d.species), '[]') AS species
+CELL_DOCUMENTS = ref.by_key("""
+SELECT e.cell AS id, array_to_string(list(e.t ORDER BY e.month), ',') AS total, coalesce(max(d.species), '[]') AS species
 FROM effort e LEFT JOIN (
   SELECT cell, CAST(to_json(list({'k': key, 'c': c, 'p': p, 'm': m} ORDER BY key)) AS VARCHAR) AS species FROM (
     SELECT cell, key, p, list(c ORDER BY month) AS c, list(CAST(present AS INTEGER) ORDER BY month) AS m FROM kl GROUP BY cell, key, p) GROUP BY cell) d ON d.cell = e.cell
-GROUP BY e.cell"""))
+GROUP BY e.cell""")
+
+
+@query("a11_cell_documents", CELL_DOCUMENTS)
 def a11(spark, sf):
     labelled, effort = b.labelled(spark, sf)
     docs = documents.cell_documents(labelled, effort)
-    return docs.select("id", "part", F.array_join(F.col("total").cast("array<string>"), ",").alias("total"), F.to_json("species").alias("species"))
+    return docs.select("id", F.array_join(F.col("total").cast("array<string>"), ",").alias("total"), F.to_json("species").alias("species"))
 
 
-@query("a12_species_documents", ref.ranged("""
-SELECT key AS k, CAST(0 AS INTEGER) AS part, string_agg(cell || ':' || p || ':' || u, ';' ORDER BY cell) AS cells FROM (
-  SELECT key, cell, p, string_agg(CAST(u AS VARCHAR), ',' ORDER BY month) AS u FROM rl GROUP BY key, cell, p) GROUP BY key"""))
-def a12(spark, sf):
-    labelled, _ = b.labelled(spark, sf)
-    docs = documents.species_documents(labelled)
+SPECIES_DOCUMENTS = ref.ranged("""
+SELECT key AS k, string_agg(cell || ':' || p || ':' || u, ';' ORDER BY cell) AS cells FROM (
+  SELECT key, cell, p, string_agg(CAST(u AS VARCHAR), ',' ORDER BY month) AS u FROM rl GROUP BY key, cell, p) GROUP BY key""")
+
+
+def flat_species(docs):
     flat = F.transform(F.array_sort(F.map_entries("cells")), lambda e: F.concat_ws(
         ":", e["key"], e["value"]["p"], F.array_join(F.transform(e["value"]["r"], lambda r: F.round(r * 10000).cast("long").cast("string")), ",")
     ))
-    return docs.select("k", "part", F.array_join(flat, ";").alias("cells"))
+    return docs.select("k", F.array_join(flat, ";").alias("cells"))
+
+
+@query("a12_species_documents", SPECIES_DOCUMENTS)
+def a12(spark, sf):
+    labelled, _ = b.labelled(spark, sf)
+    return flat_species(documents.species_documents(labelled))
 
 
 @query("a33_coverage_manifest", ref.occ(f"""
-SELECT CAST(s.ord AS INTEGER) AS ord, s.id, s.name, CASE WHEN m.records IS NULL THEN 'pending' ELSE 'loaded' END AS status, m.records, m.cells, m.species
-FROM (VALUES (0, 'south-asia', 'South Asia'), (1, 'africa', 'Africa and Arabia'), (2, 'europe', 'Europe and the Middle East'), (3, 'east-asia', 'East, Southeast and North Asia'), (4, 'americas', 'The Americas'), (5, 'oceania', 'Oceania and the southern oceans')) s(ord, id, name)
+SELECT CAST(s.ord AS INTEGER) AS ord, s.id, s.name, s.boxes, CASE WHEN m.records IS NULL THEN 'pending' ELSE 'loaded' END AS status, m.records, m.cells, m.species,
+  CASE WHEN m.records IS NOT NULL THEN '2026-01-0' || (s.ord + 1) END AS built, CASE WHEN m.records IS NOT NULL AND s.ord % 2 = 0 THEN '10.0/' || s.id END AS doi
+FROM (VALUES (0, 'south-asia', 'South Asia', '0 40 60 100'), (1, 'africa', 'Africa and Arabia', '-90 38 -30 60'), (2, 'europe', 'Europe and the Middle East', '38 90 -30 60'), (3, 'east-asia', 'East, Southeast and North Asia', '0 90 100 180;40 90 60 100'), (4, 'americas', 'The Americas', '-90 90 -180 -30'), (5, 'oceania', 'Oceania and the southern oceans', '-90 0 60 180')) s(ord, id, name, boxes)
 LEFT JOIN (SELECT {ref.SHARD_CASE} AS shard, CAST(sum(n) AS BIGINT) AS records, count(DISTINCT cell) AS cells, count(DISTINCT sci) AS species FROM masked GROUP BY 1) m ON m.shard = s.id"""))
 def a33(spark, sf):
-    return documents.coverage_manifest(counting.shard_metrics(b.masked_counts(spark, sf)))
+    """The DOI and time of ingest come with the shards' own metadata."""
+    metrics = counting.shard_metrics(b.masked_counts(spark, sf))
+    order = F.array_position(F.array(*[F.lit(s) for s, _, _ in SHARDS]), F.col("shard"))
+    manifest = documents.coverage_manifest(metrics.withColumns({
+        "built": F.concat(F.lit("2026-01-0"), order.cast("string")), "doi": F.when(order % 2 == 1, F.concat(F.lit("10.0/"), "shard")),
+    }))
+    boxes = F.array_join(F.transform("boxes", lambda x: F.array_join(F.transform(x, lambda v: v.cast("int").cast("string")), " ")), ";")
+    return manifest.withColumn("boxes", boxes)
 
 
 @query("a35_coverage_note", ref.occ(f"""
@@ -58,18 +78,80 @@ SELECT pending = 0 AS complete, loaded, pending, CASE WHEN pending = 0 THEN 'No
   CASE WHEN pending = 1 THEN ' more region is' ELSE ' more regions are' END || ' on the way. Elsewhere the globe shows the ranges of species recorded there.' END AS note
 FROM (SELECT 6 - count(*) AS pending, count(*) AS n, string_agg(s.name, ', ' ORDER BY s.ord) AS loaded, list(s.name ORDER BY s.ord) AS names
   FROM (VALUES (0, 'south-asia', 'South Asia'), (1, 'africa', 'Africa and Arabia'), (2, 'europe', 'Europe and the Middle East'), (3, 'east-asia', 'East, Southeast and North Asia'), (4, 'americas', 'The Americas'), (5, 'oceania', 'Oceania and the southern oceans')) s(ord, id, name)
-  WHERE s.id IN (SELECT DISTINCT {ref.SHARD_CASE} FROM masked WHERE lat0 < 40))"""))
+  WHERE s.id IN (SELECT DISTINCT {ref.SHARD_CASE} FROM masked))"""))
 def a35(spark, sf):
-    south = b.masked_counts(spark, sf).where("lat0 < 40")
-    return documents.coverage_state(documents.coverage_manifest(counting.shard_metrics(south)))
+    return documents.coverage_state(documents.coverage_manifest(counting.shard_metrics(b.masked_counts(spark, sf))))
 
 
 @query("a34_build_summary", ref.by_key(f"""
-SELECT (SELECT count(DISTINCT {ref.SHARD_CASE}) FROM masked) AS regions, (SELECT count(*) FROM cells) AS cells, count(DISTINCT key) AS species, count(*) AS species_cells FROM kp"""))
+SELECT (SELECT count(DISTINCT {ref.SHARD_CASE}) FROM masked) AS regions, (SELECT count(*) FROM cells) AS cells, count(DISTINCT key) AS species, count(*) AS species_cells,
+  2 * ((SELECT count(*) FROM cells) + count(DISTINCT key)) AS changed, CAST(0 AS BIGINT) AS removed, true AS written FROM kp"""))
 def a34(spark, sf):
-    labelled, effort = b.labelled(spark, sf)
-    manifest = documents.coverage_manifest(counting.shard_metrics(b.masked_counts(spark, sf)))
-    return documents.build_summary(labelled, effort, manifest)
+    """What a first publish wrote: every cell and species, as a document and as an index entry."""
+    bundle = world_bundle(spark, sf)
+    changes = world.publish(spark, bundle, new_path(spark, "site"))
+    summary = documents.build_summary(bundle.labelled, bundle.effort, bundle.manifest, changes)
+    return summary.withColumn("written", F.col("bytes") > 0).drop("bytes")
+
+
+def shard_rows(spark, sf):
+    """(pairs, effort) of all shards, as the shard tables hold them."""
+    counts = counting.with_cell(b.masked_counts(spark, sf)).withColumn("shard", grid.shard_of())
+    pairs = counts.where(F.col("sci").isNotNull()).groupBy("shard", "sci", "cell").agg(
+        F.min("specieskey").alias("specieskey"), F.min("family").alias("family"), months.sum_by_month("n").alias("c")
+    )
+    return pairs, counts.groupBy("shard", "cell").agg(months.sum_by_month("n").alias("t"))
+
+
+def world_bundle(spark, sf, change=lambda pairs, effort: (pairs, effort)):
+    pairs, effort = change(*shard_rows(spark, sf))
+    return world.world_build(pairs, effort, b.names(spark, sf), b.sensitive(spark, sf), store=new_path(spark, "store"))
+
+
+CELL_BODY = "id string, total array<bigint>, species array<struct<k:string,c:array<bigint>,p:string,m:array<int>>>"
+
+
+@query("x02_world_build", CELL_DOCUMENTS)
+def x02_world_build(spark, sf):
+    """The whole job: shards merged, named, labelled, written as documents, and read back."""
+    root = new_path(spark, "site")
+    world.publish(spark, world_bundle(spark, sf), root)
+    docs = world.published(spark, root, "cells", CELL_BODY)
+    return docs.select("id", F.array_join(F.col("total").cast("array<string>"), ",").alias("total"), F.to_json("species").alias("species"))
+
+
+@query("x02_published_species", SPECIES_DOCUMENTS)
+def x02_published_species(spark, sf):
+    root = new_path(spark, "site")
+    world.publish(spark, world_bundle(spark, sf), root)
+    return flat_species(world.published(spark, root, "species", "k string, cells map<string, struct<r:array<double>,p:string>>"))
+
+
+@query("x02_meta", ref.occ(f"""
+SELECT 'occurrence records' AS source, 'month' AS resolution, CASE WHEN count(*) = 6 THEN 'worldwide' ELSE string_agg(s.name, ', ' ORDER BY s.ord) END AS coverage, CAST(0 AS INTEGER) AS datasets
+FROM (VALUES (0, 'south-asia', 'South Asia'), (1, 'africa', 'Africa and Arabia'), (2, 'europe', 'Europe and the Middle East'), (3, 'east-asia', 'East, Southeast and North Asia'), (4, 'americas', 'The Americas'), (5, 'oceania', 'Oceania and the southern oceans')) s(ord, id, name)
+WHERE s.id IN (SELECT DISTINCT {ref.SHARD_CASE} FROM masked)"""))
+def x02_meta(spark, sf):
+    pairs, effort = shard_rows(spark, sf)
+    meta = world.world_build(pairs, effort, b.names(spark, sf), b.sensitive(spark, sf)).meta
+    return meta.select("source", "resolution", "coverage", F.size("datasets").alias("datasets"))
+
+
+@query("x02_publish_in_place", ref.by_key("""
+SELECT coalesce(o.cell, n.cell) AS id, CASE WHEN o.cell IS NULL THEN 'added' WHEN n.cell IS NULL THEN 'removed' WHEN o.body = n.body THEN 'unchanged' ELSE 'changed' END AS state, n.species
+FROM (SELECT e.cell, coalesce(max(x.body), '') AS body FROM cells e LEFT JOIN (SELECT cell, string_agg(key || ':' || c, ',' ORDER BY key, month) AS body FROM kl GROUP BY cell) x ON x.cell = e.cell WHERE e.lat0 < 40 GROUP BY e.cell) o
+FULL OUTER JOIN (SELECT e.cell, coalesce(max(x.body), '') AS body, coalesce(max(x.species), 0) AS species FROM cells e LEFT JOIN (SELECT cell, string_agg(key || ':' || (CASE WHEN lng0 > 100 AND month = 6 THEN c + 1 ELSE c END), ',' ORDER BY key, month) AS body, count(DISTINCT key) AS species FROM kl GROUP BY cell) x ON x.cell = e.cell WHERE e.lat0 >= -40 GROUP BY e.cell) n ON n.cell = o.cell"""))
+def x02_publish_in_place(spark, sf):
+    """A rebuild over its own predecessor: some cells new, some gone, some changed; the site then holds the new build."""
+    root = new_path(spark, "site")
+    lat, lng = grid.whole_lat(), grid.whole_lng()
+    north = lambda pairs, effort: (pairs.where(lat < 40), effort.where(lat < 40))
+    more = F.when(lng > 100, months.each_month("c[i] + if(i = 5, 1, 0)")).otherwise(F.col("c"))
+    south = lambda pairs, effort: (pairs.where(lat >= -40).withColumn("c", more), effort.where(lat >= -40))
+    world.publish(spark, world_bundle(spark, sf, north), root)
+    changes = world.publish(spark, world_bundle(spark, sf, south), root)
+    held = world.published(spark, root, "cells", CELL_BODY).select("id", F.size("species").cast("long").alias("species"))
+    return changes.where("kind = 'cells'").select("id", "state").join(held, "id", "full_outer")
 
 
 @query("sk05_publish_counts", ref.occ("""

@@ -150,20 +150,19 @@ def r01(spark, sf):
 
 
 def _bilinear(out: str, ratio: str, source: str, column: str) -> str:
-    """Targets around each source pixel, blended from four neighbours that must all be there."""
+    """Targets that read a source pixel, blended from four neighbours; missing unless all with a weight are there."""
     return f"""
 {out}_t AS (SELECT DISTINCT CAST(floor(gx * {ratio}) AS BIGINT) + i AS x, CAST(floor(gy * {ratio}) AS BIGINT) + j AS y FROM {source}, (SELECT unnest(range(-1, 4)) AS i), (SELECT unnest(range(-1, 4)) AS j)),
 {out}_s AS (SELECT x, y, (x + 0.5) / {ratio} - 0.5 AS sx, (y + 0.5) / {ratio} - 0.5 AS sy FROM {out}_t),
-{out} AS (SELECT CAST(x AS INTEGER) AS gx, CAST(y AS INTEGER) AS gy,
-  (a.{column} * (1 - (sx - floor(sx))) + b.{column} * (sx - floor(sx))) * (1 - (sy - floor(sy))) + (c.{column} * (1 - (sx - floor(sx))) + d.{column} * (sx - floor(sx))) * (sy - floor(sy)) AS v
-  FROM {out}_s JOIN {source} a ON a.gx = floor(sx) AND a.gy = floor(sy) JOIN {source} b ON b.gx = floor(sx) + 1 AND b.gy = floor(sy)
-  JOIN {source} c ON c.gx = floor(sx) AND c.gy = floor(sy) + 1 JOIN {source} d ON d.gx = floor(sx) + 1 AND d.gy = floor(sy) + 1)"""
+{out}_n AS (SELECT x, y, {source}.{column} AS v, (1 - abs(sx - {source}.gx)) * (1 - abs(sy - {source}.gy)) AS w
+  FROM {out}_s, (VALUES (0), (1)) h(i), (VALUES (0), (1)) k(j) JOIN {source} ON {source}.gx = floor(sx) + h.i AND {source}.gy = floor(sy) + k.j),
+{out} AS (SELECT CAST(x AS INTEGER) AS gx, CAST(y AS INTEGER) AS gy, CASE WHEN sum(w) FILTER (WHERE v IS NOT NULL) > 1 - 1e-9 THEN sum(v * w) END AS v FROM {out}_n WHERE w > 0 GROUP BY x, y)"""
 
 
 @query("r02_bilinear", ref.pixels("SELECT gx, gy, round(v, 7) AS elev FROM bl", _bilinear("bl", "CAST(2.5 AS DOUBLE)", "px", "elev")))
 def r02(spark, sf):
     rows = raster.resample_bilinear(b.pixels(spark, sf), H15, W15, H15 * 5 // 2, W15 * 5 // 2, "elev")
-    return rows.where(F.col("elev").isNotNull()).select("gx", "gy", F.round("elev", 7).alias("elev"))
+    return rows.select("gx", "gy", F.round("elev", 7).alias("elev"))
 
 
 @query("r03_cut_level", ref.pixels("""
@@ -185,10 +184,10 @@ SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(tx AS INTEGER) AS
 FROM (SELECT *, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM (
   SELECT x, y, tx, ty, least(3, greatest(0, (tx + 0.5) * CAST(0.5 AS DOUBLE) - 0.5)) AS sx, least(3, greatest(0, (ty + 0.5) * CAST(0.5 AS DOUBLE) - 0.5)) AS sy
   FROM (SELECT DISTINCT gx // 4 AS x, gy // 4 AS y FROM px), (SELECT unnest(range(0, 8)) AS tx), (SELECT unnest(range(0, 8)) AS ty)))
-JOIN px a ON a.gx = x * 4 + x0 AND a.gy = y * 4 + y0 JOIN px b ON b.gx = x * 4 + least(3, x0 + 1) AND b.gy = y * 4 + y0
-JOIN px c ON c.gx = x * 4 + x0 AND c.gy = y * 4 + least(3, y0 + 1) JOIN px d ON d.gx = x * 4 + least(3, x0 + 1) AND d.gy = y * 4 + least(3, y0 + 1)"""))
+LEFT JOIN px a ON a.gx = x * 4 + x0 AND a.gy = y * 4 + y0 LEFT JOIN px b ON b.gx = x * 4 + least(3, x0 + 1) AND b.gy = y * 4 + y0
+LEFT JOIN px c ON c.gx = x * 4 + x0 AND c.gy = y * 4 + least(3, y0 + 1) LEFT JOIN px d ON d.gx = x * 4 + least(3, x0 + 1) AND d.gy = y * 4 + least(3, y0 + 1)"""))
 def r04(spark, sf):
-    rows = raster.quarter_upsample(b.pixels(spark, sf), b.TILE_PX, "elev").where(F.col("elev").isNotNull())
+    rows = raster.quarter_upsample(b.pixels(spark, sf), b.TILE_PX, "elev")
     return rows.select("x", "y", "gx", "gy", F.round("elev", 7).alias("elev"))
 
 
@@ -282,13 +281,9 @@ W, H = 72, 36
 
 
 def _monthly_layer(spark, sf):
-    """Dense monthly raster of 5-degree pixels: records per pixel and month, zero where none."""
+    """Monthly raster of 5-degree pixels: records per pixel and month, missing where there are none."""
     x, y = raster.pixel_of(F.col("lng"), F.col("lat"), W, H)
-    seen = b.records(spark, sf).groupBy(x.alias("gx"), y.alias("gy"), (F.col("month") - 1).alias("month")).agg(F.count("*").cast("double").alias("v"))
-    grid = spark.range(W * H * 12).select(
-        (F.col("id") % W).cast("int").alias("gx"), (F.floor(F.col("id") / W) % H).cast("int").alias("gy"), F.floor(F.col("id") / (W * H)).cast("int").alias("month")
-    )
-    return grid.join(seen, ["gx", "gy", "month"], "left").select("gx", "gy", "month", F.coalesce("v", F.lit(0.0)).alias("value"))
+    return b.records(spark, sf).groupBy(x.alias("gx"), y.alias("gy"), (F.col("month") - 1).alias("month")).agg(F.count("*").cast("double").alias("value"))
 
 
 LAYER = f"""
@@ -299,7 +294,9 @@ nb AS (SELECT name, (CAST(floor(fx) AS INTEGER) + dx + {W}) % {W} AS gx, least({
   FROM pt, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy), (VALUES (8, CAST(0.84375 AS DOUBLE)), (9, CAST(0.15625 AS DOUBLE))) m(month, share))"""
 
 
-@query("j16_sample_layer", ref.sql("SELECT n.name AS id, round(sum(coalesce(l.v, 0) * n.w), 11) AS value FROM nb n LEFT JOIN ml l ON l.gx = n.gx AND l.gy = n.gy AND l.month = n.month GROUP BY n.name", ref.RECORDS, ref.PLACES, LAYER))
+@query("j16_sample_layer", ref.sql("""
+SELECT n.name AS id, CASE WHEN sum(n.w) FILTER (WHERE l.v IS NOT NULL) > 1 - 1e-9 THEN round(sum(l.v * n.w), 11) END AS value
+FROM nb n LEFT JOIN ml l ON l.gx = n.gx AND l.gy = n.gy AND l.month = n.month WHERE n.w > 0 GROUP BY n.name""", ref.RECORDS, ref.PLACES, LAYER))
 def j16(spark, sf):
     """At t = 8.75 the months 8 and 9 blend with the smoothstep of a quarter."""
     points = b.places(spark, sf).select(F.col("name").alias("id"), "lng", "lat")
@@ -326,19 +323,29 @@ def j22(spark, sf):
 
 
 @query("j20_environment_lines", ref.sql("""
-SELECT p.name, land, CASE WHEN land THEN CASE WHEN n % 100 >= 5 THEN 'class ' || (sp % 12) || ' · ' || (n % 100) || ' % tree cover' ELSE 'class ' || (sp % 12) END END AS ground,
-  CASE WHEN NOT land THEN CASE WHEN n > 300 THEN 'depth ' || n || ' m' ELSE 'coast' END END AS depth, CASE WHEN speed < 0.5 THEN 'calm' ELSE 'wind from the ' || sector END AS wind
-FROM (SELECT q.*, round(sqrt(u * u + v * v), 3) AS speed, CASE CAST(floor(fmod(degrees(atan2(u, v)) + 540, 360) / 45 + 0.5) AS INTEGER) % 8 WHEN 0 THEN 'north' WHEN 1 THEN 'north-east' WHEN 2 THEN 'east' WHEN 3 THEN 'south-east' WHEN 4 THEN 'south' WHEN 5 THEN 'south-west' WHEN 6 THEN 'west' ELSE 'north-west' END AS sector
-  FROM (SELECT p.name, s.n, s.sp, s.n % 2 = 0 AS land, s.n % 17 - 8.3 AS u, s.n % 13 - 6.1 AS v FROM pp p JOIN st s ON s.gx = p.gx AND s.gy = p.gy) q) p""", ref.RECORDS, ref.PLACES, STATIC))
+SELECT name, land,
+  CASE WHEN land THEN CASE WHEN tree >= 5 THEN 'class ' || (sp % 12) || ' · ' || tree || ' % tree cover' ELSE 'class ' || (sp % 12) END END AS ground,
+  CASE WHEN land THEN 300 - n END AS height_m, CASE WHEN NOT land THEN CASE WHEN n > 300 THEN (n - 300) || ' m' ELSE 'coast' END END AS depth,
+  CASE WHEN wind < 0.5 THEN 'calm' ELSE printf('%.1f', wind) || ' m/s from the ' || from_sector END AS wind, CAST(n % 60 - 20 AS VARCHAR) || ' °C' AS air,
+  CASE WHEN land THEN CASE WHEN n % 4 = 0 THEN 'bare or water' WHEN n % 4 = 2 THEN 'moderate' END END AS greenness,
+  CASE WHEN land THEN CASE WHEN n % 5 = 0 THEN 'none' ELSE n % 5 || ' % of the area' END END AS water,
+  CASE WHEN land THEN CASE WHEN n % 7 = 0 THEN 'none' ELSE n % 7 || ' % cover' END END AS snow,
+  CASE WHEN land AND sp % 3 > 0 THEN CASE sp % 3 WHEN 1 THEN '9.0' ELSE '99.0' END || ' nW/cm²/sr' END AS lights,
+  CASE WHEN NOT land THEN CASE WHEN flow < 0.03 THEN 'slack' ELSE printf('%.2f', flow) || ' m/s towards the ' || to_sector END END AS current,
+  CASE WHEN NOT land THEN CASE sp % 3 WHEN 0 THEN '1.00' WHEN 1 THEN '10.00' ELSE '100.00' END || ' mg/m³ chlorophyll' END AS plankton
+FROM (SELECT p.name, s.n, s.sp, s.n % 100 AS tree, s.n % 2 = 0 AS land, s.n % 17 - 8.0 AS u, sqrt(pow(s.n % 17 - 8.0, 2)) AS wind, s.n % 9 - 4.0 AS cv, sqrt(pow(s.n % 9 - 4.0, 2)) AS flow,
+    CASE WHEN s.n % 17 > 8 THEN 'west' ELSE 'east' END AS from_sector, CASE WHEN s.n % 9 > 4 THEN 'north' ELSE 'south' END AS to_sector
+  FROM pp p LEFT JOIN st s ON s.gx = p.gx AND s.gy = p.gy)""", ref.RECORDS, ref.PLACES, STATIC))
 def j20(spark, sf):
-    """Ground or depth, and wind, of every place that has a pixel."""
-    placed = raster.nearest_pixel(b.places(spark, sf), _static_layer(spark, sf), W, H).where(F.col("n").isNotNull())
+    """All lines of every place; a place without a pixel keeps its row, with no lines."""
+    placed = raster.nearest_pixel(b.places(spark, sf), _static_layer(spark, sf), W, H)
+    n, third = F.col("n"), F.col("sp") % 3
     lines = raster.environment_lines(
-        placed, on_land=F.col("land"), ground=F.concat(F.lit("class "), (F.col("sp") % 12).cast("string")), tree=F.col("n") % 100,
-        elevation=-(F.col("n") - 300), wind=(F.col("n") % 17 - 8.3, F.col("n") % 13 - 6.1),
+        placed, on_land=F.col("land"), ground=F.concat(F.lit("class "), (F.col("sp") % 12).cast("string")), tree=n % 100, elevation=(F.lit(300) - n).cast("double"),
+        wind=(n % 17 - 8.0, F.lit(0.0)), air=(n % 60 - 20).cast("double"), ndvi=(n % 4) / 5.0, water=(n % 5).cast("double"), snow=(n % 7).cast("double"),
+        lights=third.cast("double"), current=(F.lit(0.0), n % 9 - 4.0), plankton=third.cast("double"),
     )
-    depth = F.when(~F.col("land"), F.when(F.col("n") > 300, F.concat(F.lit("depth "), F.col("n").cast("string"), F.lit(" m"))).otherwise("coast"))
-    return lines.select("name", "land", "ground", depth.alias("depth"), "wind")
+    return lines.select("name", "land", "ground", "height_m", "depth", "wind", "air", "greenness", "water", "snow", "lights", "current", "plankton")
 
 
 @query("q03_piece_cover", """

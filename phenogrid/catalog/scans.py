@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from phenogrid.catalog import published
 from phenogrid.catalog import reference_sql as ref
 from phenogrid.catalog.registry import query
 from phenogrid.functions import grid, months
 from phenogrid.operators import counting, documents, naming, places, quality, raster, tileset
+from phenogrid.plans import world
 from phenogrid.rules import LAND
 from phenogrid.session import new_path
 from phenogrid.sources import bindings as b
@@ -122,9 +124,9 @@ SELECT shard, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS records FROM (
   SELECT shard, sci, cell, sum(n) AS n FROM (SELECT *, {ref.SHARD_CASE} AS shard FROM (
      SELECT CASE WHEN sci IN ('Species 3', 'Species 12') THEN NULL ELSE sci END AS sci, lat0, lng0, lat0 || '_' || lng0 AS cell,
             1 AS n, l_orderkey FROM rec) WHERE sci IS NOT NULL)
-  WHERE shard <> 'americas' OR l_orderkey % 2 = 0 GROUP BY ALL) GROUP BY shard"""))
+  WHERE shard <> 'oceania' AND (shard <> 'americas' OR l_orderkey % 2 = 0) GROUP BY ALL) GROUP BY shard"""))
 def sk01(spark, sf):
-    """The second drop brings one shard with fewer records; the other shards stay as written."""
+    """One shard comes again with fewer records, one has become empty; the other shards stay as written."""
     path = _shards(spark, sf)
     hidden = F.coalesce(F.col("sci").isin(*b.SENSITIVE), F.lit(False))
     second = b.records(spark, sf).where(F.col("l_orderkey") % 2 == 0).withColumn("sci", F.when(~hidden, F.col("sci")))
@@ -132,7 +134,8 @@ def sk01(spark, sf):
     pairs = counting.with_cell(counts).where(F.col("sci").isNotNull() & (F.col("shard") == "americas")).groupBy("shard", "sci", "cell").agg(
         months.sum_by_month("n").alias("c")
     )
-    sinks.write_shards(sinks.pairs_for_sink(pairs), path, ["sci", "cell"])
+    sinks.replace_shard(sinks.pairs_for_sink(pairs), path, "americas", ["sci", "cell"])
+    sinks.replace_shard(sinks.pairs_for_sink(pairs).where("shard = 'oceania'"), path, "oceania", ["sci", "cell"])
     table = files.shard_table(spark, path)
     return table.groupBy("shard").agg(F.count("*").alias("pairs"), F.sum(months.wide_total("c")).alias("records"))
 
@@ -146,7 +149,7 @@ def sk02(spark, sf):
     docs = documents.cell_documents(labelled, effort)
     band = F.floor(grid.whole_lat("id") / 30).cast("int")
     sinks.write_documents(docs.withColumn("band", band), path, "band")
-    schema = "id string, part int, total array<bigint>, species array<struct<k:string,c:array<bigint>,p:string,m:array<int>>>, band int"
+    schema = "id string, total array<bigint>, species array<struct<k:string,c:array<bigint>,p:string,m:array<int>>>, band int"
     return spark.read.schema(schema).json(path).select("id", months.at("total", 5).alias("june"), F.size("species").cast("long").alias("species"))
 
 
@@ -155,28 +158,41 @@ SELECT key AS k, cell, p, CAST(max(r) AS DOUBLE) AS peak, count(*) FILTER (WHERE
 def sk03(spark, sf):
     path = new_path(spark, "species")
     labelled, _ = b.labelled(spark, sf)
-    sinks.write_documents(documents.species_documents(labelled), path)
-    rows = spark.read.schema("k string, part int, cells map<string, struct<r:array<double>,p:string>>").json(path)
+    sinks.write_documents(documents.species_documents(labelled), path, key="k")
+    rows = spark.read.schema("k string, cells map<string, struct<r:array<double>,p:string>>").json(path)
     flat = rows.select("k", F.explode("cells").alias("cell", "v"))
     return flat.select("k", "cell", "v.p", F.array_max("v.r").alias("peak"), F.size(F.filter("v.r", lambda x: x > 0)).cast("long").alias("months"))
 
 
-@query("sk04_indexes", ref.by_key("""
-SELECT key AS k, count(*) AS cells FROM kp GROUP BY key"""))
+SPECIES_INDEX = ref.by_key("""
+SELECT k.key AS k, coalesce(min(n.sci), k.key) AS sci, coalesce(nullif(arg_min(n.common, n.sci), ''), min(n.sci), k.key) AS name, coalesce(arg_min(n.family, n.sci), '') AS family, max(k.cells) AS cells
+FROM (SELECT key, count(*) AS cells FROM kp GROUP BY key) k LEFT JOIN names n ON n.key = k.key GROUP BY k.key""")
+
+
+@query("sk04_indexes", SPECIES_INDEX)
 def sk04(spark, sf):
-    path = new_path(spark, "index")
-    labelled, _ = b.labelled(spark, sf)
-    sinks.write_small(documents.species_index(labelled, b.names(spark, sf)), path)
-    return files.species_index(spark, path).select("k", "cells")
+    """The species index of a published build, all its columns."""
+    root = new_path(spark, "site")
+    world.publish(spark, published.world_bundle(spark, sf), root)
+    return world.published(spark, root, "species_index", files.INDEX_SCHEMA)
 
 
-@query("sc08_species_index", ref.by_key("""
-SELECT k.key AS k, coalesce(min(n.sci), k.key) AS sci, coalesce(nullif(arg_min(n.common, n.sci), ''), min(n.sci), k.key) AS name, coalesce(arg_min(n.family, n.sci), '') AS family, max(k.cells) AS cells
-FROM (SELECT key, count(*) AS cells FROM kp GROUP BY key) k LEFT JOIN names n ON n.key = k.key GROUP BY k.key"""))
+@query("sk04_cell_index", ref.occ("""
+SELECT e.cell AS id, array_to_string(list(e.t ORDER BY e.month), ',') AS total, array_to_string(list(coalesce(s.n, 0) ORDER BY e.month), ',') AS richness,
+  array_to_string(list(CASE WHEN e.t >= 500 THEN 'well' WHEN e.t >= 50 THEN 'some' ELSE 'limited' END ORDER BY e.month), ',') AS coverage
+FROM effort e LEFT JOIN (SELECT cell, month, count(DISTINCT key) AS n FROM keyed GROUP BY cell, month) s ON s.cell = e.cell AND s.month = e.month GROUP BY e.cell"""))
+def sk04_cells(spark, sf):
+    root = new_path(spark, "site")
+    world.publish(spark, published.world_bundle(spark, sf), root)
+    index = world.published(spark, root, "cell_index", "id string, total array<bigint>, richness array<bigint>, coverage array<string>")
+    return index.select("id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("total", "richness", "coverage")])
+
+
+@query("sc08_species_index", SPECIES_INDEX)
 def sc08(spark, sf):
     path = new_path(spark, "index")
     labelled, _ = b.labelled(spark, sf)
-    sinks.write_small(documents.species_index(labelled, b.names(spark, sf)), path)
+    sinks.write_documents(documents.species_index(labelled, b.names(spark, sf)), path, key="k")
     return files.species_index(spark, path)
 
 
@@ -233,11 +249,10 @@ FROM lineitem GROUP BY ALL""")
 def sc09(spark, sf):
     """A dump of entities with their claims by property, read back and flattened."""
     path = new_path(spark, "entities")
-    parts = b.claims(spark, sf).withColumn("part", F.floor(F.col("pos") / 80_000))  # of an item with very many claims
-    stated = parts.groupBy("item", "part", "prop").agg(
+    stated = b.claims(spark, sf).groupBy("item", "prop").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank", "value"))), lambda x: F.struct(x["rank"].alias("rank"), x["value"].alias("value"))).alias("c")
     )
-    entities = stated.groupBy("item", "part").agg(F.map_from_entries(F.collect_list(F.struct("prop", "c"))).alias("claims"))
+    entities = stated.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("prop", "c"))).alias("claims"))
     entities.select(F.col("item").alias("id"), "claims").write.json(path)
     flat = files.entity_claims(files.entity_dump(spark, path))
     return flat.groupBy("item", "prop", "rank", "value").agg(F.count("*").alias("n"))
@@ -287,19 +302,28 @@ def sk11(spark, sf):
 
 
 @query("sk12_tile_manifest", ref.pixels("""
-SELECT 'detail' AS name, 14 AS first_level, 15 AS last_level, (SELECT count(DISTINCT (gx // 8, gy // 8)) FROM p1 WHERE cls > 0) AS coarse, (SELECT count(DISTINCT (gx // 8, gy // 8)) FROM px WHERE cls > 0) AS fine,
-  'class,tree,hillshade' AS channels""", ref.halved("p1", "px")))
+SELECT 'detail' AS name, 14 AS first_level, 15 AS last_level, '14:' || (SELECT count(DISTINCT (gx // 8, gy // 8)) FROM p1 WHERE cls > 0) || ',15:' || (SELECT count(DISTINCT (gx // 8, gy // 8)) FROM px WHERE cls > 0) AS counts,
+  'class 0-255,tree 0-100,hillshade 0-255' AS channels, '%/-' AS tree_unit_and_source, CAST(12 AS BIGINT) AS classes, 'mangrove' AS tenth, CAST(8 AS INTEGER) AS tile_px, '-180 -90 180 90' AS bounds, '14-15' AS ndvi, 'rgb' AS rgb_path,
+  (SELECT string_agg('3/' || sx || '/' || sy || ' ' || lo || '-' || hi, ',' ORDER BY '3/' || sx || '/' || sy) FROM (
+    SELECT sx, sy, min(z) AS lo, max(z) AS hi FROM (SELECT 15 AS z, (gx // 8) >> 12 AS sx, (gy // 8) >> 12 AS sy FROM px WHERE cls > 0 UNION ALL SELECT 14, (gx // 8) >> 11, (gy // 8) >> 11 FROM p1 WHERE cls > 0) GROUP BY sx, sy)) AS regions""", ref.halved("p1", "px")))
 def sk12(spark, sf):
     path = new_path(spark, "manifest")
     levels = raster.pyramid(b.pixels(spark, sf), b.LEVEL, b.LEVEL - 1)
     x, y = F.floor(F.col("gx") / b.TILE_PX).cast("int").alias("x"), F.floor(F.col("gy") / b.TILE_PX).cast("int").alias("y")
     held = levels.where(F.col("cls") > 0).select("z", x, y).distinct()
-    sinks.write_small(tileset.manifest(held, "detail", list(LAND)), path)
-    schema = "version int, name string, first_level int, last_level int, counts array<struct<z:int,tiles:bigint>>, channels array<struct<name:string,lo:double,hi:double,unit:string,source:string>>"
-    m = spark.read.schema(schema).json(path)
+    made = tileset.manifest(held, "detail", list(LAND), units={"tree": "%"}, tile_px=b.TILE_PX, ndvi=(14, 15), rgb="rgb", regions=3)
+    sinks.write_small(made, path)
+    m = spark.read.schema(made.schema).json(path)
+    text = lambda c: F.array_join(F.col(c).cast("array<int>").cast("array<string>"), " ")
+    each = lambda c, fn: F.array_join(F.transform(c, fn), ",")
+    span = lambda v: F.concat(v["lo"].cast("int").cast("string"), F.lit("-"), v["hi"].cast("int").cast("string"))
     return m.select(
-        "name", "first_level", "last_level", F.get("counts", F.lit(0))["tiles"].alias("coarse"), F.get("counts", F.lit(1))["tiles"].alias("fine"),
-        F.array_join(F.transform("channels", lambda c: c["name"]), ",").alias("channels"),
+        "name", "first_level", "last_level", each("counts", lambda c: F.concat_ws(":", c["z"], c["tiles"])).alias("counts"),
+        each("channels", lambda c: F.concat_ws(" ", c["name"], span(c))).alias("channels"),
+        F.concat_ws("/", F.get("channels", F.lit(1))["unit"], F.coalesce(F.get("channels", F.lit(1))["source"], F.lit("-"))).alias("tree_unit_and_source"),
+        F.size("classes").cast("long").alias("classes"), F.get("classes", F.lit(10))["name"].alias("tenth"), "tile_px", text("bounds").alias("bounds"),
+        F.array_join(F.col("ndvi_levels").cast("array<string>"), "-").alias("ndvi"), "rgb_path",
+        each("regions", lambda r: F.concat(r["shard"], F.lit(" "), r["first_level"].cast("string"), F.lit("-"), r["last_level"].cast("string"))).alias("regions"),
     )
 
 
@@ -350,7 +374,7 @@ def sk05(spark, sf):
     old = documents.cell_documents(labelled.where(lat < 40), effort.where(lat < 40)).where(F.size("species") > 0)
     bumped = labelled.where(lat >= -40).withColumn("c", F.when(lng > 100, months.each_month("c[i] + if(i = 5, 1, 0)")).otherwise(F.col("c")))
     new = documents.cell_documents(bumped, effort.where(lat >= -40)).where(F.size("species") > 0)
-    return documents.document_diff(old, new, ["id", "part"]).select("id", "state")
+    return documents.document_diff(old, new, ["id"]).select("id", "state")
 
 
 @query("u06_stale_keys", ref.occ("""

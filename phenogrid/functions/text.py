@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from phenogrid.rules import MONTH_SHORT, MONTHS, WEIGHTS
 
@@ -31,19 +30,42 @@ def photo_caption(filename: Column) -> Column:
     )
 
 
-def _html_unescaper():
-    """Resolves every named and numeric entity; the JVM has no function for it.
+ENTITY = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)"
 
-    Defined locally so that it is shipped by value: workers need not have this package installed.
-    """
-
-    def unescape(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
 
-    return F.pandas_udf(unescape, StringType())
+def _code_point(code: Column) -> Column:
+    """The character of a number: a few of 0x80..0x9F are read as Windows-1252, impossible ones as the replacement mark."""
+    western = {str(n): bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
+    named = F.from_json(F.lit(json.dumps({n: c for n, c in western.items() if c != "\ufffd"})), "map<string,string>")
+    known = F.try_element_at(named, code.cast("string"))
+    impossible = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    control = code.between(1, 8) | (code == 11) | code.between(14, 31) | code.between(127, 159) | code.between(0xFDD0, 0xFDEF) | (code % 65536 >= 65534)
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(impossible, F.lit(63)).otherwise(code)), 8, "0")), "UTF-32")
+    return F.when(known.isNotNull(), known).when(impossible, F.lit("\ufffd")).when(control, F.lit("")).otherwise(plain)
 
 
-unescape_html = _html_unescaper()
+def _entity(hit: Column) -> Column:
+    """One entity resolved: a number, or the longest known name at its start; anything else stays as it is."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    body = F.substr(hit, F.lit(2))
+    digits = F.rtrim(body, F.lit(";"))
+    number = F.when(body.startswith("#x") | body.startswith("#X"), F.conv(F.substr(digits, F.lit(3)), 16, 10).try_cast("decimal(20,0)")).otherwise(
+        F.substr(digits, F.lit(2)).try_cast("decimal(20,0)")
+    )
+    code = F.when(number <= 0x110000, number).otherwise(F.lit(0x110000)).cast("long")
+    sizes = F.filter(F.sequence(F.length(body), F.lit(2), F.lit(-1)), lambda n: F.map_contains_key(names, F.substr(body, F.lit(1), n)))
+    size = F.get(sizes, F.lit(0))
+    named = F.concat(F.try_element_at(names, F.substr(body, F.lit(1), size)), F.substr(body, size + 1))
+    return F.when(body.startswith("#"), _code_point(code)).otherwise(F.coalesce(named, hit))
+
+
+def unescape_html(value: Column) -> Column:
+    """Named and numeric entities resolved once, left to right; only texts with an ampersand are taken apart."""
+    resolved = F.zip_with(
+        F.split(value, ENTITY, -1), F.regexp_extract_all(value, F.lit(ENTITY), F.lit(0)),
+        lambda gap, hit: F.concat(gap, F.coalesce(_entity(hit), F.lit(""))),
+    )
+    return F.when(value.contains("&"), F.array_join(resolved, "")).otherwise(value)
 
 
 def strip_html(value: Column) -> Column:

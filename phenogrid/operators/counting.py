@@ -185,3 +185,9 @@ def species_list(pairs: DataFrame) -> DataFrame:
 def effort_for_cells(records: DataFrame, cells: DataFrame) -> DataFrame:
     """Effort vectors of the given cells only."""
     return effort_months(records).join(cells.select("cell").distinct(), "cell", "left_semi")
+
+
+def effort_by_class(records: DataFrame, cells: DataFrame) -> DataFrame:
+    """Effort vectors per class and cell, of the given cells only."""
+    grouped = with_cell(records).groupBy("class", "cell").agg(months.sum_by_month("n").alias("t"))
+    return grouped.join(cells.select("cell").distinct(), "cell", "left_semi")

@@ -7,44 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phenogrid.functions import months, text
-from phenogrid.operators.presence import beside_cells
 from phenogrid.rules import SHARDS, CoverageRules
+from phenogrid.session import cut_lineage
 
-DOCUMENT_ENTRIES = 100_000  # entries of one stored document part
+EMPTY_LIST = "array<struct<k:string,c:array<bigint>,p:string,m:array<int>>>"
 
 
-def numbered_parts(rows: DataFrame, key: str, entry: str, limit: int) -> DataFrame:
-    """Adds ``part``: documents longer than ``limit`` are cut into parts of about that size.
+def cell_rows(labelled: DataFrame, effort: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFrame:
+    """One row per cell with all that its document and its index entry say.
 
-    The sizes are counted first, on the map side. A document within the limit is part 0, so it
-    comes out whole; a hot key is spread over as many groups as it needs.
+    A cell lists each taxon once, so its list is bounded by the taxa. Only the effort moves to the gathered lists; cells
+    with effort but no named species come out with an empty list and no richness.
     """
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / limit).cast("int").alias("_parts"))
-    hot = sizes.where(F.col("_parts") > 1)
-    joined = rows.join(hot, key, "left")
-    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(entry), F.col("_parts")).cast("int"))
-    return joined.withColumn("part", part).drop("_parts")
-
+    entry = F.struct(F.col("key").alias("k"), F.col("c"), F.col("p"), months.flags_vector("m").alias("m"))
+    listed = labelled.groupBy("cell").agg(F.sort_array(F.collect_list(entry)).alias("species"), months.count_positive("c").alias("richness"))
+    none = F.array(*[F.lit(0).cast("long")] * 12)
+    return effort.join(listed, "cell", "left").select(
+        F.col("cell").alias("id"), F.col("t").alias("total"), F.coalesce("species", F.array().cast(EMPTY_LIST)).alias("species"),
+        F.coalesce("richness", none).alias("richness"), months.coverage_vector("t", rules).alias("coverage"),
+    )
 
-def cell_documents(labelled: DataFrame, effort: DataFrame, limit: int = DOCUMENT_ENTRIES) -> DataFrame:
-    """One document per cell: total[12] and the species with counts, label and month flags.
 
-    Cells with effort but no named species come out with an empty list. The documents stay where
-    they were gathered: effort, bounded by the grid, comes to them, and the empty ones are appended.
-    """
-    entry = F.struct(
-        F.col("key").alias("k"), F.col("c"), F.col("p"), months.flags_vector("m").alias("m")
-    )
-    parts = (
-        numbered_parts(labelled, "cell", "key", limit)
-        .groupBy("cell", "part").agg(F.sort_array(F.collect_list(entry)).alias("species"))
-    )
-    empty = F.array().cast("array<struct<k:string,c:array<bigint>,p:string,m:array<int>>>")
-    full = beside_cells(parts, effort).select(F.col("cell").alias("id"), "part", F.col("t").alias("total"), "species")
-    rest = effort.join(labelled.select("cell").distinct(), "cell", "left_anti").select(
-        F.col("cell").alias("id"), F.lit(0).alias("part"), F.col("t").alias("total"), empty.alias("species")
-    )
-    return full.unionByName(rest)
+def cell_documents(labelled: DataFrame, effort: DataFrame) -> DataFrame:
+    """One document per cell: total[12] and the species with counts, label and month flags."""
+    return cell_rows(labelled, effort).select("id", "total", "species")
 
 
 def with_units(labelled: DataFrame) -> DataFrame:
@@ -52,22 +38,19 @@ def with_units(labelled: DataFrame) -> DataFrame:
     return labelled if "u" in labelled.columns else labelled.withColumn("u", months.units("c", "t"))
 
 
-def species_documents(labelled: DataFrame, limit: int = DOCUMENT_ENTRIES, cell_size: float = 1.0) -> DataFrame:
-    """One document per species: cell -> rates rounded to four digits and label.
+def species_rows(labelled: DataFrame) -> DataFrame:
+    """One row per species: its cells with rates rounded to four digits and label, in order, and how many they are.
 
-    A species has at most one entry per grid cell; where that bound is within the limit, no
-    document can need parts and none is counted.
+    A species has at most one entry per grid cell.
     """
-    published = with_units(labelled).select("key", "cell", "p", "u").withColumn("r", months.from_units("u"))
-    bounded = (180 / cell_size) * (360 / cell_size) <= limit
-    parted = published.withColumn("part", F.lit(0)) if bounded else numbered_parts(published, "key", "cell", limit)
-    entry = F.struct(
-        F.col("cell"), F.struct(F.col("r"), F.col("p")).alias("v")
-    )
-    return (
-        parted.groupBy("key", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("cells"))
-        .withColumnRenamed("key", "k")
-    )
+    entry = F.struct(F.col("cell"), F.struct(months.from_units("u").alias("r"), F.col("p")).alias("v"))
+    rows = with_units(labelled).groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    return rows.select(F.col("key").alias("k"), "entries", F.size("entries").cast("long").alias("cells"))
+
+
+def species_documents(labelled: DataFrame) -> DataFrame:
+    """One document per species: cell -> rates and label."""
+    return species_rows(labelled).select("k", F.map_from_entries("entries").alias("cells"))
 
 
 def richness(labelled: DataFrame) -> DataFrame:
@@ -78,7 +61,7 @@ def richness(labelled: DataFrame) -> DataFrame:
 def cell_index(labelled: DataFrame, effort: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFrame:
     """Every cell: effort, richness and coverage per month."""
     none = F.array(*[F.lit(0).cast("long")] * 12)
-    return beside_cells(effort, richness(labelled), "left").select(
+    return effort.join(richness(labelled), "cell", "left").select(
         F.col("cell").alias("id"), F.col("t").alias("total"), F.coalesce("richness", none).alias("richness"),
         months.coverage_vector("t", rules).alias("coverage"),
     )
@@ -86,10 +69,14 @@ def cell_index(labelled: DataFrame, effort: DataFrame, rules: CoverageRules = Co
 
 def species_index(labelled: DataFrame, names: DataFrame) -> DataFrame:
     """Searchable species list: names by key and the number of cells."""
+    return named_index(labelled.groupBy("key").agg(F.count("*").alias("cells")), names)
+
+
+def named_index(counted: DataFrame, names: DataFrame) -> DataFrame:
+    """Names for (key, cells): the first of those that share a key; species without one go by their key."""
     by_key = names.groupBy("key").agg(
         F.min("sci").alias("sci"), F.min_by("common", "sci").alias("common"), F.min_by("family", "sci").alias("family")
     )
-    counted = labelled.groupBy("key").agg(F.count("*").alias("cells"))
     return counted.join(by_key, "key", "left").select(
         F.col("key").alias("k"),
         F.coalesce("sci", "key").alias("sci"),
@@ -100,18 +87,35 @@ def species_index(labelled: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def regions_frame(like: DataFrame) -> DataFrame:
-    """The shards in publishing order."""
+    """The shards in publishing order, with their boxes."""
     return like.sparkSession.createDataFrame(
-        [(i, shard, name) for i, (shard, name, _) in enumerate(SHARDS)], "ord int, id string, name string"
+        [(i, shard, name, [[float(x) for x in box] for box in boxes]) for i, (shard, name, boxes) in enumerate(SHARDS)],
+        "ord int, id string, name string, boxes array<array<double>>",
     )
 
 
 def coverage_manifest(metrics: DataFrame) -> DataFrame:
-    """Every known region, loaded or pending, with its metrics."""
-    m = metrics.select(F.col("shard").alias("id"), "records", "cells", "species")
+    """Every known region, loaded or pending, with its boxes, metrics, time of ingest and DOI where they are known."""
+    optional = [F.col(c) if c in metrics.columns else F.lit(None).cast("string").alias(c) for c in ("built", "doi")]
+    m = metrics.select(F.col("shard").alias("id"), "records", "cells", "species", *optional)
     return regions_frame(metrics).join(m, "id", "left").select(
-        "ord", "id", "name", F.when(F.col("records").isNull(), "pending").otherwise("loaded").alias("status"),
-        "records", "cells", "species",
+        "ord", "id", "name", "boxes", F.when(F.col("records").isNull(), "pending").otherwise("loaded").alias("status"),
+        "records", "cells", "species", "built", "doi",
+    )
+
+
+def meta(manifest: DataFrame, source: str, measure: str, generated: str) -> DataFrame:
+    """One row that says what the product is: source, measure, coverage, and the DOIs of the regions. Bounded by the shards."""
+    loaded = F.col("status") == "loaded"
+    state = manifest.agg(
+        F.bool_and(loaded).alias("complete"),
+        F.array_sort(F.collect_list(F.when(loaded, F.struct("ord", "name")))).alias("names"),
+        F.array_sort(F.collect_list(F.when(F.col("doi").isNotNull(), F.struct("ord", F.col("id").alias("region"), "doi")))).alias("found"),
+    )
+    return state.select(
+        F.lit(source).alias("source"), F.lit("month").alias("resolution"), F.lit(measure).alias("measure"),
+        F.when(F.col("complete"), "worldwide").otherwise(F.array_join(F.transform("names", lambda x: x["name"]), ", ")).alias("coverage"),
+        F.transform("found", lambda x: F.struct(x["region"].alias("region"), x["doi"].alias("doi"))).alias("datasets"), F.lit(generated).alias("generated"),
     )
 
 
@@ -142,18 +146,18 @@ def coverage_state(manifest: DataFrame) -> DataFrame:
     return state.select("complete", F.array_join("names", ", ").alias("loaded"), "pending", note.alias("note"))
 
 
-def dense_ids(keys: DataFrame, column: str, prefix: int = 3) -> DataFrame:
+def dense_ids(keys: DataFrame, column: str) -> DataFrame:
     """0-based ids of distinct text keys in sorted order.
 
-    Ids are numbered inside buckets of equal leading characters, and the buckets get running
-    offsets: only the bucket sizes, bounded by the prefix alphabet, meet in one task.
+    Keys are dealt out by ranges and numbered inside each; only the sizes of the ranges, one per partition, meet. The
+    dealt keys are stored, because sizes and numbers must come from one and the same dealing.
     """
-    distinct = keys.select(column).distinct().withColumn("_bucket", F.substring(column, 1, prefix))
-    sizes = distinct.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(column))
-    return distinct.withColumn("_i", inside).join(offsets, "_bucket").select(
+    ranged = cut_lineage(keys.select(column).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.withColumn("_i", inside).join(offsets, "_range").select(
         column, (F.col("_offset") + F.col("_i") - 1).cast("int").alias("id")
     )
 
@@ -201,14 +205,20 @@ def species_csv_rows(labelled: DataFrame, species: DataFrame, cell_size: float =
     )
 
 
-def document_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """State of every document: unchanged, changed, added or removed, by content hash."""
+def content_hash(columns: list[str]) -> Column:
+    """Hash over the content of a document; maps as their entries, which documents keep in order."""
+    return F.xxhash64(*[F.col(c) for c in sorted(columns)])
 
-    def hashed(frame: DataFrame, name: str) -> DataFrame:
-        body = F.struct(*[F.col(c) for c in sorted(frame.columns) if c not in keys])
-        return frame.select(*keys, F.xxhash64(F.to_json(body)).alias(name))
 
-    joined = hashed(old, "_old").join(hashed(new, "_new"), keys, "full_outer")
+def hashes(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and content hash, all that a later build needs to know of a document."""
+    maps = {f.name: F.map_entries(f.name) for f in documents.schema.fields if f.dataType.typeName() == "map"}
+    return documents.withColumns(maps).select(*keys, content_hash([c for c in documents.columns if c not in keys]).alias("hash"))
+
+
+def hash_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """State of every document from stored hashes: unchanged, changed, added or removed."""
+    joined = old.withColumnRenamed("hash", "_old").join(new.withColumnRenamed("hash", "_new"), keys, "full_outer")
     state: Column = (
         F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
         .when(F.col("_old") == F.col("_new"), "unchanged").otherwise("changed")
@@ -216,18 +226,33 @@ def document_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, state.alias("state"))
 
 
+def document_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from whole documents."""
+    return hash_diff(hashes(old, keys), hashes(new, keys), keys)
+
+
 def publish_counts(diff: DataFrame) -> DataFrame:
     return diff.agg(*[
         F.count_if(F.col("state") == s).alias(s) for s in ("unchanged", "changed", "added", "removed")
     ])
 
 
-def build_summary(labelled: DataFrame, effort: DataFrame, manifest: DataFrame) -> DataFrame:
-    """One row: loaded regions, cells, species, species-cells."""
+def build_summary(labelled: DataFrame, effort: DataFrame, manifest: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """One row: loaded regions, cells, species, species-cells, and what publishing changed (documents changed or added,
+    removed, and bytes written)."""
     totals = labelled.groupBy("key").agg(F.count("*").alias("n")).agg(
         F.count("*").alias("species"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("species_cells")
     )
     cells = effort.agg(F.count("*").alias("cells"))
     regions = manifest.agg(F.count_if(F.col("status") == "loaded").alias("regions"))
-    keyed = [f.withColumn("_one", F.lit(1)) for f in (regions, cells, totals)]
-    return keyed[0].join(keyed[1], "_one").join(keyed[2], "_one").drop("_one")
+    parts = [regions, cells, totals]
+    if changes is not None:
+        parts.append(changes.agg(
+            F.count_if(F.col("state").isin("changed", "added")).alias("changed"), F.count_if(F.col("state") == "removed").alias("removed"),
+            F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"),
+        ))
+    keyed = [f.withColumn("_one", F.lit(1)) for f in parts]
+    out = keyed[0]
+    for frame in keyed[1:]:
+        out = out.join(frame, "_one")
+    return out.drop("_one")

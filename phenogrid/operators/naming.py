@@ -108,3 +108,9 @@ def name_records(raw: DataFrame, *keep: str) -> DataFrame:
 def range_rates(ranges: DataFrame) -> DataFrame:
     """Rates of a worldwide range from its own counts and effort."""
     return ranges.withColumn("r", months.rates("c", "t")).withColumn("r", months.rounded("r"))
+
+
+def english_names(rows: DataFrame, entity: str, order: str) -> DataFrame:
+    """First non-empty English name of each entity, in the given order; empty if there is none. Nothing is listed."""
+    good = F.col("language").isin("eng", "en") & (F.col("name") != "")
+    return rows.groupBy(entity).agg(F.coalesce(F.min_by("name", F.when(good, F.col(order))), F.lit("")).alias("name"))

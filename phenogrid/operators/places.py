@@ -85,11 +85,16 @@ def ranked_by_population(chunked: DataFrame) -> DataFrame:
     ).drop("_band", "_i", "_o")
 
 
-def place_manifest(chunked: DataFrame) -> DataFrame:
-    return chunked.agg(
+def place_manifest(chunked: DataFrame, report: DataFrame | None = None) -> DataFrame:
+    """Counts of the product, and of the lines that were no places if the parse report is given."""
+    counts = chunked.agg(
         F.count_if("major").alias("major"), F.count_if(~F.col("major")).alias("chunked"),
         F.count_distinct(F.when(~F.col("major"), F.col("chunk"))).alias("chunks"),
     )
+    if report is None:
+        return counts
+    one = F.lit(1).alias("_one")  # one row each
+    return counts.select("*", one).join(report.select("malformed", one), "_one").drop("_one")
 
 
 def population_floor(altitude_km: float) -> float:

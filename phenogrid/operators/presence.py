@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.functions import grid, months
+from phenogrid.functions import months
 from phenogrid.rules import PresenceRules
 
 
-def beside_cells(rows: DataFrame, cells: DataFrame, how: str = "inner", cell_size: float = 1.0) -> DataFrame:
-    """Join a per-cell dimension on ``cell``.
-
-    A grid of one degree or coarser has at most 64,800 cells, so the dimension has a proven bound
-    and is broadcast: the rows are not shuffled and a hot cell cannot become a hot partition.
-    Finer grids go without the hint, where Spark sizes the sides itself.
-    """
-    bounded = (180 / cell_size) * (360 / cell_size) <= grid.WORLD_CELLS
-    return rows.join(F.broadcast(cells) if bounded else cells, "cell", how)
+def beside_cells(rows: DataFrame, cells: DataFrame, how: str = "inner") -> DataFrame:
+    """Join a per-cell dimension on ``cell``. Spark sizes the dimension and broadcasts it where it is small."""
+    return rows.join(cells, "cell", how)
 
 
-def label_presence(pairs: DataFrame, effort: DataFrame, rules: PresenceRules = PresenceRules(), cell_size: float = 1.0) -> DataFrame:
+def label_presence(pairs: DataFrame, effort: DataFrame, rules: PresenceRules = PresenceRules()) -> DataFrame:
     """Adds effort ``t``, rates ``r``, the present months ``m`` (bit set) and the label ``p``."""
     surveyed = effort.withColumn("surveyed", months.surveyed_set("t", rules))
-    joined = beside_cells(pairs, surveyed, cell_size=cell_size)
+    return _labelled(beside_cells(pairs, surveyed), rules)
+
+
+def label_with_effort(rows: DataFrame, rules: PresenceRules = PresenceRules()) -> DataFrame:
+    """The same for rows that bring their own effort ``t``."""
+    return _labelled(rows.withColumn("surveyed", months.surveyed_set("t", rules)), rules)
+
+
+def _labelled(joined: DataFrame, rules: PresenceRules) -> DataFrame:
     rated = joined.withColumn("r", months.rates("c", "t")).withColumn("peak", F.array_max("r"))
     floored = rated.withColumn("floor", months.present_floor("peak", rules)).drop("peak")
     marked = settled(floored, m=months.present_set("r", "floor"))

@@ -168,11 +168,12 @@ def other_names(aliases: DataFrame, excluded: DataFrame, limit: int = MAX_OTHER_
 
 
 def assemble(
-    items: DataFrame, taxonomy: DataFrame, intro: DataFrame, images: DataFrame, facts: DataFrame, aliases: DataFrame,
+    items: DataFrame, taxonomy: DataFrame, intro: DataFrame, images: DataFrame, facts: DataFrame, status: DataFrame, aliases: DataFrame, licence_note: str,
 ) -> DataFrame:
     """One profile per species from its pieces; a missing piece is NULL, which JSON leaves out.
 
-    Images and names are capped per item by the product itself, so the lists are short.
+    ``items`` has sci, item, label, title, common, family and description. The sources name the entity and, where an
+    article was used, its address. Images and names are capped per item by the product itself, so the lists are short.
     """
     photos = images.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url", "thumb", "license", "caption"))), lambda x: x.dropFields("place")).alias("images"))
     names = aliases.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "alias"))), lambda x: x["alias"]).alias("other_names"))
@@ -183,15 +184,18 @@ def assemble(
     joined = (
         items.join(ranks, "item", "left").join(intro.select("sci", "intro", "url"), "sci", "left")
         .join(photos, "item", "left").join(measured, "item", "left").join(names, "item", "left")
+        .join(status.select("item", F.struct("code", "label").alias("status")), "item", "left")
     )
     family = F.coalesce("_family", F.nullif(F.col("family"), F.lit("")))
+    entity = F.struct(F.lit("entity").alias("label"), F.col("item").alias("at"))
+    article = F.struct(F.lit("article").alias("label"), F.col("url").alias("at"))
     return joined.select(
         text.slug(F.col("sci")).alias("slug"), F.col("sci").alias("scientific"),
         text.display_name(F.col("sci"), F.col("label"), F.col("common"), F.col("title")).alias("name"), F.col("item").alias("qid"),
-        F.coalesce("intro", F.lit("")).alias("extract"), "images",
-        F.struct("wingspan", "length", "mass").alias("facts"),
+        F.coalesce("description", F.lit("")).alias("description"), F.coalesce("intro", F.lit("")).alias("extract"), "images",
+        F.struct("wingspan", "length", "mass", "status").alias("facts"),
         F.struct(F.col("genus"), family.alias("family"), F.col("order"), F.col("class")).alias("taxonomy"),
-        "other_names", F.col("url").alias("article"),
+        "other_names", F.when(F.col("url").isNull(), F.array(entity)).otherwise(F.array(entity, article)).alias("sources"), F.lit(licence_note).alias("licence_note"),
     )
 
 

@@ -282,12 +282,15 @@ def resample_bilinear(pixels: DataFrame, height: int, width: int, out_h: int, ou
 def quarter_upsample(pixels: DataFrame, tile_px: int, column: str) -> DataFrame:
     """Child tiles from the quarters of their parents at twice the size, for every tile at once.
 
-    A child (x, y) reads its own quarter only, so the edges of a quarter clamp.
+    A child (x, y) reads its own quarter only, so the edges of a quarter clamp. All its pixels come out, NULL where a
+    pixel they read is missing.
     """
     half = tile_px // 2
     x, y = F.floor(F.col("gx") / half).cast("int"), F.floor(F.col("gy") / half).cast("int")
     cut = pixels.select(x.alias("x"), y.alias("y"), (F.col("gx") % half).alias("gx"), (F.col("gy") % half).alias("gy"), column)
-    return resample_bilinear(cut, half, half, tile_px, tile_px, column, ("x", "y"))
+    cells = F.sequence(F.lit(0), F.lit(tile_px - 1))
+    targets = cut.select("x", "y").distinct().withColumn("gx", F.explode(cells)).withColumn("gy", F.explode(cells))
+    return targets.join(resample_bilinear(cut, half, half, tile_px, tile_px, column, ("x", "y")), ["x", "y", "gx", "gy"], "left")
 
 
 def cut_level(base: DataFrame, height: int, width: int, out_h: int, out_w: int) -> DataFrame:
@@ -308,7 +311,7 @@ def sample_layer(points: DataFrame, raster: DataFrame, width: int, height: int,
     around ``t``, blended.
 
     ``points`` has id, lng, lat; ``raster`` has gx, gy, month (0-based) and the value. Points read
-    the raster by an equi join on the pixel.
+    the raster by an equi join on the pixel. Every point comes out; one that reads a missing pixel is NULL.
     """
     first, second, part = month_anchor(t)
     blend = part * part * (3 - 2 * part)
@@ -328,9 +331,10 @@ def sample_layer(points: DataFrame, raster: DataFrame, width: int, height: int,
         for m, share in ((first, 1 - blend), (second, blend)) for x, y, w in corners
     ]
     spread = placed.select("id", F.inline(F.array(*entries))).where(F.col("w") > 0)
-    return spread.join(raster.select("gx", "gy", "month", F.col(value).alias("_v")), ["gx", "gy", "month"]).groupBy("id").agg(
-        F.sum(F.col("_v") * F.col("w")).alias(value)
+    read = spread.join(raster.select("gx", "gy", "month", F.col(value).alias("_v")), ["gx", "gy", "month"], "left").groupBy("id").agg(
+        F.sum(F.col("_v") * F.col("w")).alias("_sum"), F.sum(F.when(F.col("_v").isNotNull(), F.col("w"))).alias("_w")
     )
+    return read.select("id", F.when(F.col("_w") > 1 - 1e-9, F.col("_sum")).alias(value))
 
 
 def pixel_of(lng: Column, lat: Column, width: int, height: int) -> tuple[Column, Column]:
@@ -346,15 +350,30 @@ def nearest_pixel(points: DataFrame, layer: DataFrame, width: int, height: int)
     return points.withColumns({"gx": x, "gy": y}).join(layer, ["gx", "gy"], "left")
 
 
-def environment_lines(places: DataFrame, on_land: Column, ground: Column, tree: Column, elevation: Column, wind: tuple[Column, Column]) -> DataFrame:
-    """What the layers under a place say: ground and height on land, depth at sea, and the wind."""
-    u, v = wind
-    speed = F.hypot(u, v)
-    cover = F.when(tree >= 5, F.concat(ground, F.lit(" · "), layers.whole(tree).cast("int").cast("string"), F.lit(" % tree cover"))).otherwise(ground)
+def environment_lines(
+    places: DataFrame, on_land: Column, ground: Column, tree: Column, elevation: Column, wind: tuple[Column, Column], air: Column, ndvi: Column,
+    water: Column, snow: Column, lights: Column, current: tuple[Column, Column], plankton: Column,
+) -> DataFrame:
+    """What the layers under a place say, one column a line.
+
+    On land: ground with tree cover, height, greenness, water, snow, and night light where there is any. At sea: depth,
+    current and plankton. Everywhere: wind and air. Lights and plankton are stored as logarithms. A value that a layer
+    lacks leaves its line NULL.
+    """
+    speed, flow = F.hypot(*wind), F.hypot(*current)
+    words = lambda value: layers.whole(value).cast("int").cast("string")
+    cover = F.when(tree >= 5, F.concat(ground, F.lit(" · "), words(tree), F.lit(" % tree cover"))).otherwise(ground)
+    share = lambda value, rest: F.when(value < 0.5, F.lit("none")).otherwise(F.concat(words(value), F.lit(rest)))
     return places.withColumns({
-        "ground": F.when(on_land, cover), "height_m": F.when(on_land, layers.whole(elevation)),
-        "depth_m": F.when(~on_land & (elevation < 0), layers.whole(-elevation)),
-        "wind": F.when(speed < 0.5, F.lit("calm")).otherwise(F.concat(F.lit("wind from the "), geo.blows_from(u, v))),
+        "ground": F.when(on_land, cover), "height_m": F.when(on_land, layers.whole(elevation).cast("long")),
+        "depth": F.when(~on_land, F.when(elevation < 0, F.concat(words(-elevation), F.lit(" m"))).otherwise(F.lit("coast"))),
+        "wind": F.when(speed < 0.5, F.lit("calm")).otherwise(F.concat(F.format_string("%.1f", speed), F.lit(" m/s from the "), geo.blows_from(*wind))),
+        "air": F.concat(words(air), F.lit(" °C")),
+        "greenness": F.when(on_land, layers.greenness(ndvi)),
+        "water": F.when(on_land, share(water, " % of the area")), "snow": F.when(on_land, share(snow, " % cover")),
+        "lights": F.when(on_land & (lights > 0.15), F.concat(F.format_string("%.1f", F.pow(F.lit(10.0), lights) - 1), F.lit(" nW/cm²/sr"))),
+        "current": F.when(~on_land, F.when(flow < 0.03, F.lit("slack")).otherwise(F.concat(F.format_string("%.2f", flow), F.lit(" m/s towards the "), geo.flows_towards(*current)))),
+        "plankton": F.when(~on_land, F.concat(F.format_string("%.2f", F.pow(F.lit(10.0), plankton)), F.lit(" mg/m³ chlorophyll"))),
     })
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import tiles
+from phenogrid.rules import LAND_CLASSES
 
 INDEX_WORD = 4096 * 8  # bits of one stored chunk of a level's index
 
@@ -138,11 +139,18 @@ def source_for(rows: DataFrame, availability: DataFrame) -> DataFrame:
     return rows.join(best, ["z", "x", "y"], "left")
 
 
+class ForeignTileError(ValueError):
+    """A shard's drop holds a tile that is not the shard's."""
+
+
 def absorb_shard(served: DataFrame, incoming: DataFrame, shard: tuple[int, int, int]) -> DataFrame:
     """Served tiles with one shard's tiles replaced at the levels it brings.
 
-    Tiles of other shards and of other levels stay. ``foreign_tiles`` must be empty beforehand.
+    Tiles of other shards and of other levels stay. A drop with a tile outside its shard is refused whole.
     """
+    stray = foreign_tiles(incoming, shard).select("z", "x", "y").first()
+    if stray is not None:
+        raise ForeignTileError(f"shard {'/'.join(map(str, shard))} brings tile {'/'.join(map(str, stray))} from outside")
     levels = incoming.select("z").distinct()
     mine = inside_shard(served, shard).join(F.broadcast(levels), "z", "left_semi")
     kept = served.join(mine.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_anti")
@@ -176,22 +184,42 @@ def region_levels(rows: DataFrame, shard_level: int = 3) -> DataFrame:
     ).agg(F.min("z").alias("first_level"), F.max("z").alias("last_level"), F.count("*").alias("tiles"))
 
 
-def manifest(rows: DataFrame, name: str, channels: list, sources: dict[str, str] | None = None) -> DataFrame:
-    """One row that describes a tile set: levels, counts, channels and where they come from.
+WORLD = (-180.0, -90.0, 180.0, 90.0)
+
+
+def manifest(
+    rows: DataFrame, name: str, channels: list, sources: dict[str, str] | None = None, units: dict[str, str] | None = None, tile_px: int = 256,
+    bounds: tuple[float, float, float, float] = WORLD, ndvi: tuple[int, int] | None = None, rgb: str | None = None, regions: int | None = None,
+) -> DataFrame:
+    """One row that describes a tile set: scheme, levels, bounds, counts, channels, land classes, regions.
 
-    ``collect_list`` gathers one entry per level, at most a few dozen.
+    ``ndvi`` gives the levels with greenness tiles of their own, ``rgb`` the path of true-colour tiles, ``regions`` the
+    level of the shards to list. What is gathered is bounded: an entry per level and per shard. The bit index grows with
+    the tiles and is a table of its own, ``level_index``, found under ``index``.
     """
+    one = F.lit(1).alias("_one")
     counts = level_counts(rows).groupBy().agg(
         F.min("z").alias("first_level"), F.max("z").alias("last_level"),
         F.sort_array(F.collect_list(F.struct("z", "tiles"))).alias("counts"),
     )
+    if regions is None:
+        counts = counts.withColumn("regions", F.array().cast("array<struct<shard:string,first_level:int,last_level:int>>"))
+    else:
+        shard = F.concat_ws("/", F.lit(regions), "sx", "sy").alias("shard")
+        listed = region_levels(rows, regions).agg(F.sort_array(F.collect_list(F.struct(shard, "first_level", "last_level"))).alias("regions"))
+        counts = counts.select("*", one).join(listed.select("*", one), "_one").drop("_one")  # one row each
+    encodings = {"class": "class index", "hillshade": "brightness"}
     described = F.array(*[
         F.struct(
-            F.lit(c.name).alias("name"), F.lit(float(c.lo)).alias("lo"), F.lit(float(c.hi)).alias("hi"), F.lit(c.unit).alias("unit"),
-            F.lit((sources or {}).get(c.name, c.source)).alias("source"),
+            F.lit(c.name).alias("name"), F.lit(float(c.lo)).alias("lo"), F.lit(float(c.hi)).alias("hi"), F.lit((units or {}).get(c.name)).cast("string").alias("unit"),
+            F.lit((sources or {}).get(c.name)).cast("string").alias("source"), F.lit(encodings.get(c.name, "linear from lo to hi")).alias("encoding"),
         )
         for c in channels
     ])
-    return counts.select(F.lit(1).alias("version"), F.lit(name).alias("name"), "first_level", "last_level", "counts", described.alias("channels"))
-
-
+    classes = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(n).alias("name"), F.lit(label).alias("label"), F.lit(code).cast("int").alias("code")) for i, n, label, code in LAND_CLASSES])
+    levels = F.array(*[F.lit(z) for z in ndvi]) if ndvi else F.lit(None).cast("array<int>")
+    return counts.select(
+        F.lit(1).alias("version"), F.lit(name).alias("name"), F.lit("EPSG:4326, 2^(z+1) x 2^z tiles, y from the north").alias("scheme"), F.lit(tile_px).alias("tile_px"),
+        F.array(*[F.lit(float(x)) for x in bounds]).alias("bounds"), "first_level", "last_level", "counts", F.lit("index").alias("index"),
+        described.alias("channels"), classes.alias("classes"), levels.alias("ndvi_levels"), F.lit(rgb).cast("string").alias("rgb_path"), "regions",
+    )

@@ -12,14 +12,20 @@ from phenogrid.sources import files
 
 
 def featured_ranges(counts: DataFrame, names: list[str], sensitive: tuple[str, ...], rules: DrillRules = DrillRules()) -> DataFrame:
-    """Month vectors and effort of featured species in the cells the drill-down keeps.
+    """Month vectors of featured species in the cells the drill-down keeps, with the effort of their own class.
 
+    ``counts`` has a column ``class``: a turtle is divided by reptiles, not by birds.
     A sensitive name is refused before anything is planned.
     """
     counting.refuse_sensitive(names, sensitive)
     cells = drill.drill_down(counts.where(F.col("sci").isin(*names)), rules)
-    effort = counting.effort_for_cells(counts, cells)
-    return presence.beside_cells(cells.select("sci", "cell", "c"), effort)
+    return with_own_effort(cells, counts)
+
+
+def with_own_effort(cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """Species-cells (sci, cell, c) with the effort ``t`` of the species' class in the cell."""
+    of_class = counts.where(F.col("sci").isNotNull()).groupBy("sci").agg(F.min("class").alias("class"))
+    return cells.select("sci", "cell", "c").join(of_class, "sci").join(counting.effort_by_class(counts, cells), ["class", "cell"]).drop("class")
 
 
 def build(
@@ -28,13 +34,14 @@ def build(
     """Cell documents, indexes and species ranges of a detail region.
 
     ``facets`` are cached bodies per cell and month, ``ranges`` worldwide rows (key, cell, c, t,
-    sci, common, family) that win over the region where both cover a cell.
+    sci, common, family) that win over the region where both cover a cell. Each of these rows brings its own effort: two
+    species of different classes in one cell are divided by different totals.
     """
     effort_rows, species_rows, _ = files.cell_summaries(facets)
     effort = counting.dense_months(effort_rows, ["cell"]).withColumnRenamed("c", "t").where(months.total("t") > 0)
     pairs = counting.dense_months(species_rows, ["cell", "key"])
     labelled = presence.label_presence(pairs, effort, rules)
-    wide = presence.label_presence(ranges.select("key", "cell", "c"), ranges.select("cell", "t").distinct(), rules)
+    wide = presence.label_with_effort(ranges.select("key", "cell", "c", "t"), rules)
     columns = ["key", "cell", "c", "t", "r", "m", "p"]
     together = naming.override_ranges(labelled.select(*columns), wide.select(*columns))
     counted = together.groupBy("key").agg(F.count("*").alias("cells"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phenogrid.functions import months
 from phenogrid.operators import counting, documents, naming, presence
 from phenogrid.rules import SENSITIVE, CoverageRules, PresenceRules, QualityWindow
+from phenogrid.session import new_path
 from phenogrid.sources import files, sinks
 
 
@@ -27,13 +28,27 @@ def world_shard(spark: SparkSession, tsv: str, shard_id: str, tables: str, sensi
 
 
 def ingest_counts(counts: DataFrame, shard_id: str, tables: str, sensitive: Sequence[str] = SENSITIVE) -> DataFrame:
+    """Replace one shard's tables; a table that gets no rows loses its old ones too. Returns the shard's metrics.
+
+    The counts are pivoted once into (species, cell) rows in the shared folder, from which both tables and the metrics come.
+    """
+    spark = counts.sparkSession
     masked = counting.mask_sensitive(counts, sensitive)
+    pivot = counting.with_cell(masked).groupBy("sci", "cell").agg(
+        F.min("specieskey").alias("specieskey"), F.min("family").alias("family"), months.sum_by_month("n").alias("c"), F.count("*").alias("rows"),
+    )
+    path = new_path(spark, "ingest")
+    pivot.write.parquet(path)
+    pivot = spark.read.schema(pivot.schema).parquet(path)
     shard = F.lit(shard_id).alias("shard")
-    pairs = sinks.pairs_for_sink(counting.species_months(masked)).select("*", shard)
-    effort = sinks.effort_for_sink(counting.effort_months(masked)).select("*", shard)
-    sinks.write_shards(pairs, f"{tables}/pairs", ["sci", "cell"])
-    sinks.write_shards(effort, f"{tables}/totals", ["cell"])
-    return counting.shard_metrics(masked)
+    pairs = pivot.where("sci IS NOT NULL").select("sci", "cell", "specieskey", "family", "c")
+    effort = pivot.groupBy("cell").agg(months.sum_vectors("c").alias("t"))
+    sinks.replace_shard(sinks.pairs_for_sink(pairs).select("*", shard), f"{tables}/pairs", shard_id, ["sci", "cell"])
+    sinks.replace_shard(sinks.effort_for_sink(effort).select("*", shard), f"{tables}/totals", shard_id, ["cell"])
+    return pivot.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows"), F.coalesce(F.sum(months.total("c")), F.lit(0)).cast("long").alias("records"),
+        F.count("sci").alias("pairs"), F.count_distinct("sci").alias("species"), F.count_distinct("cell").alias("cells"),
+    ).select(shard, "*")
 
 
 def shard_tables(spark: SparkSession, tables: str, shards: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +66,9 @@ def world_names(pairs: DataFrame, cache: DataFrame, checklist: DataFrame, match:
     return naming.resolve_names(counting.species_list(pairs), cache, checklist, match)
 
 
+MEASURE = "records of the species per record of its class, by cell and month"
+
+
 @dataclass(frozen=True)
 class Bundle:
     """The published documents, each as a lazy frame."""
@@ -60,50 +78,96 @@ class Bundle:
     cell_index: DataFrame
     species_index: DataFrame
     manifest: DataFrame
+    meta: DataFrame
     labelled: DataFrame
+    effort: DataFrame
 
 
 def world_build(
     pairs: DataFrame, effort: DataFrame, names: DataFrame, sensitive: DataFrame, rules: PresenceRules = PresenceRules(),
-    coverage: CoverageRules = CoverageRules(), store: str | None = None,
+    coverage: CoverageRules = CoverageRules(), store: str | None = None, ingested: DataFrame | None = None,
+    source: str = "occurrence records", generated: str = "",
 ) -> Bundle:
-    """Merge shards, name, label and assemble: two shuffles, by (key, cell) and by cell.
+    """Merge shards, name, label and assemble: shuffles by (key, cell), by cell and by key.
 
-    With ``store`` given, the labelled species-cells are written there once and every document is
-    assembled from that table; otherwise each document plan labels on its own.
+    With ``store`` given, species-cells, cells and species are written there once, and every document and index is read
+    from these; otherwise each document plan labels on its own. ``ingested`` (shard, built, doi) adds when and from which
+    download a shard came.
     """
     safe = naming.drop_sensitive(pairs, sensitive)
     keyed = counting.merge_pairs(naming.with_keys(safe.select("sci", "cell", "c"), names), "key", "cell")
     merged = counting.merge_effort(effort)
-    labelled = presence.label_presence(keyed, merged, rules)
+    labelled = documents.with_units(presence.label_presence(keyed, merged, rules)).select("key", "cell", "c", "t", "u", "m", "p")
+    if store is not None:
+        merged = _kept(merged, f"{store}/effort")
+        labelled = documents.with_units(presence.label_presence(keyed, merged, rules)).select("key", "cell", "c", "t", "u", "m", "p")
+        labelled = _kept(labelled, f"{store}/labelled")
+    cells, species = documents.cell_rows(labelled, merged, coverage), documents.species_rows(labelled)
     if store is not None:
-        spark = pairs.sparkSession
-        documents.with_units(labelled).select("key", "cell", "c", "u", "m", "p").write.mode("overwrite").parquet(f"{store}/labelled")
-        merged.write.mode("overwrite").parquet(f"{store}/effort")
-        labelled, merged = spark.read.parquet(f"{store}/labelled"), spark.read.parquet(f"{store}/effort")
+        cells, species = _kept(cells, f"{store}/cells"), _kept(species, f"{store}/species")
     metrics = effort.groupBy("shard").agg(F.sum(months.total("t")).alias("records"), F.count("*").alias("cells")).join(
         pairs.groupBy("shard").agg(F.count_distinct("sci").alias("species")), "shard", "left"
     )
+    if ingested is not None:
+        metrics = metrics.join(ingested.select("shard", "built", "doi"), "shard", "left")
+    manifest = documents.coverage_manifest(metrics)
     return Bundle(
-        cells=documents.cell_documents(labelled, merged), species=documents.species_documents(labelled),
-        cell_index=documents.cell_index(labelled, merged, coverage), species_index=documents.species_index(labelled, names),
-        manifest=documents.coverage_manifest(metrics), labelled=labelled,
+        cells=cells.select("id", "total", "species"), species=species.select("k", F.map_from_entries("entries").alias("cells")),
+        cell_index=cells.select("id", "total", "richness", "coverage"),
+        species_index=documents.named_index(species.select(F.col("k").alias("key"), "cells"), names),
+        manifest=manifest, meta=documents.meta(manifest, source, MEASURE, generated), labelled=labelled, effort=merged,
     )
 
 
-def publish(spark: SparkSession, bundle: Bundle, root: str, previous: str | None = None) -> DataFrame | None:
-    """Write the documents, indexes last; with an earlier build given, return what changed.
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-    Documents are written as tables of many documents per file, so nothing is listed or written one
-    key at a time. The diff reads both builds from storage.
+
+#: Published document sets with the key of a document.
+KINDS = {"cells": "id", "species": "k", "cell_index": "id", "species_index": "k"}
+
+
+def publish(spark: SparkSession, bundle: Bundle, root: str, buckets: int = 64) -> DataFrame:
+    """Bring the published documents up to date; returns kind, id, state and written bytes of each.
+
+    Documents lie as JSON lines in buckets of their key, next to a table of their content hashes. The new hashes are
+    compared with the stored ones before anything is written. Only buckets with a changed, added or removed document are
+    rewritten; one that has become empty is removed. Hashes follow their documents, the manifest and meta come last, so a
+    publish that broke off is simply run again.
     """
-    sinks.write_documents(bundle.cells, f"{root}/cells")
-    sinks.write_documents(bundle.species, f"{root}/species")
-    sinks.write_documents(bundle.cell_index, f"{root}/cell_index")
-    sinks.write_documents(bundle.species_index, f"{root}/species_index")
+    states = []
+    for kind, key in KINDS.items():
+        docs = getattr(bundle, kind)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+        listed = f"{root}/hashes/{kind}"
+        new = documents.hashes(docs, [key])
+        schema = f"{key} string, hash long, bucket int"
+        old = spark.read.schema(schema).parquet(listed).drop("bucket") if sinks.path_exists(spark, listed) else new.limit(0)
+        path = new_path(spark, "changes")
+        documents.hash_diff(old, new, [key]).select(key, "state", bucket).write.parquet(path)
+        diff = spark.read.schema(f"{key} string, state string, bucket int").parquet(path)
+        touched = [r["bucket"] for r in diff.where("state <> 'unchanged'").select("bucket").distinct().collect()]
+        body = docs.select(key, F.to_json(F.struct(*docs.columns)).alias("value"), bucket)
+        if touched:
+            here = F.col("bucket").isin(*touched)
+            sinks.write_buckets(body.where(here), f"{root}/{kind}", key)
+            sinks.write_buckets(new.select("*", bucket).where(here), listed, key, "parquet")
+            filled = {r["bucket"] for r in diff.where("state <> 'removed'").select("bucket").distinct().collect()}
+            for gone in set(touched) - filled:
+                sinks.drop_folder(spark, f"{root}/{kind}/bucket={gone}")
+                sinks.drop_folder(spark, f"{listed}/bucket={gone}")
+        size = F.when(F.col("state").isin("changed", "added"), F.octet_length("value"))
+        sized = diff.where("state <> 'unchanged'").join(body.select(key, "value"), key, "left").select(key, size.cast("long").alias("bytes"))
+        states.append(diff.join(sized, key, "left").select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "state", "bytes"))
     sinks.write_small(bundle.manifest, f"{root}/coverage")
-    if previous is None:
-        return None
-    schema = bundle.cells.schema
-    old, new = (spark.read.schema(schema).json(f"{base}/cells") for base in (previous, root))
-    return documents.document_diff(old, new, ["id", "part"])
+    sinks.write_small(bundle.meta, f"{root}/meta")
+    out = states[0]
+    for frame in states[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def published(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame:
+    """Documents of a set as they stand; its buckets are no column of theirs."""
+    return spark.read.schema(schema).json(f"{root}/{kind}").drop("bucket")

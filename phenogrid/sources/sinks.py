@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from phenogrid.functions import months
@@ -15,16 +15,30 @@ def write_counts_tsv(counts: DataFrame, path: str) -> None:
 def write_shards(table: DataFrame, path: str, sort: list[str]) -> None:
     """Shard-partitioned parquet; only the partitions present in ``table`` are replaced.
 
-    Rows are clustered by shard and cell band, so a shard that holds most of the rows is still
-    written by many tasks.
+    Rows are dealt out by shard and cell, so a shard that holds most of the rows is still written by as many tasks as the
+    session has partitions.
     """
-    band = F.pmod(F.xxhash64("cell"), F.lit(64))
     (
-        table.repartition("shard", band).sortWithinPartitions("shard", *sort)
+        table.repartition("shard", "cell").sortWithinPartitions("shard", *sort)
         .write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     )
 
 
+def replace_shard(table: DataFrame, path: str, shard_id: str, sort: list[str]) -> None:
+    """Write one shard over its old rows; with no rows left, its folder goes."""
+    write_shards(table, path, sort)
+    if table.isEmpty():
+        drop_folder(table.sparkSession, f"{path}/shard={shard_id}")
+
+
+def write_buckets(rows: DataFrame, path: str, key: str, form: str = "text") -> None:
+    """Rows in folders by ``bucket``, in order of the key; buckets that are not among them stay."""
+    ready = rows.repartition("bucket").sortWithinPartitions("bucket", key)
+    if form == "text":
+        ready = ready.select("value", "bucket")
+    ready.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").format(form).save(path)
+
+
 def pairs_for_sink(pairs: DataFrame) -> DataFrame:
     rest = [c for c in pairs.columns if c != "c"]
     return pairs.select(*rest, *months.wide("c", "c"))
@@ -35,14 +49,26 @@ def effort_for_sink(effort: DataFrame) -> DataFrame:
     return effort.select(*rest, *months.wide("t", "t"))
 
 
-def write_documents(documents: DataFrame, path: str, by: str | None = None) -> None:
-    """Documents as JSON lines, many per file; optionally in folders by a coarse column."""
-    writer = documents.write.mode("overwrite")
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a partition folder, for what an overwrite by partition leaves when nothing is written to it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_documents(documents: DataFrame, path: str, by: str | None = None, key: str = "id") -> None:
+    """Documents as JSON lines, many per file and in ranges of their key; optionally in folders by a coarse column."""
+    ranged = documents.repartitionByRange(*([by] if by else []), key) if key in documents.columns else documents
+    writer = ranged.write.mode("overwrite")
     (writer if by is None else writer.partitionBy(by)).json(path)
 
 
 def write_small(rows: DataFrame, path: str) -> None:
-    """A manifest or index row set of bounded size as one file."""
+    """A manifest of bounded size as one file: a row per region, level or set, never per species or document."""
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
@@ -53,14 +79,19 @@ def write_csv(rows: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write_tiles(pixels: DataFrame, path: str) -> None:
-    """Pyramid pixels by level; only the levels present are replaced."""
+    """Pyramid pixels by level, in ranges of rows of tiles; only the levels present are replaced.
+
+    Reading a tile touches the files of its range only, by their statistics on ``gy`` and ``gx``.
+    """
     (
-        pixels.write.partitionBy("z").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        pixels.repartitionByRange("z", "gy", "gx").sortWithinPartitions("z", "gy", "gx").write.partitionBy("z").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     )
 
 
 def write_places(chunked: DataFrame, path: str) -> None:
-    chunked.write.partitionBy("chunk").mode("overwrite").json(path)
+    """Places by chunk. The chunk of major places is dealt out further, by name; others are one file each."""
+    salt = F.when(F.col("chunk") == "major", F.pmod(F.xxhash64("name"), F.lit(int(chunked.sparkSession.conf.get("spark.sql.shuffle.partitions"))))).otherwise(F.lit(0))
+    chunked.repartition("chunk", salt).write.partitionBy("chunk").mode("overwrite").json(path)
 
 
 def counted_write(frame: DataFrame, path: str, name: str, **metrics) -> dict:

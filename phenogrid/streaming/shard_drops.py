@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.functions import grid, months
 from phenogrid.operators import counting
+from phenogrid.session import new_path
 from phenogrid.sources import sinks
 
 DROP_SCHEMA = "sci string, specieskey string, family string, month int, lat0 int, lng0 int, n bigint, shard string, version int"
@@ -28,44 +29,58 @@ def write_drop(counts: DataFrame, path: str, version: int) -> None:
     with_shard(counts).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", "shard").parquet(path)
 
 
+VERSIONS = "shard string, version int"
+
+
 def newest(batch: DataFrame) -> DataFrame:
-    """Only the highest version of each shard in the batch: one or two numbers per shard decide."""
-    latest = batch.groupBy("shard").agg(F.max("version").alias("version"))
-    return batch.join(F.broadcast(latest), ["shard", "version"], "left_semi")
+    """The highest version of each shard among the batch's rows: a row per shard."""
+    return batch.groupBy("shard").agg(F.max("version").alias("version"))
+
+
+def due(batch: DataFrame, versions_path: str) -> list[tuple[str, int]]:
+    """(shard, version) that the batch calls for, without those a later version of which is already in place.
+
+    One row per shard, so the list is bounded by the shards.
+    """
+    held = batch.sparkSession.read.schema(VERSIONS).parquet(versions_path).groupBy("shard").agg(F.max("version").alias("_held"))
+    wanted = newest(batch).join(held, "shard", "left").where("_held IS NULL OR version >= _held")
+    return [(r["shard"], r["version"]) for r in wanted.select("shard", "version").collect()]
+
 
+def replace_shards(batch: DataFrame, drops: str, tables: str, sensitive: Sequence[str]) -> None:
+    """Write pairs and effort of the shards the batch names over the old ones, the version record last.
 
-def current_counts(batch: DataFrame, versions_path: str) -> DataFrame:
-    """The batch without shards for which a later version is already in place."""
+    A version of a shard may arrive in several batches, so the whole drop is read, not only the batch's new files. It is
+    counted once, into (species, cell) rows in the shared folder; both tables come from there.
+    """
     spark = batch.sparkSession
-    try:
-        known = spark.read.schema("shard string, version int").parquet(versions_path)
-    except Exception as error:  # the first batch finds no table yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return batch
-    held = known.groupBy("shard").agg(F.max("version").alias("_held"))
-    joined = batch.join(F.broadcast(held), "shard", "left")
-    return joined.where(F.col("_held").isNull() | (F.col("version") >= F.col("_held"))).drop("_held")
-
-
-def replace_shards(batch: DataFrame, tables: str, sensitive: Sequence[str]) -> None:
-    """Write pairs and effort of the batch's shards over the old ones, the version record last."""
-    fresh = current_counts(newest(batch), f"{tables}/versions")
-    masked = counting.mask_sensitive(fresh, sensitive)
-    cells = counting.with_cell(masked)
-    by_month = months.sum_by_month("n")
-    effort = cells.groupBy("shard", "cell").agg(by_month.alias("t"))
-    pairs = cells.where(F.col("sci").isNotNull()).groupBy("shard", "sci", "cell").agg(by_month.alias("c"))
+    named = due(batch, f"{tables}/versions")
+    if not named:
+        return
+    whole = spark.read.schema(DROP_SCHEMA).parquet(drops)
+    wanted = F.lit(False)
+    for shard, version in named:
+        wanted |= (F.col("shard") == shard) & (F.col("version") == version)
+    masked = counting.mask_sensitive(whole.where(wanted), sensitive)
+    path = new_path(spark, "drop")
+    counting.with_cell(masked).groupBy("shard", "sci", "cell").agg(months.sum_by_month("n").alias("c")).write.parquet(path)
+    gridded = spark.read.schema("shard string, sci string, cell string, c array<bigint>").parquet(path)
+    pairs = gridded.where("sci IS NOT NULL")
+    effort = gridded.groupBy("shard", "cell").agg(months.sum_vectors("c").alias("t"))
     sinks.write_shards(sinks.pairs_for_sink(pairs), f"{tables}/pairs", ["sci", "cell"])
     sinks.write_shards(sinks.effort_for_sink(effort), f"{tables}/totals", ["cell"])
-    fresh.select("shard", "version").distinct().coalesce(1).write.mode("append").parquet(f"{tables}/versions")
+    without = {s for s, _ in named} - {r["shard"] for r in pairs.select("shard").distinct().collect()}
+    for shard in without:
+        sinks.drop_folder(spark, f"{tables}/pairs/shard={shard}")
+    spark.createDataFrame(named, VERSIONS).coalesce(1).write.mode("append").parquet(f"{tables}/versions")
 
 
 def ingest(spark: SparkSession, drops: str, tables: str, checkpoint: str, sensitive: Sequence[str] = ()) -> None:
     """Take in every drop that is there and not yet taken in, then stop."""
+    spark.createDataFrame([], VERSIONS).write.mode("ignore").parquet(f"{tables}/versions")
     stream = spark.readStream.schema(DROP_SCHEMA).parquet(drops)
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: replace_shards(batch, tables, sensitive))
+        stream.writeStream.foreachBatch(lambda batch, _: replace_shards(batch, drops, tables, sensitive))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from phenogrid.functions import geo, grid
-from phenogrid.operators import drill, flow, place_view, presence, species_view
+from phenogrid.operators import drill, flow, place_view, species_view
 from phenogrid.rules import DrillRules, TierRules
 
 ON = {"bulbul": (30, range(1, 13)), "falcon": (20, (10, 11)), "wagtail": (10, (10, 11, 12, 1, 2, 3)), "cuckoo": (5, range(6, 11)), "goose": (4, (11, 12, 1))}
@@ -183,11 +183,3 @@ def test_compass(spark):
     rows = spark.createDataFrame([(0.0, -1.0), (-1.0, 0.0), (1.0, 1.0)], "u double, v double")
     got = [(r[0], r[1]) for r in rows.select(geo.blows_from(F.col("u"), F.col("v")), geo.flows_towards(F.col("u"), F.col("v"))).collect()]
     assert got == [("north", "south"), ("east", "west"), ("south-west", "north-east")]
-
-
-def test_finer_grids_join_without_a_hint(spark):
-    rows = spark.createDataFrame([("1_1", 1)], "cell string, x int")
-    def hinted(size):
-        return "Broadcast" in presence.beside_cells(rows, rows.select("cell"), cell_size=size)._jdf.queryExecution().analyzed().toString() or "broadcast" in str(presence.beside_cells(rows, rows.select("cell"), cell_size=size)._jdf.queryExecution().logical().toString()).lower()
-    assert hinted(1.0) and not hinted(0.5)
-    assert math.isclose(grid.WORLD_CELLS, 64800)

@@ -14,31 +14,37 @@ from phenogrid.sources import files
 from phenogrid.streaming import shard_drops
 
 
-def line(name, lat, lng, code, country, admin, population):
-    f = [""] * 19
-    f[1], f[4], f[5], f[7], f[8], f[10], f[14] = name, str(lat), str(lng), code, country, admin, str(population)
-    return "\t".join(f)
+FIELDS = {"name": 1, "lat": 4, "lng": 5, "code": 7, "country": 8, "admin": 10, "population": 14}
 
 
-LINES = [
-    line("Pune", 18.5, 73.8, "PPLA2", "IN", "16", 3124458), line("Satna", 24.6, 80.8, "PPL", "IN", "35", 282977), line("New Delhi", 28.6, 77.2, "PPLC", "IN", "07", 317797),
-    line("Amarpatan", 24.3, 80.9, "PPL", "IN", "35", 11000), "too\tshort", line("Off", 95, 0, "PPL", "IN", "35", 1), "",
-]
+def dump_row(**values):
+    fields = [""] * 19
+    for name, value in values.items():
+        fields[FIELDS[name]] = str(value)
+    return "\t".join(fields)
 
 
 def test_places(spark):
+    """Two large towns, a capital, a village in a chunk, and three lines that are no places."""
+    rows = [
+        dump_row(name="Havnsund", lat=61.2, lng=5.1, code="PPL", country="NO", admin="09", population=88000),
+        dump_row(name="Cuidad Alta", lat=-16.4, lng=-71.5, code="PPLA", country="PE", admin="04", population=16000),
+        dump_row(name="Little Isle", lat=1.4, lng=173.1, code="PPLC", country="KI", admin="01", population=900),
+        dump_row(name="Kvern", lat=61.9, lng=6.7, code="PPL", country="NO", admin="77", population=1200),
+        dump_row(name="Nowhere", lat=12, lng=250, code="PPL", country="NO", admin="09", population=50), "a\tb\tc", "",
+    ]
     folder = tempfile.mkdtemp(prefix="dump-")
     with open(f"{folder}/dump.txt", "w") as f:
-        f.write("\n".join(LINES))
+        f.write("\n".join(rows))
     with open(f"{folder}/admin.txt", "w") as f:
-        f.write("IN.16\tMaharashtra\tx\nIN.35\tMadhya Pradesh\n\tnothing\nIN.99\n")
+        f.write("NO.09\tVestfold og Fjord\tx\nPE.04\tArequipa\n\tnone\nKI.99\n")
     report = places.parse_report(places.parsed_places(files.geonames_lines(spark, f"{folder}/dump.txt"))).first()
     assert (report["places"], report["malformed"]) == (4, 2)
     manifest = products.places(spark, f"{folder}/dump.txt", f"{folder}/admin.txt", f"{folder}/out").first()
-    assert (manifest["major"], manifest["chunked"], manifest["chunks"]) == (3, 1, 1)
-    rows = {r["name"]: r for r in spark.read.json(f"{folder}/out/chunks").collect()}
-    assert rows["Pune"]["admin1"] == "Maharashtra" and rows["New Delhi"]["admin1"] == "" and rows["New Delhi"]["kind"] == 0
-    assert rows["Amarpatan"]["chunk"] == "11_2"
+    assert (manifest["major"], manifest["chunked"], manifest["chunks"], manifest["malformed"]) == (3, 1, 1, 2)
+    rows = {r["name"]: (r["admin1"], r["kind"], r["chunk"]) for r in spark.read.json(f"{folder}/out/chunks").collect()}
+    assert rows["Havnsund"] == ("Vestfold og Fjord", 2, "major") and rows["Cuidad Alta"] == ("Arequipa", 1, "major")
+    assert rows["Little Isle"] == ("", 0, "major") and rows["Kvern"] == ("", 2, "8_1")
 
 
 def test_label_floor():
@@ -84,6 +90,17 @@ def test_text_functions(spark):
     assert list(row) == ["A & B é", "bubo-bubo-l", '"12,5"', '"\'=1+""2"""', "Female", "12,34,567"]
 
 
+def test_entities_resolve_as_in_html(spark):
+    import html
+
+    samples = ["&amp;lt; &lt;b&gt;", "&eacute&eacute;", "&notit; &notin; &not", "&#65;&#x41;&#X41", "&#0;&#128;&#150;&#55296;&#1114112;&#99999999999999999999;", "a & b &; &zzz; &#; &#x;", "&Aacute;&CounterClockwiseContourIntegral;", "&#1;&#127;|&#xFDD0;|&#13;", "", "none", "&#128512;&frac12;"]
+    got = spark.createDataFrame(list(enumerate(samples)), "i int, s string").select("i", text.unescape_html(F.col("s")).alias("t")).collect()
+    for r in got:
+        assert r["t"] == html.unescape(samples[r["i"]]), samples[r["i"]]
+    plan = spark.createDataFrame([("x",)], "s string").select(text.strip_html(F.col("s")))._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan
+
+
 def test_ranges_in_words(spark):
     rows = [(20.0, 30.0, "cm", "20–30 cm", ""), (1200.0, 1800.0, "g", "1.2 kg – 1.8 kg", "Lighter than a bag of rice"), (25.0, 25.0, "g", "25 g", "Lighter than a sparrow"), (900.0, 1000.0, "g", "900 g – 1 kg", "Lighter than a litre of milk")]
     frame = spark.createDataFrame(rows, "lo double, hi double, unit string, words string, compared string")
@@ -101,8 +118,8 @@ def test_entity_dump(spark):
 
 
 def counts(spark, shard_rows):
-    rows = [("Species A", "K", "F", m, lat, lng, n) for lat, lng, n in shard_rows for m in range(1, 13)]
-    return spark.createDataFrame(rows, "sci string, specieskey string, family string, month int, lat0 int, lng0 int, n long")
+    rows = [("Species A", "K", "F", "Aves", m, lat, lng, n) for lat, lng, n in shard_rows for m in range(1, 13)]
+    return spark.createDataFrame(rows, "sci string, specieskey string, family string, class string, month int, lat0 int, lng0 int, n long")
 
 
 def test_stream_replaces_shards_once(spark):
@@ -122,14 +139,40 @@ def test_stream_replaces_shards_once(spark):
 
 
 def test_batch_replay_is_idempotent(spark):
-    tables = tempfile.mkdtemp(prefix="replay-")
-    batch = shard_drops.with_shard(counts(spark, [(28, 77, 5)])).withColumn("version", F.lit(1))
+    base = tempfile.mkdtemp(prefix="replay-")
+    drops, tables = f"{base}/drops", f"{base}/tables"
+    shard_drops.write_drop(counts(spark, [(28, 77, 5)]), drops, 1)
+    spark.createDataFrame([], shard_drops.VERSIONS).write.parquet(f"{tables}/versions")
+    batch = spark.read.schema(shard_drops.DROP_SCHEMA).parquet(drops)
     for _ in range(2):
-        shard_drops.replace_shards(batch, tables, ())
+        shard_drops.replace_shards(batch, drops, tables, ())
     rows = files.shard_table(spark, f"{tables}/pairs").collect()
     assert len(rows) == 1 and rows[0]["c12"] == 5
 
 
+def test_a_version_may_arrive_in_two_runs(spark):
+    base = tempfile.mkdtemp(prefix="split-")
+    drops, tables, state = f"{base}/drops", f"{base}/tables", f"{base}/state"
+    for cell in ((28, 77, 5), (10, 70, 2)):
+        shard_drops.write_drop(counts(spark, [cell]), drops, 4)
+        shard_drops.ingest(spark, drops, tables, state)
+    assert {r["cell"]: r["c06"] for r in files.shard_table(spark, f"{tables}/pairs").collect()} == {"28_77": 5, "10_70": 2}
+    assert {r["cell"]: r["t06"] for r in files.shard_table(spark, f"{tables}/totals").collect()} == {"28_77": 5, "10_70": 2}
+
+
+def test_ranges_of_two_classes_share_a_cell(spark):
+    """A bird and a turtle in one cell are divided by birds and by reptiles, and come out once each."""
+    rows = [(s, "k" + s, c, m, 3, 4, n) for m in range(1, 13) for s, c, n in (("bird", "Aves", 10), ("other bird", "Aves", 90), ("turtle", "Reptilia", 5), ("snake", "Reptilia", 15))]
+    seen = spark.createDataFrame(rows, "sci string, specieskey string, class string, month int, lat0 int, lng0 int, n long")
+    cells = seen.where("sci IN ('bird', 'turtle')").groupBy("sci").agg(F.lit("3_4").alias("cell"), F.transform(F.array_repeat(F.max("n"), 12), lambda n: n).alias("c"))
+    ranges = detail.with_own_effort(cells, seen).withColumns({"key": F.col("sci"), "common": F.lit(""), "family": F.lit("")})
+    facets = spark.createDataFrame([("3_4", m, 400, {"9": 40}) for m in range(1, 13)], files.FACET_SCHEMA.replace("cell string,", "cell string, month int,"))
+    made = detail.build(facets, spark.createDataFrame([], "key string, sci string, common string, family string"), ranges)
+    got = {r["k"]: r["cells"]["3_4"]["r"][0] for r in made["species"].collect()}
+    assert got == {"bird": 0.1, "turtle": 0.25, "9": 0.1}
+    assert {r["key"]: r["cells"] for r in made["species_index"].collect()} == {"bird": 1, "turtle": 1, "9": 1}
+
+
 def test_detail_build_with_ranges(spark):
     facets = [("10_76", m, 100, {"1": 10, **({"2": 20} if m in (10, 11) else {})}) for m in range(1, 13)]
     facets += [("11_76", m, 0, {}) for m in range(1, 13)] + [("12_76", m, 5, {"1": 1}) for m in range(1, 12)]
