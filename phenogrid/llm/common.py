@@ -57,11 +57,18 @@ def nodes(docs: DataFrame) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Bytes of rows that a Python worker is handed at once; Spark's own 64 MB is a lot for workers that share an executor.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the package to Spark once per application, so that Python workers anywhere can import it.
+    """Give the package to Spark once per application, so that Python workers anywhere can import it, and keep batches small.
 
-    Spark serves the archive to the executors itself; nobody else reads the driver's copy.
+    Spark serves the archive to the executors itself; nobody else reads the driver's copy. A batch size that was set by
+    hand stays.
     """
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, "4m")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -20,6 +20,13 @@ _CUT = re.compile(rf"(?<=[^{_WHITE}])(?=[ \n])")
 _DOUBLE = re.compile(rf"[{_WHITE}][{_WHITE}]")
 
 
+def _single_spaced(text: str) -> bool:
+    """Whether white space is single spaces and line ends only; a plain search of substrings where the text is ASCII."""
+    if text.isascii():
+        return not any(pair in text for pair in ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
+    return _DOUBLE.search(text) is None
+
+
 def default_vocabulary() -> str:
     """Path of the public vocabulary file; every operator takes another path as a parameter."""
     import public_tokenizers
@@ -99,7 +106,7 @@ class Encoder:
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def encode(self, text: str) -> bytes:
-        if _DOUBLE.search(text):
+        if not _single_spaced(text):
             return self.pieces.join(_CUT.split(text))
         # White space stands alone, so every space and line end is a cut. Keys leave the space out.
         head, *rest = text.replace("\n", " \n").split(" ")
