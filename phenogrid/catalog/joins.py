@@ -135,12 +135,12 @@ def u03(spark, sf):
 
 
 @query("u05_other_names", """
-WITH al AS (SELECT 'Q' || (p_partkey % 25) AS item, p_partkey AS pos, trim(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name || ' ' END) AS alias FROM part),
+WITH al AS (SELECT 'Q' || (p_partkey // 12) AS item, p_partkey AS pos, trim(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name || ' ' END) AS alias FROM part),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item, lower(alias) ORDER BY pos) AS rn FROM al) WHERE rn = 1 AND alias <> ''),
-k AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT 'Q' || (p_partkey % 25) AS item, p_name AS name FROM part WHERE p_size = 7) e WHERE e.item = f.item AND lower(e.name) = lower(f.alias)))
+k AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT 'Q' || (p_partkey // 12) AS item, p_name AS name FROM part WHERE p_size = 7) e WHERE e.item = f.item AND lower(e.name) = lower(f.alias)))
 SELECT item, CAST(place AS INTEGER) AS place, alias FROM (SELECT item, alias, row_number() OVER (PARTITION BY item ORDER BY pos) AS place FROM k) WHERE place <= 8""")
 def u05(spark, sf):
-    part = b.table(spark, sf, "part").withColumn("item", F.concat(F.lit("Q"), (F.col("p_partkey") % 25).cast("string")))
+    part = b.table(spark, sf, "part").withColumn("item", F.concat(F.lit("Q"), F.floor(F.col("p_partkey") / 12).cast("long").cast("string")))
     spelled = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(" ")))
     excluded = part.where("p_size = 7").select("item", F.col("p_name").alias("name")).distinct()
     return profiles.other_names(part.select("item", F.col("p_partkey").alias("pos"), spelled.alias("alias")), excluded)

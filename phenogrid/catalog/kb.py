@@ -258,9 +258,9 @@ def e24(spark, sf):
 
 
 @query("t07_first_images", """
-SELECT item, CAST(place AS INTEGER) AS place, url FROM (SELECT 'Q' || (page_id % 20) AS item, url, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS place FROM pages) WHERE place <= 3""")
+SELECT item, CAST(place AS INTEGER) AS place, url FROM (SELECT 'Q' || (page_id // 8) AS item, url, row_number() OVER (PARTITION BY page_id // 8 ORDER BY page_id) AS place FROM pages) WHERE place <= 3""")
 def t07(spark, sf):
-    item = F.concat(F.lit("Q"), (F.col("page_id") % 20).cast("string"))
+    item = F.concat(F.lit("Q"), F.floor(F.col("page_id") / 8).cast("long").cast("string"))
     media = b.table(spark, sf, "pages").select(item.alias("item"), F.col("page_id").alias("pos"), "url")
     return profiles.first_images(media).select("item", "place", "url")
 

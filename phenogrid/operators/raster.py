@@ -496,7 +496,8 @@ def smooth_surface(values: DataFrame, keys: tuple[str, ...], px_per_cell: int =
     """Soft image of cell values: smoothstep blend of the four nearest cell centres, rows spaced in
     Web Mercator. Result per pixel with a visible value: ``px, py, alpha`` (0..255).
 
-    Every cell emits its weighted share to the pixels around it. A pixel row belongs to the cell
+    Every cell emits its weighted share to the pixel rows around it, and what a row has of a cell column to the pixels
+    around that; an aggregate after each axis keeps the fan-out to one axis. A pixel row belongs to the cell
     rows around its latitude; the inverse (cell row to pixel rows) has a closed form because
     Mercator is monotone.
     """
@@ -535,13 +536,14 @@ def smooth_surface(values: DataFrame, keys: tuple[str, ...], px_per_cell: int =
     lat = F.degrees(F.atan(F.exp(y))) * 2 - 90
     v = (lat - F.col("lat_min")) / cell_size - 0.5
     spread = spread.withColumn("_wy", _smooth_weight(v, F.col("_row"), F.col("rows"))).where("_wy > 0")
+    value = F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(1.0))
+    spread = spread.groupBy(*keys, "py", "_col", "cols").agg(F.sum(value * F.col("_wy")).alias("_v"))  # one axis is done
     x_low = F.greatest((F.col("_col") - 1) * px_per_cell, F.lit(0))
     x_high = F.least((F.col("_col") + 2) * px_per_cell, F.col("cols") * px_per_cell) - 1
     spread = spread.withColumn("px", F.explode(F.sequence(x_low.cast("int"), x_high.cast("int"))))
     u = (F.col("px") + 0.5) / px_per_cell - 0.5
     spread = spread.withColumn("_wx", _smooth_weight(u, F.col("_col"), F.col("cols"))).where("_wx > 0")
-    value = F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(1.0))
-    return spread.groupBy(*keys, "px", "py").agg(F.sum(value * F.col("_wx") * F.col("_wy")).alias("_a")).select(
+    return spread.groupBy(*keys, "px", "py").agg(F.sum(F.col("_v") * F.col("_wx")).alias("_a")).select(
         *keys, "px", "py", F.floor(F.col("_a") * 255 + 0.5).cast("int").alias("alpha")
     ).where(F.col("alpha") > 0)
 
