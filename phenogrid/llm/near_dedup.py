@@ -36,7 +36,7 @@ SIGNED = "node long, known boolean, n_shingles long, klass binary, bands array<l
 PIVOTS, TRIALS = 4, 3
 
 #: Members up to which a bucket is paired, and members of a lane of a larger one.
-PAIRED, LANE = 16, 256
+PAIRED, LANE = 16, 512
 
 
 @dataclass(frozen=True)
