@@ -142,10 +142,13 @@ def compare(left: np.ndarray, right: np.ndarray, areas: list[tuple[int, int]], l
 
 
 def _verify(batches: Iterator[pd.DataFrame], least: int, percent: int, enough: int) -> Iterator[pd.DataFrame]:
+    held, left = None, np.zeros(0, np.uint64)  # rows come in order of the first document
     for batch in batches:
         rows = []
         for row in batch.itertuples(index=False):
-            left, right = (shingle_sequence(word_hashes(t), SHINGLE) for t in (row.first_text, row.text))
+            if row.first_node != held:
+                held, left = row.first_node, shingle_sequence(word_hashes(row.first_text), SHINGLE)
+            right = shingle_sequence(word_hashes(row.text), SHINGLE)
             areas = regions([(int(k), int(span) >> 32, int(span) & 0xFFFFFFFF) for k, span in zip(row.functions, row.spans, strict=True)], enough)
             rows += [(row.node, s, e, row.first_node, fs, fe, sim) for s, e, fs, fe, sim in compare(left, right, areas, least, percent)]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
