@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -14,8 +15,6 @@ from phenogrid.session import new_path
 #: Parts that the rows of one key are dealt to; a key has at most so many rows in any per-key list.
 SALTS = 64
 
-WHITE = r"[\x20\x09-\x0D]"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends there, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    # Shuffle files go when the driver collects the plans that made them, which an idle driver hardly ever does by itself.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def salt_of(*ids: str, salts: int = SALTS) -> Column:
