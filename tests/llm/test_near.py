@@ -67,6 +67,23 @@ def test_a_large_group_of_edited_copies(spark):
     assert answer(docs, size=4) == brute(texts, 4)
 
 
+def test_buckets_in_many_lanes(spark, monkeypatch):
+    """A group whose members are mostly too different to link, so that its buckets are compared in tiles."""
+    monkeypatch.setattr(near_dedup, "LANE", 15)
+    monkeypatch.setattr(near_dedup, "PAIRED", 4)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = {}
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(2, 4)):
+            words[rng.randrange(len(words))] = f"v{i}x{rng.randrange(9)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute(texts, 4)
+    assert answer(docs, size=4) == want and len({c for _, c, _ in want.values()}) > 5
+
+
 def test_odd_rows(odd, empty):
     rows = near_dedup.near_duplicates(odd, size=4).collect()
     assert len(rows) == odd.count()
