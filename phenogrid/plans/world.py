@@ -143,12 +143,17 @@ def publish(spark: SparkSession, bundle: Bundle, root: str, buckets: int = 64) -
         listed = f"{root}/hashes/{kind}"
         new = documents.hashes(docs, [key])
         schema = f"{key} string, hash long, bucket int"
-        old = spark.read.schema(schema).parquet(listed).drop("bucket") if sinks.path_exists(spark, listed) else new.limit(0)
+        body = docs.select(key, F.to_json(F.struct(*docs.columns)).alias("value"), bucket)
+        if not sinks.path_exists(spark, listed):  # a first build: everything is added
+            sinks.write_buckets(body, f"{root}/{kind}", key)
+            sinks.write_buckets(new.select("*", bucket), listed, key, "parquet")
+            states.append(body.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.lit("added").alias("state"), F.octet_length("value").cast("long").alias("bytes")))
+            continue
+        old = spark.read.schema(schema).parquet(listed).drop("bucket")
         path = new_path(spark, "changes")
         documents.hash_diff(old, new, [key]).select(key, "state", bucket).write.parquet(path)
         diff = spark.read.schema(f"{key} string, state string, bucket int").parquet(path)
         touched = [r["bucket"] for r in diff.where("state <> 'unchanged'").select("bucket").distinct().collect()]
-        body = docs.select(key, F.to_json(F.struct(*docs.columns)).alias("value"), bucket)
         if touched:
             here = F.col("bucket").isin(*touched)
             sinks.write_buckets(body.where(here), f"{root}/{kind}", key)
