@@ -6,6 +6,9 @@ its subsequences that contain it: one compact window (l, c, r) says that every s
 covers all subsequences of at least the wanted length with about 2n / length windows. A passage that stands in two texts
 gives both a window with the same value under every hash function, a near copy under most.
 
+Texts of equal words are one class: only the first has windows, the others are reported as copies of it and with what it
+shares with documents before it.
+
 Windows with equal values meet in a star: the first document that has the value against each other one, so a passage of
 any number of documents gives as many pairs. The windows' intervals of a pair that enough hash functions share are joined
 into regions, and the words inside decide: a passage is reported if it is long enough and its shingle set is at least 80
@@ -23,19 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import LAST_NODE, nodes, salt_of, ship, stored
-from phenogrid.llm.shingles import mixed, shingle_sequence, word_hashes
+from phenogrid.llm.common import LAST_NODE, nodes, salt_of, salted_groups, ship, stored
+from phenogrid.llm.shingles import hashes_of, mixed, shingle_sequence, word_hashes, words_of
 
 SHINGLE = 5
 
 #: Hash functions, and how many of them must share windows around a place.
-HASHES, ENOUGH = 5, 2
+HASHES, ENOUGH = 5, 1
 
 FOUND = "node long, start long, end long, first_node long, first_start long, first_end long, similarity double"
 
+PARTS = ["first_node", "node", "salt", "functions", "spans", "part", "at"]
+
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Windows (l, c, r) that cover every subsequence of at least ``least`` values."""
@@ -141,6 +147,26 @@ def compare(left: np.ndarray, right: np.ndarray, areas: list[tuple[int, int]], l
     return sorted(out)
 
 
+def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = [words_of(text) for text in batch["text"]]
+        yield pd.DataFrame({"node": batch["node"], "klass": [xxhash.xxh3_128_digest(b" ".join(w)) for w in texts], "words": [len(w) for w in texts]})
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs with only that part of the later text that their windows span, and the word it begins at."""
+    held, words = None, []  # rows come in order of the node
+    for batch in batches:
+        parts, starts = [], []
+        for node, text, spans in zip(batch["node"], batch["text"], batch["spans"], strict=True):
+            if node != held:
+                held, words = node, words_of(text)
+            lo = min(int(span) >> 32 for span in spans)
+            parts.append(b" ".join(words[lo : max(int(span) & 0xFFFFFFFF for span in spans) + SHINGLE]))
+            starts.append(lo)
+        yield batch.drop(columns="text").assign(part=parts, at=np.array(starts, np.int64))[PARTS]
+
+
 def _verify(batches: Iterator[pd.DataFrame], least: int, percent: int, enough: int) -> Iterator[pd.DataFrame]:
     held, left = None, np.zeros(0, np.uint64)  # rows come in order of the first document
     for batch in batches:
@@ -148,30 +174,66 @@ def _verify(batches: Iterator[pd.DataFrame], least: int, percent: int, enough: i
         for row in batch.itertuples(index=False):
             if row.first_node != held:
                 held, left = row.first_node, shingle_sequence(word_hashes(row.first_text), SHINGLE)
-            right = shingle_sequence(word_hashes(row.text), SHINGLE)
-            areas = regions([(int(k), int(span) >> 32, int(span) & 0xFFFFFFFF) for k, span in zip(row.functions, row.spans, strict=True)], enough)
-            rows += [(row.node, s, e, row.first_node, fs, fe, sim) for s, e, fs, fe, sim in compare(left, right, areas, least, percent)]
+            right = shingle_sequence(hashes_of(row.part.split()), SHINGLE)
+            areas = regions([(int(k), (int(span) >> 32) - row.at, (int(span) & 0xFFFFFFFF) - row.at) for k, span in zip(row.functions, row.spans, strict=True)], enough)
+            rows += [(row.node, row.at + s, row.at + e, row.first_node, fs, fe, sim) for s, e, fs, fe, sim in compare(left, right, areas, least, percent)]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
 
+def _first_reports(found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Without passages that are, but for less than a passage and the share that may differ, reported against an earlier document."""
+    row = F.struct("first_node", "start", (-F.col("end")).alias("order"), "end", "first_start", "first_end", "similarity")
+    by_node = found.groupBy("node").agg(F.sort_array(F.collect_set(row)).alias("all"))
+
+    def known(kept: Column, r: Column) -> Column:
+        length = r["end"] - r["start"]
+        bare = lambda k: length - F.greatest(F.lit(0), F.least(k["end"], r["end"]) - F.greatest(k["start"], r["start"]))
+        return F.exists(kept, lambda k: (bare(k) < words) & (100 * bare(k) <= (100 - percent) * length))
+
+    none = F.slice("all", 1, 0)
+    kept = F.aggregate("all", none, lambda kept, r: F.when(known(kept, r), kept).otherwise(F.array_append(kept, r)))
+    return by_node.select("node", F.explode(kept).alias("r")).select("node", *(f"r.{c}" for c in found.columns if c != "node"))
+
+
+def _copies(texts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Later members of each class (node, first, salt, words), and the nodes that have windows."""
+    classes = stored(texts.mapInPandas(_classes, "node long, klass binary, words long").where(F.col("words") >= words), "classes").withColumn("salt", salt_of("node"))
+    groups = salted_groups(classes, ["klass"], F.col("node")).select("klass", "salt", "first")
+    placed = stored(classes.join(groups.hint("merge"), ["klass", "salt"], "left").select("node", "salt", "words", "first"), "copies")
+    return placed.where("first <> node"), placed.where("first IS NULL OR first = node").select("node")
+
+
+def _with_copies(found: DataFrame, copies: DataFrame) -> DataFrame:
+    """Passages of copies: the whole text, and those of the first of their class."""
+    whole = copies.select("node", F.lit(0).cast("long").alias("start"), F.col("words").alias("end"), F.col("first").alias("first_node"), F.lit(0).cast("long").alias("first_start"), F.col("words").alias("first_end"), F.lit(1.0).alias("similarity"))
+    parts = found.withColumnRenamed("node", "first").join(copies.select("first", "salt").distinct().hint("merge"), "first")
+    same = copies.select("node", "first", "salt").join(parts.hint("merge"), ["first", "salt"]).select(*found.columns)
+    return found.unionByName(whole).unionByName(same)
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, least: int, percent: int, enough: int) -> DataFrame:
+    salted = pairs.withColumn("salt", salt_of("node"))
+    firsts = salted.select("first_node", "salt").distinct().join(texts.withColumnsRenamed({"node": "first_node", "text": "first_text"}).hint("merge"), "first_node")
+    later = salted.join(texts.hint("merge"), "node").select(*pairs.columns, "salt", "text")
+    schema = "first_node long, node long, salt int, functions array<int>, spans array<long>, part binary, at long"
+    later = later.mapInPandas(_stretches, schema)
+    return later.join(firsts.hint("merge"), ["first_node", "salt"]).mapInPandas(lambda b: _verify(b, least, percent, enough), FOUND)
+
+
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """One row per passage of ``words`` words or more that an earlier document (smaller doc_id) also has:
     doc_id, start, end (words, end exclusive), first_id, first_start, first_end, similarity."""
     ship(docs.sparkSession)
     least = words - SHINGLE + 1
-    rows = nodes(docs).select("node", "text")
-    windows = stored(rows.mapInPandas(lambda b: _windows(b, least, hashes), "key long, node long, span long"), "windows")
+    texts = stored(nodes(docs).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    copies, own = _copies(texts, words)
+    windows = stored(texts.join(own.hint("merge"), "node", "left_semi").mapInPandas(lambda b: _windows(b, least, hashes), "key long, node long, span long"), "windows")
     shared = stored(windows.groupBy("key").agg(F.min("node").alias("first_node"), F.max("node").alias("last")).where("first_node < last").drop("last"), "shared-keys")
     met = windows.join(shared.hint("merge"), "key").where("node <> first_node")
     function = F.col("key").bitwiseAND(7).cast("int").alias("function")
     pairs = met.groupBy("first_node", "node").agg(F.collect_set(F.struct(function, "span")).alias("spans"))
     pairs = pairs.where(F.size(F.array_distinct("spans.function")) >= enough)
     pairs = stored(pairs.select("first_node", "node", F.col("spans.function").alias("functions"), F.col("spans.span").alias("spans")), "pairs")
-    wanted = pairs.select("node").union(pairs.select("first_node")).distinct()
-    texts = stored(rows.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-    salted = pairs.withColumn("salt", salt_of("node"))
-    firsts = salted.select("first_node", "salt").distinct().join(texts.withColumnsRenamed({"node": "first_node", "text": "first_text"}).hint("merge"), "first_node")
-    both = salted.join(texts.hint("merge"), "node").join(firsts.hint("merge"), ["first_node", "salt"])
-    found = both.select("node", "text", "first_node", "first_text", "functions", "spans").mapInPandas(lambda b: _verify(b, least, percent, enough), FOUND)
+    found = stored(_first_reports(_checked(pairs, texts, least, percent, enough), words, percent), "passages")
     named = {c: F.when(F.col(c) <= LAST_NODE - (1 << 62), F.col(c)) for c in ("node", "first_node")}
-    return found.select(named["node"].alias("doc_id"), "start", "end", named["first_node"].alias("first_id"), "first_start", "first_end", "similarity")
+    return _with_copies(found, copies).select(named["node"].alias("doc_id"), "start", "end", named["first_node"].alias("first_id"), "first_start", "first_end", "similarity")

@@ -37,11 +37,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    words = words_of(text)
+def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return hashes_of(words_of(text))
+
+
 def shingle_sequence(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the shingle at each word; a shorter text is one shingle, an empty one has none."""
     n = len(hashes)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 from phenogrid.llm import graph, near_dedup, passages
 from phenogrid.llm.common import stored
@@ -160,6 +161,34 @@ def test_passages_in_hot_and_clean_documents(spark):
     assert all(r.start <= 80 and r.end >= 140 and r.end - r.start < 70 for r in rows)
 
 
+def test_passages_of_pairs_that_share_one_hash_function(spark):
+    """Near copies of one window at similarity 0.8 or a little more: every pair that shares a window is verified."""
+    rng, texts, sure = random.Random(12), {}, set()
+    for i in range(1200):
+        words = [f"p{i}x{k}" for k in range(55)]
+        edited = list(words)
+        edited[26] = f"q{i}"  # five of 51 shingles: similarity 46 / 56
+        for d, part in ((2 * i, words), (2 * i + 1, edited)):
+            texts[d] = " ".join([f"r{rng.randrange(10**9)}" for _ in range(30)] + part)
+        keys = [set(next(passages._windows(iter([pd.DataFrame({"node": [d], "text": [texts[d]]})]), 46, passages.HASHES))["key"]) for d in (2 * i, 2 * i + 1)]
+        if len({k & 7 for k in keys[0] & keys[1]}) == 1:
+            sure.add(2 * i + 1)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id for r in passages.repeated_passages(docs).collect()}
+    assert sure and sure <= found
+
+
+def test_passages_of_copies(spark):
+    """A copy is reported whole, and with the passage its like shares with an earlier document."""
+    rng = random.Random(2)
+    word = lambda: f"x{rng.randrange(10**6)}"
+    shared = [word() for _ in range(70)]
+    text = " ".join([word() for _ in range(60)] + shared)
+    docs = spark.createDataFrame([(1, " ".join(shared + [word() for _ in range(60)])), (2, text), (3, text.upper()), (None, text)], "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.end, r.first_id) for r in passages.repeated_passages(docs).collect()}
+    assert got == {(2, 60, 130, 1), (3, 60, 130, 1), (None, 60, 130, 1), (3, 0, 130, 2), (None, 0, 130, 2)}
+
+
 def test_passages_odd_rows(odd, empty):
     assert passages.repeated_passages(odd).count() == 0
     assert passages.repeated_passages(empty).count() == 0
