@@ -10,7 +10,9 @@ Texts of equal words are one class: only the first has windows, the others are r
 shares with documents before it.
 
 Windows with equal values meet in a star: the first document that has the value against each other one, so a passage of
-any number of documents gives as many pairs. The windows' intervals of a pair that enough hash functions share are joined
+any number of documents gives as many pairs. If one of them fails verification, the others of the value meet again without
+the first: their windows are made anew over the shingles that the first lacks, so what two of them share beyond it gives
+them a common value. This is repeated until no value is left that fails; each round is a star over what is left. The windows' intervals of a pair that enough hash functions share are joined
 into regions, and the words inside decide: a passage is reported if it is long enough and its shingle set is at least 80
 percent similar to that of the passage in the first document.
 
@@ -40,7 +42,14 @@ HASHES, ENOUGH = 5, 1
 
 FOUND = "node long, start long, end long, first_node long, first_start long, first_end long, similarity double"
 
-PARTS = ["first_node", "node", "salt", "functions", "spans", "part", "at"]
+#: What verification returns beside passages: members of a value, whether they were found, and their windows without the first.
+AGAIN = "old long, settled boolean, key long, span long, need long, gone array<long>"
+
+#: A window that may be made anew: its value has more than two members.
+MORE = 8
+
+ENTRIES = "functions array<int>, spans array<long>, needs array<long>, gones array<array<long>>"
+PARTS = ["first_node", "node", "salt", "functions", "spans", "needs", "gones", "part", "at"]
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -60,6 +69,14 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
+def hashed(sequence: np.ndarray, k: int) -> np.ndarray:
+    return mixed(sequence ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))
+
+
+def key_of(values: np.ndarray, k: int) -> np.ndarray:
+    return (values & ~np.uint64(7) | np.uint64(k)).view(np.int64)
+
+
 def _windows(batches: Iterator[pd.DataFrame], least: int, hashes: int) -> Iterator[pd.DataFrame]:
     """key (hash function in its low bits), node, span (l and r)."""
     for batch in batches:
@@ -67,9 +84,9 @@ def _windows(batches: Iterator[pd.DataFrame], least: int, hashes: int) -> Iterat
         for node, text in zip(batch["node"], batch["text"], strict=True):
             sequence = shingle_sequence(word_hashes(text), SHINGLE)
             for k in range(hashes if len(sequence) >= least else 0):
-                values = mixed(sequence ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))
+                values = hashed(sequence, k)
                 found = np.array(compact_windows(values, least), np.int64)
-                keys.append((values[found[:, 1]] & ~np.uint64(7) | np.uint64(k)).view(np.int64))
+                keys.append(key_of(values[found[:, 1]], k))
                 owners.append(np.full(len(found), node, np.int64))
                 spans.append(found[:, 0] << 32 | found[:, 2])
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -147,6 +164,71 @@ def compare(left: np.ndarray, right: np.ndarray, areas: list[tuple[int, int]], l
     return sorted(out)
 
 
+def runs_of(marked: np.ndarray, at: int) -> list[int]:
+    """Stretches of marked places, first and last in one number."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
+    return [(int(lo) + at) << 32 | (int(hi) + at - 1) for lo, hi in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def smallest(values: np.ndarray, free: np.ndarray, lo: int, hi: int, around: int) -> int | None:
+    """Place of the smallest value in [lo, hi] among those that are free; of equal ones that next to ``around``."""
+    places = np.flatnonzero(free[lo : hi + 1])
+    if not len(places):
+        return None
+    part = values[lo : hi + 1][places]
+    ties = places[part == part.min()] + lo
+    return int(ties[np.abs(2 * ties - around).argmin()])
+
+
+def windows_without(values: np.ndarray, free: np.ndarray, lo: int, hi: int, need: tuple[int, int], least: int) -> tuple[list[tuple[int, int, int]], tuple[int, int] | None]:
+    """Windows (l, c, r), smallest free values, that cover every subsequence of [lo, hi] around ``need`` of ``least`` values,
+    and the stretch, if any, in which such a subsequence has no free value."""
+    out = []
+    while hi - lo + 1 >= least:
+        c = smallest(values, free, lo, hi, need[0] + need[1])
+        if c is None:
+            return out, (lo, hi)
+        out.append((lo, c, hi))
+        if c < need[0]:
+            lo = c + 1
+        elif c > need[1]:
+            hi = c - 1
+        else:
+            break
+    return out, None
+
+
+def _again(row, right: np.ndarray, left: np.ndarray, found: list[tuple], least: int) -> list[tuple]:
+    """Rows of AGAIN for one pair: its windows over the shingles that the first document lacks.
+
+    A member that wasn't found although the first has all of a stretch's shingles, elsewhere, keeps its value there.
+    """
+    out, hits, at = [], None, row.at
+    for k, span, need, gone in zip(row.functions, row.spans, row.needs, row.gones, strict=True):
+        if not int(k) & MORE:
+            continue
+        hits = np.isin(right, left) if hits is None else hits
+        k, lo, hi = int(k) & 7, (int(span) >> 32) - at, (int(span) & 0xFFFFFFFF) - at
+        values, free = hashed(right[: hi + 1], k), np.ones(hi + 1, bool)
+        for run in () if gone is None else gone:
+            free[max(0, (int(run) >> 32) - at) : max(0, (int(run) & 0xFFFFFFFF) + 1 - at)] = False
+        need = None if need is None or need != need or need < 0 else ((int(need) >> 32) - at, (int(need) & 0xFFFFFFFF) - at)
+        c = smallest(values, free, lo, hi, sum(need) if need else lo + hi)
+        old = int(key_of(values[c : c + 1], k)[0])
+        settled = any(s <= c < e - SHINGLE + 1 for s, e, *_ in found)
+        around = (min(need[0], c), max(need[1], c)) if need else (c, c)
+        pack = lambda x: (x[0] + at) << 32 | (x[1] + at)
+        rest = free & ~hits[: hi + 1]
+        made, same = windows_without(values, rest, lo, hi, around, least)
+        marks = runs_of(~rest[lo : hi + 1], lo + at) if made else None
+        out += [(old, settled, int(key_of(values[m : m + 1], k)[0]), pack((a, b)), pack(around), marks) for a, m, b in made]
+        if same and not settled:
+            out.append((old, settled, old, pack(same), pack(need) if need else -1, runs_of(~free[lo : hi + 1], lo + at)))
+        elif not settled and not made:
+            out.append((old, settled, None, None, None, None))
+    return out
+
+
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = [words_of(text) for text in batch["text"]]
@@ -154,30 +236,39 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with only that part of the later text that their windows span, and the word it begins at."""
+    """Pairs with only that part of the later text that their windows span, and the word it begins at; first texts whole."""
     held, words = None, []  # rows come in order of the node
     for batch in batches:
         parts, starts = [], []
-        for node, text, spans in zip(batch["node"], batch["text"], batch["spans"], strict=True):
+        for node, of, text, spans in zip(batch["holder"], batch["node"], batch["text"], batch["spans"], strict=True):
             if node != held:
                 held, words = node, words_of(text)
-            lo = min(int(span) >> 32 for span in spans)
-            parts.append(b" ".join(words[lo : max(int(span) & 0xFFFFFFFF for span in spans) + SHINGLE]))
+            whole = pd.isna(of)
+            lo = 0 if whole else min(int(span) >> 32 for span in spans)
+            parts.append(b" ".join(words if whole else words[lo : max(int(span) & 0xFFFFFFFF for span in spans) + SHINGLE]))
             starts.append(lo)
-        yield batch.drop(columns="text").assign(part=parts, at=np.array(starts, np.int64))[PARTS]
+        out = batch.drop(columns=["text", "holder"]).assign(part=parts, at=np.array(starts, np.int64))[PARTS]
+        yield out.astype({"node": "Int64"})
 
 
 def _verify(batches: Iterator[pd.DataFrame], least: int, percent: int, enough: int) -> Iterator[pd.DataFrame]:
-    held, left = None, np.zeros(0, np.uint64)  # rows come in order of the first document
+    """Passages, and rows of AGAIN."""
+    left = np.zeros(0, np.uint64)  # the first document's text comes before its pairs
+    names = [c.split()[0] for c in f"{FOUND}, {AGAIN}".split(", ")]
+    blank = (None,) * len(AGAIN.split(", "))
     for batch in batches:
         rows = []
         for row in batch.itertuples(index=False):
-            if row.first_node != held:
-                held, left = row.first_node, shingle_sequence(word_hashes(row.first_text), SHINGLE)
             right = shingle_sequence(hashes_of(row.part.split()), SHINGLE)
-            areas = regions([(int(k), (int(span) >> 32) - row.at, (int(span) & 0xFFFFFFFF) - row.at) for k, span in zip(row.functions, row.spans, strict=True)], enough)
-            rows += [(row.node, row.at + s, row.at + e, row.first_node, fs, fe, sim) for s, e, fs, fe, sim in compare(left, right, areas, least, percent)]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+            if pd.isna(row.node):
+                left = right
+                continue
+            areas = regions([(int(k) & 7, (int(span) >> 32) - row.at, (int(span) & 0xFFFFFFFF) - row.at) for k, span in zip(row.functions, row.spans, strict=True)], enough)
+            found = compare(left, right, areas, least, percent)
+            rows += [(int(row.node), row.at + s, row.at + e, row.first_node, fs, fe, sim, *blank) for s, e, fs, fe, sim in found]
+            rows += [(int(row.node), None, None, None, None, None, None, *again) for again in _again(row, right, left, found, least)]
+        out = pd.DataFrame(rows, columns=names)
+        yield out.astype({c: "Int64" for c in ("node", "start", "end", "first_node", "first_start", "first_end", "old", "key", "span", "need")} | {"settled": "boolean", "similarity": "Float64"})
 
 
 def _first_reports(found: DataFrame, words: int, percent: int) -> DataFrame:
@@ -195,9 +286,19 @@ def _first_reports(found: DataFrame, words: int, percent: int) -> DataFrame:
     return by_node.select("node", F.explode(kept).alias("r")).select("node", *(f"r.{c}" for c in found.columns if c != "node"))
 
 
-def _copies(texts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+def _texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One text per node, and its class. Texts are stored anew only if nodes repeat."""
+    make = lambda texts: stored(texts.mapInPandas(_classes, "node long, klass binary, words long"), "classes")
+    classes = make(rows)
+    if classes.groupBy("node").count().where("count > 1").isEmpty():
+        return rows, classes
+    texts = stored(rows.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    return texts, make(texts)
+
+
+def _copies(classes: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Later members of each class (node, first, salt, words), and the nodes that have windows."""
-    classes = stored(texts.mapInPandas(_classes, "node long, klass binary, words long").where(F.col("words") >= words), "classes").withColumn("salt", salt_of("node"))
+    classes = classes.where(F.col("words") >= words).withColumn("salt", salt_of("node"))
     groups = salted_groups(classes, ["klass"], F.col("node")).select("klass", "salt", "first")
     placed = stored(classes.join(groups.hint("merge"), ["klass", "salt"], "left").select("node", "salt", "words", "first"), "copies")
     return placed.where("first <> node"), placed.where("first IS NULL OR first = node").select("node")
@@ -212,12 +313,27 @@ def _with_copies(found: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, least: int, percent: int, enough: int) -> DataFrame:
+    """Passages of the pairs, and rows of AGAIN. A first document is handed out once per 64 or so of its pairs."""
     salted = pairs.withColumn("salt", salt_of("node"))
-    firsts = salted.select("first_node", "salt").distinct().join(texts.withColumnsRenamed({"node": "first_node", "text": "first_text"}).hint("merge"), "first_node")
-    later = salted.join(texts.hint("merge"), "node").select(*pairs.columns, "salt", "text")
-    schema = "first_node long, node long, salt int, functions array<int>, spans array<long>, part binary, at long"
-    later = later.mapInPandas(_stretches, schema)
-    return later.join(firsts.hint("merge"), ["first_node", "salt"]).mapInPandas(lambda b: _verify(b, least, percent, enough), FOUND)
+    many = salted_groups(salted, ["first_node"], F.col("node")).select("first_node", "salt", "n")
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / 64).cast("int")
+    salted = salted.join(many.hint("merge"), ["first_node", "salt"], "left").withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("n")
+    salted = stored(salted, "salted")
+    asked = salted.select(F.col("first_node").alias("holder"), "first_node", "salt").distinct()
+    asked = salted.withColumn("holder", F.col("node")).unionByName(asked, allowMissingColumns=True)
+    schema = f"first_node long, node long, salt int, {ENTRIES}, part binary, at long"
+    both = asked.join(texts.withColumnRenamed("node", "holder").hint("merge"), "holder").select("holder", "first_node", "node", "salt", "functions", "spans", "needs", "gones", "text").mapInPandas(_stretches, schema)
+    dealt = both.repartition("first_node", "salt").sortWithinPartitions("first_node", "salt", F.col("node").asc_nulls_first())
+    return dealt.mapInPandas(lambda b: _verify(b, least, percent, enough), f"{FOUND}, {AGAIN}")
+
+
+def _left_over(checked: DataFrame) -> DataFrame:
+    """Windows without the first document, of values with a member that wasn't found."""
+    rows = checked.where("old IS NOT NULL").withColumn("salt", salt_of("node"))
+    failed = rows.groupBy("old", "salt").agg(F.min("settled").alias("settled"))
+    failed = failed.groupBy("old").agg(F.min("settled").alias("settled"), F.collect_list("salt").alias("salts")).where("NOT settled")
+    failed = failed.select("old", F.explode("salts").alias("salt"))
+    return rows.where("key IS NOT NULL").join(failed.hint("merge"), ["old", "salt"]).select("key", "node", "span", "need", "gone")
 
 
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
@@ -225,15 +341,28 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashe
     doc_id, start, end (words, end exclusive), first_id, first_start, first_end, similarity."""
     ship(docs.sparkSession)
     least = words - SHINGLE + 1
-    texts = stored(nodes(docs).groupBy("node").agg(F.min("text").alias("text")), "texts")
-    copies, own = _copies(texts, words)
+    texts, classes = _texts(nodes(docs).select("node", "text"))
+    copies, own = _copies(classes, words)
     windows = stored(texts.join(own.hint("merge"), "node", "left_semi").mapInPandas(lambda b: _windows(b, least, hashes), "key long, node long, span long"), "windows")
-    shared = stored(windows.groupBy("key").agg(F.min("node").alias("first_node"), F.max("node").alias("last")).where("first_node < last").drop("last"), "shared-keys")
-    met = windows.join(shared.hint("merge"), "key").where("node <> first_node")
-    function = F.col("key").bitwiseAND(7).cast("int").alias("function")
-    pairs = met.groupBy("first_node", "node").agg(F.collect_set(F.struct(function, "span")).alias("spans"))
-    pairs = pairs.where(F.size(F.array_distinct("spans.function")) >= enough)
-    pairs = stored(pairs.select("first_node", "node", F.col("spans.function").alias("functions"), F.col("spans.span").alias("spans")), "pairs")
-    found = stored(_first_reports(_checked(pairs, texts, least, percent, enough), words, percent), "passages")
+    windows = windows.withColumns({"need": F.lit(-1).cast("long"), "gone": F.lit(None).cast("array<long>")})
+    found = None
+    while True:
+        members = F.count("*").alias("members")
+        shared = stored(windows.groupBy("key").agg(F.min("node").alias("first_node"), F.max("node").alias("last"), members).where("first_node < last").drop("last"), "shared-keys")
+        if found is not None and shared.isEmpty():
+            break
+        met = windows.join(shared.hint("merge"), "key").where("node <> first_node")
+        function = (F.col("key").bitwiseAND(7) + F.when(F.col("members") > 2, F.lit(MORE)).otherwise(F.lit(0))).cast("int").alias("function")
+        pairs = met.groupBy("first_node", "node").agg(F.collect_set(F.struct(function, "span", "need", "gone")).alias("entries"))
+        pairs = pairs.where(F.size(F.array_distinct(F.transform("entries.function", lambda f: f.bitwiseAND(7)))) >= enough)
+        lists = [F.col(f"entries.{one}").alias(many) for one, many in (("function", "functions"), ("span", "spans"), ("need", "needs"), ("gone", "gones"))]
+        pairs = stored(pairs.select("first_node", "node", *lists), "pairs")
+        checked = stored(_checked(pairs, texts, least, percent, enough), "checked")
+        passages = checked.where("old IS NULL").select(*(c.split()[0] for c in FOUND.split(", ")))
+        found = passages if found is None else found.unionByName(passages)
+        windows = stored(_left_over(checked), "windows")
+        if not windows.isEmpty():
+            texts = stored(texts.join(windows.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
+    found = stored(_first_reports(found, words, percent), "passages")
     named = {c: F.when(F.col(c) <= LAST_NODE - (1 << 62), F.col(c)) for c in ("node", "first_node")}
     return _with_copies(found, copies).select(named["node"].alias("doc_id"), "start", "end", named["first_node"].alias("first_id"), "first_start", "first_end", "similarity")

@@ -178,6 +178,28 @@ def test_passages_of_pairs_that_share_one_hash_function(spark):
     assert sure and sure <= found
 
 
+def test_passages_whose_first_document_fails(spark):
+    """B and C repeat a passage word for word; an earlier A has a part of it that is too short, or all of it out of order."""
+    rng, texts = random.Random(21), {}
+    word = lambda: f"x{rng.randrange(10**9)}"
+    some = lambda n: [word() for _ in range(n)]
+    for i in range(40):
+        line, rest = some(49), some(9)
+        texts[5 * i] = " ".join(some(40) + line + some(40))
+        for k in (1, 2, 3):
+            texts[5 * i + k] = " ".join(some(40) + (line + rest if k > 1 else line) + some(40))
+        texts[5 * i + 4] = " ".join(some(30))
+    halves = some(100)
+    torn = [" ".join(some(20) + halves[lo : lo + 45] + some(20)) for lo in range(0, 60, 5)]
+    texts[1000] = " ".join(torn)
+    texts[1001], texts[1002] = (" ".join(some(20) + halves + some(20)) for _ in range(2))
+    texts[1003] = " ".join(some(20) + halves + some(20))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {(r.first_id, r.doc_id): (r.start, r.end) for r in passages.repeated_passages(docs).collect()}
+    want = {(5 * i + 2, 5 * i + 3) for i in range(40)} | {(1001, 1002), (1001, 1003)}
+    assert set(rows) == want and all(rows[5 * i + 2, 5 * i + 3] == (40, 98) for i in range(40)) and rows[1001, 1002] == (20, 120)
+
+
 def test_passages_of_copies(spark):
     """A copy is reported whole, and with the passage its like shares with an earlier document."""
     rng = random.Random(2)
