@@ -1,9 +1,10 @@
 """Secrets in texts: three base patterns, and a battery of randomness tests for what the patterns miss.
 
 Base kinds are ``assign`` (a named value), ``access`` (access key ids) and ``hex`` (long hexadecimal runs). The battery
-looks at every other run of 20 or more key characters. It infers the encoding, then measures how unlike running text and
-identifiers the run is: chi-squared uniformity over the encoding's alphabet, the number of runs of one character kind,
-and the serial correlation of neighbours. Which scores count as a discovery is settled per encoding and length class by
+looks at every other run of 20 or more key characters, and at the parts of 20 or more that are left when paths, prefixes
+and dashes are cut off; of those found in one another the longest counts. It infers the encoding, then measures how
+unlike running text and identifiers the run is: chi-squared uniformity over the encoding's alphabet, the number of runs of
+one character kind (where there are several), and the serial correlation of neighbours. Which scores count as a discovery is settled per encoding and length class by
 the false-discovery rule over the whole table, so a short run needs more evidence where many short runs are tested.
 
 Positions are code points, ends exclusive. A null text counts as empty and has no spans. Rows are judged one by one, so
@@ -23,11 +24,16 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 
+#: Parts of a run: without dash and underscore (standard base64), without plus and slash (the URL's one), without separators.
+PARTS = (r"[A-Za-z0-9+/]{20,}+={0,2}", r"[A-Za-z0-9_-]{20,}+={0,2}", r"[A-Za-z0-9+]{20,}+={0,2}")
+
 KINDS = ("assign", "access", "hex", "random")
 
 #: Encoding, what its runs look like, alphabet in order, and the null model of ordinary text in that alphabet: chance that
-#: two characters are equal, that three are, and that the character kind changes from one character to the next.
+#: two characters are equal, that three are, and that the character kind changes from one character to the next (None: there is but one kind).
 ENCODINGS = (
+    ("digits", r"^[0-9]+$", "0123456789", 0.12, 0.018, None),
+    ("letters", r"^([A-Z]?[a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", 0.0655, 0.0063, None),
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.10, 0.012, 0.2),
     ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.0655, 0.0063, 0.2),
     ("base64", r"^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0655, 0.0063, 0.4),
@@ -62,8 +68,14 @@ def _spans(text: Column, pattern: str) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Runs the battery tests: not words of one character kind."""
-    return F.filter(_spans(text, RUN), lambda s: ~F.regexp_like(s["hit"], F.lit(r"^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)=*$")))
+    """Runs the battery tests, and their parts."""
+
+    def cut(run: Column) -> Column:
+        smaller = [F.filter(_spans(run["hit"], part), lambda s: F.length(s["hit"]) < F.length(run["hit"])) for part in PARTS]
+        moved = F.transform(F.concat(*smaller), lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), s["hit"].alias("hit")))
+        return F.when(F.regexp_like(run["hit"], F.lit("[+/_-]")), F.array_distinct(F.concat(F.array(run), moved))).otherwise(F.array(run))
+
+    return F.flatten(F.transform(_spans(text, RUN), cut))
 
 
 def _log_bound(k: Column, n: Column, p: float) -> Column:
@@ -73,10 +85,10 @@ def _log_bound(k: Column, n: Column, p: float) -> Column:
     return F.when(share <= p, F.lit(0.0)).otherwise(n * (share * F.log(share / F.lit(p)) + tail))
 
 
-def _score(run: Column, name: str, alphabet: str, two: float, three: float, change: float) -> Column:
+def _score(run: Column, name: str, alphabet: str, two: float, three: float, change: float | None) -> Column:
     """-ln p of the combined tests; 0 where the serial correlation speaks against randomness."""
     key = run if name != "base64" else F.translate(run, "-_", "+/")
-    key = F.lower(key) if name == "hex" else key
+    key = F.lower(key) if name in ("hex", "letters") else key
     n = F.length(key).cast("double")
     chars = F.split(key, "")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(key, c, F.lit(""))), F.lit(2)))
@@ -88,9 +100,6 @@ def _score(run: Column, name: str, alphabet: str, two: float, three: float, chan
     spread = F.sqrt(pairs * (two - two * two) + n * (n - 1) * (n - 2) * (three - two * two)) * 2 * size / n
     z = (mean - chi) / spread
     uniform = F.when(z > 0, z * z / 2 + F.log(F.lit(2.0))).otherwise(F.lit(0.0))
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(run, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
-    changes = F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) - 1
-    runs = _log_bound(changes.cast("double"), n - 1, change)
     values = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c).cast("double"))
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
     sq = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
@@ -104,8 +113,13 @@ def _score(run: Column, name: str, alphabet: str, two: float, three: float, chan
     cross = walk - average * (2 * total - ends) + (n - 1) * average * average
     variance = sq - n * average * average
     serial = F.when(variance > 0, (cross / variance + 1 / n) * F.sqrt(n)).otherwise(F.lit(float("inf")))
-    both = uniform + runs
-    fisher = both - F.log(1 + both)
+    if change is None:
+        fisher = uniform
+    else:
+        kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(run, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+        changes = F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) - 1
+        both = uniform + _log_bound(changes.cast("double"), n - 1, change)
+        fisher = both - F.log(1 + both)
     return F.when(F.abs(serial) <= SERIAL_LIMIT, fisher).otherwise(F.lit(0.0))
 
 
@@ -130,7 +144,7 @@ def thresholds(docs: DataFrame, rate: float = 0.01) -> dict[int, int]:
     """Lowest score class that counts as a discovery, per stratum, over all runs of the table.
 
     The false-discovery rule: among the m runs of a stratum, the lowest class whose bound e^(-class * STEP) is at most
-    rate * (runs in it or above) / m. Only the counts per stratum and class meet, at most 15 * 2001 of them.
+    rate * (runs in it or above) / m. Only the counts per stratum and class meet, at most 25 * 2001 of them.
     """
     runs = docs.select(F.explode(_tested(_candidates(F.coalesce("text", F.lit(""))))).alias("t")).groupBy("t.stratum", "t.score").agg(F.count("*").alias("n"))
     above = Window.partitionBy("stratum").orderBy(F.desc("score"))
@@ -157,7 +171,10 @@ def with_spans(docs: DataFrame, limits: dict[int, int]) -> DataFrame:
         least = F.create_map(*(F.lit(x) for pair in sorted(limits.items()) for x in pair))
         apart = F.filter(F.col("__found.runs"), lambda t: ~F.exists(F.col("__found.base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
         random = F.filter(_tested(apart), lambda t: t["score"] >= F.coalesce(least[t["stratum"]], F.lit(TOP + 1)))
-        spans = F.concat(F.col("__found.base"), of(random, 3))
+        found = found.select("*", F.explode(F.array(random)).alias("__random"))
+        inside = lambda t, o: (o["start"] <= t["start"]) & (t["end"] <= o["end"]) & (o["end"] - o["start"] > t["end"] - t["start"])
+        longest = F.filter("__random", lambda t: ~F.exists("__random", lambda o: inside(t, o)))
+        spans = F.concat(F.col("__found.base"), of(longest, 3))
     else:
         spans = F.col("__found.base")
     return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(F.array_sort(spans))).alias("__spans"))
