@@ -12,7 +12,7 @@ out is connected already.
 
 Edge cases: a text without words, or null, has no shingles and links with nothing, not even another one. Fewer words than
 a shingle make one shingle of all. A null doc_id ranks behind all others and is reported as null. Rows that repeat a
-doc_id are judged each by its own text. Columns other than doc_id and text are not read. An empty table gives no rows.
+doc_id are judged each by its own text; those that repeat the text too are one document. Columns other than doc_id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import LAST_NODE, nodes, salt_of, salted_groups, ship, stored
+from phenogrid.llm.common import LAST_NODE, salt_of, salted_groups, ship, stored
 from phenogrid.llm.graph import components
 from phenogrid.llm.shingles import mixed, shingle_set
 
@@ -84,9 +84,28 @@ def _sign(batches: Iterator[pd.DataFrame], size: int, bands: Bands) -> Iterator[
         yield pd.DataFrame(rows, columns=["node", "known", "n_shingles", "klass", "bands"])
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _own_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a column __node, and the nodes (node, doc_id) of further texts under a doc_id that has one already.
+
+    Such a text, and a row without doc_id, has a number from the far end, fixed in a stored copy; all others have doc_id.
+    """
+    body = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id", body.alias("__body"))
+    mixed = stored(ids.groupBy("doc_id").agg(F.min("__body").alias("low"), F.max("__body").alias("high")).where("low < high").select("doc_id", "low"), "mixed-ids")
+    if mixed.isEmpty():
+        if docs.where("doc_id IS NULL").isEmpty():
+            return docs.withColumn("__node", F.col("doc_id")), None
+        return stored(docs.withColumn("__node", F.coalesce("doc_id", F.lit(LAST_NODE) - F.monotonically_increasing_id())), "rows"), None
+    others = ids.join(mixed.hint("merge"), "doc_id").where("__body <> low").select("doc_id", "__body").distinct()
+    others = stored(others.withColumn("__other", F.lit(LAST_NODE - (1 << 61)) - F.monotonically_increasing_id()), "further-texts")
+    numbered = docs.withColumns({"__body": body, "__last": F.lit(LAST_NODE) - F.monotonically_increasing_id()}).join(others.hint("merge"), ["doc_id", "__body"], "left")
+    rows = stored(numbered.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("__other", "doc_id", "__last").alias("__node")), "rows")
+    return rows, others.select(F.col("__other").alias("node"), "doc_id")
+
+
+def _shingle_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Full shingle sets of the wanted nodes (node, shingles), stored. Other texts are not cut again."""
-    texts = nodes(docs).select("node", "text").join(wanted.hint("merge"), "node", "left_semi")
+    texts = rows.select("node", "text").join(wanted.hint("merge"), "node", "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -186,17 +205,16 @@ def _trials(entries: DataFrame, percent: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TRIALS).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: Bands | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Linked when the sets' similarity is percent or more."""
-    ship(docs.sparkSession)
-    bands = bands or Bands()
-    signed = stored(nodes(docs).mapInPandas(lambda b: _sign(b, size, bands), SIGNED), "signed").withColumn("salt", salt_of("node"))
+def _judged(docs: DataFrame, others: DataFrame | None, size: int, percent: int, bands: Bands) -> DataFrame:
+    """node, known, n_shingles, doc_id, component_id, kept for rows with a column __node."""
+    rows = docs.select(F.col("__node").alias("node"), F.col("doc_id").isNotNull().alias("known"), "text")
+    signed = stored(rows.mapInPandas(lambda b: _sign(b, size, bands), SIGNED), "signed").withColumn("salt", salt_of("node"))
     copies = stored(salted_groups(signed.where("klass IS NOT NULL"), ["klass"], F.col("node")), "copies")
     first = signed.where("klass IS NOT NULL").join(copies.select("klass", "salt", "first").hint("merge"), ["klass", "salt"], "left").where("first IS NULL OR first = node")
     entries = stored(first.select("node", "n_shingles", F.explode("bands").alias("band")), "entries")
     crowded = stored(entries.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band"), "crowded")
     entries = stored(entries.join(crowded.hint("merge"), "band", "left_semi").withColumn("component", F.col("node")), "entries")
-    sets = _shingle_sets(docs, entries.select("node").distinct(), size)
+    sets = _shingle_sets(rows, entries.select("node").distinct(), size)
     links = stored(_confirm(stored(_trials(entries, percent), "pairs"), sets, percent), "links")
     labels = components(links)
     named = labels.withColumnRenamed("component", "found")
@@ -207,13 +225,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: Ba
     grouped = copies.join(labels.withColumnRenamed("node", "first").hint("merge"), "first", "left").select("klass", "salt", F.coalesce("component", "first").alias("of_class"))
     found = signed.join(grouped.hint("merge"), ["klass", "salt"], "left").join(labels.hint("merge"), "node", "left")
     component = F.coalesce("of_class", "component", "node")
-    real = component <= F.lit(LAST_NODE) - F.lit(1 << 62)
-    return found.select(
-        F.when(F.col("known"), F.col("node")).alias("doc_id"), "n_shingles", F.when(real | F.col("known"), component).alias("component_id"), (F.col("node") == component).alias("kept"),
-    )
+    found = found.select("node", "known", "n_shingles", component.alias("component"))
+    if others is None:
+        real = F.col("component") <= F.lit(LAST_NODE) - F.lit(1 << 62)
+        return found.select("node", "n_shingles", F.when(F.col("known"), F.col("node")).alias("doc_id"), F.when(real | F.col("known"), F.col("component")).alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+    # Further texts rank behind all ids as nodes, so the smallest doc_id of a component is looked for among its rows.
+    named = found.join(others.hint("merge"), "node", "left").withColumn("doc_id", F.coalesce("doc_id", F.when(F.col("known"), F.col("node"))))
+    named = stored(named, "named").withColumn("salt", salt_of("node"))
+    best = salted_groups(named, ["component"], F.struct(~F.col("known"), "doc_id", "node")).select("component", "salt", F.col("first.node").alias("best"), F.col("first.doc_id").alias("best_id"))
+    chosen = named.join(best.hint("merge"), ["component", "salt"], "left")
+    alone = F.col("best").isNull()
+    return chosen.select("node", "n_shingles", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")).alias("component_id"), (alone | (F.col("node") == F.col("best"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: Bands | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Linked when the sets' similarity is percent or more."""
+    ship(docs.sparkSession)
+    rows, others = _own_nodes(docs.select("doc_id", "text"))
+    return _judged(rows, others, size, percent, bands or Bands()).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with all their columns: the smallest doc_id of each component, and rows without doc_id."""
-    gone = stored(near_duplicates(docs, size, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "near-gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents that stay, with all their columns: the smallest doc_id of each component, or one of its rows if none has an id."""
+    ship(docs.sparkSession)
+    rows, others = _own_nodes(docs)
+    gone = stored(_judged(rows, others, size, percent, Bands()).where("NOT kept").select(F.col("node").alias("__node")).distinct(), "near-gone")
+    return rows.join(gone.hint("merge"), "__node", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -97,6 +97,24 @@ def test_odd_rows(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_repeated_ids_with_different_texts_and_copies_without_ids(spark):
+    rng = random.Random(5)
+    some = lambda: [f"x{rng.randrange(10**9)}" for _ in range(80)]
+    text, edited = (lambda words: " ".join(words)), (lambda words, k: " ".join([*words[:-1], f"e{k}"]))
+    one, two, three, four = some(), some(), some(), some()
+    rows = [(3, text(one)), (7, edited(one, 1)), (7, text(two)), (9, edited(two, 2)), (None, edited(two, 3))]
+    rows += [(7, text(three)), (8, edited(three, 4)), *((None, edited(four, k)) for k in range(5)), (None, None), (None, None)]
+    for part in (rows, [r for r in rows if r[0] != 7]):
+        docs = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        kept = [(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect()]
+        four_kept = [r for r in kept if r[0] is None and r[1] and r[1].startswith(four[0])]
+        assert len(four_kept) == 1 and kept.count((None, None)) == 2
+        want = {(3, text(one)), (7, text(two)), (7, text(three))} if part is rows else {(3, text(one)), (9, edited(two, 2)), (8, edited(three, 4))}
+        assert {r for r in kept if r[0] is not None} == want and len(kept) == 6
+    judged = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows[:5], "doc_id long, text string")).collect()}
+    assert judged == {(3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False), (None, 7, False)}
+
+
 def test_estimate_is_unbiased():
     bands, rng = near_dedup.Bands(groups=40, rows=5), np.random.default_rng(1)
     numbers = rng.integers(0, 1 << 63, 1000, np.uint64)
