@@ -10,7 +10,7 @@ The fraction lost by rounding is the deficit that the partition inherits from th
 result of another, and holds the same number of tokens however large a source is.
 
 Edge cases: a null text counts as empty and has only its end id; a null source counts as the empty one. Sources with less
-than 1/4096 of the bytes share one queue. Rows that repeat a doc_id are packed as often as they occur, rows without doc_id
+than 1/4096 of the bytes share one queue, in which the documents of each are spread evenly. Rows that repeat a doc_id are packed as often as they occur, rows without doc_id
 under a null id. A long document continues from window to window. An empty table gives no pieces. Columns other than
 doc_id, text and source are not read; without a source column there is one queue.
 """
@@ -39,7 +39,7 @@ LEAST_SHARE = 1 / 4096
 #: A queue is served when its credit has grown to so many tokens, so that documents aren't cut into crumbs.
 LEAST_PIECE = 32
 
-TOKENS = "doc_id string, queue int, part int, local long, n long, ids binary"
+TOKENS = "doc_id string, small string, queue int, part int, local long, n long, ids binary"
 SLICES = "partition long, queue int, at long, doc_id string, start long, length long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int, ids binary"
 
@@ -81,7 +81,7 @@ def _queues(docs: DataFrame, column: str | None) -> tuple[DataFrame, int]:
     total = sums.agg(F.sum("bytes")).first()[0] or 0
     own = sums.where(F.col("bytes") >= LEAST_SHARE * total).orderBy(F.desc("bytes"), "__source").collect()
     numbered = docs.sparkSession.createDataFrame([(r["__source"], k) for k, r in enumerate(own)], "__source string, queue int")
-    return rows.join(F.broadcast(numbered), "__source", "left").select("doc_id", "text", F.coalesce("queue", F.lit(len(own))).alias("queue")), len(own) + 1
+    return rows.join(F.broadcast(numbered), "__source", "left").select("doc_id", "text", F.when(F.col("queue").isNull(), F.col("__source")).alias("small"), F.coalesce("queue", F.lit(len(own))).alias("queue")), len(own) + 1
 
 
 def _encode(batches: Iterator[pd.DataFrame], vocabulary: str, end_id: int) -> Iterator[pd.DataFrame]:
@@ -90,13 +90,32 @@ def _encode(batches: Iterator[pd.DataFrame], vocabulary: str, end_id: int) -> It
     end = np.array([end_id], enc.dtype).tobytes()
     for batch in batches:
         rows = []
-        for doc_id, text, queue in zip(batch["doc_id"], batch["text"], batch["queue"], strict=True):
+        for doc_id, text, small, queue in zip(batch["doc_id"], batch["text"], batch["small"], batch["queue"], strict=True):
             ids = enc.encode(text) + end
             n = len(ids) // enc.dtype.itemsize
             local = filled.get(queue, 0)
             filled[queue] = local + n
-            rows.append((doc_id, queue, part, local, n, ids))
-        yield pd.DataFrame(rows, columns=["doc_id", "queue", "part", "local", "n", "ids"])
+            rows.append((doc_id, small, queue, part, local, n, ids))
+        yield pd.DataFrame(rows, columns=["doc_id", "small", "queue", "part", "local", "n", "ids"])
+
+
+def _interleaved(tokens: DataFrame, queue: int, span: int) -> DataFrame:
+    """Tokens with the small sources' queue in order of how much of its source comes before a document, from a phase of the source.
+
+    Parts of that queue are then equal ranges of this share, as many as it fills partitions.
+    """
+    columns, tail = tokens.columns, tokens.where(F.col("queue") == queue)
+    source, order = Window.partitionBy("small"), Window.partitionBy("small").orderBy("part", "local")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    phase = F.pmod(F.xxhash64("small"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    total = tail.agg(F.sum("n")).first()[0] or 0
+    spots = tail.select("small", "part", "local", "n").withColumn("share", (before + phase * F.col("n")) / F.sum("n").over(source))
+    lanes = max(1, -(-total // span))
+    spots = spots.withColumn("lane", F.least(F.floor(F.col("share") * lanes), F.lit(lanes - 1)).cast("int"))
+    inside = Window.partitionBy("lane").orderBy("share", "small", "part", "local").rowsBetween(Window.unboundedPreceding, -1)
+    spots = stored(spots.select("part", "local", "lane", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("place")), "interleaved")
+    dealt = tail.join(spots.hint("merge"), ["part", "local"]).withColumns({"part": F.col("lane"), "local": F.col("place")})
+    return tokens.where(F.col("queue") != queue).select(*columns).unionByName(dealt.select(*columns))
 
 
 def _slice(batches: Iterator[pd.DataFrame], plan: Schedule, width: int) -> Iterator[pd.DataFrame]:
@@ -172,6 +191,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     column = source if source in docs.columns else None
     rows, count = _queues(docs, column)
     tokens = stored(rows.mapInPandas(lambda b: _encode(b, vocabulary, end_id), TOKENS), "tokens")
+    if not tokens.where(F.col("queue") == count - 1).isEmpty():
+        tokens = _interleaved(tokens, count - 1, window * windows)
     sums = stored(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "token-sums")
     found = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     plan = Schedule(tuple(found.get(q, 0) for q in range(count)), window * windows)

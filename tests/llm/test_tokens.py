@@ -145,3 +145,17 @@ def test_packing_odd_rows(spark, odd, empty):
     assert sum(r.length for r in whole) == want and all(len(r.ids) == 2 * r.padded for r in whole)
     assert all(r.padded == 2048 or r.padded & (r.padded - 1) == 0 for r in whole)
     assert packing.pack(empty).count() == 0 and packing.pack(odd.drop("source")).count() >= 10
+
+
+def test_packing_mixes_many_small_sources(spark, monkeypatch):
+    """No source is large enough for a queue of its own, and the table is sorted by source."""
+    monkeypatch.setattr(packing, "LEAST_SHARE", 1 / 8)
+    rows = [(40 * k + i, "one two three four five six seven", f"s{k:02}") for k in range(20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    pieces = packing.pack(docs, window=256, windows=4).collect()
+    sequences = {}
+    for r in pieces:
+        sequences.setdefault(r.sequence_id, set()).add(r.doc_id // 40)
+    packed({r[0]: r[1] for r in rows}, pieces, 256)
+    last = max(sequences)
+    assert last > 20 and all(len(sources) >= 15 for k, sources in sequences.items() if k < last)
