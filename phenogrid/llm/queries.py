@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import exact_dedup, fill_middle, id_files, language, line_dedup, near_dedup, neighbours, packing, passages, pieces, resharding, secrets
+from phenogrid.llm import exact_dedup, fill_middle, id_files, language, lexical, line_dedup, near_dedup, neighbours, packing, passages, pieces, resharding, secrets
 from phenogrid.llm.common import table
 from phenogrid.session import new_path
 
@@ -160,3 +160,27 @@ m AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY ke
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=20)
+
+
+QUERIES["op13_lexical_search"] = op13_lexical_search
+ORACLES["op13_lexical_search"] = r"""
+WITH w AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
+d AS (SELECT doc_id, row_number() OVER () AS row, unnest(regexp_extract_all(translate(text, up, low), term)) AS t FROM documents, w),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, up, low), term)) AS t FROM benchmark, w),
+ic AS (SELECT item_id, t, count(*) AS times FROM i GROUP BY item_id, t),
+tf AS (SELECT doc_id, row, t, count(*) AS tf FROM d GROUP BY doc_id, row, t),
+n AS (SELECT row, sum(tf)::BIGINT AS n FROM tf GROUP BY row),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM n),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+m AS (SELECT row, 100 - 25 + ((25 * n * docs) // length) AS m FROM n, c),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM df, c),
+s AS (
+  SELECT item_id, doc_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM ic JOIN wt USING (t) JOIN tf USING (t) JOIN m USING (row) GROUP BY item_id, doc_id, row),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
