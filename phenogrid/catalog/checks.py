@@ -10,7 +10,7 @@ from phenogrid.functions import months
 from phenogrid.operators import counting, quality
 from phenogrid.session import new_path
 from phenogrid.sources import bindings as b
-from phenogrid.sources import files
+from phenogrid.sources import shard_store, snapshots
 from phenogrid.streaming import shard_drops
 
 
@@ -36,5 +36,5 @@ def st01(spark, sf):
     later = counting.count_records(records.where(F.col("l_orderkey") % 2 == 0))
     shard_drops.write_drop(shard_drops.with_shard(later).where(F.col("shard").isin("europe", "americas")).drop("shard"), drops, 2)
     shard_drops.ingest(spark, drops, tables, state, b.SENSITIVE)
-    pairs = files.shard_table(spark, f"{tables}/pairs")
-    return pairs.select("shard", "sci", "cell", months.wide_total("c").alias("records"))
+    pairs = shard_store.pairs(spark, snapshots.latest(spark, tables))
+    return pairs.select("shard", "sci", "cell", months.total("c").alias("records"))

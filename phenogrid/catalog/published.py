@@ -128,13 +128,29 @@ def x02_published_species(spark, sf):
 
 
 @query("x02_meta", ref.occ(f"""
-SELECT 'occurrence records' AS source, 'month' AS resolution, CASE WHEN count(*) = 6 THEN 'worldwide' ELSE string_agg(s.name, ', ' ORDER BY s.ord) END AS coverage, CAST(0 AS INTEGER) AS datasets
+SELECT 'occurrence records' AS source, 'month' AS resolution, CASE WHEN count(*) = 6 THEN 'worldwide' ELSE string_agg(s.name, ', ' ORDER BY s.ord) END AS coverage,
+  coalesce(string_agg(s.id || ' 10.0/' || s.id, ',' ORDER BY s.ord) FILTER (WHERE s.ord % 2 = 0), '') AS datasets
 FROM (VALUES (0, 'south-asia', 'South Asia'), (1, 'africa', 'Africa and Arabia'), (2, 'europe', 'Europe and the Middle East'), (3, 'east-asia', 'East, Southeast and North Asia'), (4, 'americas', 'The Americas'), (5, 'oceania', 'Oceania and the southern oceans')) s(ord, id, name)
 WHERE s.id IN (SELECT DISTINCT {ref.SHARD_CASE} FROM masked)"""))
 def x02_meta(spark, sf):
+    """The published row: what it covers, and the datasets of the loaded regions that name one, in publishing order."""
     pairs, effort = shard_rows(spark, sf)
-    meta = world.world_build(pairs, effort, b.names(spark, sf), b.sensitive(spark, sf)).meta
-    return meta.select("source", "resolution", "coverage", F.size("datasets").alias("datasets"))
+    order = F.array_position(F.array(*[F.lit(s) for s, _, _ in SHARDS]), F.col("shard"))
+    ingested = effort.select("shard").distinct().select("shard", F.lit("2026-01-01").alias("built"), F.when(order % 2 == 1, F.concat(F.lit("10.0/"), "shard")).alias("doi"))
+    root = new_path(spark, "site")
+    world.publish(spark, world.world_build(pairs, effort, b.names(spark, sf), b.sensitive(spark, sf), store=new_path(spark, "store"), ingested=ingested), root)
+    meta = world.published(spark, root, "meta", "source string, resolution string, coverage string, datasets array<struct<region:string,doi:string>>")
+    return meta.select("source", "resolution", "coverage", F.array_join(F.transform("datasets", lambda d: F.concat_ws(" ", d["region"], d["doi"])), ",").alias("datasets"))
+
+
+def two_builds():
+    """Changes to (pairs, effort) of two builds: the south is new in the second, the far north gone, and some is changed."""
+    lat, lng = grid.whole_lat(), grid.whole_lng()
+    more = F.when(lng > 100, months.each_month("c[i] + if(i = 5, 1, 0)")).otherwise(F.col("c"))
+    return (
+        lambda pairs, effort: (pairs.where(lat < 40), effort.where(lat < 40)),
+        lambda pairs, effort: (pairs.where(lat >= -40).withColumn("c", more), effort.where(lat >= -40)),
+    )
 
 
 @query("x02_publish_in_place", ref.by_key("""
@@ -144,12 +160,8 @@ FULL OUTER JOIN (SELECT e.cell, coalesce(max(x.body), '') AS body, coalesce(max(
 def x02_publish_in_place(spark, sf):
     """A rebuild over its own predecessor: some cells new, some gone, some changed; the site then holds the new build."""
     root = new_path(spark, "site")
-    lat, lng = grid.whole_lat(), grid.whole_lng()
-    north = lambda pairs, effort: (pairs.where(lat < 40), effort.where(lat < 40))
-    more = F.when(lng > 100, months.each_month("c[i] + if(i = 5, 1, 0)")).otherwise(F.col("c"))
-    south = lambda pairs, effort: (pairs.where(lat >= -40).withColumn("c", more), effort.where(lat >= -40))
-    world.publish(spark, world_bundle(spark, sf, north), root)
-    changes = world.publish(spark, world_bundle(spark, sf, south), root)
+    for change in two_builds():
+        changes = world.publish(spark, world_bundle(spark, sf, change), root)
     held = world.published(spark, root, "cells", CELL_BODY).select("id", F.size("species").cast("long").alias("species"))
     return changes.where("kind = 'cells'").select("id", "state").join(held, "id", "full_outer")
 

@@ -72,20 +72,47 @@ def species_index(labelled: DataFrame, names: DataFrame) -> DataFrame:
     return named_index(labelled.groupBy("key").agg(F.count("*").alias("cells")), names)
 
 
-def named_index(counted: DataFrame, names: DataFrame) -> DataFrame:
-    """Names for (key, cells): the first of those that share a key; species without one go by their key."""
+def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds sci, name and family to rows with a ``key``: the first of those that share a key; species without one go by
+    their key."""
     by_key = names.groupBy("key").agg(
         F.min("sci").alias("sci"), F.min_by("common", "sci").alias("common"), F.min_by("family", "sci").alias("family")
     )
-    return counted.join(by_key, "key", "left").select(
-        F.col("key").alias("k"),
+    return rows.join(by_key, "key", "left").select(
+        *rows.columns,
         F.coalesce("sci", "key").alias("sci"),
         F.coalesce(F.nullif(F.col("common"), F.lit("")), "sci", "key").alias("name"),
         F.coalesce("family", F.lit("")).alias("family"),
-        "cells",
     )
 
 
+def named_index(counted: DataFrame, names: DataFrame) -> DataFrame:
+    """Names for (key, cells)."""
+    return with_names(counted, names).select(F.col("key").alias("k"), "sci", "name", "family", "cells")
+
+
+BODIES = "value string, hash bigint, bytes bigint, entry string, entry_hash bigint, entry_bytes bigint"
+
+
+def bodies(rows: DataFrame, key: str, document: list[str | Column], entry: list[str | Column]) -> DataFrame:
+    """One row per key with all that is published of it: the document and its index entry as JSON, a hash and the length of
+    each."""
+    made = rows.select(key, F.to_json(F.struct(*document)).alias("value"), F.to_json(F.struct(*entry)).alias("entry"))
+    each = [(c, p, F.xxhash64(c).alias(f"{p}hash"), F.octet_length(c).cast("long").alias(f"{p}bytes")) for c, p in (("value", ""), ("entry", "entry_"))]
+    return made.select(key, *[c for name, _, *rest in each for c in (name, *rest)])
+
+
+def cell_bodies(cells: DataFrame) -> DataFrame:
+    """From ``cell_rows``."""
+    return bodies(cells, "id", ["id", "total", "species"], ["id", "total", "richness", "coverage"])
+
+
+def species_bodies(species: DataFrame, names: DataFrame) -> DataFrame:
+    """From ``species_rows``. Cells without a rate entry don't exist, so the order of the entries is that of the cells."""
+    named = with_names(species.withColumnRenamed("k", "key"), names).withColumnRenamed("key", "k")
+    return bodies(named, "k", ["k", F.map_from_entries("entries").alias("cells")], ["k", "sci", "name", "family", "cells"])
+
+
 def regions_frame(like: DataFrame) -> DataFrame:
     """The shards in publishing order, with their boxes."""
     return like.sparkSession.createDataFrame(

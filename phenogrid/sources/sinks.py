@@ -31,14 +31,6 @@ def replace_shard(table: DataFrame, path: str, shard_id: str, sort: list[str]) -
         drop_folder(table.sparkSession, f"{path}/shard={shard_id}")
 
 
-def write_buckets(rows: DataFrame, path: str, key: str, form: str = "text") -> None:
-    """Rows in folders by ``bucket``, in order of the key; buckets that are not among them stay."""
-    ready = rows.repartition("bucket").sortWithinPartitions("bucket", key)
-    if form == "text":
-        ready = ready.select("value", "bucket")
-    ready.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").format(form).save(path)
-
-
 def pairs_for_sink(pairs: DataFrame) -> DataFrame:
     rest = [c for c in pairs.columns if c != "c"]
     return pairs.select(*rest, *months.wide("c", "c"))

@@ -1,21 +1,20 @@
 """Incremental ingest: drops of month counts arrive as files, and each replaces its shards.
 
-A drop is a folder ``version=N`` of month counts. The stream reads new files once; every batch
-rewrites the shards it brings and leaves the others, so replaying a batch after a failure writes
-the same partitions again.
+A drop is a folder ``version=N`` of month counts. The stream reads new files once; every batch writes the shards it brings
+beside the old ones and switches to them with one manifest, which also holds the versions. A batch that dies before has
+changed nothing that anybody reads, and its replay switches to the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenogrid.functions import grid, months
 from phenogrid.operators import counting
-from phenogrid.session import new_path
-from phenogrid.sources import sinks
+from phenogrid.sources import shard_store, snapshots
 
 DROP_SCHEMA = "sci string, specieskey string, family string, month int, lat0 int, lng0 int, n bigint, shard string, version int"
 
@@ -29,58 +28,45 @@ def write_drop(counts: DataFrame, path: str, version: int) -> None:
     with_shard(counts).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", "shard").parquet(path)
 
 
-VERSIONS = "shard string, version int"
-
-
 def newest(batch: DataFrame) -> DataFrame:
     """The highest version of each shard among the batch's rows: a row per shard."""
     return batch.groupBy("shard").agg(F.max("version").alias("version"))
 
 
-def due(batch: DataFrame, versions_path: str) -> list[tuple[str, int]]:
-    """(shard, version) that the batch calls for, without those a later version of which is already in place.
+def due(batch: DataFrame, tables: str) -> dict[str, int]:
+    """Version of each shard that the batch calls for, without those a later version of which is already in place.
 
     One row per shard, so the list is bounded by the shards.
     """
-    held = batch.sparkSession.read.schema(VERSIONS).parquet(versions_path).groupBy("shard").agg(F.max("version").alias("_held"))
-    wanted = newest(batch).join(held, "shard", "left").where("_held IS NULL OR version >= _held")
-    return [(r["shard"], r["version"]) for r in wanted.select("shard", "version").collect()]
+    held = snapshots.latest(batch.sparkSession, tables).notes.get("versions", {})
+    return {r["shard"]: r["version"] for r in newest(batch).collect() if r["version"] >= held.get(r["shard"], r["version"])}
 
 
-def replace_shards(batch: DataFrame, drops: str, tables: str, sensitive: Sequence[str]) -> None:
-    """Write pairs and effort of the shards the batch names over the old ones, the version record last.
+def replace_shards(batch: DataFrame, drops: str, tables: str, sensitive: Sequence[str], before_commit: Callable[[], None] = lambda: None) -> None:
+    """Put the shards the batch names in the place of the old ones: pairs, effort, metrics and version at once.
 
-    A version of a shard may arrive in several batches, so the whole drop is read, not only the batch's new files. It is
-    counted once, into (species, cell) rows in the shared folder; both tables come from there.
+    A version of a shard may arrive in several batches, so the whole drop is read, not only the batch's new files.
     """
     spark = batch.sparkSession
-    named = due(batch, f"{tables}/versions")
+    named = due(batch, tables)
     if not named:
         return
-    whole = spark.read.schema(DROP_SCHEMA).parquet(drops)
     wanted = F.lit(False)
-    for shard, version in named:
+    for shard, version in named.items():
         wanted |= (F.col("shard") == shard) & (F.col("version") == version)
-    masked = counting.mask_sensitive(whole.where(wanted), sensitive)
-    path = new_path(spark, "drop")
-    counting.with_cell(masked).groupBy("shard", "sci", "cell").agg(months.sum_by_month("n").alias("c")).write.parquet(path)
-    gridded = spark.read.schema("shard string, sci string, cell string, c array<bigint>").parquet(path)
-    pairs = gridded.where("sci IS NOT NULL")
-    effort = gridded.groupBy("shard", "cell").agg(months.sum_vectors("c").alias("t"))
-    sinks.write_shards(sinks.pairs_for_sink(pairs), f"{tables}/pairs", ["sci", "cell"])
-    sinks.write_shards(sinks.effort_for_sink(effort), f"{tables}/totals", ["cell"])
-    without = {s for s, _ in named} - {r["shard"] for r in pairs.select("shard").distinct().collect()}
-    for shard in without:
-        sinks.drop_folder(spark, f"{tables}/pairs/shard={shard}")
-    spark.createDataFrame(named, VERSIONS).coalesce(1).write.mode("append").parquet(f"{tables}/versions")
-
-
-def ingest(spark: SparkSession, drops: str, tables: str, checkpoint: str, sensitive: Sequence[str] = ()) -> None:
+    masked = counting.mask_sensitive(spark.read.schema(DROP_SCHEMA).parquet(drops).where(wanted), sensitive)
+    gridded = counting.with_cell(masked).groupBy("shard", "sci", "cell").agg(
+        F.min("specieskey").alias("specieskey"), F.min("family").alias("family"), months.sum_by_month("n").alias("c")
+    )
+    held = snapshots.latest(spark, tables).notes.get("versions", {})
+    shard_store.replace(spark, tables, gridded, list(named), {"versions": held | named}, before_commit)
+
+
+def ingest(spark: SparkSession, drops: str, tables: str, checkpoint: str, sensitive: Sequence[str] = (), before_commit: Callable[[], None] = lambda: None) -> None:
     """Take in every drop that is there and not yet taken in, then stop."""
-    spark.createDataFrame([], VERSIONS).write.mode("ignore").parquet(f"{tables}/versions")
     stream = spark.readStream.schema(DROP_SCHEMA).parquet(drops)
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: replace_shards(batch, drops, tables, sensitive))
+        stream.writeStream.foreachBatch(lambda batch, _: replace_shards(batch, drops, tables, sensitive, before_commit))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from phenogrid.functions import text
 from phenogrid.operators import counting, places, profiles, quality
 from phenogrid.plans import detail, products
-from phenogrid.sources import files
+from phenogrid.sources import files, shard_store, snapshots
 from phenogrid.streaming import shard_drops
 
 
@@ -128,7 +128,7 @@ def test_stream_replaces_shards_once(spark):
     shard_drops.write_drop(counts(spark, [(28, 77, 5), (50, 10, 7)]), drops, 1)
     shard_drops.ingest(spark, drops, tables, state)
     shard_drops.ingest(spark, drops, tables, state)
-    read = lambda: {(r["shard"], r["cell"]): r["c01"] for r in files.shard_table(spark, f"{tables}/pairs").collect()}
+    read = lambda: {(r["shard"], r["cell"]): r["c"][0] for r in shard_store.pairs(spark, snapshots.latest(spark, tables)).collect()}
     assert read() == {("south-asia", "28_77"): 5, ("europe", "50_10"): 7}
     shard_drops.write_drop(counts(spark, [(51, 11, 9)]), drops, 3)
     shard_drops.ingest(spark, drops, tables, state)
@@ -142,12 +142,11 @@ def test_batch_replay_is_idempotent(spark):
     base = tempfile.mkdtemp(prefix="replay-")
     drops, tables = f"{base}/drops", f"{base}/tables"
     shard_drops.write_drop(counts(spark, [(28, 77, 5)]), drops, 1)
-    spark.createDataFrame([], shard_drops.VERSIONS).write.parquet(f"{tables}/versions")
     batch = spark.read.schema(shard_drops.DROP_SCHEMA).parquet(drops)
     for _ in range(2):
         shard_drops.replace_shards(batch, drops, tables, ())
-    rows = files.shard_table(spark, f"{tables}/pairs").collect()
-    assert len(rows) == 1 and rows[0]["c12"] == 5
+    rows = shard_store.pairs(spark, snapshots.latest(spark, tables)).collect()
+    assert len(rows) == 1 and rows[0]["c"][11] == 5
 
 
 def test_a_version_may_arrive_in_two_runs(spark):
@@ -156,8 +155,9 @@ def test_a_version_may_arrive_in_two_runs(spark):
     for cell in ((28, 77, 5), (10, 70, 2)):
         shard_drops.write_drop(counts(spark, [cell]), drops, 4)
         shard_drops.ingest(spark, drops, tables, state)
-    assert {r["cell"]: r["c06"] for r in files.shard_table(spark, f"{tables}/pairs").collect()} == {"28_77": 5, "10_70": 2}
-    assert {r["cell"]: r["t06"] for r in files.shard_table(spark, f"{tables}/totals").collect()} == {"28_77": 5, "10_70": 2}
+    now = snapshots.latest(spark, tables)
+    assert {r["cell"]: r["c"][5] for r in shard_store.pairs(spark, now).collect()} == {"28_77": 5, "10_70": 2}
+    assert {r["cell"]: r["t"][5] for r in shard_store.effort(spark, now).collect()} == {"28_77": 5, "10_70": 2}
 
 
 def test_ranges_of_two_classes_share_a_cell(spark):
