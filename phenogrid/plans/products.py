@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.operators import naming, raster, tileset
+from phenogrid.operators import naming, raster, rollup, tileset
 from phenogrid.operators import places as place_ops
 from phenogrid.operators import profiles as profile_ops
 from phenogrid.rules import LAND
@@ -72,9 +72,15 @@ def coast_patch(levels: DataFrame, mask: DataFrame, finest: int, coarsest: int,
     return patched, raster.change_report(patched, tile_px)
 
 
-def world_from_detail(detail: DataFrame, old: DataFrame, tile_px: int = 256) -> DataFrame:
-    """The level above the detail set, from its pixels where they exist."""
-    return raster.parents_from_children(detail, old, tile_px)
+def world_from_detail(detail: DataFrame, world: DataFrame, top: int, bottom: int = 0, tile_px: int = 256) -> DataFrame:
+    """The world levels above the detail set, rebuilt from its pixels where they exist, up to the coarsest."""
+    return rollup.world_levels(detail, world, top, bottom, tile_px)
+
+
+def true_colour_update(levels: DataFrame, changed: DataFrame, top: int, bottom: int, tile_px: int = 256) -> DataFrame:
+    """All true-colour levels after some tiles of the finest changed; only their ancestors are made anew."""
+    rebuilt = rollup.changed_levels(levels, changed, top, bottom, tile_px)
+    return rollup.replaced(levels, changed, rebuilt, top, bottom, tile_px)
 
 
 def tile_manifest(pixels: DataFrame, name: str, out: str, tile_px: int = 256, **described) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.functions import months
+from phenogrid.functions import months, tiles
 
 
 def write_counts_tsv(counts: DataFrame, path: str) -> None:
@@ -70,14 +70,15 @@ def write_csv(rows: DataFrame, path: str, by: str | None = None) -> None:
     (writer if by is None else writer.partitionBy(by)).csv(path)
 
 
-def write_tiles(pixels: DataFrame, path: str) -> None:
-    """Pyramid pixels by level, in ranges of rows of tiles; only the levels present are replaced.
+def write_tiles(pixels: DataFrame, path: str, files: int | None = None) -> None:
+    """Pyramid pixels by level, in ranges along the Morton curve; only the levels present are replaced.
 
-    Reading a tile touches the files of its range only, by their statistics on ``gy`` and ``gx``.
+    A range is compact both ways, so the statistics on ``gx`` and ``gy`` rule out the files and row groups off a tile or a box
+    whichever side they lie on. ``files`` asks for so many ranges.
     """
-    (
-        pixels.repartitionByRange("z", "gy", "gx").sortWithinPartitions("z", "gy", "gx").write.partitionBy("z").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
+    curve = tiles.z_order(F.col("gx"), F.col("gy"))
+    ranged = pixels.repartitionByRange(files, "z", curve) if files else pixels.repartitionByRange("z", curve)
+    ranged.sortWithinPartitions("z", curve).write.partitionBy("z").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_places(chunked: DataFrame, path: str) -> None:
