@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scans", "filters", "gridding", "counts", "joins", "published", "places_months", "species_year", "rasters", "tilesets", "kb", "checks", "incremental", "changes")
+MODULES = ("scans", "filters", "gridding", "counts", "joins", "published", "places_months", "species_year", "rasters", "tilesets", "kb", "checks", "incremental", "changes", "verbs")
 
 
 def load():

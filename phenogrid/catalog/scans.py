@@ -349,18 +349,28 @@ def sk06(spark, sf):
     return back.select("cell", *text_columns, "records_jan", "records_jul", "present_jan", "present_dec")
 
 
-@query("sk07_species_csv", ref.ranged("""
-SELECT l.key AS taxon_key, l.cell AS cell_id, CAST(l.lat0 AS DOUBLE) AS lat_min, CAST(l.lng0 AS DOUBLE) AS lng_min, l.p AS presence,
-  max(l.r) FILTER (WHERE l.month = 1) AS rate_jan, CAST((max(l.u) FILTER (WHERE l.month = 1) * 20000 + max(k.peak)) // (2 * max(k.peak)) AS DOUBLE) / 10000 AS of_peak_jan,
-  CAST((max(l.u) FILTER (WHERE l.month = 9) * 20000 + max(k.peak)) // (2 * max(k.peak)) AS DOUBLE) / 10000 AS of_peak_sep
-FROM rl l JOIN (SELECT key, max(u) AS peak FROM rl GROUP BY key) k ON k.key = l.key GROUP BY l.key, l.cell, l.lat0, l.lng0, l.p"""))
+def _of_month(name: str, month: int) -> str:
+    """Rate and share of the peak of one month, the share half up in whole units."""
+    u = f"max(l.u) FILTER (WHERE l.month = {month})"
+    return (
+        f"max(l.r) FILTER (WHERE l.month = {month}) AS rate_{name}, "
+        f"CAST(({u} * 20000 + CASE WHEN max(k.peak) > 0 THEN max(k.peak) ELSE 10000 END) // (2 * CASE WHEN max(k.peak) > 0 THEN max(k.peak) ELSE 10000 END) AS DOUBLE) / 10000 AS of_peak_{name}"
+    )
+
+
+@query("sk07_species_csv", ref.ranged(f"""
+SELECT l.key AS taxon_key, coalesce(max(i.sci), '') AS scientific_name, l.cell AS cell_id, CAST(l.lat0 AS DOUBLE) AS lat_min, CAST(l.lng0 AS DOUBLE) AS lng_min, CAST(1 AS DOUBLE) AS cell_size_deg, l.p AS presence,
+  {", ".join(_of_month(name, i + 1) for i, name in enumerate(documents.MONTH_FIELDS))}
+FROM rl l JOIN (SELECT key, max(u) AS peak FROM rl GROUP BY key) k ON k.key = l.key
+LEFT JOIN (SELECT x.key, coalesce(min(n.sci), x.key) AS sci FROM (SELECT DISTINCT key FROM kp) x LEFT JOIN names n ON n.key = x.key GROUP BY x.key) i ON i.key = l.key
+GROUP BY l.key, l.cell, l.lat0, l.lng0, l.p"""))
 def sk07(spark, sf):
+    """All 31 columns of the export, read back from the file."""
     path = new_path(spark, "species_csv")
     labelled, _ = b.labelled(spark, sf)
     rows = documents.species_csv_rows(labelled, documents.species_index(labelled, b.names(spark, sf)))
     sinks.write_csv(rows, path)
-    back = spark.read.schema(rows.schema).csv(path, header=True)
-    return back.select("taxon_key", "cell_id", "lat_min", "lng_min", "presence", "rate_jan", "of_peak_jan", "of_peak_sep")
+    return spark.read.schema(rows.schema).csv(path, header=True)
 
 
 @query("sk05_publish_diff", ref.by_key("""

@@ -44,18 +44,32 @@ def _code_point(code: Column) -> Column:
     return F.when(known.isNotNull(), known).when(impossible, F.lit("\ufffd")).when(control, F.lit("")).otherwise(plain)
 
 
+LONGEST_NAME = max(map(len, html5)) + 1
+
+
+def _names_by_slot() -> list[dict[str, str]]:
+    """The names of the entities by first letter and length, so that a look-up meets only those of its own kind."""
+    slots: list[dict[str, str]] = [{} for _ in range(52 * LONGEST_NAME)]
+    for name, text in html5.items():
+        slots[(ord(name[0]) - (65 if name[0] < "a" else 71)) * LONGEST_NAME + len(name)][name] = text
+    return slots
+
+
 def _entity(hit: Column) -> Column:
     """One entity resolved: a number, or the longest known name at its start; anything else stays as it is."""
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    names = F.from_json(F.lit(json.dumps(_names_by_slot())), "array<map<string,string>>")
     body = F.substr(hit, F.lit(2))
+    letter = F.ascii(body)
+    slot = F.when(letter < 97, letter - 65).otherwise(letter - 71) * LONGEST_NAME
     digits = F.rtrim(body, F.lit(";"))
     number = F.when(body.startswith("#x") | body.startswith("#X"), F.conv(F.substr(digits, F.lit(3)), 16, 10).try_cast("decimal(20,0)")).otherwise(
         F.substr(digits, F.lit(2)).try_cast("decimal(20,0)")
     )
     code = F.when(number <= 0x110000, number).otherwise(F.lit(0x110000)).cast("long")
-    sizes = F.filter(F.sequence(F.length(body), F.lit(2), F.lit(-1)), lambda n: F.map_contains_key(names, F.substr(body, F.lit(1), n)))
+    longest = F.least(F.length(body), F.lit(LONGEST_NAME - 1))
+    sizes = F.filter(F.sequence(longest, F.lit(2), F.lit(-1)), lambda n: F.map_contains_key(F.get(names, slot + n), F.substr(body, F.lit(1), n)))
     size = F.get(sizes, F.lit(0))
-    named = F.concat(F.try_element_at(names, F.substr(body, F.lit(1), size)), F.substr(body, size + 1))
+    named = F.concat(F.try_element_at(F.get(names, slot + size), F.substr(body, F.lit(1), size)), F.substr(body, size + 1))
     return F.when(body.startswith("#"), _code_point(code)).otherwise(F.coalesce(named, hit))
 
 
