@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.llm.common import LAST_NODE, nodes, salt_of, salted_groups, ship, stored
-from phenogrid.llm.shingles import hashes_of, mixed, shingle_sequence, word_hashes, words_of
+from phenogrid.llm.shingles import lowered, mixed, shingles_of, span_hashes, word_spans, words_of
 
 SHINGLE = 5
 
@@ -52,21 +52,41 @@ ENTRIES = "functions array<int>, spans array<long>, needs array<long>, gones arr
 PARTS = ["first_node", "node", "salt", "functions", "spans", "needs", "gones", "part", "at"]
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Windows (l, c, r) that cover every subsequence of at least ``least`` values."""
-    out, stack = [], [(0, len(values))]
-    while stack:
-        lo, hi = stack.pop()
-        if hi - lo < least:
-            continue
-        part = values[lo:hi]
-        c = int(part.argmin())
-        ties = np.flatnonzero(part == part[c])
-        if len(ties) > 1:
-            c = int(ties[np.abs(2 * ties - len(part)).argmin()])
-        out.append((lo, lo + c, hi - 1))
-        stack += [(lo, lo + c), (lo + c + 1, hi)]
-    return out
+#: Above every hash, for places that take no part.
+TOP = np.uint64((1 << 64) - 1)
+
+
+def compact_windows(values: np.ndarray, least: int, bounds: np.ndarray | None = None) -> np.ndarray:
+    """Windows (l, c, r), a row each, that cover every subsequence of at least ``least`` values of each text.
+
+    ``bounds`` are where the texts meet that ``values`` holds one after the other. All stretches of a depth of the tree are
+    split at once.
+    """
+    bounds = np.array([0, len(values)]) if bounds is None else bounds
+    lo, hi = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
+    padded, out = np.append(values, TOP), [np.zeros((0, 3), np.int64)]
+    while True:
+        long = hi - lo >= least
+        lo, hi = lo[long], hi[long]
+        if not len(lo):
+            return np.concatenate(out)
+        sizes = hi - lo
+        low = np.minimum.reduceat(padded, np.stack([lo, hi], axis=1).ravel())[::2]
+        # Places of the smallest values, text after text; several where a shingle is repeated.
+        segment = np.repeat(np.arange(len(lo)), sizes)
+        places = np.arange(len(segment)) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
+        smallest = np.flatnonzero(padded[places] == low[segment])
+        c, of = places[smallest], segment[smallest]
+        if len(c) > len(lo):  # the one next to the middle, the first of two that are as near
+            order = np.lexsort((c, np.abs(2 * (c - lo[of]) - sizes[of]), of))
+            c = c[order][np.searchsorted(of, np.arange(len(lo)))]
+        out.append(np.stack([lo, c, hi - 1], axis=1))
+        lo, hi = np.stack([lo, c + 1], axis=1).ravel(), np.stack([c, hi], axis=1).ravel()
+
+
+def sequence_of(data: bytes) -> np.ndarray:
+    """Shingle hashes of a text."""
+    return shingles_of(span_hashes(data, *word_spans(data)), SHINGLE)
 
 
 def hashed(sequence: np.ndarray, k: int) -> np.ndarray:
@@ -80,17 +100,16 @@ def key_of(values: np.ndarray, k: int) -> np.ndarray:
 def _windows(batches: Iterator[pd.DataFrame], least: int, hashes: int) -> Iterator[pd.DataFrame]:
     """key (hash function in its low bits), node, span (l and r)."""
     for batch in batches:
-        keys, owners, spans = [], [], []
-        for node, text in zip(batch["node"], batch["text"], strict=True):
-            sequence = shingle_sequence(word_hashes(text), SHINGLE)
-            for k in range(hashes if len(sequence) >= least else 0):
-                values = hashed(sequence, k)
-                found = np.array(compact_windows(values, least), np.int64)
-                keys.append(key_of(values[found[:, 1]], k))
-                owners.append(np.full(len(found), node, np.int64))
-                spans.append(found[:, 0] << 32 | found[:, 2])
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        yield pd.DataFrame({"key": join(keys), "node": join(owners), "span": join(spans)})
+        sequences = [(node, s) for node, text in zip(batch["node"], batch["text"], strict=True) if len(s := sequence_of(lowered(text))) >= least]
+        nodes_, every = np.array([n for n, _ in sequences], np.int64), np.concatenate([np.zeros(0, np.uint64), *(s for _, s in sequences)])
+        bounds = np.cumsum([0, *(len(s) for _, s in sequences)])
+        del sequences
+        for k in range(hashes if len(nodes_) else 0):
+            values = hashed(every, k)
+            found = compact_windows(values, least, bounds)
+            text = np.searchsorted(bounds, found[:, 0], side="right") - 1
+            at = bounds[text]
+            yield pd.DataFrame({"key": key_of(values[found[:, 1]], k), "node": nodes_[text], "span": (found[:, 0] - at) << 32 | (found[:, 2] - at)})
 
 
 def regions(spans: list[tuple[int, int, int]], enough: int) -> list[tuple[int, int]]:
@@ -134,11 +153,34 @@ def dense(hits: np.ndarray, share: float) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi, _, _ in found]
 
 
-def compare(left: np.ndarray, right: np.ndarray, areas: list[tuple[int, int]], least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+class First:
+    """The shingles of a first document, sorted once for all its pairs."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.order = np.argsort(values, kind="stable")
+        self.sorted = values[self.order]
+
+    def has(self, others: np.ndarray) -> np.ndarray:
+        """Which of the others it has."""
+        if not len(self.sorted):
+            return np.zeros(len(others), bool)
+        return self.sorted[np.minimum(np.searchsorted(self.sorted, others), len(self.sorted) - 1)] == others
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Which of its places hold one of some distinct shingles."""
+        lo, hi = np.searchsorted(self.sorted, wanted), np.searchsorted(self.sorted, wanted, side="right")
+        sizes = hi - lo
+        out = np.zeros(len(self.values), bool)
+        out[self.order[np.arange(sizes.sum()) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)]] = True
+        return out
+
+
+def compare(left: First, right: np.ndarray, hits: np.ndarray, areas: list[tuple[int, int]], least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """Passages of ``right`` inside the areas with their like in ``left``: start, end, first start, first end (in words), similarity.
 
-    A stretch that is dense enough in hits but not similar enough as a whole is searched for denser ones, at last for
-    runs without a miss.
+    ``hits`` are the places of ``right`` that ``left`` has. A stretch that is dense enough in them but not similar enough as
+    a whole is searched for denser ones, at last for runs without a miss.
     """
     out = []
     shares = [percent / 100, (100 + percent) / 200, 1.0]
@@ -146,16 +188,18 @@ def compare(left: np.ndarray, right: np.ndarray, areas: list[tuple[int, int]], l
     while open_parts:
         lo, hi, level = open_parts.pop()
         share = shares[level]
-        for a, b in dense(np.isin(right[lo:hi], left), share):
+        for a, b in dense(hits[lo:hi], share):
             if b - a < least:
                 continue
             passage = np.unique(right[lo + a : lo + b])
             best = None
-            for x, y in dense(np.isin(left, passage), share):
-                other = np.unique(left[x:y])
+            for x, y in dense(left.places(passage), share):
+                if y - x < least:
+                    continue
+                other = np.unique(left.values[x:y])
                 shared = len(np.intersect1d(passage, other, assume_unique=True))
                 similarity = shared / (len(passage) + len(other) - shared)
-                if y - x >= least and similarity >= shares[0] and (best is None or similarity > best[2]):
+                if similarity >= shares[0] and (best is None or similarity > best[2]):
                     best = (x, y, similarity)
             if best:
                 out.append((lo + a, lo + b + SHINGLE - 1, best[0], best[1] + SHINGLE - 1, best[2]))
@@ -170,22 +214,25 @@ def runs_of(marked: np.ndarray, at: int) -> list[int]:
     return [(int(lo) + at) << 32 | (int(hi) + at - 1) for lo, hi in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def smallest(values: np.ndarray, free: np.ndarray, lo: int, hi: int, around: int) -> int | None:
-    """Place of the smallest value in [lo, hi] among those that are free; of equal ones that next to ``around``."""
-    places = np.flatnonzero(free[lo : hi + 1])
-    if not len(places):
+def smallest(values: np.ndarray, lo: int, hi: int, around: int) -> int | None:
+    """Place of the smallest value in [lo, hi] below TOP; of equal ones that next to ``around``."""
+    part = values[lo : hi + 1]
+    c = int(part.argmin())
+    low = part[c]
+    if low == TOP:
         return None
-    part = values[lo : hi + 1][places]
-    ties = places[part == part.min()] + lo
-    return int(ties[np.abs(2 * ties - around).argmin()])
+    ties = (part == low).nonzero()[0]
+    if len(ties) > 1:
+        c = int(ties[np.abs(2 * (ties + lo) - around).argmin()])
+    return lo + c
 
 
-def windows_without(values: np.ndarray, free: np.ndarray, lo: int, hi: int, need: tuple[int, int], least: int) -> tuple[list[tuple[int, int, int]], tuple[int, int] | None]:
-    """Windows (l, c, r), smallest free values, that cover every subsequence of [lo, hi] around ``need`` of ``least`` values,
-    and the stretch, if any, in which such a subsequence has no free value."""
+def windows_without(values: np.ndarray, lo: int, hi: int, need: tuple[int, int], least: int) -> tuple[list[tuple[int, int, int]], tuple[int, int] | None]:
+    """Windows (l, c, r), smallest values below TOP, that cover every subsequence of [lo, hi] around ``need`` of ``least`` values,
+    and the stretch, if any, in which such a subsequence has no such value."""
     out = []
     while hi - lo + 1 >= least:
-        c = smallest(values, free, lo, hi, need[0] + need[1])
+        c = smallest(values, lo, hi, need[0] + need[1])
         if c is None:
             return out, (lo, hi)
         out.append((lo, c, hi))
@@ -198,32 +245,52 @@ def windows_without(values: np.ndarray, free: np.ndarray, lo: int, hi: int, need
     return out, None
 
 
-def _again(row, right: np.ndarray, left: np.ndarray, found: list[tuple], least: int) -> list[tuple]:
+def _signed(value: int, k: int) -> int:
+    """``key_of`` of one value."""
+    key = value & ~7 | k
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _again(row, right: np.ndarray, hits: np.ndarray, found: list[tuple], least: int) -> list[tuple]:
     """Rows of AGAIN for one pair: its windows over the shingles that the first document lacks.
 
-    A member that wasn't found although the first has all of a stretch's shingles, elsewhere, keeps its value there.
+    A text is hashed once per function, and a window is a view of it. A member that wasn't found although the first has all
+    of a stretch's shingles, elsewhere, keeps its value there.
     """
-    out, hits, at = [], None, row.at
+    out, at, by_function = [], row.at, {}
+    if not any(int(k) & MORE for k in row.functions):
+        return out
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hits.astype(np.int8), [0]])))
+    hit_from, hit_to = edges[::2], edges[1::2]  # runs of hits
     for k, span, need, gone in zip(row.functions, row.spans, row.needs, row.gones, strict=True):
         if not int(k) & MORE:
             continue
-        hits = np.isin(right, left) if hits is None else hits
         k, lo, hi = int(k) & 7, (int(span) >> 32) - at, (int(span) & 0xFFFFFFFF) - at
-        values, free = hashed(right[: hi + 1], k), np.ones(hi + 1, bool)
-        for run in () if gone is None else gone:
-            free[max(0, (int(run) >> 32) - at) : max(0, (int(run) & 0xFFFFFFFF) + 1 - at)] = False
-        need = None if need is None or need != need or need < 0 else ((int(need) >> 32) - at, (int(need) & 0xFFFFFFFF) - at)
-        c = smallest(values, free, lo, hi, sum(need) if need else lo + hi)
-        old = int(key_of(values[c : c + 1], k)[0])
-        settled = any(s <= c < e - SHINGLE + 1 for s, e, *_ in found)
+        if k not in by_function:
+            whole = hashed(right, k)
+            by_function[k] = whole, np.where(hits, TOP, whole)
+        values, rest = (v[lo : hi + 1] for v in by_function[k])
+        last = hi - lo
+        if gone is not None:
+            values, rest = values.copy(), rest.copy()
+            for run in gone:
+                inside = slice(max(0, (int(run) >> 32) - at - lo), max(0, (int(run) & 0xFFFFFFFF) + 1 - at - lo))
+                values[inside] = rest[inside] = TOP
+        need = None if need is None or need != need or need < 0 else ((int(need) >> 32) - at - lo, (int(need) & 0xFFFFFFFF) - at - lo)
+        c = smallest(values, 0, last, sum(need) if need else last)
+        old = _signed(int(values[c]), k)
+        settled = any(s <= c + lo < e - SHINGLE + 1 for s, e, *_ in found)
         around = (min(need[0], c), max(need[1], c)) if need else (c, c)
-        pack = lambda x: (x[0] + at) << 32 | (x[1] + at)
-        rest = free & ~hits[: hi + 1]
-        made, same = windows_without(values, rest, lo, hi, around, least)
-        marks = runs_of(~rest[lo : hi + 1], lo + at) if made else None
-        out += [(old, settled, int(key_of(values[m : m + 1], k)[0]), pack((a, b)), pack(around), marks) for a, m, b in made]
+        pack = lambda x: (x[0] + lo + at) << 32 | (x[1] + lo + at)  # noqa: E731, B023
+        made, same = windows_without(rest, 0, last, around, least)
+        if made and gone is not None:
+            marks = runs_of(rest == TOP, lo + at)
+        elif made:
+            first, end = np.searchsorted(hit_to, lo, side="right"), np.searchsorted(hit_from, hi, side="right")
+            marks = [(max(int(a), lo) + at) << 32 | (min(int(b) - 1, hi) + at) for a, b in zip(hit_from[first:end], hit_to[first:end], strict=True)]
+        out += [(old, settled, _signed(int(rest[m]), k), pack((a, b)), pack(around), marks) for a, m, b in made]
         if same and not settled:
-            out.append((old, settled, old, pack(same), pack(need) if need else -1, runs_of(~free[lo : hi + 1], lo + at)))
+            out.append((old, settled, old, pack(same), pack(need) if need else -1, runs_of(values == TOP, lo + at)))
         elif not settled and not made:
             out.append((old, settled, None, None, None, None))
     return out
@@ -237,36 +304,41 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs with only that part of the later text that their windows span, and the word it begins at; first texts whole."""
-    held, words = None, []  # rows come in order of the node
+    held, data, starts, ends = None, b"", [], []  # rows come in order of the node
     for batch in batches:
-        parts, starts = [], []
+        parts, firsts = [], []
         for node, of, text, spans in zip(batch["holder"], batch["node"], batch["text"], batch["spans"], strict=True):
             if node != held:
-                held, words = node, words_of(text)
-            whole = pd.isna(of)
-            lo = 0 if whole else min(int(span) >> 32 for span in spans)
-            parts.append(b" ".join(words if whole else words[lo : max(int(span) & 0xFFFFFFFF for span in spans) + SHINGLE]))
-            starts.append(lo)
-        out = batch.drop(columns=["text", "holder"]).assign(part=parts, at=np.array(starts, np.int64))[PARTS]
+                held, data = node, lowered(text)
+                starts, ends = word_spans(data)
+            if pd.isna(of):
+                parts.append(data)
+                firsts.append(0)
+                continue
+            lo, hi = min(int(span) >> 32 for span in spans), max(int(span) & 0xFFFFFFFF for span in spans)
+            parts.append(data[starts[lo] : ends[min(hi + SHINGLE, len(ends)) - 1]])
+            firsts.append(lo)
+        out = batch.drop(columns=["text", "holder"]).assign(part=parts, at=np.array(firsts, np.int64))[PARTS]
         yield out.astype({"node": "Int64"})
 
 
 def _verify(batches: Iterator[pd.DataFrame], least: int, percent: int, enough: int) -> Iterator[pd.DataFrame]:
     """Passages, and rows of AGAIN."""
-    left = np.zeros(0, np.uint64)  # the first document's text comes before its pairs
+    left = First(np.zeros(0, np.uint64))  # the first document's text comes before its pairs
     names = [c.split()[0] for c in f"{FOUND}, {AGAIN}".split(", ")]
     blank = (None,) * len(AGAIN.split(", "))
     for batch in batches:
         rows = []
         for row in batch.itertuples(index=False):
-            right = shingle_sequence(hashes_of(row.part.split()), SHINGLE)
+            right = sequence_of(row.part)
             if pd.isna(row.node):
-                left = right
+                left = First(right)
                 continue
+            hits = left.has(right)
             areas = regions([(int(k) & 7, (int(span) >> 32) - row.at, (int(span) & 0xFFFFFFFF) - row.at) for k, span in zip(row.functions, row.spans, strict=True)], enough)
-            found = compare(left, right, areas, least, percent)
+            found = compare(left, right, hits, areas, least, percent)
             rows += [(int(row.node), row.at + s, row.at + e, row.first_node, fs, fe, sim, *blank) for s, e, fs, fe, sim in found]
-            rows += [(int(row.node), None, None, None, None, None, None, *again) for again in _again(row, right, left, found, least)]
+            rows += [(int(row.node), None, None, None, None, None, None, *again) for again in _again(row, right, hits, found, least)]
         out = pd.DataFrame(rows, columns=names)
         yield out.astype({c: "Int64" for c in ("node", "start", "end", "first_node", "first_start", "first_end", "old", "key", "span", "need")} | {"settled": "boolean", "similarity": "Float64"})
 
@@ -313,7 +385,8 @@ def _with_copies(found: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, least: int, percent: int, enough: int) -> DataFrame:
-    """Passages of the pairs, and rows of AGAIN. A first document is handed out once per 64 or so of its pairs."""
+    """Passages of the pairs, and rows of AGAIN, stored; the pairs go. A first document is handed out once per 64 or so of
+    its pairs."""
     salted = pairs.withColumn("salt", salt_of("node"))
     many = salted_groups(salted, ["first_node"], F.col("node")).select("first_node", "salt", "n")
     parts = F.ceil(F.coalesce("n", F.lit(1)) / 64).cast("int")
@@ -324,7 +397,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: int, percent: int, enoug
     schema = f"first_node long, node long, salt int, {ENTRIES}, part binary, at long"
     both = asked.join(texts.withColumnRenamed("node", "holder").hint("merge"), "holder").select("holder", "first_node", "node", "salt", "functions", "spans", "needs", "gones", "text").mapInPandas(_stretches, schema)
     dealt = both.repartition("first_node", "salt").sortWithinPartitions("first_node", "salt", F.col("node").asc_nulls_first())
-    return dealt.mapInPandas(lambda b: _verify(b, least, percent, enough), f"{FOUND}, {AGAIN}")
+    checked = stored(dealt.mapInPandas(lambda b: _verify(b, least, percent, enough), f"{FOUND}, {AGAIN}"), "checked")
+    return checked
 
 
 def _left_over(checked: DataFrame) -> DataFrame:
@@ -344,8 +418,8 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashe
     texts, classes = _texts(nodes(docs).select("node", "text"))
     copies, own = _copies(classes, words)
     windows = stored(texts.join(own.hint("merge"), "node", "left_semi").mapInPandas(lambda b: _windows(b, least, hashes), "key long, node long, span long"), "windows")
+    found, held = None, windows
     windows = windows.withColumns({"need": F.lit(-1).cast("long"), "gone": F.lit(None).cast("array<long>")})
-    found = None
     while True:
         members = F.count("*").alias("members")
         shared = stored(windows.groupBy("key").agg(F.min("node").alias("first_node"), F.max("node").alias("last"), members).where("first_node < last").drop("last"), "shared-keys")
@@ -357,10 +431,10 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashe
         pairs = pairs.where(F.size(F.array_distinct(F.transform("entries.function", lambda f: f.bitwiseAND(7)))) >= enough)
         lists = [F.col(f"entries.{one}").alias(many) for one, many in (("function", "functions"), ("span", "spans"), ("need", "needs"), ("gone", "gones"))]
         pairs = stored(pairs.select("first_node", "node", *lists), "pairs")
-        checked = stored(_checked(pairs, texts, least, percent, enough), "checked")
+        checked = _checked(pairs, texts, least, percent, enough)
         passages = checked.where("old IS NULL").select(*(c.split()[0] for c in FOUND.split(", ")))
         found = passages if found is None else found.unionByName(passages)
-        windows = stored(_left_over(checked), "windows")
+        windows = held = stored(_left_over(checked), "windows")
         if not windows.isEmpty():
             texts = stored(texts.join(windows.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
     found = stored(_first_reports(found, words, percent), "passages")

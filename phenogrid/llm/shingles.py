@@ -60,3 +60,61 @@ def shingle_sequence(hashes: np.ndarray, size: int) -> np.ndarray:
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Distinct shingle hashes in ascending order."""
     return np.unique(shingle_sequence(word_hashes(text), size))
+
+
+# ---------------------------------------------------------------- words as stretches of bytes, without an object per word
+
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _FACTORS[0])
+_BASE = 0x9FB21C651E98DF25  # odd, so it has an inverse
+_BACK = pow(_BASE, -1, 1 << 64)
+
+#: Bytes hashed at once; a longer word is hashed alone.
+SLICE = 1 << 18
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_FORTH, _AWAY = _powers(_BASE, SLICE), _powers(_BACK, SLICE)
+
+
+def lowered(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower() if text else b""
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each word: the words of ``bytes.split``."""
+    inside = ~_WHITE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: a polynomial of its bytes, from differences of running sums, mixed."""
+    values, out, i = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        first = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + SLICE, side="right")))
+        n = int(ends[j - 1] - first)
+        forth, away = (_FORTH, _AWAY) if n <= SLICE else (_powers(_BASE, n), _AWAY)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[values[first : first + n]] * forth[:n], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - first] - sums[starts[i:j] - first]) * away[starts[i:j] - first]
+        i = j
+    return mixed(out)
+
+
+def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the shingle at each word, from hashes that are mixed already; a shorter text is one shingle."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    width = min(size, n)
+    out = np.full(n - width + 1, np.uint64(width), np.uint64)
+    for k in range(width):
+        out += hashes[k : n - width + 1 + k] * _FACTORS[k % 8]
+    return mixed(out)
