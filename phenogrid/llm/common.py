@@ -29,7 +29,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     # Shuffle files go when the driver collects the plans that made them, which an idle driver hardly ever does by itself.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables from the shared folder, once all that is read from them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def salt_of(*ids: str, salts: int = SALTS) -> Column:

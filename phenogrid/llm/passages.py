@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import LAST_NODE, nodes, salt_of, salted_groups, ship, stored
+from phenogrid.llm.common import LAST_NODE, discard, nodes, salt_of, salted_groups, ship, stored
 from phenogrid.llm.shingles import lowered, mixed, shingles_of, span_hashes, word_spans, words_of
 
 SHINGLE = 5
@@ -392,12 +392,14 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: int, percent: int, enoug
     parts = F.ceil(F.coalesce("n", F.lit(1)) / 64).cast("int")
     salted = salted.join(many.hint("merge"), ["first_node", "salt"], "left").withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("n")
     salted = stored(salted, "salted")
+    discard(pairs)
     asked = salted.select(F.col("first_node").alias("holder"), "first_node", "salt").distinct()
     asked = salted.withColumn("holder", F.col("node")).unionByName(asked, allowMissingColumns=True)
     schema = f"first_node long, node long, salt int, {ENTRIES}, part binary, at long"
     both = asked.join(texts.withColumnRenamed("node", "holder").hint("merge"), "holder").select("holder", "first_node", "node", "salt", "functions", "spans", "needs", "gones", "text").mapInPandas(_stretches, schema)
     dealt = both.repartition("first_node", "salt").sortWithinPartitions("first_node", "salt", F.col("node").asc_nulls_first())
     checked = stored(dealt.mapInPandas(lambda b: _verify(b, least, percent, enough), f"{FOUND}, {AGAIN}"), "checked")
+    discard(salted)
     return checked
 
 
@@ -431,6 +433,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashe
         pairs = pairs.where(F.size(F.array_distinct(F.transform("entries.function", lambda f: f.bitwiseAND(7)))) >= enough)
         lists = [F.col(f"entries.{one}").alias(many) for one, many in (("function", "functions"), ("span", "spans"), ("need", "needs"), ("gone", "gones"))]
         pairs = stored(pairs.select("first_node", "node", *lists), "pairs")
+        discard(held, shared)
         checked = _checked(pairs, texts, least, percent, enough)
         passages = checked.where("old IS NULL").select(*(c.split()[0] for c in FOUND.split(", ")))
         found = passages if found is None else found.unionByName(passages)
