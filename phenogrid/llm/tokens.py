@@ -17,6 +17,8 @@ import numpy as np
 #: White space as Python and the vocabulary's own splitter see it, taken together.
 _WHITE = r"\s\x1c-\x1f\x85"
 _CUT = re.compile(rf"(?<=[^{_WHITE}])(?=[ \n])")
+#: A mark cut off its word where what stands before the mark is no letter or digit: the two may be one piece.
+_BAD_MARK = re.compile(r" \x00(?<=[\W_] \x00)")
 _DOUBLE = re.compile(rf"[{_WHITE}][{_WHITE}]")
 
 
@@ -39,35 +41,34 @@ class _Memory:
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int, marks: dict[str, bytes] | None = None):
         self.learn, self.most, self.marks = learn, most, marks or {}
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = self._fresh()
         self.old: dict[str, bytes] = {}
 
+    def _fresh(self) -> dict[str, bytes]:
+        """Marks under their own keys."""
+        return {f"\x00{mark}": ids for mark, ids in self.marks.items()}
+
     def join(self, keys: list[str]) -> bytes:
         out = list(map(self.young.get, keys))
-        gaps = [i for i, ids in enumerate(out) if ids is None]
-        if gaps:
-            fresh, marked, unknown = {}, [], set()
-            for i in gaps:
-                key = keys[i]
-                known = self.old.get(key)
-                if known is not None:
-                    fresh[key] = known
-                elif key[-1:] in self.marks and key[-2:-1].isalpha():
-                    marked.append(key)  # the mark is a piece of its own: remember the word without it
-                    if (known := self.young.get(key[:-1]) or self.old.get(key[:-1])) is not None:
-                        fresh[key[:-1]] = known
-                    else:
-                        unknown.add(key[:-1])
-                else:
-                    unknown.add(key)
-            missing = [k for k in unknown if k not in fresh]
-            if missing:
+        if None in out:
+            unknown = {key for key, ids in zip(keys, out, strict=True) if ids is None}
+            fresh = {key: ids for key in unknown if (ids := self.old.get(key)) is not None}
+            unknown.difference_update(fresh)
+            # A mark that ends a word is a piece of its own: the word is remembered without it.
+            marked = [key for key in unknown if key[-1:] in self.marks and key[-2:-1].isalpha()]
+            unknown.difference_update(marked)
+            for word in {key[:-1] for key in marked}:
+                if (known := self.young.get(word) or self.old.get(word)) is not None:
+                    fresh[word] = known
+                elif word not in fresh:
+                    unknown.add(word)
+            if unknown:
+                missing = list(unknown)
                 fresh.update(zip(missing, self.learn(missing), strict=True))
-            found = {k: fresh[k[:-1]] + self.marks[k[-1]] for k in marked} | fresh
-            for i in gaps:
-                out[i] = found[keys[i]]
+            found = {key: fresh[key[:-1]] + self.marks[key[-1]] for key in marked} | fresh if marked else fresh
+            out = [found[key] if ids is None else ids for key, ids in zip(keys, out, strict=True)]
             if len(self.young) + len(fresh) > self.most:
-                self.old, self.young = self.young, {}
+                self.old, self.young = self.young, self._fresh()
             self.young.update((k, ids) for k, ids in fresh.items() if len(k) <= 64)
         return b"".join(out)
 
@@ -106,10 +107,15 @@ class Encoder:
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def encode(self, text: str) -> bytes:
-        if not _single_spaced(text):
+        if "\x00" in text or not _single_spaced(text):
             return self.pieces.join(_CUT.split(text))
-        # White space stands alone, so every space and line end is a cut. Keys leave the space out.
-        head, *rest = text.replace("\n", " \n").split(" ")
+        # White space stands alone, so every space and line end is a cut. Keys leave the space out. So is the place before a
+        # mark that ends a word, whose key then has a zero in the place of the space.
+        spaced = text.replace("\n", " \n")
+        cut = (spaced + " ").replace(". ", " \x00. ").replace(", ", " \x00, ")[:-1]
+        if not cut.startswith(" \x00") and _BAD_MARK.search(cut) is None:
+            spaced = cut
+        head, *rest = spaced.split(" ")
         return self.pieces.join([head]) + self.words.join(rest)
 
 
