@@ -117,15 +117,58 @@ def test_mixture_of_windows_and_partitions(documents, texts, window, windows):
         assert all(abs(served[q] - share[q] * window * (number + 1)) <= window + 2 * packing.LEAST_PIECE for q in share)
 
 
-def test_schedule_adds_up():
-    plan = packing.Schedule((1000, 333, 77, 5000), 128)
-    ends = plan.ends()
-    for p in range(60):
-        assert sum(plan.taken(q, p, ends) for q in range(4)) == min(p * 128, plan.total)
+@pytest.mark.parametrize("weights", [None, (1, 1, 1, 1), (7, 1, 900, 40), (10**12, 5, 3 * 10**11, 10**10)])
+def test_schedule_adds_up(weights):
+    plan = packing.Schedule((1000, 333, 77, 5000), 128, weights)
+    last = -(-plan.total // 128)
+    for p in range(last + 3):
+        assert sum(plan.taken(q, p) for q in range(4)) == min(p * 128, plan.total)
     for q, n in enumerate(plan.totals):
+        steps = [plan.taken(q, p) for p in range(last + 2)]
+        assert steps == sorted(steps) and steps[-1] == n
         for x in range(0, n, 7):
-            p = plan.partition_of(q, x, ends)
-            assert plan.taken(q, p, ends) <= x < plan.taken(q, p + 1, ends)
+            p = plan.partition_of(q, x)
+            assert plan.taken(q, p) <= x < plan.taken(q, p + 1)
+
+
+def test_targets_are_held_while_all_queues_last(spark):
+    rows = [(i, f"{'one two three four five six ' * 5}{i}", "abc"[i % 3]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack(docs, window=256, windows=4, targets={"a": 6, "b": 3, "c": 1}).collect()
+    sequences = packed({r[0]: r[1] for r in rows}, pieces, 256)
+    lengths = Counter()
+    for r in pieces:
+        lengths["abc"[r.doc_id % 3]] += r.length
+    served, dry = Counter(), set()
+    share = lambda: {s: {"a": 6, "b": 3, "c": 1}[s] / sum(w for t, w in (("a", 6), ("b", 3), ("c", 1)) if t not in dry) for s in "abc" if s not in dry}
+    for number in range(len(sequences) - 1):
+        now = Counter()
+        for r in sequences[number]:
+            now["abc"[r.doc_id % 3]] += r.length
+        served.update(now)
+        done = {s for s in "abc" if served[s] == lengths[s]}
+        if done == dry:  # no queue ran dry in this window
+            assert all(abs(now[s] - part * 256) <= 2 * packing.LEAST_PIECE for s, part in share().items()), number
+        dry = done
+    assert dry >= {"a", "b"}
+
+
+def test_five_thousand_sources(spark):
+    """Every window takes from as many sources as pieces allow, and no source runs ahead of the others."""
+    rows = [(2 * s + i, "one two three four five six seven eight nine ten " * 4, f"s{s:04}") for s in range(5000) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack(docs, with_ids=False).collect()
+    sequences = packed({r[0]: r[1] for r in rows}, pieces, 2048)
+    assert len({r.queue for r in pieces}) == 5000
+    length, served = {}, Counter()
+    for r in pieces:
+        length[r.doc_id // 2] = length.get(r.doc_id // 2, 0) + r.length
+    for number in range(len(sequences) - 1):
+        assert len({r.doc_id // 2 for r in sequences[number]}) >= 2048 // (2 * packing.LEAST_PIECE)
+        for r in sequences[number]:
+            served[r.doc_id // 2] += r.length
+        gone = (number + 1) / (sum(length.values()) / 2048)
+        assert all(abs(served[s] - n * gone) <= 3 * packing.LEAST_PIECE for s, n in length.items())
 
 
 def test_small_sources_share_a_queue(spark):
@@ -149,7 +192,7 @@ def test_packing_odd_rows(spark, odd, empty):
 
 def test_packing_mixes_many_small_sources(spark, monkeypatch):
     """No source is large enough for a queue of its own, and the table is sorted by source."""
-    monkeypatch.setattr(packing, "LEAST_SHARE", 1 / 8)
+    monkeypatch.setattr(packing, "LEAST_TOKENS", 128)
     rows = [(40 * k + i, "one two three four five six seven", f"s{k:02}") for k in range(20) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
     pieces = packing.pack(docs, window=256, windows=4).collect()
