@@ -57,6 +57,10 @@ def salted_groups(rows: DataFrame, keys: list[str], best: Column) -> DataFrame:
     return whole.where("n > 1").select(*keys, F.explode("salts").alias("salt"), "n", "first")
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside the caller's whole row in a struct ``row``: no column made on the way can clash with one of its."""
+    return docs.select(F.struct("*").alias("row"), *(c for c in ("doc_id", "text") if c in docs.columns))
+
 
 #: Node numbers of rows without doc_id count down from here.
 LAST_NODE = (1 << 63) - 1

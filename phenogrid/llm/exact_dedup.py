@@ -2,7 +2,8 @@
 
 Texts are equal when they are identical after each run of ASCII white space became one space. A null text counts as
 empty, and empty texts are copies of each other. Rows without a doc_id rank behind all others; of rows that repeat both
-id and text exactly one is kept. Columns other than doc_id and text are not read. An empty table gives no rows.
+id and text exactly one is kept. Very long texts are hashed and compared whole. ``decide`` reads doc_id and text only;
+``exact_dedup`` carries the caller's row in a struct, whatever its columns are called. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import salt_of, salted_groups, stored
+from phenogrid.llm.common import carried, salt_of, salted_groups, stored
 
 Digest = Callable[[Column], Column]
 
@@ -74,10 +75,10 @@ def exact_dedup(docs: DataFrame, digest: Digest = content_hash) -> DataFrame:
     """The documents that stay, with all their columns: the smallest doc_id of each group of equal texts."""
     rows = decide(docs, digest)
     gone = stored(rows.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("stay")).where("stay < n"), "exact-gone")
-    hashed = docs.withColumn("__hash", digest(normalised(docs["text"])))
-    out = hashed.join(gone.hint("merge"), (hashed["__hash"] == gone["hash"]) & hashed["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    hashed = carried(docs).select("row", "doc_id", digest(normalised(F.col("text"))).alias("own"))
+    out = hashed.join(gone.hint("merge"), (hashed["own"] == gone["hash"]) & hashed["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     repeated = gone.where("stay > 0")
     if not repeated.isEmpty():
-        again = hashed.join(repeated, (hashed["__hash"] == repeated["hash"]) & hashed["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-        out = out.unionByName(again.dropDuplicates(["doc_id", "__hash"]))
-    return out.drop("__hash")
+        again = hashed.join(repeated, (hashed["own"] == repeated["hash"]) & hashed["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
+        out = out.unionByName(again.dropDuplicates(["doc_id", "own"]))
+    return out.select("row.*")

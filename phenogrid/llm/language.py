@@ -6,7 +6,9 @@ runner-up is nearly as small.
 
 Edge cases: a null text and one without a letter are ``und`` with score 0 and are rejected. Ties go to the language that
 sorts first and are rejected. Rows without lang, or whose lang is ``und``, are not learned from. With nothing to learn
-from every text is ``und``. Repeated rows get the same answer each. Other columns pass through and are never looked at.
+from every text is ``und``; with one language, every text with a letter is that. Repeated rows get the same answer each.
+``predicted`` adds one column of a name of the caller's choice; ``keep_recognised`` carries the caller's row in a struct,
+whatever its columns are called. Very long texts are compressed whole, chunk after chunk.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import ship
+from phenogrid.llm.common import carried, ship
 
 UNKNOWN = "und"
 
@@ -42,9 +44,9 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train(labelled: DataFrame, documents: int = 256, chars: int = 2000, dictionary_bytes: int = 65_536, **settings) -> Model:
-    """Fit on a bounded sample of rows (doc_id, text, lang): at most ``documents`` rows of a language and ``chars``
-    characters of each, of which the first ``dictionary_bytes`` bytes are kept.
+def train(labelled: DataFrame, documents: int = 256, dictionary_bytes: int = 65_536, **settings) -> Model:
+    """Fit on a bounded sample of rows (doc_id, text, lang): at most ``documents`` rows of a language, and of each an equal
+    part of ``dictionary_bytes`` bytes, as pieces spread over the whole text.
 
     The sample has the smallest hashes of the ids. One pass counts the languages; the second keeps about twice the
     wanted rows by a threshold on the hash and ranks those few.
@@ -56,14 +58,33 @@ def train(labelled: DataFrame, documents: int = 256, chars: int = 2000, dictiona
         return Model((), (), **settings)
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, float(min(1.0, (2 * documents + 64) / n)))))
     few = rows.withColumn("order", order).where(F.col("order") <= share[F.col("lang")] * (1 << 40))
-    few = few.select("lang", "order", "doc_id", F.lower(F.substring("text", 1, chars)).alias("text"))
+    part = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, dictionary_bytes // min(documents, n))))
+    few = few.select("lang", "order", "doc_id", spread(F.lower("text"), part[F.col("lang")]).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text"))
     ranked = few.withColumn("rank", rank).where(F.col("rank") <= documents).orderBy("lang", "rank").select("lang", "text").collect()
     texts: dict[str, list[str]] = {}
     for row in ranked:
         texts.setdefault(row["lang"], []).append(row["text"])
     names = tuple(sorted(texts))
-    return Model(names, tuple("\n".join(texts[n]).encode()[:dictionary_bytes] for n in names), **settings)
+    return Model(names, tuple(_within(texts[n], dictionary_bytes) for n in names), **settings)
+
+
+def spread(text: Column, chars: Column, pieces: int = 4) -> Column:
+    """A short text whole; of a longer one, ``pieces`` equal stretches at equal distances from its start to its end."""
+    size = F.greatest(F.lit(1), F.floor((chars - pieces) / pieces).cast("int"))
+    gap = (F.length(text) - size) / F.lit(float(max(1, pieces - 1)))
+    taken = F.concat_ws(" ", *[F.substr(text, F.floor(gap * i).cast("int") + 1, size) for i in range(pieces)])
+    return F.when(F.length(text) < chars, text).otherwise(taken)
+
+
+def _within(texts: list[str], most: int) -> bytes:
+    """Whole sampled texts, one after the other, as many as fit; characters may take several bytes."""
+    out = b""
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass")
+        if len(out) + len(raw) + 1 <= most:
+            out += raw + b"\n"
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -117,4 +138,4 @@ def predicted(docs: DataFrame, model: Model, into: str = "prediction") -> DataFr
 
 def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose language is told with a clear margin, columns unchanged."""
-    return predicted(docs, model, "__language").where(~F.col("__language.rejected")).drop("__language")
+    return predicted(carried(docs), model, "language").where(~F.col("language.rejected")).select("row.*")

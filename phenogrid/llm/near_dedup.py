@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import LAST_NODE, salt_of, salted_groups, ship, stored
+from phenogrid.llm.common import LAST_NODE, carried, salt_of, salted_groups, ship, stored
 from phenogrid.llm.graph import components
 from phenogrid.llm.shingles import mixed, shingle_set
 
@@ -248,6 +248,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: Ba
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, with all their columns: the smallest doc_id of each component, or one of its rows if none has an id."""
     ship(docs.sparkSession)
-    rows, others = _own_nodes(docs)
-    gone = stored(_judged(rows, others, size, percent, Bands()).where("NOT kept").select(F.col("node").alias("__node")).distinct(), "near-gone")
-    return rows.join(gone.hint("merge"), "__node", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, others = _own_nodes(carried(docs))
+    gone = stored(_judged(rows.drop("row"), others, size, percent, Bands()).where("NOT kept").select(F.col("node").alias("__node")).distinct(), "near-gone")
+    return rows.join(gone.hint("merge"), "__node", "left_anti").select("row.*")

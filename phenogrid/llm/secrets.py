@@ -8,7 +8,9 @@ one character kind (where there are several), and the serial correlation of neig
 the false-discovery rule over the whole table, so a short run needs more evidence where many short runs are tested.
 
 Positions are code points, ends exclusive. A null text counts as empty and has no spans. Rows are judged one by one, so
-repeated rows get equal answers. An empty table gives no rows. Other columns pass through unread.
+repeated rows get equal answers; of spans that begin alike the kinds' order decides, and there are no further ties. Very long
+texts are searched whole. An empty table gives no rows. ``redact`` carries the caller's row in a struct, whatever its
+columns are called, and sets text and n_chars; ``with_spans`` adds columns to a table of doc_id and text.
 DataFrame operations only.
 """
 
@@ -19,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenogrid.llm.common import carried
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -196,7 +200,7 @@ def redact(docs: DataFrame, limits: dict[int, int], mark: str = MARK) -> DataFra
 
     A column n_chars, if there is one, is counted anew for changed texts.
     """
-    found = with_spans(docs, limits)
+    found = with_spans(carried(docs).select("row", "text"), limits)
     text = found["text"]
 
     def step(state: Column, s: Column) -> Column:
@@ -209,7 +213,7 @@ def redact(docs: DataFrame, limits: dict[int, int], mark: str = MARK) -> DataFra
         lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))),
     )
     has = F.size("__spans") > 0
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
     columns["text"] = F.when(has, clean).otherwise(text)
     if "n_chars" in columns:
         columns["n_chars"] = F.when(has, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])

@@ -46,5 +46,41 @@ def test_ties_are_rejected():
 
 def test_sample_is_bounded(spark):
     docs = spark.range(5000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 10) AS text", "'en' AS lang")
-    model = language.train(docs, documents=16, chars=20, dictionary_bytes=200)
-    assert len(model.dictionaries[0]) <= 200
+    model = language.train(docs, documents=16, dictionary_bytes=200)
+    words = model.dictionaries[0].split(b"\n")
+    assert len(model.dictionaries[0]) <= 200 and len(words) > 10  # of most sampled rows
+
+
+def test_sample_is_spread_over_long_texts(spark):
+    docs = spark.createDataFrame([(1, "a" * 3000 + "b" * 3000 + "c" * 3000, "en")], "doc_id long, text string, lang string")
+    data = language.train(docs, dictionary_bytes=900).dictionaries[0]
+    assert len(data) <= 900 and all(data.count(x) > 150 for x in (b"a", b"b", b"c"))
+
+
+def brute(model, text):
+    """Sizes by plain calls, a fresh compressor for each chunk."""
+    import zstandard
+
+    raw, out = text.lower().encode(), []
+    for data in model.dictionaries:
+        shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        chunks = [raw[i : i + model.chunk] for i in range(0, len(raw), model.chunk)]
+        out.append(sum(len(zstandard.ZstdCompressor(level=model.level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress(c)) for c in chunks))
+    return out
+
+
+def test_answers_equal_plain_compression(documents, texts):
+    model = language.train(documents)
+    for r in language.predicted(documents, model).collect():
+        if not any(map(str.isalpha, texts[r.doc_id])):
+            assert r.prediction.lang_pred == "und"
+            continue
+        found = brute(model, texts[r.doc_id])
+        order = sorted(range(len(found)), key=lambda k: (found[k], k))
+        margin = (found[order[1]] - found[order[0]]) / found[order[1]]
+        assert (r.prediction.lang_pred, r.prediction.rejected) == (model.languages[order[0]], margin < model.least_margin)
+
+
+def test_one_language(spark, odd):
+    model = language.train(odd.where("lang = 'de'"))
+    assert {r.prediction.lang_pred for r in language.predicted(odd, model).collect()} == {"de", "und"}
