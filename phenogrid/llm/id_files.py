@@ -100,7 +100,7 @@ class Segment:
 
     def __init__(self, row):
         self.row = row
-        self.ends = elias_fano.EliasFano(bytes(row.ends))
+        self.ends, self.names = elias_fano.EliasFano(bytes(row.ends)), elias_fano.EliasFano(bytes(row.doc_ids))
         self.ids = np.frombuffer(row.ids, f"<u{row.width}")
 
     def span(self, index: int) -> tuple[int, int]:
@@ -111,16 +111,14 @@ class Segment:
         start, end = self.span(index)
         return self.ids[start:end]
 
-    def doc_ids(self) -> list[int | None]:
-        known = elias_fano.EliasFano(bytes(self.row.doc_ids)).all()
-        return [None] * self.row.nulls + [self.row.first_id + int(x) for x in known]
+    def doc_id(self, index: int) -> int | None:
+        return None if index < self.row.nulls else self.row.first_id + self.names.select(index - self.row.nulls)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, start in the whole file set, and ids of each document."""
-        start = 0
-        for doc_id, end in zip(self.doc_ids(), self.ends.all().tolist(), strict=True):
-            yield doc_id, self.row.base + self.row.part_start + start, self.ids[start:end]
-            start = end
+        for index in range(self.row.n_docs):
+            start, end = self.span(index)
+            yield self.doc_id(index), self.row.base + self.row.part_start + start, self.ids[start:end]
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
