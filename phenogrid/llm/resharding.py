@@ -3,8 +3,9 @@
 Every old shard is a row of blocks (a block is a hash class of doc_ids, so equal ids stay together). Block sizes and the
 new capacities make a small flow problem; its solution says how many bytes go from where to where. Laid along the blocks,
 most of a flow is whole blocks; where it ends inside a block, that block's documents are dealt out one by one, small ones
-last. A bounded list of such documents is then moved or swapped until no exchange brings the sizes closer. Only shards
-that gain or lose are written anew.
+last. A bounded list of such documents, some of every size, is then moved or swapped until no exchange brings the sizes
+closer: large ones close large gaps, and differences of similar ones the rest. Only shards that gain or lose are written
+anew.
 
 Sizes are UTF-8 bytes of the text plus 8; a null text has none. Edge cases: all rows of a doc_id go to the same shard, also
 those of the null id. Empty texts count 8. A document larger than a capacity makes its shard larger than the others. An
@@ -27,8 +28,9 @@ from phenogrid.llm.common import stored
 #: Blocks of an old shard. The driver sees one row per block.
 BLOCKS = 64
 
-#: Documents of each shard that the last exchange may choose from. The driver sees these too.
-EXCHANGE = 400
+#: Documents of each shard and power of two in size that the last exchange may choose from. The driver sees these too, at
+#: most so many times 40 a shard.
+EXCHANGE = 64
 
 
 def size_of(text: Column) -> Column:
@@ -96,7 +98,7 @@ class Plan:
     flow: dict[tuple[int, int], int]
 
     def affected(self, shards: int) -> set[int]:
-        """Shards that gain or lose."""
+        """Shards that gain or lose by the flow."""
         moved = {k for k in self.flow if k[0] != k[1]}
         return {i for i, _ in moved if i < shards} | {j for _, j in moved}
 
@@ -126,24 +128,29 @@ def _best(held: list[list[tuple[int, int]]], over: list[int], i: int, j: int) ->
     gap = (over[i] - over[j]) / 2
     if gap < 1 or not held[i]:
         return None
-    miss = np.abs(np.array([s for s, _ in held[i]])[:, None] - np.array([0, *(s for s, _ in held[j])])[None, :] - gap)
-    a, b = np.unravel_index(int(np.argmin(miss)), miss.shape)
-    return (i, j, int(a), int(b) - 1 if b else None) if miss[a, b] < gap else None
+    give, back = np.array([s for s, _ in held[i]]), np.array([0, *(s for s, _ in held[j])])
+    after = np.minimum(np.searchsorted(back, give - gap), len(back) - 1)  # the two that are nearest to what should come back
+    found = np.stack([np.maximum(after - 1, 0), after])
+    miss = np.abs(give - back[found] - gap)
+    side, a = np.unravel_index(int(np.argmin(miss)), miss.shape)
+    b = int(found[side, a])
+    return (i, j, int(a), b - 1 if b else None) if miss[side, a] < gap else None
 
 
-def exchange(sizes: list[int], wanted: list[int], pool: list[tuple[int, int, int]], rounds: int = 1000) -> dict[int, int]:
+def exchange(sizes: list[int], wanted: list[int], pool: list[tuple[int, int, int]]) -> dict[int, int]:
     """Moves and swaps of single documents (id, size, shard) that bring ``sizes`` closer to ``wanted``: id -> new shard.
 
-    Each round takes the fullest and the emptiest shards that a document, or a pair, can even out.
+    Each round takes the fullest and the emptiest shards that a document, or a pair, can even out. Every round brings two
+    shards closer together, so there is a last one.
     """
     over = [a - b for a, b in zip(sizes, wanted, strict=True)]
     held = [sorted((size, id_) for id_, size, shard in pool if shard == k) for k in range(len(sizes))]
     moved: dict[int, int] = {}
-    for _ in range(rounds):
+    while True:
         order = sorted(range(len(over)), key=over.__getitem__)
         found = next((f for i in reversed(order) for j in order if over[i] > over[j] if (f := _best(held, over, i, j))), None)
         if found is None:
-            break
+            return moved
         i, j, a, b = found
         out = held[i].pop(a)
         back = held[j].pop(b) if b is not None else None
@@ -154,11 +161,11 @@ def exchange(sizes: list[int], wanted: list[int], pool: list[tuple[int, int, int
         step = out[0] - (back[0] if back else 0)
         over[i] -= step
         over[j] += step
-    return moved
 
 
-def plan(docs: DataFrame, old: Column, shards: int, blocks: int = BLOCKS) -> tuple[Plan, DataFrame]:
-    """The plan, and the new shard of every document in a cut block: doc_id, size, shard."""
+def plan(docs: DataFrame, old: Column, shards: int, blocks: int = BLOCKS) -> tuple[Plan, DataFrame, dict[int, tuple[int, int]]]:
+    """The plan, the new shard of every document in a cut block (doc_id, size, shard), and single documents that change
+    places: doc_id -> the shard they leave and the one they go to."""
     rows = docs.select("doc_id", size_of(docs["text"]).alias("size"), old.alias("old"), block_of(blocks).alias("block"))
     sums = {(r["old"], r["block"]): r["size"] for r in rows.groupBy("old", "block").agg(F.sum("size").alias("size")).collect()}
     supply = [0] * (max((i for i, _ in sums), default=-1) + 1)
@@ -177,12 +184,13 @@ def plan(docs: DataFrame, old: Column, shards: int, blocks: int = BLOCKS) -> tup
     sizes = [found.get(j, 0) for j in range(shards)]
     for i, block, j in made.whole:
         sizes[j] += sums[i, block]
-    some = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pool = dealt.where("doc_id IS NOT NULL").withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= EXCHANGE).select("doc_id", "size", "shard").collect()
-    moved = exchange(sizes, wanted, [tuple(r) for r in pool])
-    changes = spark.createDataFrame(list(moved.items()), "doc_id long, changed int")
-    final = dealt.join(F.broadcast(changes), "doc_id", "left").select("doc_id", "size", F.coalesce("changed", "shard").alias("shard"))
-    return made, final
+    whole = spark.createDataFrame(made.whole, "old int, block int, shard int")
+    every = rows.join(F.broadcast(whole), ["old", "block"]).select("doc_id", "size", "shard").unionByName(dealt).where("doc_id IS NOT NULL")
+    some = Window.partitionBy("shard", "power").orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = every.withColumn("power", F.floor(F.log2("size"))).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= EXCHANGE).select("doc_id")
+    pool = every.join(F.broadcast(stored(few.distinct(), "exchange")), "doc_id", "left_semi").groupBy("doc_id", "shard").agg(F.sum("size").alias("size")).select("doc_id", "size", "shard").collect()
+    home = {r["doc_id"]: r["shard"] for r in pool}
+    return made, dealt, {i: (home[i], j) for i, j in exchange(sizes, wanted, [tuple(r) for r in pool]).items()}
 
 
 def reshard(docs: DataFrame, old: Column, shards: int, path: str, blocks: int = BLOCKS) -> DataFrame:
@@ -190,15 +198,17 @@ def reshard(docs: DataFrame, old: Column, shards: int, path: str, blocks: int =
 
     Shards that neither gain nor lose are not written; their rows come from ``docs`` as they were.
     """
-    made, dealt = plan(docs, old, shards, blocks)
+    made, dealt, moved = plan(docs, old, shards, blocks)
     spark = docs.sparkSession
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), old.alias("old"), block_of(blocks).alias("block"))
     whole = spark.createDataFrame(made.whole, "old int, block int, shard int")
     settled = rows.join(F.broadcast(whole), ["old", "block"])
     open_rows = rows.join(F.broadcast(whole), ["old", "block"], "left_anti")
     single = open_rows.join(dealt.hint("merge"), open_rows["document.doc_id"].eqNullSafe(dealt["doc_id"])).select("old", "block", "document", "shard")
-    target = settled.select("old", "block", "document", "shard").unionByName(single)
-    affected = made.affected(shards)
+    laid = settled.select("old", "block", "document", "shard").unionByName(single)
+    changes = spark.createDataFrame([(i, to) for i, (_, to) in moved.items()], "doc_id long, changed int")
+    target = laid.join(F.broadcast(changes), laid["document.doc_id"] == changes["doc_id"], "left").select("old", "block", "document", F.coalesce("changed", "shard").alias("shard"))
+    affected = made.affected(shards).union(*moved.values())
     same = target.where(~F.col("shard").isin(*affected)) if affected else target
     if not affected:
         return same
