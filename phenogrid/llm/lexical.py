@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from phenogrid.llm.common import ship, stored
 
 #: Items a block, on average; documents a tree; documents and items a leaf; children a node.
-ITEMS, CHUNK, DOC_LEAF, ITEM_LEAF, FAN = 256, 4096, 64, 8, 8
+ITEMS, CHUNK, DOC_LEAF, ITEM_LEAF, FAN = 256, 2048, 8, 1, 8
 #: The floors come from one document in so many.
 FLOOR_SHARE = 32
 FILTER_BITS = 1 << 22
@@ -256,7 +256,7 @@ def _bounds(queries: list[Level], documents: list[Level], needed: np.ndarray) ->
         rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
         bound = np.full(alive.shape, -1.0)
         # A little is added for sums beyond what doubles hold exactly.
-        bound[np.ix_(rows, cols)] = (q[rows].astype(np.float64) @ d[cols].astype(np.float64).T) * (1 + 1e-9)
+        bound[np.ix_(rows, cols)] = (q[rows] @ d[cols].T) * (1 + 1e-9)
         alive &= bound >= np.minimum.reduceat(needed, np.arange(0, len(needed), span))[:, None]
     return np.where(alive, bound, -1.0)
 
@@ -278,13 +278,13 @@ def _search_chunk(block: Block, best: Best, doc_ids: list, n: np.ndarray, sizes:
     here, cols = np.unique(cols, return_inverse=True)
     queries = block.dense(here)
     leaves = -(-len(documents) // DOC_LEAF)
-    top = np.zeros((leaves, len(here)), np.int64)
-    np.maximum.at(top, (rows // DOC_LEAF, cols), worth)
+    top = np.zeros((leaves, len(here)))
+    np.maximum.at(top, (rows // DOC_LEAF, cols), worth.astype(np.float64))
     by_leaf = np.argsort(rows // DOC_LEAF, kind="stable")
     ends = np.searchsorted((rows // DOC_LEAF)[by_leaf], np.arange(leaves + 1))
     missing = np.array([doc_ids[i] is None for i in documents])
     ids = np.array([np.iinfo(np.int64).max if doc_ids[i] is None else doc_ids[i] for i in documents], np.int64)
-    bounds = _bounds(_levels(queries, ITEM_LEAF), _levels(top, 1), best.least())
+    bounds = _bounds(_levels(queries.astype(np.float64, copy=False), ITEM_LEAF), _levels(top, 1), best.least())
     starts = np.arange(0, len(block.items), ITEM_LEAF)
     for leaf in np.argsort(-bounds.max(axis=0), kind="stable"):  # the best first, so that more is asked for at the rest
         alive = bounds[:, leaf] >= np.minimum.reduceat(best.least(), starts)
