@@ -90,6 +90,25 @@ def x02_tiles_world(spark, sf):
     return spark.read.schema("gx int, gy int, cls int, tree double, z int").parquet(out).select("z", "gx", "gy", "cls", "tree")
 
 
+SHARD = (13, 8192, 1024)
+IN_SHARD = "(gx // 8) >> 2 = 8192 AND (gy // 8) >> 2 = 1024"
+
+
+@query("x02_absorb_shard", ref.pixels("""
+SELECT a.z, CAST(a.gx AS INTEGER) AS gx, CAST(a.gy AS INTEGER) AS gy, CAST(a.cls AS INTEGER) AS cls, c.tiles FROM ab a JOIN (SELECT z, count(DISTINCT (gx // 8, gy // 8)) AS tiles FROM ab WHERE cls > 0 GROUP BY z) c ON c.z = a.z""", rasters.P1, f"""
+ab AS (SELECT 15 AS z, gx, gy, cls FROM px WHERE NOT ({IN_SHARD}) UNION ALL SELECT 15, gx, gy, 3 FROM px WHERE {IN_SHARD} AND gx % 2 = 0 UNION ALL SELECT 14, gx, gy, cls FROM p1)"""))
+def x02_absorb(spark, sf):
+    """A shard brings new pixels of the finest level: the stored set, and the tiles of each level by its new manifest."""
+    out = new_path(spark, "absorbed")
+    levels = rasters.raster.pyramid(b.pixels(spark, sf), b.LEVEL, b.LEVEL - 1, ()).select("z", "gx", "gy", "cls")
+    x, y = F.shiftright(F.floor(F.col("gx") / 8).cast("int"), 2), F.shiftright(F.floor(F.col("gy") / 8).cast("int"), 2)
+    incoming = levels.where((F.col("z") == b.LEVEL) & (x == SHARD[1]) & (y == SHARD[2]) & (F.col("gx") % 2 == 0)).withColumn("cls", F.lit(3))
+    manifest = products.absorb_shard(levels, incoming, SHARD, "detail", out, b.TILE_PX)
+    held = spark.read.schema("gx int, gy int, cls int, z int").parquet(f"{out}/tiles")
+    counts = manifest.select(F.explode("counts").alias("c")).select(F.col("c.z").alias("z"), F.col("c.tiles").alias("tiles"))
+    return held.join(counts, "z").select("z", "gx", "gy", "cls", "tiles")
+
+
 @query("x01_other_rules", ref.sql("SELECT DISTINCT sci, cell, p FROM sl", ref.RECORDS, ref.BY_SCI.replace("t >= 30 AS surveyed", "t >= 10 AS surveyed").replace("CAST(0.2 AS DOUBLE) * peak", "CAST(0.5 AS DOUBLE) * peak").replace("a.records < 5", "a.records < 3")))
 def x01(spark, sf):
     """Labels under rules passed in: half of the peak, effort of 10, three records."""

@@ -83,6 +83,17 @@ def true_colour_update(levels: DataFrame, changed: DataFrame, top: int, bottom:
     return rollup.replaced(levels, changed, rebuilt, top, bottom, tile_px)
 
 
+def absorb_shard(served: DataFrame, incoming: DataFrame, shard: tuple[int, int, int], name: str, out: str, tile_px: int = 256, **described) -> DataFrame:
+    """One shard's pixels in the place of its old ones, at the levels it brings, and the manifest of the set made anew.
+
+    The set is written to a new place, the manifest last; a drop with pixels outside its shard is refused before.
+    """
+    spark, xy = served.sparkSession, rollup.tile_of(tile_px)
+    pixels = tileset.absorb_shard(served.withColumns(xy), incoming.withColumns(xy), shard).drop("x", "y")
+    sinks.write_tiles(pixels, f"{out}/tiles")
+    return tile_manifest(spark.read.schema(pixels.schema).parquet(f"{out}/tiles"), name, out, tile_px, **described)
+
+
 def tile_manifest(pixels: DataFrame, name: str, out: str, tile_px: int = 256, **described) -> DataFrame:
     """Manifest of the land-bearing tiles of a pixel table with a level column, and their bit index beside it."""
     x, y = F.floor(F.col("gx") / tile_px).cast("int").alias("x"), F.floor(F.col("gy") / tile_px).cast("int").alias("y")
