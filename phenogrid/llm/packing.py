@@ -28,6 +28,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from fractions import Fraction
+from heapq import heapify, heappop, heapreplace
 from itertools import accumulate
 
 import numpy as np
@@ -177,52 +178,60 @@ def _slice(batches: Iterator[pd.DataFrame], plan: Schedule, width: int) -> Itera
 
 
 def fill(slices: pd.DataFrame, plan: Schedule, partition: int, window: int, dtype: np.dtype, with_ids: bool = True, least: int = LEAST_PIECE) -> pd.DataFrame:
-    """Windows of one partition by deficit round-robin. ``slices`` are its parts of documents, at most a partition's tokens.
-
-    Credits and what is left are vectors over the queues that the partition holds.
-    """
+    """Windows of one partition by deficit round-robin. ``slices`` are its parts of documents, at most a partition's tokens."""
     queues: dict[int, list] = {}
     for row in slices.sort_values(["queue", "at"]).itertuples(index=False):
         queues.setdefault(row.queue, []).append(row)
     order = sorted(queues)
-    credit = np.array([plan.owed(q, partition) for q in order])
-    left = np.array([sum(r.length for r in queues[q]) for q in order], np.int64)
-    weights = np.array([plan.weights[q] for q in order], np.float64)
+    places = range(len(order))
+    credit = [plan.owed(q, partition) for q in order]
+    left = [sum(r.length for r in queues[q]) for q in order]
+    weights = [plan.weights[q] for q in order]
+    held = [queues[q] for q in order]
     cursor = [(0, 0)] * len(order)  # slice, ids of it that are packed
-    wide: dict[int, memoryview] = {}
+    wide: list[memoryview | None] = [None] * len(order)
+    width = dtype.itemsize
     sequence, rows, turn = partition * (plan.span // window), [], 0
-    remaining = int(left.sum())
+    remaining, weighing = sum(left), sum(weights)
+    offset = 0
+
+    def serve(i: int, take: int) -> None:
+        nonlocal offset, weighing
+        left[i] -= take
+        credit[i] -= take
+        if not left[i]:
+            weighing -= weights[i]
+        k, used = cursor[i]
+        while take:
+            r = held[i][k]
+            length = r.length
+            if not used:  # once for all pieces of the slice
+                wide[i] = memoryview(np.frombuffer(r.ids, dtype).astype("<u4").tobytes())
+            n = min(take, length - used)
+            ids = r.ids[used * width : (used + n) * width] if with_ids else None
+            rows.append((r.doc_id, r.start + used, n, zlib.crc32(wide[i][4 * used : 4 * (used + n)]), r.doc_tokens, sequence, offset, order[i], ids))
+            offset, take, used = offset + n, take - n, used + n
+            if used == length:
+                k, used = k + 1, 0
+        cursor[i] = (k, used)
+
     while remaining:
         space = min(window, remaining)
-        offset = 0
-
-        def serve(i: int, take: int) -> None:
-            nonlocal offset
-            left[i] -= take
-            credit[i] -= take
-            k, used = cursor[i]
-            while take:
-                r = queues[order[i]][k]
-                n = min(take, r.length - used)
-                if not used:  # once for all pieces of the slice
-                    wide[i] = memoryview(np.frombuffer(r.ids, dtype).astype("<u4").tobytes())
-                ids = r.ids[used * dtype.itemsize : (used + n) * dtype.itemsize] if with_ids else None
-                rows.append((r.doc_id, r.start + used, n, zlib.crc32(wide[i][4 * used : 4 * (used + n)]), r.doc_tokens, sequence, offset, order[i], ids))
-                offset, take, used = offset + n, take - n, used + n
-                if used == r.length:
-                    k, used = k + 1, 0
-            cursor[i] = (k, used)
-
-        full = left > 0
-        credit += np.where(full, weights * (window / weights[full].sum()), 0.0)
-        due = np.minimum(credit.astype(np.int64), left)
-        due = np.flatnonzero((due >= least) | ((due > 0) & (due == left)))
-        for i in np.concatenate([due[due >= turn], due[due < turn]]).tolist():
-            if (take := min(int(credit[i]), int(left[i]), space - offset)) >= least or 0 < take == left[i]:
-                serve(i, take)
-        while offset < space:  # credit that was too small to serve: the largest goes ahead, and owes it
-            i = int(np.where(left > 0, credit, -np.inf).argmax())
-            serve(i, min(max(least, int(credit[i])), int(left[i]), space - offset))
+        offset, share = 0, window / weighing
+        for i in places:
+            if left[i]:
+                credit[i] += weights[i] * share
+        for some in (range(turn, len(order)), range(turn)):
+            for i in some:
+                if credit[i] >= 1 and ((take := min(int(credit[i]), left[i], space - offset)) >= least or 0 < take == left[i]):
+                    serve(i, take)
+        if offset < space:  # credit that was too small to serve: the largest goes ahead, and owes it
+            ahead = [(-credit[i], i) for i in places if left[i]]
+            heapify(ahead)
+            while offset < space:
+                _, i = ahead[0]
+                serve(i, min(max(least, int(credit[i])), left[i], space - offset))
+                heapreplace(ahead, (-credit[i], i)) if left[i] else heappop(ahead)
         remaining -= space
         sequence, turn = sequence + 1, (turn + 1) % len(order)
     out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
