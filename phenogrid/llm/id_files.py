@@ -59,8 +59,8 @@ def _segments(batches: Iterator[pd.DataFrame], vocabulary: str, end_id: int, seg
         return pd.DataFrame([row], columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
-            ids = enc.encode(text) + end
+        for doc_id, ids in zip(batch["doc_id"].array, enc.encode_all(batch["text"]), strict=True):
+            ids += end
             names.append(None if pd.isna(doc_id) else int(doc_id))
             pieces.append(ids)
             lengths.append(len(ids) // width)

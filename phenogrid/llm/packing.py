@@ -135,8 +135,8 @@ def _encode(batches: Iterator[pd.DataFrame], vocabulary: str, end_id: int) -> It
     end = np.array([end_id], enc.dtype).tobytes()
     for batch in batches:
         rows = []
-        for doc_id, text, small, queue in zip(batch["doc_id"], batch["text"], batch["small"], batch["queue"], strict=True):
-            ids = enc.encode(text) + end
+        for doc_id, ids, small, queue in zip(batch["doc_id"], enc.encode_all(batch["text"]), batch["small"], batch["queue"], strict=True):
+            ids += end
             n = len(ids) // enc.dtype.itemsize
             local = filled.get(queue, 0)
             filled[queue] = local + n

@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -29,6 +29,10 @@ def _single_spaced(text: str) -> bool:
     return _DOUBLE.search(text) is None
 
 
+#: Words that are encoded as one text at most.
+LEARN = 20_000
+
+
 def default_vocabulary() -> str:
     """Path of the public vocabulary file; every operator takes another path as a parameter."""
     import public_tokenizers
@@ -39,36 +43,22 @@ def default_vocabulary() -> str:
 class _Memory:
     """Ids of pieces in two generations: when the young one is full it becomes the old one, and what is in use comes back."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int, marks: dict[str, bytes] | None = None):
-        self.learn, self.most, self.marks = learn, most, marks or {}
-        self.young: dict[str, bytes] = self._fresh()
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int):
+        self.learn, self.most = learn, most
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _fresh(self) -> dict[str, bytes]:
-        """Marks under their own keys."""
-        return {f"\x00{mark}": ids for mark, ids in self.marks.items()}
-
     def join(self, keys: list[str]) -> bytes:
         out = list(map(self.young.get, keys))
         if None in out:
             unknown = {key for key, ids in zip(keys, out, strict=True) if ids is None}
             fresh = {key: ids for key in unknown if (ids := self.old.get(key)) is not None}
-            unknown.difference_update(fresh)
-            # A mark that ends a word is a piece of its own: the word is remembered without it.
-            marked = [key for key in unknown if key[-1:] in self.marks and key[-2:-1].isalpha()]
-            unknown.difference_update(marked)
-            for word in {key[:-1] for key in marked}:
-                if (known := self.young.get(word) or self.old.get(word)) is not None:
-                    fresh[word] = known
-                elif word not in fresh:
-                    unknown.add(word)
-            if unknown:
-                missing = list(unknown)
+            missing = list(unknown.difference(fresh))
+            if missing:
                 fresh.update(zip(missing, self.learn(missing), strict=True))
-            found = {key: fresh[key[:-1]] + self.marks[key[-1]] for key in marked} | fresh if marked else fresh
-            out = [found[key] if ids is None else ids for key, ids in zip(keys, out, strict=True)]
+            out = [fresh[key] if ids is None else ids for key, ids in zip(keys, out, strict=True)]
             if len(self.young) + len(fresh) > self.most:
-                self.old, self.young = self.young, self._fresh()
+                self.old, self.young = self.young, {}
             self.young.update((k, ids) for k, ids in fresh.items() if len(k) <= 64)
         return b"".join(out)
 
@@ -87,36 +77,67 @@ class Encoder:
         for token, id_ in self.tokenizer.get_vocab().items():
             widths[id_] = len(token)  # the vocabulary writes each byte as one character
         self.widths = widths
-        marks = dict(zip(".,", self._direct([".", ","]), strict=True))
-        self.words = _Memory(self._words, remember, marks)
+        self.most = remember
+        self.marks = {f"\x00{mark}": ids for mark, ids in zip(".,", self._direct([".", ","]), strict=True)}
+        self.young, self.old = dict(self.marks), {}
         self.pieces = _Memory(self._direct, remember // 4)
 
     def _direct(self, pieces: list[str]) -> list[bytes]:
         return [np.array(done.ids, self.dtype).tobytes() for done in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _words(self, keys: list[str]) -> list[bytes]:
-        """Each starts with the white space of a cut. If none ends with white space they can be encoded as one text,
+        """Each starts with the white space of a cut, and none ends with white space. So they can be encoded as one text,
         whose ids meet where the pieces do."""
         pieces = [k if k[:1] == "\n" else " " + k for k in keys]
-        if any(p[-1] in " \n" for p in pieces):
-            return self._direct(pieces)
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.cumsum([len(p.encode()) for p in pieces])
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
         cuts = ((np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.dtype.itemsize).tolist()
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    def encode(self, text: str) -> bytes:
-        if "\x00" in text or not _single_spaced(text):
-            return self.pieces.join(_CUT.split(text))
-        # White space stands alone, so every space and line end is a cut. Keys leave the space out. So is the place before a
-        # mark that ends a word, whose key then has a zero in the place of the space.
+    def _learn(self, lists: list[list[str]]) -> list[str]:
+        """Know every key of some lists; returns those that are too long to be remembered."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, dict(self.marks)
+        unknown = set().union(*lists).difference(self.young)
+        back = unknown & self.old.keys()
+        self.young.update((k, self.old[k]) for k in back)
+        unknown -= back
+        white = [k for k in unknown if not k or k[-1] == "\n"]
+        if white:
+            self.young.update(zip(white, self._direct([k if k[:1] == "\n" else " " + k for k in white]), strict=True))
+        words = [k for k in unknown if k and k[-1] != "\n"]
+        for i in range(0, len(words), LEARN):
+            self.young.update(zip(words[i : i + LEARN], self._words(words[i : i + LEARN]), strict=True))
+        return [k for k in words if len(k) > 64]
+
+    def _keys(self, text: str) -> list[str]:
+        """White space stands alone, so every space and line end is a cut. Keys leave the space out. So is the place before a
+        mark that ends a word, whose key then has a zero in the place of the space."""
         spaced = text.replace("\n", " \n")
         cut = (spaced + " ").replace(". ", " \x00. ").replace(", ", " \x00, ")[:-1]
-        if not cut.startswith(" \x00") and _BAD_MARK.search(cut) is None:
-            spaced = cut
-        head, *rest = spaced.split(" ")
-        return self.pieces.join([head]) + self.words.join(rest)
+        return (spaced if cut.startswith(" \x00") or _BAD_MARK.search(cut) else cut).split(" ")
+
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of each text. Words that no text had before are learned together."""
+        out: list[bytes] = []
+        later: list[tuple[int, list[str]]] = []
+        for i, text in enumerate(texts):
+            if "\x00" in text or not _single_spaced(text):
+                out.append(self.pieces.join(_CUT.split(text)))
+            else:
+                head, *rest = self._keys(text)
+                out.append(self.pieces.join([head]))
+                later.append((i, rest))
+        long = self._learn([rest for _, rest in later])
+        for i, rest in later:
+            out[i] += b"".join(map(self.young.__getitem__, rest))
+        for key in long:
+            del self.young[key]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
