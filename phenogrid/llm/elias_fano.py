@@ -53,6 +53,7 @@ class EliasFano:
         at += 4 * count
         self.high = np.frombuffer(self.data, np.uint8, size, at)
         self.lows = np.frombuffer(self.data, np.uint8, -1, at + size) if self.low and self.n else np.zeros(0, np.uint8)
+        self.low_at, self.block, self.ones = at + size, -1, []  # positions of the ones of the block that was read last
 
     def _low(self, first: int, count: int) -> np.ndarray:
         if not self.low:
@@ -62,15 +63,21 @@ class EliasFano:
         return (bits.reshape(count, self.low).astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def select(self, index: int) -> int:
-        """The value at an index: jump to the sample before it and count ones from there."""
+        """The value at an index: jump to the sample before it and count ones from there. The block stays at hand for its neighbours."""
         if not 0 <= index < self.n:
             raise IndexError(index)
         block, rest = divmod(index, SAMPLE)
-        start = int(self.samples[block])
-        stop = int(self.samples[block + 1]) if block + 1 < len(self.samples) else len(self.high) * 8
-        bits = np.unpackbits(self.high[start // 8 : -(-(stop + 1) // 8)], bitorder="little")[start % 8 :]
-        position = start + int(np.flatnonzero(bits)[rest])
-        return ((position - index) << self.low) | int(self._low(index, 1)[0])
+        if block != self.block:
+            start = int(self.samples[block])
+            stop = int(self.samples[block + 1]) if block + 1 < len(self.samples) else len(self.high) * 8
+            bits = np.unpackbits(self.high[start // 8 : -(-(stop + 1) // 8)], bitorder="little")[start % 8 :]
+            self.block, self.ones = block, (np.flatnonzero(bits) + start).tolist()
+        value = self.ones[rest] - index << self.low
+        if self.low:
+            at, end = index * self.low, (index + 1) * self.low
+            raw = int.from_bytes(self.data[self.low_at + at // 8 : self.low_at - (-end // 8)], "little")
+            value |= raw >> at % 8 & (1 << self.low) - 1
+        return value
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))

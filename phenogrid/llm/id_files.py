@@ -116,9 +116,11 @@ class Segment:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, start in the whole file set, and ids of each document."""
+        start = 0
         for index in range(self.row.n_docs):
-            start, end = self.span(index)
+            end = self.ends.select(index)
             yield self.doc_id(index), self.row.base + self.row.part_start + start, self.ids[start:end]
+            start = end
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
