@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.llm.common import LAST_NODE, discard, nodes, salt_of, salted_groups, ship, stored
-from phenogrid.llm.shingles import lowered, mixed, shingles_of, span_hashes, word_spans, words_of
+from phenogrid.llm.shingles import lowered, mixed, sequences_of, word_spans, words_of
 
 SHINGLE = 5
 
@@ -84,13 +85,13 @@ def compact_windows(values: np.ndarray, least: int, bounds: np.ndarray | None =
         lo, hi = np.stack([lo, c + 1], axis=1).ravel(), np.stack([c, hi], axis=1).ravel()
 
 
-def sequence_of(data: bytes) -> np.ndarray:
-    """Shingle hashes of a text."""
-    return shingles_of(span_hashes(data, *word_spans(data)), SHINGLE)
+#: What the hash functions differ by, more of them than are ever used.
+_SALTS = np.array([0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1 for k in range(8)], np.uint64)
 
 
-def hashed(sequence: np.ndarray, k: int) -> np.ndarray:
-    return mixed(sequence ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))
+def hashed(sequence: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    """Values of a function; of several, a row each."""
+    return mixed(sequence ^ _SALTS[k])
 
 
 def key_of(values: np.ndarray, k: int) -> np.ndarray:
@@ -100,9 +101,10 @@ def key_of(values: np.ndarray, k: int) -> np.ndarray:
 def _windows(batches: Iterator[pd.DataFrame], least: int, hashes: int) -> Iterator[pd.DataFrame]:
     """key (hash function in its low bits), node, span (l and r)."""
     for batch in batches:
-        sequences = [(node, s) for node, text in zip(batch["node"], batch["text"], strict=True) if len(s := sequence_of(lowered(text))) >= least]
-        nodes_, every = np.array([n for n, _ in sequences], np.int64), np.concatenate([np.zeros(0, np.uint64), *(s for _, s in sequences)])
-        bounds = np.cumsum([0, *(len(s) for _, s in sequences)])
+        # Every node that gets here has the words of a passage.
+        sequences = sequences_of([lowered(text) for text in batch["text"]], SHINGLE)
+        nodes_, every = batch["node"].to_numpy(np.int64), np.concatenate([np.zeros(0, np.uint64), *sequences])
+        bounds = np.cumsum([0, *(len(s) for s in sequences)])
         del sequences
         for k in range(hashes if len(nodes_) else 0):
             values = hashed(every, k)
@@ -251,32 +253,32 @@ def _signed(value: int, k: int) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def _again(row, right: np.ndarray, hits: np.ndarray, found: list[tuple], least: int) -> list[tuple]:
+def _again(at: int, functions: list, spans: list, needs: list, gones: list, right: np.ndarray, hits: np.ndarray, found: list[tuple], least: int) -> list[tuple]:
     """Rows of AGAIN for one pair: its windows over the shingles that the first document lacks.
 
     A text is hashed once per function, and a window is a view of it. A member that wasn't found although the first has all
     of a stretch's shingles, elsewhere, keeps its value there.
     """
-    out, at, by_function = [], row.at, {}
-    if not any(int(k) & MORE for k in row.functions):
-        return out
+    used = sorted({k & 7 for k in functions if k & MORE})
+    if not used:
+        return []
+    out = []
+    every = hashed(right, np.array(used)[:, None])
+    by_function = dict(zip(used, zip(every, np.where(hits, TOP, every), strict=True), strict=True))
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hits.astype(np.int8), [0]])))
     hit_from, hit_to = edges[::2], edges[1::2]  # runs of hits
-    for k, span, need, gone in zip(row.functions, row.spans, row.needs, row.gones, strict=True):
-        if not int(k) & MORE:
+    for k, span, need, gone in zip(functions, spans, needs, gones, strict=True):
+        if not k & MORE:
             continue
-        k, lo, hi = int(k) & 7, (int(span) >> 32) - at, (int(span) & 0xFFFFFFFF) - at
-        if k not in by_function:
-            whole = hashed(right, k)
-            by_function[k] = whole, np.where(hits, TOP, whole)
+        k, lo, hi = k & 7, (span >> 32) - at, (span & 0xFFFFFFFF) - at
         values, rest = (v[lo : hi + 1] for v in by_function[k])
         last = hi - lo
         if gone is not None:
             values, rest = values.copy(), rest.copy()
             for run in gone:
-                inside = slice(max(0, (int(run) >> 32) - at - lo), max(0, (int(run) & 0xFFFFFFFF) + 1 - at - lo))
+                inside = slice(max(0, (run >> 32) - at - lo), max(0, (run & 0xFFFFFFFF) + 1 - at - lo))
                 values[inside] = rest[inside] = TOP
-        need = None if need is None or need != need or need < 0 else ((int(need) >> 32) - at - lo, (int(need) & 0xFFFFFFFF) - at - lo)
+        need = None if need is None or need < 0 else ((need >> 32) - at - lo, (need & 0xFFFFFFFF) - at - lo)
         c = smallest(values, 0, last, sum(need) if need else last)
         old = _signed(int(values[c]), k)
         settled = any(s <= c + lo < e - SHINGLE + 1 for s, e, *_ in found)
@@ -322,25 +324,29 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"node": "Int64"})
 
 
-def _verify(batches: Iterator[pd.DataFrame], least: int, percent: int, enough: int) -> Iterator[pd.DataFrame]:
+#: Columns of what verification returns, passages and rows of AGAIN in one table.
+VERIFIED = [c.split()[0] for c in f"{FOUND}, {AGAIN}".split(", ")]
+VERIFIED_TYPES = pa.schema(list(zip(VERIFIED, [*[pa.int64()] * 6, pa.float64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.list_(pa.int64())], strict=True)))
+
+
+def _verify(batches: Iterator[pa.RecordBatch], least: int, percent: int, enough: int) -> Iterator[pa.RecordBatch]:
     """Passages, and rows of AGAIN."""
     left = First(np.zeros(0, np.uint64))  # the first document's text comes before its pairs
-    names = [c.split()[0] for c in f"{FOUND}, {AGAIN}".split(", ")]
-    blank = (None,) * len(AGAIN.split(", "))
+    blank, none = (None,) * 6, (None,) * 6
     for batch in batches:
-        rows = []
-        for row in batch.itertuples(index=False):
-            right = sequence_of(row.part)
-            if pd.isna(row.node):
+        out = []
+        columns = [batch.column(c).to_pylist() for c in ("first_node", "node", "at", "functions", "spans", "needs", "gones")]
+        sequences = sequences_of(batch.column("part").to_pylist(), SHINGLE)
+        for right, first_node, node, at, functions, spans, needs, gones in zip(sequences, *columns, strict=True):
+            if node is None:
                 left = First(right)
                 continue
             hits = left.has(right)
-            areas = regions([(int(k) & 7, (int(span) >> 32) - row.at, (int(span) & 0xFFFFFFFF) - row.at) for k, span in zip(row.functions, row.spans, strict=True)], enough)
+            areas = regions([(k & 7, (span >> 32) - at, (span & 0xFFFFFFFF) - at) for k, span in zip(functions, spans, strict=True)], enough)
             found = compare(left, right, hits, areas, least, percent)
-            rows += [(int(row.node), row.at + s, row.at + e, row.first_node, fs, fe, sim, *blank) for s, e, fs, fe, sim in found]
-            rows += [(int(row.node), None, None, None, None, None, None, *again) for again in _again(row, right, hits, found, least)]
-        out = pd.DataFrame(rows, columns=names)
-        yield out.astype({c: "Int64" for c in ("node", "start", "end", "first_node", "first_start", "first_end", "old", "key", "span", "need")} | {"settled": "boolean", "similarity": "Float64"})
+            out += [(node, at + s, at + e, first_node, fs, fe, sim, *none) for s, e, fs, fe, sim in found]
+            out += [(node, *blank, *again) for again in _again(at, functions, spans, needs, gones, right, hits, found, least)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), VERIFIED_TYPES, strict=True)] if out else [pa.array([], f.type) for f in VERIFIED_TYPES], schema=VERIFIED_TYPES)
 
 
 def _first_reports(found: DataFrame, words: int, percent: int) -> DataFrame:
@@ -398,7 +404,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: int, percent: int, enoug
     schema = f"first_node long, node long, salt int, {ENTRIES}, part binary, at long"
     both = asked.join(texts.withColumnRenamed("node", "holder").hint("merge"), "holder").select("holder", "first_node", "node", "salt", "functions", "spans", "needs", "gones", "text").mapInPandas(_stretches, schema)
     dealt = both.repartition("first_node", "salt").sortWithinPartitions("first_node", "salt", F.col("node").asc_nulls_first())
-    checked = stored(dealt.mapInPandas(lambda b: _verify(b, least, percent, enough), f"{FOUND}, {AGAIN}"), "checked")
+    checked = stored(dealt.mapInArrow(lambda b: _verify(b, least, percent, enough), f"{FOUND}, {AGAIN}"), "checked")
     discard(salted)
     return checked
 
@@ -415,6 +421,8 @@ def _left_over(checked: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
     """One row per passage of ``words`` words or more that an earlier document (smaller doc_id) also has:
     doc_id, start, end (words, end exclusive), first_id, first_start, first_end, similarity."""
+    if words < SHINGLE:
+        raise ValueError(f"a passage has at least {SHINGLE} words")
     ship(docs.sparkSession)
     least = words - SHINGLE + 1
     texts, classes = _texts(nodes(docs).select("node", "text"))

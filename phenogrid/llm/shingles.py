@@ -118,3 +118,12 @@ def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(width):
         out += hashes[k : n - width + 1 + k] * _FACTORS[k % 8]
     return mixed(out)
+
+
+def sequences_of(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Shingle hashes of many texts, made at once; every text has at least ``size`` words."""
+    joined = b" ".join(texts)
+    starts, ends = word_spans(joined)
+    whole = shingles_of(span_hashes(joined, starts, ends), size)
+    first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    return [whole[a : b - size + 1] for a, b in zip(first, first[1:], strict=False)]
