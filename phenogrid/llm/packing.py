@@ -93,6 +93,8 @@ class Schedule:
     def taken(self, queue: int, partition: int) -> int:
         """Tokens of a queue that partitions before this one hold. Over all queues they add up to whole partitions."""
         done = min(partition * self.span, self.total)
+        if self.even:  # one division each, as nothing runs dry before the end
+            return self.before[queue + 1] * done // self.total - self.before[queue] * done // self.total
         k, dry = self.rank[queue], self._dry(done)
         return self._cumulated(k + 1, done, dry)[0] - self._cumulated(k, done, dry)[0]
 
@@ -234,9 +236,11 @@ def fill(slices: pd.DataFrame, plan: Schedule, partition: int, window: int, dtyp
                 heapreplace(ahead, (-credit[i], i)) if left[i] else heappop(ahead)
         remaining -= space
         sequence, turn = sequence + 1, (turn + 1) % len(order)
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
-    out["doc_id"] = pd.array([None if x is None else int(x) for x in out["doc_id"]], "Int64")
-    return out
+    doc_ids, *numbers, pieces = zip(*rows, strict=True)
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
+    columns = {name: np.array(values, np.int64) for name, values in zip(names, numbers, strict=True)}
+    named = pd.array([None if x is None else int(x) for x in doc_ids], "Int64")
+    return pd.DataFrame({"doc_id": named, **columns, "queue": columns["queue"].astype(np.int32), "ids": list(pieces)})
 
 
 def pack(
