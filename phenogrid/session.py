@@ -13,7 +13,8 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -60,6 +61,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def split_by(rows: DataFrame, weight: Column | int, per_task: int, *by: Column | str) -> DataFrame:
+    """Rows dealt out by ``by`` to as many tasks as their summed ``weight`` asks for.
+
+    For rows that are about to become many: a small file is read by one task, however much is made of it there. Asks
+    for the sum, which is one pass over the rows.
+    """
+    found = rows.agg(F.sum(weight if isinstance(weight, Column) else F.lit(weight)).alias("n")).first()["n"]
+    return rows.repartition(max(1, -(-int(found or 0) // per_task)), *by)
+
+
 def together(spark: SparkSession, *jobs: Callable) -> list:
     """Run independent jobs at once, so that the tail of one leaves no executor idle; returns their results in order."""
     with ThreadPoolExecutor(len(jobs)) as pool:

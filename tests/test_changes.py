@@ -119,3 +119,20 @@ def test_tiles_along_the_curve_are_compact(spark):
     assert len(spans) >= 12
     hit = sum(r["x0"] < 16 and r["y0"] < 16 for r in spans)  # rows of tiles would need a quarter of the files and read all of their width
     assert hit <= len(spans) // 4 and sum(r["x1"] - r["x0"] for r in spans) < 40 * len(spans)
+
+
+def test_boxes_over_each_other_leave_few_pieces(spark):
+    def areas(n):
+        at = spark.range(n)
+        lat, lng = F.rand(1) * 160 - 90, F.rand(2) * 330 - 180
+        return at.select(F.col("id").alias("_order"), F.col("id").cast("string").alias("_value"), lat.alias("lat0"), lng.alias("lng0")).selectExpr("*", "lat0 + 20 AS lat1", "lng0 + 30 AS lng1")
+
+    few, many = (boxes.foremost(areas(n)) for n in (500, 8000))
+    held = many.groupBy("_g", "_x", "_y").count()
+    assert held.agg(F.avg("count")).first()[0] < 6 and many.count() < 3 * few.count()
+    points = spark.range(300).select("id", (F.rand(3) * 180 - 90).alias("lat"), (F.rand(4) * 360 - 180).alias("lng")).localCheckpoint()
+    every = areas(2000).localCheckpoint()
+    want = {r["id"]: r["v"] for r in points.join(every, F.expr(boxes.INSIDE), "left").groupBy("id").agg(F.min_by("_value", "_order").alias("v")).collect()}
+    assert {r["id"]: r["_value"] for r in boxes.first_box(points, every, "id", "_order", "_value").collect()} == want
+    nowhere = every.where("_order < 0")
+    assert {r["_value"] for r in boxes.first_box(points, nowhere, "id", "_order", "_value").collect()} == {None}
