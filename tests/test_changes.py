@@ -136,3 +136,15 @@ def test_boxes_over_each_other_leave_few_pieces(spark):
     assert {r["id"]: r["_value"] for r in boxes.first_box(points, every, "id", "_order", "_value").collect()} == want
     nowhere = every.where("_order < 0")
     assert {r["_value"] for r in boxes.first_box(points, nowhere, "id", "_order", "_value").collect()} == {None}
+
+
+def test_postings_are_lean_and_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search_index, "SPECIES_PER_TASK", 2)
+    index = spark.createDataFrame(SPECIES, "k string, name string, sci string, cells long").coalesce(1)
+    path = tempfile.mkdtemp(prefix="postings-") + "/p"
+    search_index.write(index, path)
+    assert search_index.postings(index).columns == ["kind", "text", "k", "cells"]
+    assert search_index.split_by(index, 1, search_index.SPECIES_PER_TASK, "k").rdd.getNumPartitions() == 4
+    got = search_index.candidates(spark, path, "owl").collect()
+    assert {(r["k"], r["name"], r["sci"], r["cells"], r["rank"]) for r in got} == {
+        ("1", "Barn Owl", "Tyto alba", 5, 1), ("2", "Owlet Moth", "Noctua", 9, 0), ("3", "Grey-owl thing", "Strix x", 9, 2), ("4", "Great Grey Owl", "Strix nebulosa", 2, 1), ("7", "aaaa aaab", "owl", 7, 0)}
