@@ -16,10 +16,14 @@ from pyspark.sql.window import Window
 from phenogrid.functions import geo, layers, tiles
 from phenogrid.functions.months import month_anchor
 from phenogrid.rules import CLEAR_SCENES, CLOUD_LIMIT, KM_PER_DEG, LAND_CLASSES, SUN_ALTITUDE, SUN_AZIMUTH, WATER_CLASS
-from phenogrid.session import cut_lineage
+from phenogrid.session import cut_lineage, split_by
 
 CLASSES = len(LAND_CLASSES)
 
+#: Pixels a task makes out of fewer rows, and the side of the blocks that are dealt out for it.
+PIXELS_PER_TASK = 1 << 19
+PIECE_BLOCK = 64
+
 
 def block_keys(factor: int) -> tuple[Column, Column]:
     return F.floor(F.col("gx") / factor).cast("int").alias("gx"), F.floor(F.col("gy") / factor).cast("int").alias("gy")
@@ -283,11 +287,12 @@ def quarter_upsample(pixels: DataFrame, tile_px: int, column: str) -> DataFrame:
     """Child tiles from the quarters of their parents at twice the size, for every tile at once.
 
     A child (x, y) reads its own quarter only, so the edges of a quarter clamp. All its pixels come out, NULL where a
-    pixel they read is missing.
+    pixel they read is missing. Quarters are dealt out whole, to as many tasks as the pixels that come out ask for.
     """
     half = tile_px // 2
     x, y = F.floor(F.col("gx") / half).cast("int"), F.floor(F.col("gy") / half).cast("int")
     cut = pixels.select(x.alias("x"), y.alias("y"), (F.col("gx") % half).alias("gx"), (F.col("gy") % half).alias("gy"), column)
+    cut = split_by(cut, 4, PIXELS_PER_TASK, "x", "y")
     cells = F.sequence(F.lit(0), F.lit(tile_px - 1))
     targets = cut.select("x", "y").distinct().withColumn("gx", F.explode(cells)).withColumn("gy", F.explode(cells))
     return targets.join(resample_bilinear(cut, half, half, tile_px, tile_px, column, ("x", "y")), ["x", "y", "gx", "gy"], "left")
@@ -556,9 +561,22 @@ def _smooth_weight(place: Column, index: Column, count: Column) -> Column:
 
 
 def piece_cover(pieces: DataFrame) -> DataFrame:
-    """How often each pixel is covered by rectangular pieces (x, y, w, h)."""
+    """How often each pixel is covered by rectangular pieces (x, y, w, h).
+
+    Pieces are cut at the edges of blocks and dealt out by block, so a task counts whole blocks by itself: pieces move, not
+    their pixels, and there are as many tasks as the pixels ask for.
+    """
+    ends = {"_x": (F.col("x"), F.col("x") + F.col("w") - 1), "_y": (F.col("y"), F.col("y") + F.col("h") - 1)}
+    spans = pieces.dropna(subset=["x", "y", "w", "h"]).select(*[end(a, z).alias(f"{axis}{i}") for axis, (a, z) in ends.items() for i, end in enumerate((F.least, F.greatest))])
+    block = lambda c: F.floor(F.col(c) / PIECE_BLOCK).cast("int")
+    cut = spans
+    for axis in ends:
+        cut = cut.withColumn(f"{axis}b", F.explode(F.sequence(block(f"{axis}0"), block(f"{axis}1"))))
+        edge = F.col(f"{axis}b") * PIECE_BLOCK
+        cut = cut.withColumn(f"{axis}0", F.greatest(f"{axis}0", edge)).withColumn(f"{axis}1", F.least(f"{axis}1", edge + (PIECE_BLOCK - 1)))
+    pixels = ((F.col("_x1") - F.col("_x0") + 1) * (F.col("_y1") - F.col("_y0") + 1)).cast("double")
     return (
-        pieces.withColumn("gx", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)))
-        .withColumn("gy", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)))
-        .groupBy("gx", "gy").agg(F.count("*").alias("hits"))
+        split_by(cut, pixels, PIXELS_PER_TASK, "_xb", "_yb").withColumn("gx", F.explode(F.sequence("_x0", "_x1")))
+        .withColumn("gy", F.explode(F.sequence("_y0", "_y1")))
+        .groupBy("_xb", "_yb", "gx", "gy").agg(F.count("*").alias("hits")).drop("_xb", "_yb")
     )
