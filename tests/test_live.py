@@ -198,3 +198,10 @@ def test_buckets_need_one_shuffle_at_most(spark):
     again = buckets.table(spark, path, "k", 4, ["k"], KEYED)
     assert again.groupBy("k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
     assert sorted(map(tuple, again.collect())) == [("a", 1), ("b", 2)]
+
+
+def test_metrics_copy_no_rows(spark):
+    rows = [("a", s, c, [1] + [0] * 11) for s in ("x", "y", None) for c in ("1_1", "2_2")] + [("b", None, "1_1", [0] * 12), ("b", "x", None, [2] * 12)]
+    made = shard_store.metrics_of(spark.createDataFrame(rows, "shard string, sci string, cell string, c array<bigint>"))
+    assert "Expand" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[:5] for r in made.collect()} == {("a", 6, 2, 4, 2), ("b", 24, 1, 1, 1)}
