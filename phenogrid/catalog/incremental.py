@@ -86,9 +86,9 @@ FULL OUTER JOIN (SELECT e.cell, coalesce(max(x.body), '') AS body FROM cells e L
 WHERE o.body IS DISTINCT FROM n.body"""))
 def sk05_change_layer(spark, sf):
     """What a second publish wrote: a row for each document that is new, changed or gone, and none for the others."""
-    root = new_path(spark, "site")
+    root, rows = new_path(spark, "site"), published.shard_rows(spark, sf)
     for change in published.two_builds():
-        world.publish(spark, published.world_bundle(spark, sf, change), root)
+        world.publish(spark, published.world_bundle(spark, sf, change, rows), root)
     return snapshots.changes(spark, snapshots.latest(spark, root), "cells", world.SETS["cells"].schema).select("id", "gone", "layer")
 
 

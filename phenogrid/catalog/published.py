@@ -104,16 +104,19 @@ def a34(spark, sf):
 
 
 def shard_rows(spark, sf):
-    """(pairs, effort) of all shards, as the shard tables hold them."""
-    counts = counting.with_cell(b.masked_counts(spark, sf)).withColumn("shard", grid.shard_of())
+    """(pairs, effort) of all shards, as the shard tables hold them. The records are read once: both come from stored counts."""
+    counted, path = b.masked_counts(spark, sf), new_path(spark, "counts")
+    counted.write.parquet(path)
+    counts = counting.with_cell(spark.read.schema(counted.schema).parquet(path)).withColumn("shard", grid.shard_of())
     pairs = counts.where(F.col("sci").isNotNull()).groupBy("shard", "sci", "cell").agg(
         F.min("specieskey").alias("specieskey"), F.min("family").alias("family"), months.sum_by_month("n").alias("c")
     )
     return pairs, counts.groupBy("shard", "cell").agg(months.sum_by_month("n").alias("t"))
 
 
-def world_bundle(spark, sf, change=lambda pairs, effort: (pairs, effort)):
-    pairs, effort = change(*shard_rows(spark, sf))
+def world_bundle(spark, sf, change=lambda pairs, effort: (pairs, effort), rows=None):
+    """A build of all shards after a change; ``rows`` are those of ``shard_rows`` where several builds share them."""
+    pairs, effort = change(*(shard_rows(spark, sf) if rows is None else rows))
     return world.world_build(pairs, effort, b.names(spark, sf), b.sensitive(spark, sf), store=new_path(spark, "store"))
 
 
@@ -168,9 +171,9 @@ FROM (SELECT e.cell, coalesce(max(x.body), '') AS body FROM cells e LEFT JOIN (S
 FULL OUTER JOIN (SELECT e.cell, coalesce(max(x.body), '') AS body, coalesce(max(x.species), 0) AS species FROM cells e LEFT JOIN (SELECT cell, string_agg(key || ':' || (CASE WHEN lng0 > 100 AND month = 6 THEN c + 1 ELSE c END), ',' ORDER BY key, month) AS body, count(DISTINCT key) AS species FROM kl GROUP BY cell) x ON x.cell = e.cell WHERE e.lat0 >= -40 GROUP BY e.cell) n ON n.cell = o.cell"""))
 def x02_publish_in_place(spark, sf):
     """A rebuild over its own predecessor: some cells new, some gone, some changed; the site then holds the new build."""
-    root = new_path(spark, "site")
+    root, rows = new_path(spark, "site"), shard_rows(spark, sf)
     for change in two_builds():
-        changes = world.publish(spark, world_bundle(spark, sf, change), root)
+        changes = world.publish(spark, world_bundle(spark, sf, change, rows), root)
     held = world.published(spark, root, "cells", CELL_BODY).select("id", F.size("species").cast("long").alias("species"))
     return changes.where("kind = 'cells'").select("id", "state").join(held, "id", "full_outer")
 

@@ -205,3 +205,10 @@ def test_metrics_copy_no_rows(spark):
     made = shard_store.metrics_of(spark.createDataFrame(rows, "shard string, sci string, cell string, c array<bigint>"))
     assert "Expand" not in made._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r)[:5] for r in made.collect()} == {("a", 6, 2, 4, 2), ("b", 24, 1, 1, 1)}
+
+
+def test_builds_share_one_reading_of_the_records(spark, sf_dir):
+    from phenogrid.catalog import published
+
+    for rows in published.shard_rows(spark, sf_dir):
+        assert not any("lineitem" in f for f in rows.inputFiles())
