@@ -13,6 +13,8 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space as Python and the vocabulary's own splitter see it, taken together.
 _WHITE = r"\s\x1c-\x1f\x85"
@@ -48,25 +50,28 @@ class _Memory:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def join(self, keys: list[str]) -> bytes:
+    def look_up(self, keys: list[str]) -> list[bytes]:
+        """Ids of each key. A key that stands twice and is new is learned twice."""
         out = list(map(self.young.get, keys))
-        if None in out:
-            unknown = {key for key, ids in zip(keys, out, strict=True) if ids is None}
-            fresh = {key: ids for key in unknown if (ids := self.old.get(key)) is not None}
-            missing = list(unknown.difference(fresh))
-            if missing:
-                fresh.update(zip(missing, self.learn(missing), strict=True))
-            out = [fresh[key] if ids is None else ids for key, ids in zip(keys, out, strict=True)]
+        places = [i for i, ids in enumerate(out) if ids is None]
+        if places:
+            unknown = [keys[i] for i in places]
+            fresh = list(map(self.old.get, unknown))
+            gaps = [j for j, ids in enumerate(fresh) if ids is None]
+            for j, ids in zip(gaps, self.learn([unknown[j] for j in gaps]) if gaps else (), strict=True):
+                fresh[j] = ids
+            for i, ids in zip(places, fresh, strict=True):
+                out[i] = ids
             if len(self.young) + len(fresh) > self.most:
                 self.old, self.young = self.young, {}
-            self.young.update((k, ids) for k, ids in fresh.items() if len(k) <= 64)
-        return b"".join(out)
+            self.young.update((k, ids) for k, ids in zip(unknown, fresh, strict=True) if len(k) <= 64)
+        return out
 
 
 class Encoder:
     """Ids of whole texts as little-endian bytes."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,10 +82,7 @@ class Encoder:
         for token, id_ in self.tokenizer.get_vocab().items():
             widths[id_] = len(token)  # the vocabulary writes each byte as one character
         self.widths = widths
-        self.most = remember
-        self.marks = {f"\x00{mark}": ids for mark, ids in zip(".,", self._direct([".", ","]), strict=True)}
-        self.young, self.old = dict(self.marks), {}
-        self.pieces = _Memory(self._direct, remember // 4)
+        self.words, self.pieces = _Memory(self._learn, remember), _Memory(self._direct, remember // 6)
 
     def _direct(self, pieces: list[str]) -> list[bytes]:
         return [np.array(done.ids, self.dtype).tobytes() for done in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -90,50 +92,55 @@ class Encoder:
         whose ids meet where the pieces do."""
         pieces = [k if k[:1] == "\n" else " " + k for k in keys]
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
+        ends = np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy(), dtype=np.int64)
         cuts = ((np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.dtype.itemsize).tolist()
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    def _learn(self, lists: list[list[str]]) -> list[str]:
-        """Know every key of some lists; returns those that are too long to be remembered."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, dict(self.marks)
-        unknown = set().union(*lists).difference(self.young)
-        back = unknown & self.old.keys()
-        self.young.update((k, self.old[k]) for k in back)
-        unknown -= back
-        white = [k for k in unknown if not k or k[-1] == "\n"]
-        if white:
-            self.young.update(zip(white, self._direct([k if k[:1] == "\n" else " " + k for k in white]), strict=True))
-        words = [k for k in unknown if k and k[-1] != "\n"]
-        for i in range(0, len(words), LEARN):
-            self.young.update(zip(words[i : i + LEARN], self._words(words[i : i + LEARN]), strict=True))
-        return [k for k in words if len(k) > 64]
-
-    def _keys(self, text: str) -> list[str]:
-        """White space stands alone, so every space and line end is a cut. Keys leave the space out. So is the place before a
-        mark that ends a word, whose key then has a zero in the place of the space."""
+    def _learn(self, keys: list[str]) -> list[bytes]:
+        """Ids of keys as ``_cut`` makes them."""
+        out = [b""] * len(keys)
+        words = [i for i, k in enumerate(keys) if k and k[0] != "\x00" and k[-1] != "\n"]
+        for at in range(0, len(words), LEARN):
+            some = words[at : at + LEARN]
+            for i, ids in zip(some, self._words([keys[i] for i in some]), strict=True):
+                out[i] = ids
+        alone = sorted(set(range(len(keys))).difference(words))
+        for i, ids in zip(alone, self._direct([keys[i][1:] if keys[i][:1] == "\x00" else keys[i] if keys[i][:1] == "\n" else " " + keys[i] for i in alone]), strict=True):
+            out[i] = ids
+        return out
+
+    def _cut(self, text: str) -> str:
+        """Keys with a space between them. White space stands alone in the text, so every space and line end is a cut, and keys
+        leave the space out. So is the place before a mark that ends a word. A key with nothing before it, as the mark and the
+        text's first one, has a zero in the place of the space."""
         spaced = text.replace("\n", " \n")
         cut = (spaced + " ").replace(". ", " \x00. ").replace(", ", " \x00, ")[:-1]
-        return (spaced if cut.startswith(" \x00") or _BAD_MARK.search(cut) else cut).split(" ")
+        return "\x00" + (spaced if cut.startswith(" \x00") or _BAD_MARK.search(cut) else cut)
+
+    def _joined(self, cuts: list[str]) -> list[bytes]:
+        """Ids of each list of keys. Every key of a batch is looked up once, and the ids are put together by Arrow."""
+        lists = pc.split_pattern(pa.array(cuts, pa.large_string()), " ")
+        keys = lists.flatten().dictionary_encode()
+        ids = pa.array(self.words.look_up(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(keys.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset + lists.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode_all(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text. Words that no text had before are learned together."""
         out: list[bytes] = []
-        later: list[tuple[int, list[str]]] = []
+        later: list[int] = []
+        cuts: list[str] = []
         for i, text in enumerate(texts):
             if "\x00" in text or not _single_spaced(text):
-                out.append(self.pieces.join(_CUT.split(text)))
+                out.append(b"".join(self.pieces.look_up(_CUT.split(text))))
             else:
-                head, *rest = self._keys(text)
-                out.append(self.pieces.join([head]))
-                later.append((i, rest))
-        long = self._learn([rest for _, rest in later])
-        for i, rest in later:
-            out[i] += b"".join(map(self.young.__getitem__, rest))
-        for key in long:
-            del self.young[key]
+                out.append(b"")
+                later.append(i)
+                cuts.append(self._cut(text))
+        for i, ids in zip(later, self._joined(cuts) if cuts else [], strict=True):
+            out[i] = ids
         return out
 
     def encode(self, text: str) -> bytes:

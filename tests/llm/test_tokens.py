@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from phenogrid.llm import elias_fano, id_files, packing
 from phenogrid.llm.queries import QUERIES
-from phenogrid.llm.tokens import default_vocabulary, encoder
+from phenogrid.llm.tokens import Encoder, default_vocabulary, encoder
 from phenogrid.session import new_path
 
 
@@ -47,6 +47,18 @@ def test_encoder_equals_library():
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == ids_of(text), repr(text)
 
 
+def test_a_batch_looks_up_each_word_once(texts):
+    enc, looked_up = Encoder(default_vocabulary(), remember=500), []
+    inner = enc.words.look_up
+    enc.words.look_up = lambda keys: looked_up.append(keys) or inner(keys)
+    batches = [["one two, two. three", "three two one\ntwo", "", "!, one. two", "x" * 70 + " one"], list(texts.values())[:100], ["two one"]]
+    for batch in batches:
+        got = enc.encode_all(batch)
+        assert [np.frombuffer(ids, enc.dtype).tolist() for ids in got] == [ids_of(text) for text in batch]
+    assert len(looked_up) == len(batches) and all(len(set(keys)) == len(keys) for keys in looked_up)
+    assert "x" * 70 not in enc.words.young | enc.words.old
+
+
 def test_id_files(spark, sf_dir, texts):
     got = sorted(tuple(r) for r in QUERIES["op1_token_ids"](spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
     want, at = [], 0
