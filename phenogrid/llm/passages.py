@@ -24,7 +24,8 @@ Columns other than doc_id and text are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -116,6 +117,14 @@ def _windows(batches: Iterator[pd.DataFrame], least: int, hashes: int) -> Iterat
 
 def regions(spans: list[tuple[int, int, int]], enough: int) -> list[tuple[int, int]]:
     """Stretches that windows (hash function, l, r) of enough different functions cover."""
+    if enough <= 1:
+        out = []
+        for lo, hi in sorted((lo, hi) for _, lo, hi in spans):
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], hi + 1))
+            else:
+                out.append((lo, hi + 1))
+        return out
     events = sorted([(lo, 0, k) for k, lo, _ in spans] + [(hi + 1, 1, k) for k, _, hi in spans])
     depth: dict[int, int] = {}
     out, start = [], None
@@ -132,15 +141,23 @@ def regions(spans: list[tuple[int, int, int]], enough: int) -> list[tuple[int, i
     return out
 
 
+def edges_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of marked places: where each starts and where it ends (exclusive)."""
+    padded = np.zeros(len(marked) + 2, bool)
+    padded[1:-1] = marked
+    edges = (padded[1:] != padded[:-1]).nonzero()[0]
+    return edges[::2], edges[1::2]
+
+
 def dense(hits: np.ndarray, share: float) -> list[tuple[int, int]]:
     """Maximal stretches that start and end with a hit and keep at least ``share`` hits, also seen from either end."""
     found: list[list] = []  # start, end, sum before, sum after
     total = 0.0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hits.astype(np.int8), [0]])))
+    starts, ends = edges_of(hits)
     last = 0
     if share >= 1:
-        return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-    for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        return list(zip(starts.tolist(), ends.tolist(), strict=True))
+    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
         before = total - share * (lo - last)
         total = before + (1 - share) * (hi - lo)
         last = hi
@@ -212,29 +229,47 @@ def compare(left: First, right: np.ndarray, hits: np.ndarray, areas: list[tuple[
 
 def runs_of(marked: np.ndarray, at: int) -> list[int]:
     """Stretches of marked places, first and last in one number."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
-    return [(int(lo) + at) << 32 | (int(hi) + at - 1) for lo, hi in zip(edges[::2], edges[1::2], strict=True)]
+    starts, ends = edges_of(marked)
+    return ((starts + at) << 32 | (ends + (at - 1))).tolist()
+
 
+def inside(runs: np.ndarray, at: int, n: int) -> np.ndarray:
+    """Which of ``n`` places from ``at`` on lie in one of some stretches as ``runs_of`` gives them."""
+    starts, ends = np.maximum((runs >> 32) - at, 0), np.minimum((runs & 0xFFFFFFFF) + (1 - at), n)
+    met = starts < ends
+    steps = np.zeros(n + 1, np.int8)
+    steps[starts[met]] += 1
+    steps[ends[met]] -= 1
+    return np.cumsum(steps[:n], dtype=np.int8).view(bool)
 
-def smallest(values: np.ndarray, lo: int, hi: int, around: int) -> int | None:
-    """Place of the smallest value in [lo, hi] below TOP; of equal ones that next to ``around``."""
+
+def lists_of(column: pa.ListArray) -> list[np.ndarray]:
+    """Numbers of each list of a column; a list that is null has none."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def smallest(values: np.ndarray, lo: int, hi: int, around: int, repeats: bool = True) -> int | None:
+    """Place of the smallest value in [lo, hi] below TOP; of equal ones, if there are ``repeats``, that next to ``around``."""
     part = values[lo : hi + 1]
     c = int(part.argmin())
     low = part[c]
     if low == TOP:
         return None
+    if not repeats:
+        return lo + c
     ties = (part == low).nonzero()[0]
     if len(ties) > 1:
         c = int(ties[np.abs(2 * (ties + lo) - around).argmin()])
     return lo + c
 
 
-def windows_without(values: np.ndarray, lo: int, hi: int, need: tuple[int, int], least: int) -> tuple[list[tuple[int, int, int]], tuple[int, int] | None]:
+def windows_without(values: np.ndarray, lo: int, hi: int, need: tuple[int, int], least: int, repeats: bool = True) -> tuple[list[tuple[int, int, int]], tuple[int, int] | None]:
     """Windows (l, c, r), smallest values below TOP, that cover every subsequence of [lo, hi] around ``need`` of ``least`` values,
     and the stretch, if any, in which such a subsequence has no such value."""
     out = []
     while hi - lo + 1 >= least:
-        c = smallest(values, lo, hi, need[0] + need[1])
+        c = smallest(values, lo, hi, need[0] + need[1], repeats)
         if c is None:
             return out, (lo, hi)
         out.append((lo, c, hi))
@@ -253,20 +288,41 @@ def _signed(value: int, k: int) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def _again(at: int, functions: list, spans: list, needs: list, gones: list, right: np.ndarray, hits: np.ndarray, found: list[tuple], least: int) -> list[tuple]:
-    """Rows of AGAIN for one pair: its windows over the shingles that the first document lacks.
+class Again:
+    """Rows of AGAIN, a list per column; the stretches of all rows in one list, so that there are few objects."""
+
+    def __init__(self):
+        self.columns: dict[str, list] = {c: [] for c in ("node", "old", "settled", "key", "span", "need")}
+        self.add_to = [column.append for column in self.columns.values()]
+        self.runs, self.ends, self.none = [], [0], []
+
+    def add(self, row: tuple, gone: list[int] | None) -> None:
+        for append, value in zip(self.add_to, row, strict=True):
+            append(value)
+        self.runs += gone or ()
+        self.ends.append(len(self.runs))
+        self.none.append(gone is None)
+
+    def gone(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.runs, pa.int64()), mask=pa.array(self.none, pa.bool_()))
+
+
+def _again(out: Again, node: int, at: int, functions: list, spans: list, needs: list, gones: list, right: np.ndarray, hits: np.ndarray, found: list[tuple], least: int) -> None:
+    """Adds the rows of AGAIN for one pair: its windows over the shingles that the first document lacks.
 
     A text is hashed once per function, and a window is a view of it. A member that wasn't found although the first has all
     of a stretch's shingles, elsewhere, keeps its value there.
     """
     used = sorted({k & 7 for k in functions if k & MORE})
     if not used:
-        return []
-    out = []
+        return
     every = hashed(right, np.array(used)[:, None])
     by_function = dict(zip(used, zip(every, np.where(hits, TOP, every), strict=True), strict=True))
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hits.astype(np.int8), [0]])))
-    hit_from, hit_to = edges[::2], edges[1::2]  # runs of hits
+    repeats = len(np.unique(right)) < len(right)  # the functions keep different shingles apart
+    starts, ends = edges_of(hits)
+    runs = ((starts + at) << 32 | (ends + (at - 1))).tolist()
+    hit_from, hit_to = starts.tolist(), ends.tolist()
+    passed = [(s, e - SHINGLE + 1) for s, e, *_ in found]
     for k, span, need, gone in zip(functions, spans, needs, gones, strict=True):
         if not k & MORE:
             continue
@@ -274,28 +330,29 @@ def _again(at: int, functions: list, spans: list, needs: list, gones: list, righ
         values, rest = (v[lo : hi + 1] for v in by_function[k])
         last = hi - lo
         if gone is not None:
-            values, rest = values.copy(), rest.copy()
-            for run in gone:
-                inside = slice(max(0, (run >> 32) - at - lo), max(0, (run & 0xFFFFFFFF) + 1 - at - lo))
-                values[inside] = rest[inside] = TOP
+            out_of = inside(gone, at + lo, last + 1)
+            values, rest = np.where(out_of, TOP, values), np.where(out_of, TOP, rest)
         need = None if need is None or need < 0 else ((need >> 32) - at - lo, (need & 0xFFFFFFFF) - at - lo)
-        c = smallest(values, 0, last, sum(need) if need else last)
+        c = smallest(values, 0, last, sum(need) if need else last, repeats)
         old = _signed(int(values[c]), k)
-        settled = any(s <= c + lo < e - SHINGLE + 1 for s, e, *_ in found)
+        settled = any([s <= c + lo < e for s, e in passed])
         around = (min(need[0], c), max(need[1], c)) if need else (c, c)
         pack = lambda x: (x[0] + lo + at) << 32 | (x[1] + lo + at)  # noqa: E731, B023
-        made, same = windows_without(rest, 0, last, around, least)
+        made, same = windows_without(rest, 0, last, around, least, repeats)
         if made and gone is not None:
             marks = runs_of(rest == TOP, lo + at)
         elif made:
-            first, end = np.searchsorted(hit_to, lo, side="right"), np.searchsorted(hit_from, hi, side="right")
-            marks = [(max(int(a), lo) + at) << 32 | (min(int(b) - 1, hi) + at) for a, b in zip(hit_from[first:end], hit_to[first:end], strict=True)]
-        out += [(old, settled, _signed(int(rest[m]), k), pack((a, b)), pack(around), marks) for a, m, b in made]
+            first, end = bisect_right(hit_to, lo), bisect_right(hit_from, hi)
+            marks = runs[first:end]
+            if marks:  # the window may cut the first and the last
+                marks[0] = max(hit_from[first], lo) + at << 32 | marks[0] & 0xFFFFFFFF
+                marks[-1] = marks[-1] >> 32 << 32 | min(hit_to[end - 1] - 1, hi) + at
+        for a, m, b in made:
+            out.add((node, old, settled, _signed(int(rest[m]), k), pack((a, b)), pack(around)), marks)
         if same and not settled:
-            out.append((old, settled, old, pack(same), pack(need) if need else -1, runs_of(values == TOP, lo + at)))
+            out.add((node, old, settled, old, pack(same), pack(need) if need else -1), runs_of(values == TOP, lo + at))
         elif not settled and not made:
-            out.append((old, settled, None, None, None, None))
-    return out
+            out.add((node, old, settled, None, None, None), None)
 
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,24 +386,35 @@ VERIFIED = [c.split()[0] for c in f"{FOUND}, {AGAIN}".split(", ")]
 VERIFIED_TYPES = pa.schema(list(zip(VERIFIED, [*[pa.int64()] * 6, pa.float64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.list_(pa.int64())], strict=True)))
 
 
+def _rows(columns: dict[str, Sequence], n: int) -> pa.RecordBatch:
+    """Rows of what verification returns, from some of its columns."""
+    arrays = [pa.nulls(n, f.type) if f.name not in columns else c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in VERIFIED_TYPES]
+    return pa.RecordBatch.from_arrays(arrays, schema=VERIFIED_TYPES)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], least: int, percent: int, enough: int) -> Iterator[pa.RecordBatch]:
     """Passages, and rows of AGAIN."""
     left = First(np.zeros(0, np.uint64))  # the first document's text comes before its pairs
-    blank, none = (None,) * 6, (None,) * 6
     for batch in batches:
-        out = []
-        columns = [batch.column(c).to_pylist() for c in ("first_node", "node", "at", "functions", "spans", "needs", "gones")]
+        passages, again = [], Again()
+        columns = [batch.column(c).to_pylist() for c in ("first_node", "node", "at")]
+        lists = [lists_of(batch.column(c)) for c in ("functions", "spans", "needs")]
+        gone = batch.column("gones")
+        known, runs, bounds = gone.values.is_valid().to_pylist(), lists_of(gone.values), gone.offsets.to_numpy().tolist()
         sequences = sequences_of(batch.column("part").to_pylist(), SHINGLE)
-        for right, first_node, node, at, functions, spans, needs, gones in zip(sequences, *columns, strict=True):
+        for i, (right, first_node, node, at, functions, spans, needs) in enumerate(zip(sequences, *columns, *lists, strict=True)):
             if node is None:
                 left = First(right)
                 continue
+            functions, spans, needs = functions.tolist(), spans.tolist(), needs.tolist()
+            gones = [runs[k] if known[k] else None for k in range(bounds[i], bounds[i + 1])]
             hits = left.has(right)
             areas = regions([(k & 7, (span >> 32) - at, (span & 0xFFFFFFFF) - at) for k, span in zip(functions, spans, strict=True)], enough)
             found = compare(left, right, hits, areas, least, percent)
-            out += [(node, at + s, at + e, first_node, fs, fe, sim, *none) for s, e, fs, fe, sim in found]
-            out += [(node, *blank, *again) for again in _again(at, functions, spans, needs, gones, right, hits, found, least)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), VERIFIED_TYPES, strict=True)] if out else [pa.array([], f.type) for f in VERIFIED_TYPES], schema=VERIFIED_TYPES)
+            passages += [(node, at + s, at + e, first_node, fs, fe, sim) for s, e, fs, fe, sim in found]
+            _again(again, node, at, functions, spans, needs, gones, right, hits, found, least)
+        yield _rows(dict(zip(VERIFIED[:7], zip(*passages, strict=True), strict=True)) if passages else {}, len(passages))
+        yield _rows({**again.columns, "gone": again.gone()}, len(again.none))
 
 
 def _first_reports(found: DataFrame, words: int, percent: int) -> DataFrame:

@@ -196,6 +196,22 @@ def test_passages_of_pairs_that_share_one_hash_function(spark):
     assert sure and sure <= found
 
 
+def test_runs_of_windows_and_regions():
+    """Stretches of a window come from those of its text by one cut, and make the same marks again."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        marked = rng.random(rng.integers(0, 60)) < rng.choice([0, 0.2, 0.8, 1])
+        at, lo = int(rng.integers(0, 1000)), int(rng.integers(0, len(marked) + 1))
+        n = int(rng.integers(0, len(marked) - lo + 1))
+        runs = passages.runs_of(marked, at)
+        assert [i for r in runs for i in range(r >> 32, (r & 0xFFFFFFFF) + 1)] == [i + at for i in np.flatnonzero(marked)]
+        assert (passages.inside(np.array(runs, np.int64), at + lo, n) == marked[lo : lo + n]).all()
+        spans = [(k % 3, a, a + int(rng.integers(0, 9))) for k, a in enumerate(rng.integers(0, 60, rng.integers(0, 9)).tolist())]
+        covered = {i for _, a, b in spans for i in range(a, b + 1)}
+        assert {i for a, b in passages.regions(spans, 1) for i in range(a, b)} == covered
+        assert all(b < c for (_, b), (c, _) in zip(passages.regions(spans, 1), passages.regions(spans, 1)[1:], strict=False))
+
+
 def test_passages_whose_first_document_fails(spark):
     """B and C repeat a passage word for word; an earlier A has a part of it that is too short, or all of it out of order."""
     rng, texts = random.Random(21), {}
