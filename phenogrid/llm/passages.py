@@ -24,7 +24,6 @@ Columns other than doc_id and text are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -58,6 +57,50 @@ PARTS = ["first_node", "node", "salt", "functions", "spans", "needs", "gones", "
 TOP = np.uint64((1 << 64) - 1)
 
 
+def low_places(values: np.ndarray, least: int) -> np.ndarray:
+    """Places that may hold the smallest value of a stretch of ``least`` values or more: those that are smallest from there
+    over half of such a stretch, forwards or backwards, as every stretch around a place has half of ``least`` on one side."""
+    n, half = len(values), least // 2
+    low, size = np.concatenate([values, np.full(half, TOP)]), 1
+    while size <= half:
+        step = min(size, half + 1 - size)
+        low, size = np.minimum(low[:-step], low[step:]), size + step
+    may = values == low
+    if half < n:
+        may[half:] |= values[half:] == low[: n - half]
+    return np.flatnonzero(may)
+
+
+def lowest(places: np.ndarray, padded: np.ndarray, lo: np.ndarray, hi: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """For each stretch [lo, hi) the one of some places with the smallest value, -1 if it has none.
+
+    ``padded`` are the values of the places, and TOP. Of equal ones it is that next to half of ``twice``, the first of two
+    that are as near.
+    """
+    out = np.full(len(lo), -1)
+    first, end = np.searchsorted(places, lo), np.searchsorted(places, hi)
+    some = np.flatnonzero(first < end)
+    if not len(some):
+        return out
+    first, end = first[some], end[some]
+    low = np.minimum.reduceat(padded, np.stack([first, end], axis=1).ravel())[::2]
+    of, at = spread(first, end)
+    equal = np.flatnonzero(padded[at] == low[of])
+    c, of = places[at[equal]], of[equal]
+    if len(c) > len(some):
+        order = np.lexsort((c, np.abs(2 * c - twice[some][of]), of))
+        c = c[order][np.searchsorted(of, np.arange(len(some)))]
+    out[some] = c
+    return out
+
+
+def spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some stretches [first, end), one stretch after the other, and which stretch each is of."""
+    sizes = end - first
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) + (first - (np.cumsum(sizes) - sizes))[of]
+
+
 def compact_windows(values: np.ndarray, least: int, bounds: np.ndarray | None = None) -> np.ndarray:
     """Windows (l, c, r), a row each, that cover every subsequence of at least ``least`` values of each text.
 
@@ -66,22 +109,14 @@ def compact_windows(values: np.ndarray, least: int, bounds: np.ndarray | None =
     """
     bounds = np.array([0, len(values)]) if bounds is None else bounds
     lo, hi = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
-    padded, out = np.append(values, TOP), [np.zeros((0, 3), np.int64)]
+    places, out = low_places(values, least), [np.zeros((0, 3), np.int64)]
+    padded = np.append(values[places], TOP)
     while True:
         long = hi - lo >= least
         lo, hi = lo[long], hi[long]
         if not len(lo):
             return np.concatenate(out)
-        sizes = hi - lo
-        low = np.minimum.reduceat(padded, np.stack([lo, hi], axis=1).ravel())[::2]
-        # Places of the smallest values, text after text; several where a shingle is repeated.
-        segment = np.repeat(np.arange(len(lo)), sizes)
-        places = np.arange(len(segment)) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
-        smallest = np.flatnonzero(padded[places] == low[segment])
-        c, of = places[smallest], segment[smallest]
-        if len(c) > len(lo):  # the one next to the middle, the first of two that are as near
-            order = np.lexsort((c, np.abs(2 * (c - lo[of]) - sizes[of]), of))
-            c = c[order][np.searchsorted(of, np.arange(len(lo)))]
+        c = lowest(places, padded, lo, hi, lo + hi)
         out.append(np.stack([lo, c, hi - 1], axis=1))
         lo, hi = np.stack([lo, c + 1], axis=1).ravel(), np.stack([c, hi], axis=1).ravel()
 
@@ -172,6 +207,12 @@ def dense(hits: np.ndarray, share: float) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi, _, _ in found]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order; sorting is faster than the hash table of ``np.unique`` for few values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class First:
     """The shingles of a first document, sorted once for all its pairs."""
 
@@ -210,12 +251,12 @@ def compare(left: First, right: np.ndarray, hits: np.ndarray, areas: list[tuple[
         for a, b in dense(hits[lo:hi], share):
             if b - a < least:
                 continue
-            passage = np.unique(right[lo + a : lo + b])
+            passage = distinct(right[lo + a : lo + b])
             best = None
             for x, y in dense(left.places(passage), share):
                 if y - x < least:
                     continue
-                other = np.unique(left.values[x:y])
+                other = distinct(left.values[x:y])
                 shared = len(np.intersect1d(passage, other, assume_unique=True))
                 similarity = shared / (len(passage) + len(other) - shared)
                 if similarity >= shares[0] and (best is None or similarity > best[2]):
@@ -227,10 +268,30 @@ def compare(left: First, right: np.ndarray, hits: np.ndarray, areas: list[tuple[
     return sorted(out)
 
 
+def lists_of(column: pa.ListArray) -> list[np.ndarray]:
+    """Numbers of each list of a column; a list that is null has none."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Entries of a column of lists, and the row of each; a list that is null has none."""
+    ends = column.offsets.to_numpy()
+    return np.repeat(np.arange(len(column)), np.diff(ends)), column.values.slice(ends[0], ends[-1] - ends[0])
+
+
+def runs_in(marked: np.ndarray, lo: np.ndarray, hi: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of marked places in each of some windows [lo, hi], first and last plus ``add`` in one number, and how many."""
+    starts, ends = edges_of(marked)
+    first, end = np.searchsorted(ends, lo, side="right"), np.searchsorted(starts, hi, side="right")
+    of, run = spread(first, np.maximum(first, end))
+    a, b = np.maximum(starts[run], lo[of]) + add[of], np.minimum(ends[run] - 1, hi[of]) + add[of]
+    return a << 32 | b, np.bincount(of, minlength=len(lo))
+
+
 def runs_of(marked: np.ndarray, at: int) -> list[int]:
     """Stretches of marked places, first and last in one number."""
-    starts, ends = edges_of(marked)
-    return ((starts + at) << 32 | (ends + (at - 1))).tolist()
+    return runs_in(marked, np.array([0]), np.array([len(marked) - 1]), np.array([at]))[0].tolist()
 
 
 def inside(runs: np.ndarray, at: int, n: int) -> np.ndarray:
@@ -243,116 +304,133 @@ def inside(runs: np.ndarray, at: int, n: int) -> np.ndarray:
     return np.cumsum(steps[:n], dtype=np.int8).view(bool)
 
 
-def lists_of(column: pa.ListArray) -> list[np.ndarray]:
-    """Numbers of each list of a column; a list that is null has none."""
-    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
-    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def smallest(values: np.ndarray, lo: int, hi: int, around: int, repeats: bool = True) -> int | None:
-    """Place of the smallest value in [lo, hi] below TOP; of equal ones, if there are ``repeats``, that next to ``around``."""
-    part = values[lo : hi + 1]
-    c = int(part.argmin())
-    low = part[c]
-    if low == TOP:
-        return None
-    if not repeats:
-        return lo + c
-    ties = (part == low).nonzero()[0]
-    if len(ties) > 1:
-        c = int(ties[np.abs(2 * (ties + lo) - around).argmin()])
-    return lo + c
-
-
-def windows_without(values: np.ndarray, lo: int, hi: int, need: tuple[int, int], least: int, repeats: bool = True) -> tuple[list[tuple[int, int, int]], tuple[int, int] | None]:
-    """Windows (l, c, r), smallest values below TOP, that cover every subsequence of [lo, hi] around ``need`` of ``least`` values,
-    and the stretch, if any, in which such a subsequence has no such value."""
-    out = []
-    while hi - lo + 1 >= least:
-        c = smallest(values, lo, hi, need[0] + need[1], repeats)
-        if c is None:
-            return out, (lo, hi)
-        out.append((lo, c, hi))
-        if c < need[0]:
-            lo = c + 1
-        elif c > need[1]:
-            hi = c - 1
-        else:
-            break
-    return out, None
+def windows_without(rest: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: tuple[np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (of, l, c, r), smallest values below TOP, that cover every subsequence of each stretch [lo, hi] around its
+    ``need`` of ``least`` values, and the stretches (of, l, r) in which such a subsequence has no such value."""
+    places = low_places(rest, least)
+    places = places[rest[places] != TOP]
+    padded, of = np.append(rest[places], TOP), np.arange(len(lo))
+    made, same = [np.zeros((0, 4), np.int64)], [np.zeros((0, 3), np.int64)]
+    low, high = need
+    while True:
+        long = hi - lo + 1 >= least
+        lo, hi, low, high, of = lo[long], hi[long], low[long], high[long], of[long]
+        if not len(of):
+            return np.concatenate(made), np.concatenate(same)
+        c = lowest(places, padded, lo, hi + 1, low + high)
+        none = c < 0
+        same.append(np.stack([of, lo, hi], axis=1)[none])
+        made.append(np.stack([of, lo, c, hi], axis=1)[~none])
+        left, right = ~none & (c < low), ~none & (c > high)
+        more = left | right
+        lo, hi, low, high, of = np.where(left, c + 1, lo)[more], np.where(right, c - 1, hi)[more], low[more], high[more], of[more]
 
 
-def _signed(value: int, k: int) -> int:
-    """``key_of`` of one value."""
-    key = value & ~7 | k
-    return key - (1 << 64) if key >> 63 else key
+#: Places of windows with marks of their own that are laid out at once, or one window.
+LAID = 1 << 19
 
 
 class Again:
-    """Rows of AGAIN, a list per column; the stretches of all rows in one list, so that there are few objects."""
-
-    def __init__(self):
-        self.columns: dict[str, list] = {c: [] for c in ("node", "old", "settled", "key", "span", "need")}
-        self.add_to = [column.append for column in self.columns.values()]
-        self.runs, self.ends, self.none = [], [0], []
-
-    def add(self, row: tuple, gone: list[int] | None) -> None:
-        for append, value in zip(self.add_to, row, strict=True):
-            append(value)
-        self.runs += gone or ()
-        self.ends.append(len(self.runs))
-        self.none.append(gone is None)
-
-    def gone(self) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.runs, pa.int64()), mask=pa.array(self.none, pa.bool_()))
+    """Rows of AGAIN of a batch: the windows of its pairs, made anew over the shingles that the first document lacks.
 
+    The texts of the batch lie one after the other, a place that takes no part between them; windows with marks of their own,
+    which earlier rounds left, are laid out in the same way. All windows of a function are remade at once. A member that wasn't
+    found although the first has all of a stretch's shingles, elsewhere, keeps its value there.
+    """
 
-def _again(out: Again, node: int, at: int, functions: list, spans: list, needs: list, gones: list, right: np.ndarray, hits: np.ndarray, found: list[tuple], least: int) -> None:
-    """Adds the rows of AGAIN for one pair: its windows over the shingles that the first document lacks.
+    def __init__(self, batch: pa.RecordBatch, sequences: list[np.ndarray], hits: list[np.ndarray | None], passed: list[list], least: int):
+        self.least, self.columns = least, []
+        row, functions = flat(batch.column("functions"))
+        functions, spans, needs = (c.to_numpy(zero_copy_only=False) for c in (functions, *(flat(batch.column(c))[1] for c in ("spans", "needs"))))
+        more = np.flatnonzero(functions & MORE)
+        if not len(more):
+            return
+        # Only texts with such windows are laid out.
+        rows, which = np.unique(row[more], return_inverse=True)
+        rows = rows.tolist()
+        bases = np.cumsum([0, *(len(sequences[i]) + 1 for i in rows)])
+        every, lost, found = np.zeros(bases[-1], np.uint64), np.zeros(bases[-1], bool), np.zeros(bases[-1], bool)
+        for base, i in zip(bases.tolist(), rows, strict=False):
+            every[base : base + len(sequences[i])] = sequences[i]
+            lost[base : base + len(sequences[i])] = hits[i]
+            for start, end in passed[i]:
+                found[base + start : base + end - SHINGLE + 1] = True
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        at = column("at")[rows].astype(np.int64)
+        base, node = (bases[:-1] - at)[which], column("node")[rows].astype(np.int64)[which]
+        functions, spans, needs = functions[more] & 7, spans[more].astype(np.int64), needs[more].astype(np.int64)
+        lo, hi = (spans >> 32) + base, (spans & 0xFFFFFFFF) + base
+        need = np.where(needs < 0, -1, (needs >> 32) + base), np.where(needs < 0, -1, (needs & 0xFFFFFFFF) + base)
+        gone = flat(batch.column("gones"))[1].take(pa.array(more))
+        of, runs = flat(gone)
+        runs, own = runs.to_numpy(zero_copy_only=False), gone.is_valid().to_numpy(zero_copy_only=False)
+        gaps, nothing = bases[1:] - 1, np.zeros(len(every), bool)
+        for k in np.unique(functions).tolist():
+            values = hashed(every, k)
+            values[gaps] = TOP
+            plain = np.flatnonzero((functions == k) & ~own)
+            if len(plain):
+                self.add(k, node[plain], values, lost, nothing, found, lo[plain], hi[plain], (need[0][plain], need[1][plain]), base[plain])
+            chosen = np.flatnonzero((functions == k) & own)
+            sizes = hi[chosen] - lo[chosen] + 2
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // LAID)) + 1
+            for part in np.split(chosen, cuts) if len(chosen) else ():
+                sizes = hi[part] - lo[part] + 2
+                starts = np.cumsum(sizes) - sizes
+                shift = starts - lo[part]
+                _, place = spread(lo[part], hi[part] + 2)
+                place[starts + sizes - 1] = gaps[0]
+                laid = values[place]
+                # The stretches of each window that earlier rounds took, as far as they lie in it.
+                index = np.full(len(own), -1)
+                index[part] = np.arange(len(part))
+                mine = np.flatnonzero(index[of] >= 0)
+                to = index[of[mine]]
+                a = np.maximum((runs[mine] >> 32) + base[part][to], lo[part][to])
+                b = np.minimum((runs[mine] & 0xFFFFFFFF) + base[part][to], hi[part][to])
+                met = a <= b
+                before = inside(((a + shift[to]) << 32 | (b + shift[to]))[met], 0, len(laid))
+                laid[before] = TOP
+                moved = tuple(np.where(n[part] < 0, -1, n[part] + shift) for n in need)
+                self.add(k, node[part], laid, lost[place] | before, before, found[place], lo[part] + shift, hi[part] + shift, moved, base[part] + shift)
+
+    def add(self, k: int, node: np.ndarray, values: np.ndarray, lost: np.ndarray, before: np.ndarray, found: np.ndarray, lo: np.ndarray, hi: np.ndarray, need: tuple[np.ndarray, np.ndarray], base: np.ndarray) -> None:
+        """Rows for windows [lo, hi] of a function over some places: those ``lost`` to the first document, now or ``before``,
+        and those in passages that were found. A place less ``base`` is the word of its text."""
+        free = need[0] < 0
+        places = low_places(values, self.least)
+        c = lowest(places, np.append(values[places], TOP), lo, hi + 1, np.where(free, lo + hi, need[0] + need[1]))
+        old, settled = key_of(values[c], k), found[c]
+        around = np.where(free, c, np.minimum(need[0], c)), np.where(free, c, np.maximum(need[1], c))
+        rest = np.where(lost, TOP, values)
+        made, same = windows_without(rest, lo, hi, around, self.least)
+        pack = lambda a, b, i: (a - base[i]) << 32 | (b - base[i])
+        i, a, m, b = made.T
+        runs, sizes = runs_in(lost, lo, hi, -base)
+        self._rows(node[i], old[i], settled[i], key_of(rest[m], k), pack(a, b, i), pack(around[0][i], around[1][i], i), runs, sizes, i)
+        i, a, b = same[~settled[same[:, 0]]].T
+        runs, sizes = runs_in(before, lo, hi, -base)
+        self._rows(node[i], old[i], settled[i], old[i], pack(a, b, i), np.where(free[i], -1, pack(need[0][i], need[1][i], i)), runs, sizes, i)
+        bare = ~settled
+        bare[made[:, 0]] = bare[same[:, 0]] = False
+        i = np.flatnonzero(bare)
+        self._rows(node[i], old[i], settled[i], None, None, None, runs, sizes, None)
+
+    def _rows(self, node: np.ndarray, old: np.ndarray, settled: np.ndarray, key: np.ndarray | None, span: np.ndarray | None, need: np.ndarray | None, runs: np.ndarray, sizes: np.ndarray, of: np.ndarray | None) -> None:
+        n = len(node)
+        longs = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (key, span, need)]
+        if of is None:
+            gone = pa.nulls(n, pa.list_(pa.int64()))
+        else:
+            ends = np.cumsum(sizes)
+            _, at = spread((ends - sizes)[of], ends[of])
+            gone = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[of])]), pa.int32()), pa.array(runs[at], pa.int64()))
+        self.columns.append([pa.array(node, pa.int64()), pa.array(old, pa.int64()), pa.array(settled, pa.bool_()), *longs, gone])
 
-    A text is hashed once per function, and a window is a view of it. A member that wasn't found although the first has all
-    of a stretch's shingles, elsewhere, keeps its value there.
-    """
-    used = sorted({k & 7 for k in functions if k & MORE})
-    if not used:
-        return
-    every = hashed(right, np.array(used)[:, None])
-    by_function = dict(zip(used, zip(every, np.where(hits, TOP, every), strict=True), strict=True))
-    repeats = len(np.unique(right)) < len(right)  # the functions keep different shingles apart
-    starts, ends = edges_of(hits)
-    runs = ((starts + at) << 32 | (ends + (at - 1))).tolist()
-    hit_from, hit_to = starts.tolist(), ends.tolist()
-    passed = [(s, e - SHINGLE + 1) for s, e, *_ in found]
-    for k, span, need, gone in zip(functions, spans, needs, gones, strict=True):
-        if not k & MORE:
-            continue
-        k, lo, hi = k & 7, (span >> 32) - at, (span & 0xFFFFFFFF) - at
-        values, rest = (v[lo : hi + 1] for v in by_function[k])
-        last = hi - lo
-        if gone is not None:
-            out_of = inside(gone, at + lo, last + 1)
-            values, rest = np.where(out_of, TOP, values), np.where(out_of, TOP, rest)
-        need = None if need is None or need < 0 else ((need >> 32) - at - lo, (need & 0xFFFFFFFF) - at - lo)
-        c = smallest(values, 0, last, sum(need) if need else last, repeats)
-        old = _signed(int(values[c]), k)
-        settled = any([s <= c + lo < e for s, e in passed])
-        around = (min(need[0], c), max(need[1], c)) if need else (c, c)
-        pack = lambda x: (x[0] + lo + at) << 32 | (x[1] + lo + at)  # noqa: E731, B023
-        made, same = windows_without(rest, 0, last, around, least, repeats)
-        if made and gone is not None:
-            marks = runs_of(rest == TOP, lo + at)
-        elif made:
-            first, end = bisect_right(hit_to, lo), bisect_right(hit_from, hi)
-            marks = runs[first:end]
-            if marks:  # the window may cut the first and the last
-                marks[0] = max(hit_from[first], lo) + at << 32 | marks[0] & 0xFFFFFFFF
-                marks[-1] = marks[-1] >> 32 << 32 | min(hit_to[end - 1] - 1, hi) + at
-        for a, m, b in made:
-            out.add((node, old, settled, _signed(int(rest[m]), k), pack((a, b)), pack(around)), marks)
-        if same and not settled:
-            out.add((node, old, settled, old, pack(same), pack(need) if need else -1), runs_of(values == TOP, lo + at))
-        elif not settled and not made:
-            out.add((node, old, settled, None, None, None), None)
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for columns in self.columns:
+            if len(columns[0]):
+                yield _rows(dict(zip(("node", "old", "settled", "key", "span", "need", "gone"), columns, strict=True)), len(columns[0]))
 
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -361,24 +439,25 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": batch["node"], "klass": [xxhash.xxh3_128_digest(b" ".join(w)) for w in texts], "words": [len(w) for w in texts]})
 
 
-def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with only that part of the later text that their windows span, and the word it begins at; first texts whole."""
     held, data, starts, ends = None, b"", [], []  # rows come in order of the node
     for batch in batches:
-        parts, firsts = [], []
-        for node, of, text, spans in zip(batch["holder"], batch["node"], batch["text"], batch["spans"], strict=True):
+        parts, firsts, texts = [], [], batch.column("text")
+        columns = (batch.column(c).to_pylist() for c in ("holder", "node"))
+        for i, (node, of, spans) in enumerate(zip(*columns, lists_of(batch.column("spans")), strict=True)):
             if node != held:
-                held, data = node, lowered(text)
+                held, data = node, texts[i].as_py().lower()
                 starts, ends = word_spans(data)
-            if pd.isna(of):
+            if of is None:
                 parts.append(data)
                 firsts.append(0)
                 continue
-            lo, hi = min(int(span) >> 32 for span in spans), max(int(span) & 0xFFFFFFFF for span in spans)
+            lo, hi = int(spans.min() >> 32), int((spans & 0xFFFFFFFF).max())
             parts.append(data[starts[lo] : ends[min(hi + SHINGLE, len(ends)) - 1]])
             firsts.append(lo)
-        out = batch.drop(columns=["text", "holder"]).assign(part=parts, at=np.array(firsts, np.int64))[PARTS]
-        yield out.astype({"node": "Int64"})
+        made = {"part": pa.array(parts, pa.binary()), "at": pa.array(firsts, pa.int64())}
+        yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in PARTS], PARTS)
 
 
 #: Columns of what verification returns, passages and rows of AGAIN in one table.
@@ -396,25 +475,23 @@ def _verify(batches: Iterator[pa.RecordBatch], least: int, percent: int, enough:
     """Passages, and rows of AGAIN."""
     left = First(np.zeros(0, np.uint64))  # the first document's text comes before its pairs
     for batch in batches:
-        passages, again = [], Again()
+        found, hits, passed = [], [], []
         columns = [batch.column(c).to_pylist() for c in ("first_node", "node", "at")]
-        lists = [lists_of(batch.column(c)) for c in ("functions", "spans", "needs")]
-        gone = batch.column("gones")
-        known, runs, bounds = gone.values.is_valid().to_pylist(), lists_of(gone.values), gone.offsets.to_numpy().tolist()
+        lists = [lists_of(batch.column(c)) for c in ("functions", "spans")]
         sequences = sequences_of(batch.column("part").to_pylist(), SHINGLE)
-        for i, (right, first_node, node, at, functions, spans, needs) in enumerate(zip(sequences, *columns, *lists, strict=True)):
+        for right, first_node, node, at, functions, spans in zip(sequences, *columns, *lists, strict=True):
             if node is None:
                 left = First(right)
+                hits.append(None)
+                passed.append([])
                 continue
-            functions, spans, needs = functions.tolist(), spans.tolist(), needs.tolist()
-            gones = [runs[k] if known[k] else None for k in range(bounds[i], bounds[i + 1])]
-            hits = left.has(right)
-            areas = regions([(k & 7, (span >> 32) - at, (span & 0xFFFFFFFF) - at) for k, span in zip(functions, spans, strict=True)], enough)
-            found = compare(left, right, hits, areas, least, percent)
-            passages += [(node, at + s, at + e, first_node, fs, fe, sim) for s, e, fs, fe, sim in found]
-            _again(again, node, at, functions, spans, needs, gones, right, hits, found, least)
-        yield _rows(dict(zip(VERIFIED[:7], zip(*passages, strict=True), strict=True)) if passages else {}, len(passages))
-        yield _rows({**again.columns, "gone": again.gone()}, len(again.none))
+            hits.append(left.has(right))
+            places = zip((functions & 7).tolist(), ((spans >> 32) - at).tolist(), ((spans & 0xFFFFFFFF) - at).tolist(), strict=True)
+            passages = compare(left, right, hits[-1], regions(list(places), enough), least, percent)
+            passed.append([(s, e) for s, e, *_ in passages])
+            found += [(node, at + s, at + e, first_node, fs, fe, sim) for s, e, fs, fe, sim in passages]
+        yield _rows(dict(zip(VERIFIED[:7], zip(*found, strict=True), strict=True)) if found else {}, len(found))
+        yield from Again(batch, sequences, hits, passed, least).batches()
 
 
 def _first_reports(found: DataFrame, words: int, percent: int) -> DataFrame:
@@ -470,7 +547,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: int, percent: int, enoug
     asked = salted.select(F.col("first_node").alias("holder"), "first_node", "salt").distinct()
     asked = salted.withColumn("holder", F.col("node")).unionByName(asked, allowMissingColumns=True)
     schema = f"first_node long, node long, salt int, {ENTRIES}, part binary, at long"
-    both = asked.join(texts.withColumnRenamed("node", "holder").hint("merge"), "holder").select("holder", "first_node", "node", "salt", "functions", "spans", "needs", "gones", "text").mapInPandas(_stretches, schema)
+    both = asked.join(texts.withColumnRenamed("node", "holder").hint("merge"), "holder").select("holder", "first_node", "node", "salt", "functions", "spans", "needs", "gones", F.col("text").cast("binary").alias("text")).mapInArrow(_stretches, schema)
     dealt = both.repartition("first_node", "salt").sortWithinPartitions("first_node", "salt", F.col("node").asc_nulls_first())
     checked = stored(dealt.mapInArrow(lambda b: _verify(b, least, percent, enough), f"{FOUND}, {AGAIN}"), "checked")
     discard(salted)
@@ -503,19 +580,22 @@ def repeated_passages(docs: DataFrame, words: int = 50, percent: int = 80, hashe
         shared = stored(windows.groupBy("key").agg(F.min("node").alias("first_node"), F.max("node").alias("last"), members).where("first_node < last").drop("last"), "shared-keys")
         if found is not None and shared.isEmpty():
             break
-        met = windows.join(shared.hint("merge"), "key").where("node <> first_node")
+        # A task holds the shared keys of its part, one row each; the windows, many times as many, needn't be sorted.
+        met = windows.join(shared.hint("shuffle_hash"), "key").where("node <> first_node")
         function = (F.col("key").bitwiseAND(7) + F.when(F.col("members") > 2, F.lit(MORE)).otherwise(F.lit(0))).cast("int").alias("function")
-        pairs = met.groupBy("first_node", "node").agg(F.collect_set(F.struct(function, "span", "need", "gone")).alias("entries"))
+        gather = F.collect_list if found is None else F.collect_set  # a text's first windows differ, remade ones may not
+        pairs = met.groupBy("first_node", "node").agg(gather(F.struct(function, "span", "need", "gone")).alias("entries"))
         pairs = pairs.where(F.size(F.array_distinct(F.transform("entries.function", lambda f: f.bitwiseAND(7)))) >= enough)
         lists = [F.col(f"entries.{one}").alias(many) for one, many in (("function", "functions"), ("span", "spans"), ("need", "needs"), ("gone", "gones"))]
         pairs = stored(pairs.select("first_node", "node", *lists), "pairs")
         discard(held, shared)
+        if found is not None:  # the texts of later rounds are among those of the pairs of this one
+            asked = pairs.select("node").unionByName(pairs.select(F.col("first_node").alias("node"))).distinct()
+            texts = stored(texts.join(asked.hint("merge"), "node", "left_semi"), "texts")
         checked = _checked(pairs, texts, least, percent, enough)
         passages = checked.where("old IS NULL").select(*(c.split()[0] for c in FOUND.split(", ")))
         found = passages if found is None else found.unionByName(passages)
         windows = held = stored(_left_over(checked), "windows")
-        if not windows.isEmpty():
-            texts = stored(texts.join(windows.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
     found = stored(_first_reports(found, words, percent), "passages")
     named = {c: F.when(F.col(c) <= LAST_NODE - (1 << 62), F.col(c)) for c in ("node", "first_node")}
     return _with_copies(found, copies).select(named["node"].alias("doc_id"), "start", "end", named["first_node"].alias("first_id"), "first_start", "first_end", "similarity")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from phenogrid.llm import graph, near_dedup, passages
 from phenogrid.llm.common import stored
@@ -212,6 +213,94 @@ def test_runs_of_windows_and_regions():
         assert all(b < c for (_, b), (c, _) in zip(passages.regions(spans, 1), passages.regions(spans, 1)[1:], strict=False))
 
 
+def smallest_place(values, lo, hi, twice):
+    """The place in [lo, hi] of the smallest value below TOP; of equal ones that next to half of ``twice``."""
+    return min(((values[i], abs(2 * i - twice), i) for i in range(lo, hi + 1) if values[i] != passages.TOP), default=(None,) * 3)[2]
+
+
+def test_compact_windows_meet_few_places():
+    """Windows are found among the places that can hold the smallest value of a stretch, and are those of the whole text."""
+    rng = np.random.default_rng(8)
+    for top in (1 << 60, 40, 2):
+        values, least, want = rng.integers(0, top, 3000, np.uint64), 46, set()
+        bounds = np.array([0, 700, 720, 3000])
+        parts = list(zip(bounds[:-1].tolist(), (bounds[1:] - 1).tolist(), strict=True))
+        while parts:
+            lo, hi = parts.pop()
+            if hi - lo + 1 >= least:
+                c = smallest_place(values, lo, hi, lo + hi + 1)
+                want.add((lo, c, hi))
+                parts += [(lo, c - 1), (c + 1, hi)]
+        assert set(map(tuple, passages.compact_windows(values, least, bounds).tolist())) == want
+        places = set(passages.low_places(values, least).tolist())
+        assert {c for _, c, _ in want} <= places and (top < 1 << 60 or len(places) < len(values) / 8)
+
+
+def remade(right, hits, passed, at, function, span, need, gone, least):
+    """Rows of one window without the first document, place by place."""
+    k, top = function & 7, int(passages.TOP)
+    key = lambda value: int(passages.key_of(np.array([value], np.uint64), k)[0])
+    values = passages.hashed(right, k).tolist()
+    lo, hi = (span >> 32) - at, (span & 0xFFFFFFFF) - at
+    for run in gone or ():
+        for i in range((run >> 32) - at, (run & 0xFFFFFFFF) - at + 1):
+            values[i] = top
+    around = None if need < 0 else ((need >> 32) - at, (need & 0xFFFFFFFF) - at)
+    pack = lambda a, b: (a + at) << 32 | (b + at)
+    runs = lambda v: passages.runs_of(np.array([x == top for x in v[lo : hi + 1]]), lo + at)
+    c = smallest_place(values, lo, hi, sum(around) if around else lo + hi)
+    old, settled = key(values[c]), any(s <= c < e - passages.SHINGLE + 1 for s, e in passed)
+    wide = (min(around[0], c), max(around[1], c)) if around else (c, c)
+    rest, out, (a, b) = [top if hit else v for v, hit in zip(values, hits, strict=True)], [], (lo, hi)
+    while b - a + 1 >= least:
+        m = smallest_place(rest, a, b, sum(wide))
+        if m is None:
+            return out + ([] if settled else [(old, settled, old, pack(a, b), need, runs(values))])
+        out.append((old, settled, key(rest[m]), pack(a, b), pack(*wide), runs(rest)))
+        if wide[0] <= m <= wide[1]:
+            break
+        a, b = (m + 1, b) if m < wide[0] else (a, m - 1)
+    return out or ([] if settled else [(old, settled, None, None, None, None)])
+
+
+def test_windows_are_remade_a_batch_at_a_time(monkeypatch):
+    """Windows without the first document are those found one by one; a batch takes a few passes, however many windows it has."""
+    rng, least, n = np.random.default_rng(13), 46, 0
+    words = lambda n, top: [b"w%d" % i for i in rng.integers(0, top, n)]
+    first, rows = words(400, 10**9), []
+    rows.append((1, None, 0, None, None, None, None, b" ".join(first), 0))
+    for node in range(2, 40):
+        top, a = (10**9, 60)[node % 2], int(rng.integers(0, 300))
+        text, at = words(80, top) + first[a : a + int(rng.integers(20, 100))] + words(60, top), int(rng.integers(0, 1000))
+        entries = []
+        for _ in range(int(rng.integers(1, 40))):
+            lo = int(rng.integers(0, len(text) - 54))
+            hi = int(rng.integers(lo + 49, len(text) - 4))
+            mid = lo + (hi - lo) // 2
+            need = [-1, at + mid << 32 | at + mid + 2][int(rng.integers(0, 2))]
+            gone = [None, [], [at + lo - min(lo, 3) << 32 | at + lo + 2, at + mid + 5 << 32 | at + mid + 7, at + hi << 32 | at + hi]][int(rng.integers(0, 3))]
+            entries.append((int(rng.integers(0, 5)) | (0, passages.MORE)[rng.random() < 0.9], at + lo << 32 | at + hi, need, gone))
+        rows.append((1, node, 0, *map(list, zip(*entries, strict=True)), b" ".join(text), at))
+    long = pa.int64()
+    types = pa.schema(list(zip(passages.PARTS, [long, long, pa.int32(), pa.list_(pa.int32()), pa.list_(long), pa.list_(long), pa.list_(pa.list_(long)), pa.binary(), long], strict=True)))
+    batch = pa.RecordBatch.from_pylist([dict(zip(passages.PARTS, r, strict=True)) for r in rows], types)
+    calls, real = [], passages.low_places
+    monkeypatch.setattr(passages, "low_places", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(passages, "LAID", 5000)
+    out = [r for b in passages._verify(iter([batch]), least, 80, 1) for r in b.to_pylist()]
+    got, want, left = [], [], passages.sequences_of([rows[0][7]], 5)[0]
+    for _, node, _, functions, spans, needs, gones, text, at in rows[1:]:
+        right = passages.sequences_of([text], 5)[0]
+        passed = [(r["start"] - at, r["end"] - at) for r in out if r["old"] is None and r["node"] == node]
+        for entry in zip(functions, spans, needs, gones, strict=True):
+            if entry[0] & passages.MORE:
+                n += 1
+                want += [(node, *r) for r in remade(right, np.isin(right, left), passed, at, *entry, least)]
+        got += [tuple(r[c] for c in ("node", "old", "settled", "key", "span", "need", "gone")) for r in out if r["old"] is not None and r["node"] == node]
+    assert any(r["old"] is None for r in out) and sorted(map(repr, got)) == sorted(map(repr, want))
+    assert len(calls) < n / 4
+
+
 def test_passages_whose_first_document_fails(spark):
     """B and C repeat a passage word for word; an earlier A has a part of it that is too short, or all of it out of order."""
     rng, texts = random.Random(21), {}
